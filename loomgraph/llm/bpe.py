@@ -23,6 +23,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from loomgraph.llm.common import extended
 from loomgraph.llm.memory import Memory, groups
 
 #: Remembered pre-tokens per Python worker; older ones are forgotten, results do not depend on it.
@@ -160,23 +161,23 @@ class Codec:
                     push(heap, m << 32 | h)
         return [t for t in ids if t >= 0]
 
-    def learn(self, names: list[str]) -> None:
-        """Adds pre-tokens to the remembered ones: whole words by the perfect hash, all others by merging."""
+    def learn(self, names: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens: whole words by the perfect hash, all others by merging."""
         words = [p.encode("utf-8", "surrogatepass") for p in names]
         at = self.hash.lookup(self._keys(words)).tolist()
+        out = {}
         for name, word, i in zip(names, words, at, strict=True):
             ids = [self.rank_at[i]] if i >= 0 and self.word_at[i] == word else self.merge_bytes(word)
-            self.known[name] = array("I", ids).tobytes()
+            out[name] = array("I", ids).tobytes()
+        return out
 
     def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers."""
         for part in groups(texts):
             split = [self.split(t) if t else [] for t in part]
-            new = self.known.missing({p for x in split for p in x})
-            if new:
-                self.learn(new)
+            ids = self.known.fetch(set().union(*split), self.learn).__getitem__
             for x in split:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, x)), np.uint32)
+                yield np.frombuffer(b"".join(map(ids, x)), np.uint32)
 
     def encode(self, text: str | None) -> np.ndarray:
         return next(self.encode_all([text]))
@@ -205,7 +206,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
 
     if out in df.columns:
         raise ValueError(f"column {out} exists; choose another name for the ids")
-    return df.mapInArrow(run, df.schema.add(out, "array<int>"))
+    return df.mapInArrow(run, extended(df.schema, **{out: "array<int>"}))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -219,7 +220,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     if out in df.columns:
         raise ValueError(f"column {out} exists; choose another name for the bytes")
-    return df.mapInArrow(run, df.schema.add(out, "binary"))
+    return df.mapInArrow(run, extended(df.schema, **{out: "binary"}))
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

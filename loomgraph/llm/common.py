@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_BREAKS = " \t\n\x0b\x0c\r"
@@ -27,12 +29,24 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing."""
+def written(df: DataFrame, name: str, discard: list[DataFrame] | tuple = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing.
+
+    Tables in `discard`, which this one replaces, are deleted, and shuffle files of finished jobs are let go.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    for old in discard:
+        for file in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            if "/loomgraph/" in file:
+                at = spark._jvm.org.apache.hadoop.fs.Path(file)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -46,3 +60,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id as text is divisible by five; a null id is held out, so never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
+
+
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A schema with further columns; the one given stays as it is."""
+    out = T.StructType(list(schema.fields))
+    for name, kind in columns.items():
+        out = out.add(name, kind)
+    return out

@@ -12,19 +12,19 @@ class Memory(dict):
         super().__init__()
         self.limit, self.old = limit // 2, {}
 
-    def missing(self, keys: set) -> list:
-        """Those of keys that are not here; what only the older generation has is brought over."""
+    def fetch(self, keys: set, learn) -> dict:
+        """The values of keys, in a small dictionary of their own; learn(list) gives those not remembered, as a dictionary."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        out, old = [], self.old.get
-        for k in keys.difference(self):
-            got = old(k)
-            if got is None:
-                out.append(k)
-            else:
-                self[k] = got
-        return out
+        here = dict(zip(keys, map(self.get, keys), strict=True))
+        absent = [k for k, v in here.items() if v is None]
+        if absent:
+            got = dict(zip(absent, map(self.old.get, absent), strict=True))
+            got.update(learn([k for k, v in got.items() if v is None]))
+            self.update(got)
+            here.update(got)
+        return here
 
 
 def groups(texts: list, chars: int = 1_000_000) -> Iterator[list]:

@@ -14,6 +14,7 @@ packed one by one; other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections import defaultdict
@@ -34,7 +35,7 @@ CAPACITY = 4096
 #: Id that ends every document.
 END_ID = 2
 #: Remembered words per Python worker.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Salts per length when pieces are ranked, so that a frequent length is ranked by many tasks.
 SALTS = 64
 
@@ -61,32 +62,38 @@ class WordTokenizer:
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in visible]
         self.stands_for = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 2)
+        self.known, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 4)
 
-    def learn(self, words: list[bytes]) -> None:
-        split: dict[bytes, list[str]] = {}
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out, several = {}, {}
+        plain, split, merge = self.PLAIN, self.SPLIT, self._merged
         for w in words:
             x = w.decode()
-            if self.PLAIN(x):
-                split[w] = self.SPLIT(x.lower())
+            if not plain(x):
+                out[w] = array("I", self.whole.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes()
+                continue
+            parts = split(x.lower())
+            if len(parts) == 1:
+                out[w] = merge(parts[0])
             else:
-                self.known[w] = array("I", self.whole.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes()
-        merge, hidden, ids = self.merge, self.stands_for, self.pieces
-        for x in ids.missing({p for parts in split.values() for p in parts}):
-            seen = x if x.isascii() else x.encode().decode("latin-1").translate(hidden)
-            ids[x] = array("I", [t.id for t in merge(seen)]).tobytes()
-        for w, parts in split.items():
-            self.known[w] = ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts))
+                several[w] = parts
+        if several:
+            ids = self.pieces.fetch(set().union(*several.values()), lambda new: {p: merge(p) for p in new}).__getitem__
+            for w, parts in several.items():
+                out[w] = b"".join(map(ids, parts))
+        return out
+
+    def _merged(self, piece: str) -> bytes:
+        seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stands_for)
+        return array("I", [t.id for t in self.merge(seen)]).tobytes()
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for part in groups(texts):
+        for part in groups(texts, 4_000_000):
             split = [t.encode().split() if t else [] for t in part]  # bytes split at ASCII white space only
-            new = self.known.missing({w for x in split for w in x})
-            if new:
-                self.learn(new)
+            ids = self.known.fetch(set().union(*split), self.learn).__getitem__
             for x in split:
-                yield b"".join(map(self.known.__getitem__, x))
+                yield b"".join(map(ids, x))
 
 
 @lru_cache(maxsize=2)
@@ -102,6 +109,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here makes cycles, and the remembered words are costly to walk
         t = tokenizer(path)
         for b in batches:
             row, start, length, crc, total, ids = [], [], [], [], [], []
