@@ -5,8 +5,40 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe, packing
-from loomgraph.llm.common import table
+from pyspark.sql import functions as F
+
+from loomgraph.llm import bpe, chat, htmltext, language, packing, quality, worddup
+from loomgraph.llm.common import held_out, table
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    text = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = chat.canonical_turns(rows.select("conv_id", "turn", "role", "text").unionByName(extra))
+    return chat.conversation_digests(chat.segments(turns))
+
+
+def op2_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worddup.digests(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(language.sample(docs, ~held_out(F.col("doc_id"))))
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    return language.identify(rows, model).drop("text")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +51,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_word_dedup": op2_word_dedup,
+    "op4_quality_rules": op4_quality_rules,
+    "op7_html_text": op7_html_text,
+    "op9_language": op9_language,
+    "op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
