@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, htmltext, language, packing, quality, worddup
+from loomgraph.llm import bpe, chat, htmltext, language, packing, quality, suffixdup, worddup
 from loomgraph.llm.common import held_out, table
 
 
@@ -29,6 +29,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op5_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_word_dedup": op2_word_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_byte_dedup": op5_byte_dedup,
     "op7_html_text": op7_html_text,
     "op9_language": op9_language,
     "op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
