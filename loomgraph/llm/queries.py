@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, htmltext, language, packing, quality, suffixdup, worddup
+from loomgraph.llm import bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, worddup
 from loomgraph.llm.common import held_out, table
 
 
@@ -38,6 +38,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"), size=2)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(language.sample(docs, ~held_out(F.col("doc_id"))))
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_dedup": op5_byte_dedup,
     "op7_html_text": op7_html_text,
+    "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
