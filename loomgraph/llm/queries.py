@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, worddup
+from loomgraph.llm import ann, bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, worddup
 from loomgraph.llm.common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op2_word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return worddup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +66,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_word_dedup": op2_word_dedup,
+    "op3_multiprobe": op3_multiprobe,
     "op4_quality_rules": op4_quality_rules,
     "op5_byte_dedup": op5_byte_dedup,
     "op7_html_text": op7_html_text,

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm import passages
 
 WIDTH, RUN = 50, 16
+_WORD = re.compile(r"[^\x20\x09-\x0D]+").finditer
 
 
 def _codes(words: list[bytes]) -> np.ndarray:
@@ -137,3 +138,31 @@ def deduplicated(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text:
 def digests(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """deduplicated() with the hash of the kept text in its place."""
     return deduplicated(docs, width, key, text).withColumn("kept_sha256", F.sha2(F.col("kept"), 256)).drop("kept")
+
+
+def cleaned(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with duplicate spans cut out of its text; what stays keeps its white space, and texts without a span stay as they are."""
+    spans = passages.per_document(duplicate_spans(docs, width, key=key, text=text), key)
+    joined = docs.join(spans.hint("shuffle_hash"), key, "left").select(*docs.columns, "_spans")
+    at = docs.columns.index(text)
+
+    def cut(t: str | None, cuts) -> str | None:
+        if not cuts or not t:
+            return t
+        places = [m.span() for m in _WORD(t)]
+        kept, word = [], 0
+        for a, b in passages.merged([(x["start"], x["end"]) for x in cuts]):
+            if a > word:
+                kept.append(t[places[word][0] : places[a - 1][1]])
+            word = b
+        if word < len(places):
+            kept.append(t[places[word][0] : places[-1][1]])
+        return " ".join(kept)
+
+    def go(batches):
+        for b in batches:
+            texts = [cut(t.as_py(), s.as_py()) for t, s in zip(b.column(at), b.column(b.num_columns - 1), strict=True)]
+            cols = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
+
+    return joined.mapInArrow(go, docs.schema)
