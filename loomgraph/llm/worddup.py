@@ -14,6 +14,7 @@ against each other; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import pyarrow as pa
