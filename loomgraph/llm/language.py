@@ -12,6 +12,7 @@ Other columns, such as lang or source, are never inputs of a prediction.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -59,26 +60,31 @@ def codes(data: bytes) -> np.ndarray:
         return (tri * np.uint32(2654435761)) >> np.uint32(32 - DIMS.bit_length() + 1)
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
-    """A linear support vector machine (hinge loss) by dual coordinate descent; y is +1 or -1. The last weight is the bias."""
-    n, d = x.shape
-    rows = np.hstack([x, np.ones((n, 1), x.dtype)])
-    w, alpha = np.zeros(d + 1), np.zeros(n)
-    norm = (rows.astype(float) ** 2).sum(1)
-    bound = c / np.where(y > 0, max(1, (y > 0).sum()), max(1, (y < 0).sum())) * n / 2
+#: A sparse feature vector: places and values.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def train_svm(rows: list[Sparse], y: np.ndarray, c: float = 10.0, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """A linear support vector machine (hinge loss) by dual coordinate descent over sparse rows; y is +1 or -1. The weights and the bias."""
+    n = len(rows)
+    w, bias, alpha = np.zeros(DIMS), 0.0, np.zeros(n)
+    norm = [float(v @ v) + 1 for _, v in rows]
+    bound = np.where(y > 0, c * n / 2 / max(1, (y > 0).sum()), c * n / 2 / max(1, (y < 0).sum()))
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(n):
-            step = (1 - y[i] * (rows[i] @ w)) / norm[i]
-            a = min(max(alpha[i] + step, 0.0), bound[i])
-            if a != alpha[i]:
-                w += (a - alpha[i]) * y[i] * rows[i]
-                moved = max(moved, abs(a - alpha[i]) / bound[i])
+        for i in rng.permutation(n).tolist():
+            at, v = rows[i]
+            a = min(max(alpha[i] + (1 - y[i] * (float(w[at] @ v) + bias)) / norm[i], 0.0), bound[i])
+            change = a - alpha[i]
+            if change:
+                w[at] += change * y[i] * v
+                bias += change * y[i]
+                moved = max(moved, abs(change) / bound[i])
                 alpha[i] = a
         if moved < 1e-3:
             break
-    return w[:-1], float(w[-1])
+    return w, bias
 
 
 @dataclass
@@ -149,17 +155,13 @@ class Model:
         return langs, scores
 
 
-def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray]]:
-    """(language, feature vector) of the training sample: for each language the rows with the smallest hashed ids."""
-    own = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key, F.xxhash64(text))
-    # ids are chosen before any text is moved: the window sees keys and hashes only
-    chosen = (
-        docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-        .select(key, lang, text)
-        .withColumn("_n", F.row_number().over(own))
-        .where(F.col("_n") <= per_language)
-        .select(lang, text)
-    )
+def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """(language, places, values) of the training sample: for each language the rows with the smallest hashed ids."""
+    own = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key)
+    usable = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
+    # ids are ranked alone; there are PER_LANGUAGE of them for each language, few enough for every task
+    ids = usable.select(key, lang).withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_language).select(key).distinct()
+    chosen = usable.join(F.broadcast(ids), key, "left_semi").select(lang, text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,33 +177,28 @@ def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "places", "values"])
 
     rows = chosen.mapInArrow(features, "lang string, places array<int>, values array<float>").toArrow()
-    out = []
-    for name, at, v in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True):
-        x = np.zeros(DIMS, np.float32)
-        x[at.values.to_numpy()] = v.values.to_numpy()
-        out.append((name, x))
-    return out
+    return [(name, at.values.to_numpy(), v.values.to_numpy()) for name, at, v in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)]
 
 
-def fit(examples: list[tuple[str, np.ndarray]]) -> Model:
-    """The two-level model of a training sample."""
+def fit(examples: list[tuple[str, np.ndarray, np.ndarray]]) -> Model:
+    """The two-level model of a training sample of (language, places, values)."""
     if not examples:
         return Model()
-    order = np.argsort([hash_of(x) for _, x in examples], kind="stable")
-    examples = [examples[i] for i in order]
-    names = np.array([name for name, _ in examples])
+    # an order of the examples that does not depend on how Spark delivered them
+    examples = sorted(examples, key=lambda e: (zlib.crc32(e[1].tobytes() + e[2].tobytes()), e[0]))
+    names = np.array([name for name, _, _ in examples])
     # frequencies are small numbers: they are scaled so that a typical text has length one
-    scale = 1 / max(1e-9, float(np.median([np.linalg.norm(x) for _, x in examples])))
-    x = np.stack([v for _, v in examples]) * np.float32(scale)
+    scale = 1 / max(1e-9, float(np.median([np.linalg.norm(v) for _, _, v in examples])))
+    rows = [(at, v * np.float32(scale)) for _, at, v in examples]
     family = np.array([FAMILY_OF.get(n, n) for n in names])
-    model = Model(families=sorted(set(family)))
+    model = Model(families=sorted(set(family.tolist())))
     weights, bias = [], []
-    for group, labels, members in [("", family, model.families), *((f, names, sorted(set(names[family == f]))) for f in model.families)]:
+    for group, labels, members in [("", family, model.families), *((f, names, sorted(set(names[family == f].tolist()))) for f in model.families)]:
         if group:
             model.languages[group] = members
         for i, j in combinations(range(len(members)), 2):
-            rows = (labels == members[i]) | (labels == members[j])
-            w, b = train_svm(x[rows], np.where(labels[rows] == members[i], 1.0, -1.0))
+            of = np.flatnonzero((labels == members[i]) | (labels == members[j])).tolist()
+            w, b = train_svm([rows[k] for k in of], np.where(labels[of] == members[i], 1.0, -1.0))
             model.machines.append((group, i, j))
             weights.append(w * scale)
             bias.append(b)
@@ -210,13 +207,6 @@ def fit(examples: list[tuple[str, np.ndarray]]) -> Model:
     return model
 
 
-def hash_of(x: np.ndarray) -> int:
-    """An order of the examples that does not depend on how Spark delivered them."""
-    import zlib
-
-    return zlib.crc32(x.tobytes())
-
-
 def identify(docs: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """docs with the predicted language and a score from 0 to 1. The model (a few machines of DIMS weights) goes with the tasks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
