@@ -1,4 +1,368 @@
-"""Registered queries of the production-network domain and their SQL."""
+"""Registered queries of the production-network domain and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Names are followed, in comments, by the inventory ids that a query covers.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import scalars as S
+from loomgraph.operators import graph, gravity, sampling, sectors, selection, weights
+from loomgraph.sources import fixtures, text
+from loomgraph.sources.bands import BANDS
+
+FIRMS = "firms as (select p_partkey + 1 as id, 'Firm_' || (p_partkey + 1) as firm_id, cast(regexp_extract(p_brand, '[0-9]+') as bigint) as sector, p_retailprice as price from part)"
+TURNOVER = f"{FIRMS}, turn as (select f.id, f.sector, coalesce(t.v, 0.0) as size from firms f left join (select l_partkey + 1 as id, sum(l_extendedprice) as v from lineitem group by 1) t using (id)), tq as (select id, sector, size, size / greatest(max(size) over (), 1.0) as q from turn)"
+PRICES = f"{FIRMS}, pq as (select id, sector, price / greatest(max(price) over (), 1.0) as q from firms)"
+
+
+def _pairs(where: str = "") -> str:
+    return f"pairs as (select * from (select l_partkey + 1 as buyer, lead(l_partkey + 1) over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as seller, l_extendedprice as amount from lineitem {where}) where seller is not null), edges as (select distinct buyer, seller from pairs where buyer <> seller)"
+
+
+PAIRS, PAIRS_R = _pairs(), _pairs("where l_returnflag = 'R'")
+FLOWS = "flows as (select a.sector as k, b.sector as l, sum(amount) as flow from pairs join firms a on a.id = buyer join firms b on b.id = seller group by 1, 2)"
+BLOCKS = "sij as (select k, l, flow, flow / max(flow) over () as s from flows), blocks as (select k, l, s, flow / sum(flow) over (partition by l) as i_share from sij where s > 1e-15 and flow > 1e-15)"
+SCC = f"{PAIRS_R}, reach(a, z) as (select p_partkey + 1, p_partkey + 1 from part union select r.a, e.seller from reach r join edges e on r.z = e.buyer), comp as (select x.a as node, min(x.z) as comp from reach x join reach y on x.a = y.z and x.z = y.a group by 1)"
+DAG = f"{SCC}, dag as (select distinct a.comp as src, b.comp as dst from edges join comp a on a.node = buyer join comp b on b.node = seller where a.comp <> b.comp)"
+TARGET = 1000
+PARAMETERS = gravity.Parameters(z=0.02)
+
+
+def _prices(spark: SparkSession, sf: str) -> DataFrame:
+    return S.max_normalised(fixtures.firms(spark, sf), "size", "q")
+
+
+def _turnover(spark: SparkSession, sf: str) -> DataFrame:
+    return S.max_normalised(fixtures.firms(spark, sf, "turnover"), "size", "q")
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    flows = fixtures.sector_flows(spark, sf)
+    return sectors.blocks(flows, sectors.max_shares(flows))
+
+
+def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges over returned lines, and component labels."""
+    nodes = fixtures.firms(spark, sf).select(F.col("id").alias("node"))
+    edges = graph.stored(fixtures.edges(spark, sf, "R").select(F.col("buyer").alias("src"), F.col("seller").alias("dst")))
+    return nodes, edges, graph.stored(graph.strong_components(nodes, edges))
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) + 0.0 for n in names})  # + 0.0: no negative zero
+
+
+def firm_attributes(spark, sf):  # PRJ-02 PRJ-04 PRJ-06 PRJ-07 PRJ-18 PRJ-19 AG-04
+    f = _turnover(spark, sf).select("id", S.digits(S.label(F.col("firm_id"))).alias("number"), "sector", "q", F.log(S.clipped(F.col("q"), S.SIZE_FLOOR, 1.0)).alias("log_q"), (F.col("id") - 1).alias("position"))
+    return _rounded(f, "q", "log_q", digits=9)
+
+
+def code_forms(spark, sf):  # PRJ-03 PRJ-09 PRJ-10 PRJ-08 PRJ-17
+    f = fixtures.firms(spark, sf)
+    n = F.col("sector").cast("string")
+    f = f.select("id", S.code(F.concat(F.lit('"'), n, F.lit('.0"'))).alias("code"), S.code(F.concat(n, F.lit(".50"))).alias("kept_code"), S.custom_round(F.col("size") / 8).alias("rounded"))
+    f = f.withColumn("number", S.lenient_number(F.when(F.col("id") % 3 == 0, F.lit("n/a")).when(F.col("id") % 3 == 1, F.lit("-4")).otherwise(F.col("id").cast("string"))))
+    return _rounded(f.withColumn("alpha", S.boxed(S.inverse_sigmoid(F.lit(0.25)), S.ALPHA_BOX)), "alpha")
+
+
+def size_band_cells(spark, sf):  # SRC-01 SRC-02 FLT-01 PRJ-01 AG-01 (total)
+    c = sampling.cells(fixtures.firm_counts(spark, sf))
+    return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("total"))))
+
+
+def allocation_base(spark, sf):  # SMP-01 (whole parts and remainders)
+    a = sampling.allocation(sampling.cells(fixtures.firm_counts(spark, sf)), TARGET)
+    return _rounded(a.select("cell", "n", "base", "remainder", "deficit"), "remainder")
+
+
+def expanded_cells(spark, sf):  # SMP-02 WIN-01 WIN-02
+    drawn = sampling.sample_counts(sampling.cells(fixtures.firm_counts(spark, sf)), "ALL")
+    return sampling.expanded(drawn).select("firm", "firm_id", "sic", "low", "high")
+
+
+def sampled_firms(spark, sf):  # SMP-01 SMP-03 SMP-06 WIN-03
+    return sampling.expanded(sampling.sample_counts(sampling.cells(fixtures.firm_counts(spark, sf)), TARGET, seed=7), seed=7)
+
+
+def sampled_total(spark, sf):  # SMP-01: the sum is the target, sizes are in their bands
+    s = sampled_firms(spark, sf)
+    return s.agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("size") < F.col("low") - 1) | (F.col("size") > F.col("high") + 1), 1)).alias("outside"))
+
+
+def flow_shares(spark, sf):  # AG-02 AG-03 SRC-04
+    flows = fixtures.sector_flows(spark, sf)
+    both = sectors.max_shares(sectors.column_shares(flows))
+    return _rounded(both.select("k", "l", "share", "s"), "share", "s", digits=9)
+
+
+def sector_blocks(spark, sf):  # FLT-03 JN-04
+    return _rounded(_blocks(spark, sf), "s", "i_share", digits=9)
+
+
+def common_sector_firms(spark, sf):  # SET-01 FLT-02 JN-01 DST-03
+    flows = fixtures.sector_flows(spark, sf).where("k % 3 <> 0")
+    firms = fixtures.firms(spark, sf)
+    found = sectors.common_sectors(firms, flows, sectors.max_shares(flows))
+    kept = sectors.within_sectors(firms, found)
+    return sectors.mapped(kept.select("id", "firm_id"), kept.select("firm_id", "sector")).select("id", "firm_id", "sector")
+
+
+def mapping_checks(spark, sf):  # JN-02 JN-03 AG-21 FLT-06
+    firms = fixtures.firms(spark, sf)
+    mapping = firms.where("id % 10 <> 0").select("firm_id", F.when(F.col("id") % 7 != 0, F.col("sector")).alias("sector"))
+    return sectors.aligned(firms, mapping).crossJoin(sectors.load_counts(mapping))
+
+
+def sector_sizes(spark, sf):  # AG-05
+    return _rounded(sectors.sector_sizes(_turnover(spark, sf)), "s_l")
+
+
+def sector_inflow_balance(spark, sf):  # AG-09 JN-06 JN-07 PRJ-17
+    out = sectors.inflow_balance(_turnover(spark, sf), fixtures.edges(spark, sf), sectors.incidence(fixtures.sector_flows(spark, sf)))
+    return _rounded(out, "s_l", "b_l", "base_l")
+
+
+def distinct_edges(spark, sf):  # DST-01 FLT-04
+    return fixtures.edges(spark, sf)
+
+
+def edge_text(spark, sf):  # SRC-06 SRC-07 SNK-02 SNK-03 PRJ-20 FLT-09
+    lines = text.edge_lines(fixtures.line_pairs(spark, sf), flip=True)
+    return text.edges_strict(lines.unionByName(spark.createDataFrame([("  ",)], "value string")), flip=True)
+
+
+def supplier_lists(spark, sf):  # AG-12 SRT-01 SNK-04 SRC-12
+    lines = text.network_lines(sectors.supplier_arrays(fixtures.edges(spark, sf)))
+    return text.supplier_rows(lines).select("buyer", F.array_join(F.transform("suppliers", lambda x: x.cast("string")), ",").alias("suppliers"))
+
+
+def sector_file(spark, sf):  # SNK-06 SRT-02 SNK-05 SRC-14
+    f = fixtures.firms(spark, sf).select("firm_id", F.when(F.col("id") % 9 != 0, F.col("sector").cast("string")).alias("sector"))
+    return text.sector_lines(f)
+
+
+def firm_degrees(spark, sf):  # AG-14 GR-01 GR-02
+    return sectors.firm_degrees(fixtures.firms(spark, sf), fixtures.edges(spark, sf, "R"))
+
+
+def sector_edges(spark, sf):  # AG-14 AG-15
+    e = fixtures.edges(spark, sf, "R")
+    return sectors.sector_edges(fixtures.firms(spark, sf), e).crossJoin(F.broadcast(sectors.node_count(e)))
+
+
+def reference_checks(spark, sf):  # JN-10 DST-04 OP-09
+    firms, e = fixtures.firms(spark, sf), fixtures.edges(spark, sf, "R")
+    money = firms.select("id", F.when(F.col("id") % 50 == 0, F.lit(0.0)).otherwise(F.col("size")).alias("size"))
+    return sectors.reference_checks(sectors.supplier_arrays(e), money, firms.where("id % 40 <> 0").select("id", "sector"), eps0=0.04)
+
+
+def firm_tolerances(spark, sf):  # JN-11 SRC-15 PRJ-21
+    firms = fixtures.firms(spark, sf)
+    deltas = firms.where("id % 4 = 0").select(F.col("id").alias("line"), "id", F.when(F.col("id") % 8 == 0, F.lit(-1.0)).otherwise(F.lit(0.25)).alias("delta"))
+    return _rounded(sectors.with_tolerance(firms.select("id", "size"), deltas), "low", "high")
+
+
+def block_kernel(spark, sf):  # JN-05 PRJ-11 AG-06
+    return _rounded(gravity.block_sums(_prices(spark, sf), _blocks(spark, sf), PARAMETERS), *gravity.SUMS, digits=5)
+
+
+def seller_inflow(spark, sf):  # AG-07 AG-20
+    firms = _prices(spark, sf)
+    sums = gravity.block_sums(firms, _blocks(spark, sf), PARAMETERS)
+    return _rounded(gravity.band_status(sums, sectors.sector_sizes(firms), 0.5), "s_l", "e", "error", digits=5)
+
+
+def expected_edges(spark, sf):  # AG-08
+    return gravity.block_sums(_prices(spark, sf), _blocks(spark, sf), PARAMETERS).agg(F.round(F.sum("p"), 4).alias("expected"))
+
+
+def pair_uniforms(spark, sf):  # PRJ-12
+    ids = fixtures.firms(spark, sf).select((F.col("id") - 1).alias("i"))
+    pairs = ids.withColumn("j", F.explode(F.array(*(((F.col("i") * m + 7) % 1000).alias("x") for m in (1, 3, 11)))))
+    return _rounded(S.with_pair_uniform(pairs, "i", "j", "u"), "u", digits=9)
+
+
+def drawn_edges(spark, sf):  # SMP-04 FLT-07
+    return gravity.bernoulli_edges(_prices(spark, sf), _blocks(spark, sf), PARAMETERS)
+
+
+def pair_quota_grid(spark, sf):  # PRJ-14 PRJ-15 PRJ-16
+    n = fixtures.firms(spark, sf).select(F.col("id").cast("double").alias("n"))
+    k = F.greatest(F.lit(1), S.ceil_count(S.f_eta(F.col("n"), 0.05, 0.001) * F.col("n")))
+    df = n.withColumn("n_keep", k).withColumn("n_draw", F.greatest("n_keep", S.ceil_count(S.g_share(F.col("n"), 0.25, 50.0, 1.0) * F.col("n"))))
+    return df.select(F.col("n").cast("long").alias("n"), "n_keep", "n_draw")
+
+
+def scc_labels(spark, sf):  # GR-03 GR-06
+    return _graph(spark, sf)[2]
+
+
+def scc_members(spark, sf):  # GR-12 AG-10 AG-11
+    return graph.component_members(_graph(spark, sf)[2])
+
+
+def condensation_edges(spark, sf):  # GR-04 JN-09 FLT-08 DST-02
+    _, edges, comp = _graph(spark, sf)
+    return graph.condensation(comp, edges)
+
+
+def condensation_ends(spark, sf):  # GR-05 AG-13 AG-10
+    _, edges, comp = _graph(spark, sf)
+    return graph.ends_of(comp, graph.condensation(comp, edges))
+
+
+def topological_levels(spark, sf):  # SRT-03
+    _, edges, comp = _graph(spark, sf)
+    return graph.levels(graph.component_sizes(comp), graph.stored(graph.condensation(comp, edges)))
+
+
+def _pairing(spark, sf):
+    nodes, edges, comp = _graph(spark, sf)
+    pairs = graph.sink_source_pairs(comp, graph.stored(graph.condensation(comp, edges)))
+    # a larger theta than the default leaves a choice where components are large
+    return nodes, edges, comp, graph.stored(graph.pair_quotas(pairs, comp, edges, theta=0.5, eta=0.1))
+
+
+def sink_source_pairs(spark, sf):  # GR-07 GR-08 JN-12 AG-16
+    return _pairing(spark, sf)[3]
+
+
+def chosen_candidates(spark, sf):  # GR-09 SMP-05 JN-08 OP-06 AG-17
+    nodes, edges, comp, quotas = _pairing(spark, sf)
+    firms = _turnover(spark, sf)
+    inc = sectors.incidence(fixtures.sector_flows(spark, sf))
+    cand = graph.stored(graph.with_delta(graph.candidates(quotas, comp, edges), firms, inc))
+    balance = sectors.inflow_balance(firms, edges.select(F.col("src").alias("buyer"), F.col("dst").alias("seller")), inc)
+    return selection.choose(cand, quotas, balance)[0]
+
+
+def irreducible_graph(spark, sf):  # GR-10 GR-11 SET-03 PRJ-13
+    nodes, edges, comp, quotas = _pairing(spark, sf)
+    chosen = graph.candidates(quotas.withColumn("n_draw", F.col("n_keep")), comp, edges)
+    more = graph.stored(graph.augmented(nodes, edges, chosen))
+    after = graph.strong_components(nodes, more)
+    before = comp.agg(F.count_distinct("comp").alias("components_before"))
+    loops = more.agg(F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"))
+    return before.crossJoin(after.agg(F.count_distinct("comp").alias("components_after"))).crossJoin(loops)
+
+
+def fitted_scale(spark, sf):  # OP-01 AG-08
+    fit = gravity.Fit(_prices(spark, sf), _blocks(spark, sf))
+    try:
+        par = gravity.Parameters()
+        par.z = fit.solve_scale(par) or float("nan")
+        return spark.createDataFrame([(round(fit.target, 4), round(fit.links(par), 4))], "target double, links double")
+    finally:
+        fit.close()
+
+
+def fitted_model(spark, sf):  # OP-02 OP-03 OP-04 OP-05 OP-10
+    fit = gravity.Fit(_prices(spark, sf), _blocks(spark, sf))
+    try:
+        par, violated = fit.run()
+        return spark.createDataFrame([(par.z, par.alpha, par.kappa, fit.links(par), fit.target, violated, fit.evaluations)], "z double, alpha double, kappa double, links double, target double, violated int, evaluations int")
+    finally:
+        fit.close()
+
+
+def _network(spark, sf):
+    firms = fixtures.firms(spark, sf).withColumn("delta", F.lit(0.9))
+    loops = firms.select(F.col("id").alias("buyer"), F.col("id").alias("seller"))
+    return graph.stored(fixtures.edges(spark, sf).unionByName(loops)), firms
+
+
+def weight_feasibility(spark, sf):  # OP-09
+    edges, firms = _network(spark, sf)
+    return weights.feasibility(edges, firms, weights.Caps(sector=0.5, eps0=0.04))
+
+
+def edge_weights(spark, sf):  # OP-07 OP-08 SNK-07
+    edges, firms = _network(spark, sf)
+    return weights.solve_capped(edges, firms, weights.Caps(sector=0.5), cycles=15, searches=1)
+
+
+def edge_weight_residuals(spark, sf):  # AG-18 AG-19 FLT-10 SNK-08
+    edges, firms = _network(spark, sf)
+    caps = weights.Caps(sector=0.5)
+    return weights.residuals(graph.stored(weights.solve(edges, firms, caps, cycles=15)), firms, caps)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        firm_attributes, code_forms, size_band_cells, allocation_base, expanded_cells, sampled_firms, sampled_total, flow_shares, sector_blocks, common_sector_firms,
+        mapping_checks, sector_sizes, sector_inflow_balance, distinct_edges, edge_text, supplier_lists, sector_file, firm_degrees, sector_edges, reference_checks,
+        firm_tolerances, block_kernel, seller_inflow, expected_edges, pair_uniforms, drawn_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
+        condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, irreducible_graph, fitted_scale, fitted_model, weight_feasibility, edge_weights, edge_weight_residuals,
+    )
+}
+
+_CELLS = (
+    "cells as (select row_number() over (order by length(sic), sic, band) as cell, * from ("
+    + " union all ".join(f"select cast(c_nationkey as varchar) as sic, {i} as band, cast({low} as double) as low, cast({high} as double) as high, count(*) as n from orders join customer on c_custkey = o_custkey where o_totalprice * 100 between {low} and {high} group by 1" for i, (_, low, high) in enumerate(BANDS))
+    + "))"
+)
+_X = "0.02 * power(greatest(b.s, 1e-15), 0.6e0) * power(greatest(x.q, 1e-15), 0.5e0) * power(greatest(y.q, 1e-15), 0.5e0)"
+_KERNEL = f"""{PRICES}, {PAIRS}, {FLOWS}, {BLOCKS}, px as (select b.k, b.l, x.id as i, y.id as j, x.q as qi, b.i_share, ln(greatest(b.s, 1e-15)) as ls, ln(x.q) + ln(y.q) as lq, {_X} as v
+    from pq x join blocks b on b.k = x.sector join pq y on y.sector = b.l where x.id <> y.id), pr as (select *, case when v > 1e6 then 1.0 else v / (1 + v) end as p from px), pw as (select *, case when v > 1e6 then 0.0 else p * (1 - p) end as w from pr),
+    sums as (select k, l, sum(p) as p, sum(w) as p_z, sum(w * lq) as p_a, sum(w * ls) as p_k, sum(w) as p_l, sum(i_share * qi * p) as e, sum(i_share * qi * w) as e_z, sum(i_share * qi * w * lq) as e_a, sum(i_share * qi * w * ls) as e_k, sum(i_share * qi * w) as e_l from pw group by k, l)"""
+_M = "18446744073709551616::uhugeint"
+
+
+def _uniform(i: str, j: str) -> str:
+    """SQL of the pair's uniform number, in unsigned 128-bit arithmetic."""
+    x = f"xor(xor((({i})::uhugeint * {S.PAIR_FACTOR}::uhugeint) % {_M}, (({j})::uhugeint * 2::uhugeint) % {_M}), {S.PAIR_SEED}::uhugeint)"
+    return x
+
+
+def _mixing(source: str, carry: str) -> str:
+    """CTEs h1, h2, h3 over a source with column h, and u in the last."""
+    return (
+        f"h1 as (select {carry}, (xor(h, h // 1073741824::uhugeint) * {S.MIX_1}::uhugeint) % {_M} as h from {source}), "
+        f"h2 as (select {carry}, (xor(h, h // 134217728::uhugeint) * {S.MIX_2}::uhugeint) % {_M} as h from h1), "
+        f"h3 as (select {carry}, xor(h, h // 2147483648::uhugeint)::double / 18446744073709551616.0 as u from h2)"
+    )
+
+
+ORACLE_SQL = {
+    "firm_attributes": f"with {TURNOVER} select id, id as number, sector, round(q, 9) as q, round(ln(least(greatest(q, 1e-15), 1.0)), 9) as log_q, id - 1 as position from tq",
+    "code_forms": f"with {FIRMS} select id, cast(sector as varchar) as code, sector || '.50' as kept_code, case when floor((price / 8 - floor(price / 8)) * 10) = 0 then round_even(price / 8, 0) else round_even(price / 8, 1) end as rounded, case when id % 3 = 2 then cast(id as double) else 0.0 end as number, round(0.30 + 0.65 * 0.25, 6)::double as alpha from firms",
+    "size_band_cells": f"with {_CELLS} select cell, sic, band, low, high, n, (select sum(n)::bigint from cells) as total from cells",
+    "allocation_base": f"with {_CELLS}, e as (select cell, n, n * ({TARGET}.0::double / (select sum(n) from cells)) as x from cells) select cell, n, floor(x)::bigint as base, round(x - floor(x), 6) as remainder, {TARGET} - sum(floor(x)::bigint) over ()::bigint as deficit from e",
+    "expanded_cells": f"with {_CELLS}, r as (select cell, sic, low, high, unnest(range(n)) as k from cells), f as (select row_number() over (order by cell, k) as firm, * from r) select firm, 'Firm_' || firm as firm_id, sic, low, high from f",
+    "sampled_total": f"select {TARGET}::bigint as n, 0::bigint as outside",
+    "flow_shares": f"with {FIRMS}, {PAIRS}, {FLOWS} select k, l, round(flow / sum(flow) over (partition by l), 9) as share, round(flow / max(flow) over (), 9) as s from flows",
+    "sector_blocks": f"with {FIRMS}, {PAIRS}, {FLOWS}, {BLOCKS} select k, l, round(s, 9) as s, round(i_share, 9) as i_share from blocks",
+    "common_sector_firms": f"with {FIRMS}, {PAIRS}, {FLOWS} select id, firm_id, sector from firms where sector in (select k from flows where k % 3 <> 0) and sector in (select l from flows where k % 3 <> 0)",
+    "mapping_checks": f"with {FIRMS} select count(*) as n_strength, count(*) filter (id % 10 <> 0) as n_mapping, count(*) filter (id % 10 = 0) as unmapped, 0::bigint as unsized, count(*) filter (id % 10 <> 0) as total, count(*) filter (id % 10 <> 0 and id % 7 <> 0) as kept, count(*) filter (id % 10 <> 0 and id % 7 = 0) as dropped from firms",
+    "sector_sizes": f"with {TURNOVER} select sector as l, round(sum(q), 6) as s_l from tq group by 1",
+    "sector_inflow_balance": f"with {TURNOVER}, {PAIRS}, {FLOWS}, s as (select sector as l, sum(q) as s_l from tq group by 1), b as (select y.sector as l, sum(x.q * case when flow > 0 then 1.0 else 0.0 end) as b_l from edges join tq x on x.id = buyer join tq y on y.id = seller join flows f on f.k = x.sector and f.l = y.sector group by 1) select s.l, round(s_l, 6) as s_l, round(coalesce(b_l, 0), 6) as b_l, round(coalesce(b_l, 0) - s_l, 6) as base_l from s left join b using (l)",
+    "distinct_edges": f"with {PAIRS} select buyer, seller from edges",
+    "edge_text": f"with {PAIRS} select buyer, seller from edges",
+    "supplier_lists": f"with {PAIRS} select buyer, string_agg(cast(seller as varchar), ',' order by seller) as suppliers from edges group by 1",
+    "sector_file": f"with {FIRMS} select id || ',' || sector as value from firms where id % 9 <> 0",
+    "firm_degrees": f"with {FIRMS}, {PAIRS_R} select id, coalesce(o, 0)::bigint as out_degree, coalesce(i, 0)::bigint as in_degree from firms left join (select buyer as id, count(*) as o from edges group by 1) using (id) left join (select seller as id, count(*) as i from edges group by 1) using (id)",
+    "sector_edges": f"with {FIRMS}, {PAIRS_R} select sector as l, count(*) as n_edges, (select count(distinct id) from (select buyer as id from edges union all select seller from edges)) as n_nodes from edges join firms on id = seller group by 1",
+    "reference_checks": f"""with {FIRMS}, {PAIRS_R}, nodes as (select buyer as id from edges union select seller from edges) select * from (values
+        ('duplicate_buyer', 0::bigint), ('no_supplier', 0::bigint), ('node_without_row', (select count(*) from nodes where id not in (select buyer from edges))),
+        ('buyer_without_sector', (select count(distinct buyer) from edges where buyer % 40 = 0)), ('size_not_positive', (select count(*) from nodes where id % 50 = 0)),
+        ('id_above_network', (select count(*) from firms where id > (select max(id) from nodes))), ('weights_above_one', (select count(*) from (select buyer from edges group by 1 having count(*) * 0.04e0 > 1)))) t("check", violations)""",
+    "firm_tolerances": f"with {FIRMS}, d as (select id, price as size, case when id % 8 = 4 then 0.25 else 0.1 end::double as delta from firms) select id, size, delta, round((1 - delta) * size, 6) as low, round((1 + delta) * size, 6) as high from d",
+    "block_kernel": f"with {_KERNEL} select k, l, {', '.join(f'round({s}, 5) + 0.0 as {s}' for s in gravity.SUMS)} from sums",
+    "seller_inflow": f"with {_KERNEL}, e as (select l, sum(e) as e from sums group by 1), s as (select sector as l, sum(q) as s_l from pq group by 1) select l, round(e, 5) as e, round(s_l, 5) as s_l, round((e - s_l) / s_l, 5) as error, case when abs((e - s_l) / s_l) <= 0.5 + 1e-12 then 'OK' else 'VIOLATED' end as status from e join s using (l)",
+    "expected_edges": f"with {_KERNEL} select round(sum(p), 4) as expected from sums",
+    "pair_uniforms": f"with ij as (select p_partkey as i, unnest([(p_partkey + 7) % 1000, (p_partkey * 3 + 7) % 1000, (p_partkey * 11 + 7) % 1000]) as j from part), h0 as (select i, j, {_uniform('i', 'j')} as h from ij), {_mixing('h0', 'i, j')} select i, j, round(u, 9) as u from h3",
+    "drawn_edges": f"with {_KERNEL}, h0 as (select i, j, p, {_uniform('i - 1', 'j - 1')} as h from pr where p > 0), {_mixing('h0', 'i, j, p')} select i as buyer, j as seller from h3 where p >= u",
+    "pair_quota_grid": "with g as (select (p_partkey + 1)::double as n from part), k as (select n, greatest(1, ceil(0.05 * (1 - exp(-0.001 * n)) * n))::bigint as n_keep from g) select n::bigint as n, n_keep, greatest(n_keep, ceil(0.25 * power(n / (50.0 + n), 1.0) * n)::bigint) as n_draw from k",
+    "scc_labels": f"with recursive {SCC} select node, comp from comp",
+    "scc_members": f"with recursive {SCC} select comp, row_number() over (partition by comp order by node)::int as position, node from comp",
+    "condensation_edges": f"with recursive {DAG} select src, dst from dag",
+    "condensation_ends": f"with recursive {DAG}, z as (select comp, count(*) as size from comp group by 1), o as (select src as comp, count(*) as o from dag group by 1), i as (select dst as comp, count(*) as i from dag group by 1) select comp, size, coalesce(o, 0)::bigint as out_degree, coalesce(i, 0)::bigint as in_degree, i is null as is_source, o is null as is_sink from z left join o using (comp) left join i using (comp)",
+    "topological_levels": f"with recursive {DAG}, p(comp, level) as (select distinct comp, 0 from comp union select dst, level + 1 from p join dag on src = comp) select comp, max(level) as level from p group by 1",
+    "irreducible_graph": f"with recursive {SCC} select count(distinct comp) as components_before, 1::bigint as components_after, (select count(*) from part) as self_loops from comp",
+    "fitted_scale": "select count(*) * 25.0::double as target, count(*) * 25.0::double as links from part",
+    "weight_feasibility": f"with {FIRMS}, {PAIRS}, net as (select buyer, seller from edges union all select id, id from firms) select * from (values ('degree_times_floor', (select count(*) from (select buyer from net group by 1 having count(*) * 0.04e0 > 1))), ('no_inflow', 0::bigint), ('sector_without_edges', 0::bigint), ('sector_size_not_positive', 0::bigint)) t(\"check\", violations)",
+}
