@@ -117,6 +117,10 @@ def _role(c: Column) -> Column:
     return F.coalesce(F.try_element_at(pairs, F.lower(c.cast("string"))), _string(c))
 
 
+def _message_turns(messages: Column, role: str, text: str) -> Column:
+    return F.transform(messages, lambda m: F.struct(_role(m[role]).alias("role"), _string(m[text]).alias("text")))
+
+
 def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     """Turns (conv_id, position, role, text) of a table, by the layout that its schema's fingerprint selects.
 
@@ -135,7 +139,7 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     for part in layout.turns:
         if len(part) == 3:
             messages = F.coalesce(F.col(part[0]), F.array().cast(df.schema[part[0]].dataType))
-            parts.append(F.transform(messages, lambda m, r=part[1], t=part[2]: F.struct(_role(m[r]).alias("role"), _string(m[t]).alias("text"))))
+            parts.append(_message_turns(messages, part[1], part[2]))
         else:
             parts.append(F.array(F.struct(F.lit(part[0]).alias("role"), _joined(part[1]).alias("text"))))
     turns = F.concat(*parts) if len(parts) > 1 else parts[0]
