@@ -64,7 +64,5 @@ def held_out(doc_id: Column) -> Column:
 
 def extended(schema: T.StructType, **columns: str) -> T.StructType:
     """A schema with further columns; the one given stays as it is."""
-    out = T.StructType(list(schema.fields))
-    for name, kind in columns.items():
-        out = out.add(name, kind)
-    return out
+    more = T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in columns.items()))
+    return T.StructType([*schema.fields, *more.fields])
