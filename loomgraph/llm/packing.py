@@ -15,6 +15,7 @@ packed one by one; other columns are not read.
 from __future__ import annotations
 
 import gc
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -43,12 +44,12 @@ SALTS = 64
 class WordTokenizer:
     """Ids of a text as the concatenated ids of its chunks between ASCII white space.
 
-    The tokenizer file drops white space before it merges, so no token crosses a chunk. A chunk not met
-    before is lower-cased and split here, and its pieces go to the file's merge model, if it holds nothing
-    but visible ASCII and Latin letters that are their own normal form; the library encodes all others.
+    The tokenizer file drops white space before it merges, so no token crosses a chunk. Texts of ASCII and
+    Latin letters, which are their own normal form, are lower-cased whole and split here; the pieces of
+    chunks not met before go to the file's merge model. The library encodes the chunks of all other texts.
     """
 
-    PLAIN = regex.compile(r"[\x21-\x7e\u00c0-\u024f]+").fullmatch
+    LATIN = re.compile(r"[\t-\r -~\u00a1-\u024f]*").fullmatch
     #: Fixed value: the pattern of the tokenizer file.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
@@ -62,21 +63,19 @@ class WordTokenizer:
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in visible]
         self.stands_for = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known, self.pieces = Memory(REMEMBERED), Memory(REMEMBERED // 4)
+        self.known, self.pieces, self.others = Memory(REMEMBERED), Memory(REMEMBERED // 4), Memory(REMEMBERED // 8)
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, several = {}, {}
-        plain, split, merge = self.PLAIN, self.SPLIT, self._merged
+        """Ids of lower-case Latin chunks. Chunks of letters, with one mark behind or without, need no pattern."""
+        out, several, merge = {}, {}, self._merged
         for w in words:
             x = w.decode()
-            if not plain(x):
-                out[w] = array("I", self.whole.encode_batch_fast([x], add_special_tokens=False)[0].ids).tobytes()
-                continue
-            parts = split(x.lower())
-            if len(parts) == 1:
-                out[w] = merge(parts[0])
+            if x.isalpha():
+                out[w] = merge(x)
+            elif x[-1] in ".,;:!?" and x[:-1].isalpha():
+                several[w] = (x[:-1], x[-1])
             else:
-                several[w] = parts
+                several[w] = self.SPLIT(x)
         if several:
             ids = self.pieces.fetch(set().union(*several.values()), lambda new: {p: merge(p) for p in new}).__getitem__
             for w, parts in several.items():
@@ -87,13 +86,19 @@ class WordTokenizer:
         seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.stands_for)
         return array("I", [t.id for t in self.merge(seen)]).tobytes()
 
+    def learn_others(self, words: list[bytes]) -> dict[bytes, bytes]:
+        return {w: array("I", self.whole.encode_batch_fast([w.decode()], add_special_tokens=False)[0].ids).tobytes() for w in words}
+
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         for part in groups(texts, 4_000_000):
-            split = [t.encode().split() if t else [] for t in part]  # bytes split at ASCII white space only
-            ids = self.known.fetch(set().union(*split), self.learn).__getitem__
-            for x in split:
-                yield b"".join(map(ids, x))
+            # bytes split at ASCII white space only
+            latin = [not t or self.LATIN(t) is not None for t in part]
+            split = [(t.lower() if ok else t).encode().split() if t else [] for t, ok in zip(part, latin, strict=True)]
+            ids = self.known.fetch(set().union(*(x for x, ok in zip(split, latin, strict=True) if ok)), self.learn)
+            others = {} if all(latin) else self.others.fetch(set().union(*(x for x, ok in zip(split, latin, strict=True) if not ok)), self.learn_others)
+            for x, ok in zip(split, latin, strict=True):
+                yield b"".join(map((ids if ok else others).__getitem__, x))
 
 
 @lru_cache(maxsize=2)
