@@ -8,8 +8,9 @@ components, round by round:
 
 * In star rounds the members of a band are compared with one of them, so a group of n near copies costs n
   comparisons. Bands whose members are in one component already are done with.
-* Then the members outside a band's largest component are compared with all others of the band, in blocks;
-  each pair once, in the first band that the two share. Only pairs that the sketches let pass leave a block.
+* Then the members outside a band's largest component are compared with all others of the band, in tiles of
+  bounded size; each pair once, in the first band that the two share. Pairs that the sketches let pass leave
+  the tile to be confirmed; of members with many such partners only links do, one for each other component.
 
 With 32 bands of 4 rows a pair at the threshold 0.8 is missed with probability 5e-8; the sketch filter
 lets pass what is within 4.5 standard deviations of the threshold.
@@ -36,10 +37,13 @@ BANDS, ROWS = 32, 4
 BINS, BITS = 512, 1024
 #: Comparisons with one member of each band before the rest is compared in full.
 STARS = 3
-#: Members of a band's largest component that one block takes.
+#: Members on each side of a tile.
 BLOCK = 4096
 #: Standard deviations by which the sketches may be off.
 MARGIN = 4.5
+#: Partners of one member in a tile that leave it as pairs; more are confirmed within the tile.
+FEW = 32
+TILE, TILE_SCHEMA = ("band", "left", "right"), "band long, left int, right int"
 PERCENT = 80
 #: Shingles handled at once.
 BATCH = 1 << 20
@@ -176,27 +180,99 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+class Tile:
+    """Members of a band that meet in one block: minor ones (left) against others (right), and among themselves if `inner`."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        self.band = table.column("band")[0].as_py()
+        self.ids, self.label = table.column("id").to_numpy(), table.column("label").to_numpy()
+        self.left = table.column("side").to_numpy() == 0
+        self.inner = table.column("inner")[0].as_py()
+        self.sketch = np.stack([s.values.to_numpy() for s in table.column("sketch")]).view(np.uint64)
+        self.bands = np.stack([s.values.to_numpy() for s in table.column("bands")])
+        self.samples, self.n = table.column("samples").to_numpy().astype(float), table.column("n_shingles").to_numpy()
+        self.percent, self.at = percent, int(np.flatnonzero(self.bands[0] == self.band)[0])
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members of other components that member i may be linked with, by size and sketch, and meets in no earlier band."""
+        other = (~self.left | (self.ids > self.ids[i])) if self.inner else ~self.left
+        j = np.flatnonzero(other & (self.label != self.label[i]) & (100 * np.minimum(self.n, self.n[i]) >= self.percent * np.maximum(self.n, self.n[i])))
+        if len(j):
+            apart = np.bitwise_count(self.sketch[j] ^ self.sketch[i]).sum(1)
+            j = j[apart <= _most(self.samples[j], self.samples[i], self.percent, np.sqrt, np.maximum, np.minimum, np.power)]
+            j = j[~(self.bands[j, : self.at] == self.bands[i, : self.at]).any(1)]
+        return j
+
+
 def _candidates(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a block, in different components, that the sketches let pass: a minor member and any other."""
-    band = table.column("band").to_pylist()[0]
-    ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-    minor, block = table.column("minor").to_numpy(zero_copy_only=False), table.column("block").to_numpy()[0]
-    sketch = np.stack([s.values.to_numpy() for s in table.column("sketch")]).view(np.uint64)
-    bands = np.stack([s.values.to_numpy() for s in table.column("bands")])
-    samples, n = table.column("samples").to_numpy().astype(float), table.column("n_shingles").to_numpy()
-    at = int(np.flatnonzero(bands[0] == band)[0])
+    """Pairs (a, b) of a tile that the sketches let pass; of a member with more than FEW of them one row (a, a)."""
+    tile = Tile(table, percent)
     out = []
-    for i in np.flatnonzero(minor):
-        # minor members are in every block, so pairs of two of them are looked at in the first one only
-        j = np.flatnonzero((label != label[i]) & (~minor | ((ids > ids[i]) & (block == 0))) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
-        if not len(j):
-            continue
-        apart = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1)
-        j = j[apart <= _most(samples[j], samples[i], percent, np.sqrt, np.maximum, np.minimum, np.power)]
-        j = j[~(bands[j, :at] == bands[i, :at]).any(1)]  # an earlier band has this pair
-        out.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+    for i in np.flatnonzero(tile.left):
+        j = tile.partners(i)
+        if len(j) > FEW:
+            j = np.array([i])
+        out.append(np.stack([np.minimum(tile.ids[i], tile.ids[j]), np.maximum(tile.ids[i], tile.ids[j])], 1))
     pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    tags = [table.column(c).take(pa.array(np.zeros(len(pairs), np.int64))) for c in TILE]
+    return pa.table([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *tags], names=["a", "b", *TILE])
+
+
+def _settled(table: pa.Table, percent: int) -> pa.Table:
+    """Links of a tile's members with many partners, confirmed here on full sets: one for each component that a member is linked with."""
+    tile = Tile(table, percent)
+    sets = [s.values.to_numpy() for s in table.column("set")]
+    out = []
+    for i in np.flatnonzero(table.column("many").to_numpy(zero_copy_only=False)):
+        j = tile.partners(i)
+        for label in np.unique(tile.label[j]):
+            of = j[tile.label[j] == label]
+            # blocks of partners, the most alike first, so a link is mostly found in the first block
+            of = of[np.argsort(np.bitwise_count(tile.sketch[of] ^ tile.sketch[i]).sum(1), kind="stable")]
+            for s in range(0, len(of), FEW):
+                some = of[s : s + FEW]
+                flat = np.concatenate([sets[k] for k in some])
+                at = np.searchsorted(sets[i], flat)
+                same = sets[i][np.minimum(at, len(sets[i]) - 1)] == flat
+                size = np.array([len(sets[k]) for k in some])
+                common = np.add.reduceat(same, np.cumsum(size) - size, dtype=np.int64)
+                hit = np.flatnonzero(100 * common >= percent * (size + len(sets[i]) - common))
+                if len(hit):
+                    out.append((tile.ids[i], tile.ids[some[hit[0]]]))
+                    break
+    cols = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(cols[:, 0]), pa.array(cols[:, 1])], names=["a", "b"])
+
+
+def _tiles(now: DataFrame) -> DataFrame:
+    """Members (band, id, label) of bands with several components, once for each tile: left, right, side, inner.
+
+    Members outside of the band's largest component are minor. They are cut into m chunks, the others into b
+    blocks: tile (i, r) has chunk i on the left and, on the right, block r if r < b, else chunk r - b. Chunks meet
+    themselves and each later one; with one chunk that happens in tile (0, 0).
+    """
+    count = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = count.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    size = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = written(per.select("band", F.col("top.label").alias("major"), size(F.col("top.n")).alias("b"), size(F.col("all") - F.col("top.n")).alias("m")), "open-bands")
+    one = now.join(per, "band").withColumn("minor", F.col("label") != F.col("major")).withColumn("_c", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("m")).otherwise(F.col("b"))).cast("int"))
+    c, b, m = F.col("_c"), F.col("b"), F.col("m")
+
+    def tile(left, right, side, inner):
+        return F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), F.lit(side).alias("side"), inner.alias("inner"))
+
+    no, alone = F.lit(False), m == 1
+    with_blocks = F.transform(F.sequence(F.lit(0), b - 1), lambda r: tile(c, r, 0, alone & (r == 0)))
+    among = F.when(alone, F.array().cast("array<struct<left:int,right:int,side:int,inner:boolean>>")).otherwise(
+        F.concat(
+            F.array(tile(c, b + c, 0, F.lit(True))),
+            F.transform(F.filter(F.sequence(F.lit(0), m - 1), lambda k: k > c), lambda k: tile(c, b + k, 0, no)),
+            F.transform(F.filter(F.sequence(F.lit(0), m - 1), lambda k: k < c), lambda k: tile(k, b + c, 1, no)),
+        )
+    )
+    # a block's tiles beside (0, 0) hold no inner pairs; in (0, 0) the flag is the tile's, so it stands on both sides
+    as_block = F.transform(F.sequence(F.lit(0), m - 1), lambda k: tile(k, c, 1, alone & (c == 0)))
+    return one.select("band", "id", "label", F.explode(F.when(F.col("minor"), F.concat(with_blocks, among)).otherwise(as_block)).alias("t")).select("band", "id", "label", "t.*")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame, old: DataFrame) -> DataFrame:
@@ -237,15 +313,16 @@ def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "
         if links.isEmpty():
             break
         labels = _relabelled(labels, links, labels)
-    now = members.join(labels, "id")
-    count = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = written(count.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("band", F.col("m.n").alias("n"), F.col("m.label").alias("major")), "open-bands")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int")
-    spread = now.join(largest, "band").withColumn("minor", F.col("label") != F.col("major"))
-    block = F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), blocks).cast("int")))
-    spread = spread.join(reps, "id").select("band", "id", "label", "minor", "n_shingles", "bands", "sketch", "samples", F.explode(block).alias("block"))
-    pairs = spread.groupBy("band", "block").applyInArrow(lambda t: _candidates(t, percent), "a long, b long")
-    links = written(confirmed(pairs.distinct(), sets, percent), "links")
+    full = reps.select("id", "n_shingles", "bands", "sketch", "samples")
+    tiles = written(_tiles(members.join(labels, "id")), "tiles")
+    pairs = tiles.join(full, "id").groupBy(*TILE).applyInArrow(lambda t: _candidates(t, percent), f"a long, b long, {TILE_SCHEMA}")
+    pairs = written(pairs, "pairs")
+    links = confirmed(pairs.where("a <> b").select("a", "b").distinct(), sets, percent)
+    # members with many partners: their tiles once more, with full sets
+    many = pairs.where("a = b").select(*TILE, F.col("a").alias("id"), F.lit(True).alias("many"))
+    again = tiles.join(many.select(*TILE).distinct(), list(TILE)).join(many, [*TILE, "id"], "left").withColumn("many", F.coalesce("many", F.lit(False)))
+    again = again.join(full, "id").join(sets, "id").groupBy(*TILE).applyInArrow(lambda t: _settled(t, percent), "a long, b long")
+    links = written(links.unionByName(again), "links")
     if not links.isEmpty():
         labels = _relabelled(labels, links, labels)
     to = first.join(labels, "id", "left").select(*same, F.coalesce("label", "id").alias("_to"))
