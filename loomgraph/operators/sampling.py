@@ -27,7 +27,7 @@ def cells(counts: DataFrame) -> DataFrame:
     band = F.posexplode(F.array(*(F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.col(f"`{name}`").cast("double").alias("n")) for name, low, high in BANDS)))
     rows = counts.select(F.trim(F.col("SIC").cast("string")).alias("sic"), band.alias("band", "_c")).select("sic", "band", "_c.low", "_c.high", F.col("_c.n").cast("long").alias("n"))
     order = Window.orderBy(F.length("sic"), "sic", "band")  # bounded: sectors times bands
-    return rows.where(F.col("n") > 0).withColumn("cell", F.row_number().over(order)).select("cell", "sic", "band", "low", "high", "n")
+    return rows.where(F.col("n") > 0).withColumn("cell", F.row_number().over(order).cast("long")).select("cell", "sic", "band", "low", "high", "n")
 
 
 def allocation(cell_table: DataFrame, target: int) -> DataFrame:
