@@ -73,4 +73,39 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
     "op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": r"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+                   union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+        select conv_id, count(*) as n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+               sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(14 + length(regexp_replace(role, '[\\#<:]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g')))::bigint as formatted_chars
+        from t group by conv_id""",
+    "op2_word_dedup": f"""
+        with d as (select doc_id, {_WORDS.format("text")} as ws from documents),
+        w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from d),
+        k as (select *, string_agg(word, ' ') over f as k, count(*) over f = 50 as whole from w
+              window f as (partition by doc_id order by pos rows between current row and 49 following)),
+        m as (select *, whole and min(case when whole then doc_id end) over (partition by case when whole then k end) < doc_id as dup from k),
+        r as (select doc_id, word, pos, max(dup::int) over (partition by doc_id order by pos rows between 49 preceding and current row) = 1 as gone from m),
+        g as (select doc_id, count(*) as n_words, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by pos) filter (not gone) as kept from r group by 1)
+        select doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+        from documents left join g using (doc_id)""",
+    "op8_minhash": f"""
+        with recursive d as (select doc_id, {_WORDS.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} as ws from documents),
+        w as (select doc_id, len(ws) as n, unnest(ws) as word, generate_subscripts(ws, 1) as pos from d),
+        p as (select doc_id, n, pos, word, lead(word) over (partition by doc_id order by pos) as next from w),
+        s as (select distinct doc_id, case when n = 1 then word else word || ' ' || next end as sh from p where n = 1 or next is not null),
+        z as (select doc_id, count(*) as n from s group by 1),
+        i as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from i join z a on a.doc_id = x join z b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+        e as (select x, y from l union all select y, x from l),
+        r(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from r join e on r.y = e.x),
+        c as (select x as doc_id, min(y) as component_id from r group by 1)
+        select doc_id, coalesce(z.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from documents join c using (doc_id) left join z using (doc_id)""",
+}
