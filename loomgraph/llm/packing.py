@@ -36,7 +36,7 @@ CAPACITY = 4096
 #: Id that ends every document.
 END_ID = 2
 #: Remembered words per Python worker.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 #: Salts per length when pieces are ranked, so that a frequent length is ranked by many tasks.
 SALTS = 64
 
