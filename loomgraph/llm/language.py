@@ -159,8 +159,11 @@ def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     """(language, places, values) of the training sample: for each language the rows with the smallest hashed ids."""
     own = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string")), key)
     usable = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    # ids are ranked alone; there are PER_LANGUAGE of them for each language, few enough for every task
-    ids = usable.select(key, lang).withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_language).select(key).distinct()
+    # a hash lets through about three times as many ids as are wanted, so few are ranked however many rows there are
+    rate = usable.groupBy(lang).agg(F.least(F.lit(1.0), 3.0 * per_language / F.count(F.lit(1)) + 1e-9).alias("_rate"))
+    some = usable.select(key, lang).join(F.broadcast(rate), lang).where(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(1)), 11).cast("double") / float(1 << 53) <= F.col("_rate"))
+    # there are PER_LANGUAGE ids for each language, few enough for every task
+    ids = some.select(key, lang).withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_language).select(key).distinct()
     chosen = usable.join(F.broadcast(ids), key, "left_semi").select(lang, text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -158,8 +158,11 @@ def learn(cells: list[tuple[tuple[int, ...], bool, bool, int]], cuts: dict[str,
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
     """The decision list of the labelled sample. Sent to the driver: cut points, and cells with counts (at most `sample`)."""
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    # a hash lets through about three times the sample, so few rows are sorted however many labels there are
+    rate = min(1.0, 3.0 * sample / max(1, usable.count()))
     ids = (
-        labels.where(F.col(key).isNotNull() & F.col(label).isNotNull())
+        usable.where(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(1)), 11).cast("double") / float(1 << 53) <= rate)
         .groupBy(key)
         .agg((F.min(label) == 0).alias("_bad"))
         .withColumn("_h", F.xxhash64(key))
