@@ -29,6 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, once nothing reads them any more."""
+    for old in tables:
+        spark = old.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            if "/loomgraph/" in folder:
+                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, name: str, discard: list[DataFrame] | tuple = ()) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing.
 
@@ -39,11 +49,7 @@ def written(df: DataFrame, name: str, discard: list[DataFrame] | tuple = ()) ->
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     del df
-    for old in discard:
-        for file in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-            if "/loomgraph/" in file:
-                at = spark._jvm.org.apache.hadoop.fs.Path(file)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    dropped(*discard)
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)

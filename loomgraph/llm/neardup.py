@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import written
+from loomgraph.llm.common import dropped, written
 
 BANDS, ROWS = 32, 4
 #: One-permutation samples, and bits of the parity bitmap.
@@ -177,6 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = new.where(F.col("label") != F.col("_was")).limit(1).count()
         labels = new.drop("_was")
         if not moved:
+            dropped(both)
             return labels
 
 
@@ -284,7 +285,7 @@ def _relabelled(labels: DataFrame, links: DataFrame, old: DataFrame) -> DataFram
         return labels
     to = components(edges)
     new = labels.join(to, labels["label"] == to["node"], "left").select("id", F.coalesce(to["label"], labels["label"]).alias("label"))
-    return written(new, "labels", discard=[old])
+    return written(new, "labels", discard=[old, to, edges])
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -326,6 +327,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "
     if not links.isEmpty():
         labels = _relabelled(labels, links, labels)
     to = first.join(labels, "id", "left").select(*same, F.coalesce("label", "id").alias("_to"))
+    to = written(to, "component-of-set", discard=[labels, first, reps, members, sets, tiles, pairs, links])
     out = all_rows.select(key, *same).join(to, same, "left")
     component = F.when((F.col("n_shingles") > 0) & F.col(key).isNotNull(), F.col("_to")).otherwise(F.col(key))
     return out.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True)))

@@ -140,8 +140,9 @@ def shared_occurrences(docs: DataFrame, units: Units, key: str, text: str, acros
     """Occurrences whose anchor occurs at least twice; if across, in at least two documents. A written table."""
     found = written(anchor_rows(docs, units, key, text), "anchors")
     several = F.min(key) < F.max(key) if across else F.count(F.lit(1)) > 1
-    shared = found.groupBy("anchor").agg(several.alias("_several")).where("_several").select("anchor")
-    return written(found.join(shared, "anchor"), "shared-anchors", discard=[found])
+    # written, so that the join has plain exchanges on both sides and Spark can split a frequent anchor's rows
+    shared = written(found.groupBy("anchor").agg(several.alias("_several")).where("_several").select("anchor"), "anchor-names")
+    return written(found.join(shared, "anchor"), "shared-anchors", discard=[found, shared])
 
 
 def contexts(shared: DataFrame, key: str) -> DataFrame:

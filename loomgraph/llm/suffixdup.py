@@ -146,7 +146,7 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, key: st
     hot = one.where("n = 1").join(several, ["h1", "h2"]).select(key, "start", (F.col("start") + width).alias("end"))
     copied = each.where("n > 1").select("anchor", "context")
     copies = shared.join(copied, ["anchor", "context"]).select(key, "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
-    return copies.unionByName(cold).unionByName(hot)
+    return passages.written(copies.unionByName(cold).unionByName(hot), "duplicate-spans", discard=[shared, each, spans])
 
 
 def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:

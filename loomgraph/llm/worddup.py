@@ -113,7 +113,7 @@ def duplicate_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, key: st
     rest = shared.join(found, ["anchor", "context", key]).select(key, (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
     least = each.where("n > 1").select("anchor", "context", F.col(f"rep.{key}").alias("_first"))
     copies = shared.join(least, ["anchor", "context"]).where(F.col(key) > F.col("_first")).select(key, "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
-    return copies.unionByName(rest)
+    return passages.written(copies.unionByName(rest), "duplicate-spans", discard=[shared, each, spans])
 
 
 def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, list[bytes]]:
