@@ -21,6 +21,8 @@ from loomgraph.llm.common import held_out, table, written
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shingle size and similarity (per cent) of near duplicates.
 SHINGLE, PERCENT = 5, 80
+#: Words that packing remembers: workers keep them while other stages need the memory.
+REMEMBERED = 500_000
 #: Language predictions that are less sure than this are rejected.
 LEAST_SCORE = 0.5
 
@@ -49,7 +51,7 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -2,7 +2,8 @@
 
 Lengths are placed longest first. A length with count c goes to the packing pattern that has most
 room left; of a pattern that stands for m packs, min(c, m) packs get it and become a new pattern,
-the other packs keep the old one; where no pattern has room, new packs are opened. Only counts are
+the other packs keep the old one; where no pattern has room, as many new packs are opened as the
+pieces need by themselves. Only counts are
 touched, so the driver's work depends on the number of different lengths (the capacity bounds it),
 never on the number of documents. Patterns then go back to documents by rank: the r-th piece of a
 length takes the r-th place that the patterns hold for this length.
@@ -35,8 +36,8 @@ from loomgraph.llm.memory import Memory, groups
 CAPACITY = 4096
 #: Id that ends every document.
 END_ID = 2
-#: Remembered words per Python worker.
-REMEMBERED = 500_000
+#: Remembered words per Python worker; results do not depend on it. Fewer take less memory and more time.
+REMEMBERED = 1_200_000
 #: Salts per length when pieces are ranked, so that a frequent length is ranked by many tasks.
 SALTS = 64
 
@@ -53,7 +54,7 @@ class WordTokenizer:
     #: Fixed value: the pattern of the tokenizer file.
     SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -63,7 +64,7 @@ class WordTokenizer:
         visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in visible]
         self.stands_for = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.known, self.pieces, self.others = Memory(REMEMBERED), Memory(REMEMBERED // 4), Memory(REMEMBERED // 8)
+        self.known, self.pieces, self.others = Memory(remembered), Memory(remembered // 4), Memory(remembered // 8)
 
     def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of lower-case Latin chunks. Chunks of letters, with one mark behind or without, need no pattern."""
@@ -101,41 +102,47 @@ class WordTokenizer:
                 yield b"".join(map((ids if ok else others).__getitem__, x))
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
+@lru_cache(maxsize=1)
+def tokenizer(path: str, remembered: int = REMEMBERED) -> WordTokenizer:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordTokenizer(path)
+    return WordTokenizer(path, remembered)
 
 
-def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenised documents cut at multiples of the capacity: key, start, length, ids_crc32, doc_tokens, and ids if asked for."""
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # nothing here makes cycles, and the remembered words are costly to walk
-        t = tokenizer(path)
-        for b in batches:
-            row, start, length, crc, total, ids = [], [], [], [], [], []
-            for i, x in enumerate(t.encode_all(b.column(1).to_pylist())):
-                data = x + end
-                n = len(data) // 4
-                for s in range(0, n, capacity):
-                    part = data[4 * s : 4 * (s + capacity)]
-                    row.append(i)
-                    start.append(s)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    total.append(n)
-                    if with_ids:
-                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-            cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = [key, "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                cols.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        try:
+            t = tokenizer(path, remembered)
+            for b in batches:
+                yield cut(t, b)
+        finally:
+            gc.enable()
+
+    def cut(t: WordTokenizer, b: pa.RecordBatch) -> pa.RecordBatch:
+        row, start, length, crc, total, ids = [], [], [], [], [], []
+        for i, x in enumerate(t.encode_all(b.column(1).to_pylist())):
+            data = x + end
+            n = len(data) // 4
+            for s in range(0, n, capacity):
+                part = data[4 * s : 4 * (s + capacity)]
+                row.append(i)
+                start.append(s)
+                length.append(len(part) // 4)
+                crc.append(zlib.crc32(part))
+                total.append(n)
+                if with_ids:
+                    ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+        cols = [b.column(0).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+        names = [key, "start", "length", "ids_crc32", "doc_tokens"]
+        if with_ids:
+            cols.append(pa.array(ids, pa.list_(pa.int32())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
@@ -150,12 +157,14 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
         if length > capacity or length < 1:
             raise ValueError(f"length {length} is not in 1..{capacity}")
         while left:
-            space = max((s for s in spaces if s >= length), default=None)
-            if space is None:
-                # new packs, each filled with as many pieces of this length as there are packs to fill evenly
-                room[capacity - length][((length, 1),)] += left
+            space = max(spaces, default=0)
+            if space < length:
+                # no more new packs than these pieces need by themselves; each gets one piece now, the others follow in turn
+                fresh = -(-left // (capacity // length))
+                room[capacity - length][((length, 1),)] += fresh
                 spaces.add(capacity - length)
-                break
+                left -= fresh
+                continue
             pattern, packs = room[space].popitem()
             take = min(left, packs)
             if take < packs:
@@ -219,9 +228,9 @@ def pack(parts: DataFrame, order: list[str], length: str = "length", capacity: i
     )
 
 
-def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of all documents with their places. Tokenising is done once, into a written table."""
-    parts = written(pieces(docs, path, capacity=capacity, with_ids=with_ids), "pieces")
+    parts = written(pieces(docs, path, capacity=capacity, with_ids=with_ids, remembered=remembered), "pieces")
     return pack(parts, ["doc_id", "start", "ids_crc32"], capacity=capacity)
 
 
