@@ -269,7 +269,7 @@ def fitted_model(spark, sf):  # OP-02 OP-03 OP-04 OP-05 OP-10
 
 
 def _network(spark, sf):
-    firms = fixtures.firms(spark, sf).withColumn("delta", F.lit(0.9))
+    firms = fixtures.firms(spark, sf).withColumn("delta", F.lit(weights.Caps().firm))
     loops = firms.select(F.col("id").alias("buyer"), F.col("id").alias("seller"))
     return graph.stored(fixtures.edges(spark, sf).unionByName(loops)), firms
 
@@ -281,13 +281,12 @@ def weight_feasibility(spark, sf):  # OP-09
 
 def edge_weights(spark, sf):  # OP-07 OP-08 SNK-07
     edges, firms = _network(spark, sf)
-    return weights.solve_capped(edges, firms, weights.Caps(sector=0.5), cycles=15, searches=1)
+    return weights.solve_capped(edges, firms)
 
 
 def edge_weight_residuals(spark, sf):  # AG-18 AG-19 FLT-10 SNK-08
     edges, firms = _network(spark, sf)
-    caps = weights.Caps(sector=0.5)
-    return weights.residuals(graph.stored(weights.solve(edges, firms, caps, cycles=15)), firms, caps)
+    return weights.residuals(weights.solve_capped(edges, firms), firms)
 
 
 QUERIES = {

@@ -5,9 +5,14 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from loomgraph.lineage import stored
+from loomgraph.operators import weights
 from loomgraph.plans import catalogue
+from loomgraph.sources import fixtures
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem".split()
@@ -46,3 +51,15 @@ def test_entry(spark):
 def test_each_scale_keeps_one_kernel_plan(spark):
     plan = catalogue.block_kernel(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "ReadSchema" not in plan or "p_name" not in plan  # columns are pruned
+
+
+def test_registered_weights_keep_the_default_bands(spark):
+    caps = weights.Caps()
+    firms = fixtures.firms(spark, SF).withColumn("delta", F.lit(caps.firm))
+    w = stored(catalogue.edge_weights(spark, SF))
+    r = weights.residuals(w, firms, caps).first()
+    assert max(r["row_miss"], r["firm_miss"], r["sector_miss"]) <= 1e-4
+    # the bands bind: equal shares of all suppliers would miss them
+    equal = w.withColumn("weight", 1 / F.count(F.lit(1)).over(Window.partitionBy("buyer")))
+    assert weights.residuals(equal, firms, caps).first()["firm_miss"] > 0.1
+    assert catalogue.edge_weight_residuals(spark, SF).first().asDict() == pytest.approx(r.asDict(), abs=1e-9)

@@ -172,6 +172,19 @@ def test_weights(spark):
         weights.Caps(firm=-1)
 
 
+def test_squared_self_weights_are_capped(spark):
+    # a ring whose firms also buy from themselves: without the cap all weights are 0.5
+    e = spark.createDataFrame([(i, j) for i in range(4) for j in (i, (i + 1) % 4)], "buyer long, seller long")
+    firms = spark.createDataFrame([(i, 1.0, i % 2, 0.1) for i in range(4)], "id long, size double, sector long, delta double")
+    caps = weights.Caps(eta1=1.0, eta2=0.1)
+    assert weights.residuals(weights.solve(e, firms, caps), firms, caps).first()["self_square"] == pytest.approx(1.0, abs=1e-3)
+    r = weights.residuals(weights.solve_capped(e, firms, caps), firms, caps).first()
+    assert 0.38 < r["self_square"] <= 0.4 + 1e-9
+    assert max(r["row_miss"], r["firm_miss"], r["sector_miss"]) <= 1e-3
+    with pytest.raises(ValueError):
+        weights.solve_capped(e, firms, caps, searches=1)
+
+
 def test_selection(spark):
     cand = spark.createDataFrame([(0, 1, 2, 1, 1.0), (0, 1, 3, 2, 5.0), (1, 4, 2, 1, 1.0), (1, 4, 3, 2, 0.1)], "pair long, src long, dst long, l long, delta double")
     quotas = spark.createDataFrame([(0, 1), (1, 1)], "pair long, n_keep long")
