@@ -5,6 +5,9 @@ A query visits its own bucket and then perturbed ones (a hash value one lower or
 their estimated success, which is the sum of squared distances to the crossed borders. Candidates of all
 tables are merged, and ranked by the exact cosine of the original vectors in double precision.
 
+A query whose buckets leave it fewer than k neighbours, or whose dimension has at most FEW entries, is compared
+with all entries of its dimension in blocks instead, so it gets all others where there are fewer than k.
+
 Equal vectors are one entry with its smallest ids, so a vector that many rows repeat is hashed and compared once.
 Buckets are spread over groups of about GROUP rows, large ones over several shards. Parameters are fixed and
 do not depend on the data; recall on the test tables is measured in tests/llm.
@@ -28,6 +31,8 @@ from loomgraph.llm.common import written
 
 TABLES, HASHES, WIDTH, PROBES = 16, 6, 1.5, 40
 GROUP = 16_384
+#: Up to so many entries of a dimension, hashing spares nothing.
+FEW = 64
 SEED = 31
 
 
@@ -167,6 +172,29 @@ def _ranked(entries: pa.Table, probes: pa.Table, k: int) -> pa.Table:
     return pa.table([probes.column("query").take(pa.array(query, pa.int64())), entries.column("rep").take(at), pa.array(np.concatenate(score) if score else np.empty(0))], names=names)
 
 
+def _top(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest entries of each query among what the groups found."""
+    top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    return found.groupBy("query", "rep").agg(F.max("score").alias("score")).withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k).drop("_n")
+
+
+def scanned(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all entries of its dimension for each query entry, exactly: blocks of entries meet blocks of queries."""
+    kind = dict(entries.dtypes)["rep"]
+    queries = queries.select("rep", "v", F.size("v").alias("dim"))
+    entries = entries.select("rep", "v", F.size("v").alias("dim")).join(queries.select("dim").distinct(), "dim", "left_semi")
+    most = lambda df: -(-(df.groupBy("dim").count().agg(F.max("count")).first()[0] or 1) // GROUP)
+    block = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks, parts = most(entries), most(queries)
+    # one bucket, which all queries visit
+    index = entries.withColumns({"bucket": F.lit(0).cast("long"), "block": block(blocks)}).withColumn("part", every(parts))
+    probes = queries.select("dim", F.col("rep").alias("query"), F.col("v").alias("q"), F.array(F.lit(0).cast("long")).alias("buckets"), block(parts).alias("part")).withColumn("block", every(blocks))
+    by = ["dim", "block", "part"]
+    found = index.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(lambda a, b: _ranked(a, b, k), f"query {kind}, rep {kind}, score double")
+    return _top(found, k)
+
+
 def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each query row its k nearest other rows: query_id, rank, key, score."""
     kind = dict(rows.dtypes)[key]
@@ -186,10 +214,18 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     probes = probed(to, groups).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     by = ["dim", "table", "group", "shard"]
     found = index.groupBy(*by).cogroup(probes.groupBy(*by)).applyInArrow(lambda a, b: _ranked(a, b, k + 1), f"query {kind}, rep {kind}, score double")
-    merged = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    top = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    merged = merged.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= k + 1)
-    ids = merged.join(entries.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias(key))
+    merged = written(_top(found, k + 1), "nearest")
+
+    def paired(merged: DataFrame) -> DataFrame:
+        ids = merged.join(entries.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias(key))
+        return asked.join(ids, asked["rep"] == ids["query"]).where(F.col(key) != F.col("query_id"))
+
+    enough = paired(merged).groupBy("query_id").count().where(F.col("count") >= k)
+    few = entries.groupBy(F.size("v").alias("dim")).count().where(F.col("count") <= FEW)
+    short = asked.join(enough, "query_id", "left_anti").select("rep").union(to.withColumn("dim", F.size("v")).join(few, "dim", "left_semi").select("rep"))
+    short = written(to.join(short, "rep", "left_semi"), "short")
+    if not short.isEmpty():
+        exact = scanned(entries, short, k + 1)
+        merged = merged.join(short.select(F.col("rep").alias("query")), "query", "left_anti").unionByName(exact)
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    pairs = asked.join(ids, asked["rep"] == ids["query"]).where(F.col(key) != F.col("query_id"))
-    return pairs.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")
+    return paired(merged).withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), key, "score")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import re
 from collections import Counter
@@ -140,6 +141,56 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("n,few", [(2, ann.FEW), (6, ann.FEW), (6, 0), (90, ann.FEW)])
+def test_nearest_of_few_or_scattered_vectors(spark, n, few, monkeypatch):
+    monkeypatch.setattr(ann, "FEW", few)
+    rng = np.random.default_rng(n)
+    # a rare dimension beside a large one; without FEW only the queries that buckets leave short are scanned
+    rows = [(i, rng.normal(size=32).tolist()) for i in range(n)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") < n).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    x = np.array([v for i, v in rows[:n]])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for q in range(n):
+        best = sorted((i for i in range(n) if i != q), key=lambda i: (-(x[i] @ x[q]), i))[:5]
+        assert sorted(got[q]) == list(range(1, len(best) + 1))
+        assert all(abs(x[i] @ x[q] - s) < 1e-12 for i, s in got[q].values())
+        if n <= 6:
+            assert [got[q][k + 1][0] for k in range(len(best))] == best
+
+
+@pytest.mark.parametrize("blocks", [16_384, 30])
+def test_scan_is_exact(spark, blocks, monkeypatch):
+    monkeypatch.setattr(ann, "GROUP", blocks)
+    x = np.random.default_rng(3).normal(size=(100, 16))
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(200, [1.0, 2.0])], "rep long, v array<double>")
+    got = {}
+    for r in ann.scanned(entries, entries.where("rep < 70"), 6).collect():
+        got.setdefault(r["query"], []).append((-r["score"], r["rep"]))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    assert set(got) == set(range(70))
+    assert all([i for _, i in sorted(got[q])] == np.argsort(-(x @ x[q]))[:6].tolist() for q in got)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_recall_on_the_embeddings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in df.select("vec_id", "embedding").collect()]
+    ids, x = [i for i, _ in rows], np.stack([v / np.linalg.norm(v) for _, v in rows])
+    at = {i: n for n, i in enumerate(ids)}
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in (i for i in ids if i % 50 == 0):
+        best = sorted((i for i in ids if i != q), key=lambda i: (-round(x[at[i]] @ x[at[q]], 12), i))[:5]
+        assert len(got[q]) == 5
+        hits += len(got[q] & set(best))
+    assert hits / (5 * len(got)) >= 0.93, hits / (5 * len(got))
+
+
 def test_probes_come_in_order():
     low = np.array([0.1, 0.7, 1.2])
     sets = ann.perturbations(low, 20)
