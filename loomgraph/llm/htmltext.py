@@ -5,7 +5,8 @@ length and punctuation are summed and divided by its number of nodes; both serie
 the page's node order, fused by their product, and paths whose fused ratio passes the threshold are
 content. The smallest element that holds nearly all of that content is the article: every block in
 it is kept, short ones too, except what stands in elements that are never article text (menus, forms,
-scripts, adverts, comments ...).
+scripts, adverts, comments ...). Unless that is an article or main element, content outside of it is
+kept as well, by whole elements and with the headings beside them.
 
 Defined results: null and empty pages give an empty text; broken and unclosed markup is read as browsers
 do in the common cases (an open paragraph ends where a block begins); pages are read whole; repeated rows
@@ -35,6 +36,7 @@ SHARE = 0.9
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
@@ -201,6 +203,45 @@ def content_paths(nodes: list[tuple[str, str]]) -> dict[str, float]:
     return {p: v for p, v in fused.items() if v >= THRESHOLD * best}
 
 
+def _beside(nodes: list[tuple], content: dict[str, float], article: int) -> set[int]:
+    """Blocks outside the article element that belong to it: elements with content, and headings, up to the common ancestor of all content.
+
+    An article or main element holds all of its text, so then there are none.
+    """
+    ids, path = next((ids[: ids.index(article) + 1], path) for _, ids, path, _ in nodes if article in ids)
+    if path.split("/")[len(ids) - 1] in ("article", "main"):
+        return set()
+    # smoothing lifts paths that only stand next to the article; outside of it a path's own ratio, or a node of it inside, has to bear it out
+    length, marks, times, inside = defaultdict(int), defaultdict(int), defaultdict(int), set()
+    for _, other, path, text in nodes:
+        if path in content and text.strip():
+            length[path] += len(text.strip())
+            marks[path] += len(_PUNCTUATION.findall(text))
+            times[path] += 1
+            if article in other:
+                inside.add(path)
+    own = {p: length[p] / n * (1 + marks[p] / n) for p, n in times.items()}
+    kept = {p for p, v in own.items() if p in inside or v >= THRESHOLD * max(own.values())}
+    weight: dict[int, int] = defaultdict(int)
+    for _, other, path, text in nodes:
+        if path in kept:
+            for e in other:
+                weight[e] += len(text.strip())
+    found = set()
+    for block, other, path, text in nodes:
+        k = 0  # elements shared with the article
+        while k < min(len(ids), len(other)) and ids[k] == other[k]:
+            k += 1
+        if k == len(ids):
+            continue
+        child = other[k] if k < len(other) else 0
+        # where content lies beside the article's branch, a heading there is a part of it, too
+        heading = child and path.split("/")[k] in HEADINGS and k and weight[ids[k - 1]] > weight[ids[k]]
+        if path in kept and text.strip() or child and weight[child] or heading:
+            found.add(block)
+    return found
+
+
 def main_text(source: str | None) -> str:
     """Blocks of the article, one to a line, white space within them made single spaces."""
     if not source:
@@ -234,9 +275,10 @@ def main_text(source: str | None) -> str:
                     chain = chain[:-1]
                 article = chain[-1]
             break
+    beside = _beside(nodes, content, article) if article and weight[article] < total else ()
     blocks: dict[int, list[str]] = {}
     for block, ids, _, text in nodes:
-        if not article or article in ids:
+        if not article or article in ids or block in beside:
             blocks.setdefault(block, []).append(text)
     joined = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())
     return "\n".join(x for x in joined if x)

@@ -97,6 +97,21 @@ def test_pages(spark):
     assert htmltext.main_text("<p>" + "word, " * 200_000).count("word") == 200_000
 
 
+def test_pages_keep_content_beside_the_longest_section():
+    para = "<p>A long paragraph, with commas, marks, and words; it goes on, and on, for a while.</p>"
+    page = f"""<html><body><nav><a href="/">Home</a></nav><div id="page"><div id="text"><h1>Title</h1><section><h2>First</h2><p>A short start, with a comma.</p><p>Hm</p></section>
+    <section><h2>Second</h2>{para * 40}</section><section><p>A short end, with a comma, too.</p></section></div><div class="links"><ul><li>One</li></ul></div></div><footer>me</footer></body></html>"""
+    got = htmltext.main_text(page).split("\n")
+    assert got[:5] == ["Title", "First", "A short start, with a comma.", "Hm", "Second"]
+    assert len(got) == 46 and got[-1] == "A short end, with a comma, too."
+    # a short introduction need not stand in a section
+    page = f"<body><div><p>A short start, with a comma.</p><section>{para * 40}</section></div></body>"
+    assert htmltext.main_text(page).startswith("A short start, with a comma.\nA long")
+    # an article element still holds all of its text
+    page = f"<body><article>{para * 40}</article><div><p>Another text, which is short.</p></div></body>"
+    assert htmltext.main_text(page).count("\n") == 39
+
+
 def test_languages(make):
     rng = random.Random(2)
     stock = {"en": "the of and with that ing tion er".split(), "de": "der die und ein heit keit ung sch".split(), "fr": "le la que des eau eux ment oi".split(), "es": "el los que ción mente ado ía ñ".split()}
