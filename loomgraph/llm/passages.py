@@ -3,10 +3,17 @@
 A window of `width` units (words or bytes) is named by its smallest-hashed run of `run` units, its
 anchor; ties go to the leftmost. The choice depends on the window's content alone, so equal windows have
 equal anchors at equal offsets. Consecutive windows with one anchor form an occurrence, whose span
-is hashed as its context. Only anchors that occur twice can hold repeated windows; of those, equal
-contexts are counted without being looked at, and one representative of each context goes on to be
-compared with the others of its anchor, in blocks of bounded size. An anchor with more contexts than
-HOT is too much for a block: its windows are counted by their own 128-bit hashes, which spreads them.
+is hashed as its context. Only anchors that occur twice can hold repeated windows, so anchors are the index
+that says in which blocks a passage can find another: all occurrences of a context form one passage, with a mark
+if it was found again, and each passage is compared by the operator's own method with those of its
+block, a marked one also with its copy. What no block finds is not removed.
+
+Blocks have a bounded size. The passages of an anchor are in one block, unless the anchor has more than SPLIT
+of them. Then it is split by a deeper anchor, the whole window: its passages are spread over blocks by their contexts,
+where copies meet, and each of their windows that was found again becomes a passage of its own, with the
+window's 128-bit hash as anchor and context, and so meets its copy in a block.
+
+All windows of a passage hold its anchor, so those found again cover one stretch of it.
 """
 
 from __future__ import annotations
@@ -23,8 +30,10 @@ from loomgraph.llm.common import written
 
 #: Units handled at once; a longer document is cut into parts that overlap by a window.
 BATCH = 1 << 20
-#: Contexts per block of the comparison, and the most of one anchor that a block takes.
-BLOCK, HOT = 24_000, 4_000
+#: Passages per block of the comparison, and the most of one anchor that a block takes.
+BLOCK, SPLIT = 24_000, 4_000
+#: A passage: level 0 has the contexts of anchors, level 1 single windows of split anchors.
+PASSAGE = "level int, anchor long, context long, again boolean, start int, windows int, at int, span binary"
 
 _U = np.uint64
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -94,9 +103,12 @@ def occurrences(codes: np.ndarray, ends: np.ndarray, width: int, run: int) -> tu
 
 @dataclass(frozen=True)
 class Units:
-    """How texts are read: encode gives the codes of a text's units."""
+    """How texts are read: encode gives the codes of a text's units, cut stretches of it as bytes; codes and cut_bytes do so for such bytes."""
 
     encode: Callable[[str], np.ndarray]
+    cut: Callable[[str, list[tuple[int, int]]], list[bytes]]
+    codes: Callable[[bytes], np.ndarray]
+    cut_bytes: Callable[[bytes, int, int], bytes]
     width: int
     run: int
 
@@ -145,23 +157,21 @@ def shared_occurrences(docs: DataFrame, units: Units, key: str, text: str, acros
     return written(found.join(shared, "anchor"), "shared-anchors", discard=[found, shared])
 
 
-def contexts(shared: DataFrame, key: str) -> DataFrame:
-    """One row per anchor and context: n, rep (its first occurrence: key, start, windows, at) and the anchor's number of contexts."""
-    each = shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "start", "windows", "at")).alias("rep"))
-    return written(each, "contexts")
-
-
-def unlike(each: DataFrame) -> DataFrame:
-    """The contexts of anchors that have several, with `kinds`: how many the anchor has."""
-    kinds = each.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    return each.join(kinds, "anchor")
+def contexts(shared: DataFrame, key: str, across: bool) -> DataFrame:
+    """One row per anchor and context: rep (its first occurrence: key, start, windows, at), again (there is another; if across, in a document with a larger key), split (its anchor has too many contexts for a block)."""
+    again = F.min(key) < F.max(key) if across else F.count(F.lit(1)) > 1
+    each = written(shared.groupBy("anchor", "context").agg(again.alias("again"), F.min(F.struct(key, "start", "windows", "at")).alias("rep")), "contexts")
+    many = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT).select("anchor", F.lit(True).alias("split")), "split-anchors")
+    # written, so that the join has plain sides: few split anchors go to every task, rows of a frequent one can be split
+    return written(each.join(many, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False))), "contexts", discard=[each, many])
 
 
-def with_spans(docs: DataFrame, wanted: DataFrame, units: Units, cut: Callable[[str, list[tuple[int, int]]], list[bytes]], key: str, text: str) -> DataFrame:
-    """wanted (anchor, context, n, rep, kinds) with `span`: the units of each representative, as bytes."""
-    lists = wanted.select(F.col(f"rep.{key}").alias(key), F.struct("anchor", "context", "n", "kinds", "rep.start", "rep.windows", "rep.at").alias("_w")).groupBy(key).agg(F.collect_list("_w").alias("_wanted"))
+def with_spans(docs: DataFrame, each: DataFrame, units: Units, key: str, text: str) -> DataFrame:
+    """Passages of level 0, with key and split: the units of each context's first occurrence, as bytes."""
+    names = ["anchor", "context", "again", "split", "start", "windows", "at"]
+    lists = each.select(F.col(f"rep.{key}").alias(key), F.struct("anchor", "context", "again", "split", "rep.start", "rep.windows", "rep.at").alias("_w")).groupBy(key).agg(F.collect_list("_w").alias("_wanted"))
     joined = docs.select(key, text).join(lists.hint("shuffle_hash"), key)
-    width = units.width
+    width, cut = units.width, units.cut
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,39 +183,105 @@ def with_spans(docs: DataFrame, wanted: DataFrame, units: Units, cut: Callable[[
                 spans += cut(t.as_py(), [(s, s + k + width - 1) for s, k in zip(start, n, strict=True)])
                 row += [i] * len(start)
             flat = wants.flatten()
-            cols = [flat.field(x) for x in ("anchor", "context", "n", "kinds", "start", "windows", "at")]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), *cols, pa.array(spans, pa.binary())], names=[key, "anchor", "context", "n", "kinds", "start", "windows", "at", "span"])
+            level = pa.array(np.zeros(len(row), np.int32))
+            cols = {"level": level, **{x: flat.field(x) for x in names}, "span": pa.array(spans, pa.binary()), key: b.column(0).take(pa.array(row, pa.int64()))}
+            yield pa.RecordBatch.from_arrays([cols[x] for x in out], names=out)
 
     kind = dict(docs.dtypes)[key]
-    return joined.mapInArrow(go, f"`{key}` {kind}, anchor long, context long, n long, kinds long, start int, windows int, at int, span binary")
+    out = ["level", "anchor", "context", "again", "start", "windows", "at", "span", key, "split"]
+    return joined.mapInArrow(go, f"{PASSAGE}, `{key}` {kind}, split boolean")
 
 
-def in_blocks(spans: DataFrame, compare: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """compare() over blocks of whole anchors, a block at a time. Anchors here have at most HOT contexts, so blocks are bounded."""
-    n = max(1, -(-spans.count() // BLOCK))
-    return spans.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n)).alias("block")).applyInArrow(lambda t: compare(t), schema)
+def split_windows(spans: DataFrame, units: Units, key: str) -> DataFrame:
+    """(key, anchor, context, first, h1, h2) of each window of each passage of split anchors; first counts from the passage's beginning."""
+    codes, width = units.codes, units.width
 
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in range(0, b.num_rows, 1000):
+                some = b.slice(part, 1000)
+                rows, first, h1, h2 = [], [], [], []
+                for i, s in enumerate(some.column(3)):
+                    c = codes(s.as_py())
+                    h1.append(RollingHash(c).windows(width))
+                    h2.append(RollingHash(c, 1).windows(width))
+                    first.append(np.arange(len(h1[-1]), dtype=np.int32))
+                    rows.append(np.full(len(h1[-1]), i))
+                at = pa.array(np.concatenate(rows))
+                cols = [*(some.column(k).take(at) for k in range(3)), pa.array(np.concatenate(first)), *(pa.array(np.concatenate(h).view(np.int64)) for h in (h1, h2))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "anchor", "context", "first", "h1", "h2"])
+
+    kind = dict(spans.dtypes)[key]
+    return spans.where("split").select(key, "anchor", "context", "span").mapInArrow(go, f"`{key}` {kind}, anchor long, context long, first int, h1 long, h2 long")
 
-def window_hashes(spans: DataFrame, codes_of: Callable[[bytes], np.ndarray], width: int, key: str) -> DataFrame:
-    """Each window of each span with two 64-bit hashes: for anchors with very many contexts."""
+
+def window_passages(spans: DataFrame, windows: DataFrame, units: Units, key: str, across: bool) -> DataFrame:
+    """Passages of level 1: the windows that were found again, each once, with the first key that has it."""
+    again = F.min(key) < F.max(key) if across else F.count(F.lit(1)) > 1
+    least = windows.groupBy("h1", "h2").agg(again.alias("_again"), F.min(F.struct(key, "anchor", "context", "first")).alias("w")).where("_again")
+    wanted = written(least.select("h1", "h2", F.col(f"w.{key}").alias(key), "w.anchor", "w.context", "w.first"), "window-names")
+    joined = wanted.join(spans.where("split").select("anchor", "context", "span"), ["anchor", "context"])
+    width, cut = units.width, units.cut_bytes
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                codes = codes_of(b.column("span")[i].as_py())
-                h1, h2 = RollingHash(codes).windows(width), RollingHash(codes, 1).windows(width)
-                n = len(h1)
-                same = [b.column(x).slice(i, 1).take(pa.array(np.zeros(n, np.int64))) for x in (key, "anchor", "context", "n")]
-                start = b.column("start")[i].as_py() + np.arange(n, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=[key, "anchor", "context", "n", "start", "h1", "h2"])
+            n = b.num_rows
+            span = [cut(s.as_py(), f, f + width) for s, f in zip(b.column(4), b.column(3).to_pylist(), strict=True)]
+            yes, no = pa.array(np.ones(n, bool)), pa.array(np.zeros(n, bool))
+            level, zero = pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32))
+            yield pa.RecordBatch.from_arrays([level, b.column(0), b.column(1), yes, zero, level, zero, pa.array(span, pa.binary()), b.column(2), no], names=out)
 
     kind = dict(spans.dtypes)[key]
-    return spans.mapInArrow(go, f"`{key}` {kind}, anchor long, context long, n long, start int, h1 long, h2 long")
+    out = ["level", "anchor", "context", "again", "start", "windows", "at", "span", key, "split"]
+    return joined.select("h1", "h2", key, "first", "span").mapInArrow(go, f"{PASSAGE}, `{key}` {kind}, split boolean")
+
+
+def in_blocks(passages: DataFrame, compare: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """compare() over blocks of passages, a block at a time."""
+    n = max(1, -(-passages.count() // BLOCK))
+    name = F.xxhash64("level", "anchor", F.when(F.col("split"), F.col("context")))
+    return passages.where("again or not split").groupBy(F.pmod(name, F.lit(n)).alias("block")).applyInArrow(lambda t: compare(t), schema)
+
 
+def found_again(docs: DataFrame, units: Units, compare: Callable[[pa.Table], pa.Table], key: str, text: str, across: bool) -> DataFrame:
+    """Spans (key, start, end) of the stretches that compare() finds in blocks, at every place of their passages.
 
-def per_document(spans: DataFrame, key: str) -> DataFrame:
+    compare() gives (level, anchor, context, key, copy, first, last) for passages: copy tells whether the stretch is
+    the copies' (if across, of all documents but the first one) or the first occurrence's.
+    """
+    width, kind = units.width, dict(docs.dtypes)[key]
+    shared = shared_occurrences(docs, units, key, text, across)
+    each = contexts(shared, key, across)
+    spans = written(with_spans(docs, each, units, key, text), "spans", discard=[each])
+    old, every, windows = [shared, spans], spans, None
+    if not spans.where("split").isEmpty():
+        windows = written(split_windows(spans, units, key), "split-windows")
+        deeper = written(window_passages(spans, windows, units, key, across), "window-passages")
+        old += [windows, deeper]
+        every = spans.unionByName(deeper)
+    found = written(in_blocks(every, compare, f"level int, anchor long, context long, `{key}` {kind}, copy boolean, first int, last int"), "found")
+    old.append(found)
+    per = found.where("level = 0").drop("level")
+    if windows is not None:
+        # a window found again is so for every passage that has it but the first document's, or for all
+        one = found.where("level = 1").select(F.col("anchor").alias("h1"), F.col("context").alias("h2"), F.col(key).alias("_first"), "last")
+        hit = windows.join(one, ["h1", "h2"])
+        hit = hit.where(F.col(key) > F.col("_first")) if across else hit
+        deep = hit.groupBy("anchor", "context", key).agg(F.lit(False).alias("copy"), F.min("first").alias("first"), F.max(F.col("first") + F.col("last")).alias("last"))
+        both = per.unionByName(deep).groupBy("anchor", "context", key, "copy").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+        per = written(both, "found-in-passages")
+        old.append(per)
+    per = per.withColumnRenamed(key, "_first")
+    at = shared.join(per, ["anchor", "context"])
+    if across:
+        at = at.where(F.when(F.col("copy"), F.col(key) > F.col("_first")).otherwise(F.col(key) == F.col("_first")))
+    at = at.select(key, (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
+    return written(at, "duplicate-spans", discard=old)
+
+
+def per_document(spans: DataFrame, key: str, out: str = "_spans") -> DataFrame:
     """Spans (key, start, end) gathered per document. A document has at most one for each of its own positions."""
-    return spans.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    return spans.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(out))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -237,5 +313,3 @@ def with_removals(docs: DataFrame, spans: DataFrame, key: str, text: str, schema
     wanted = to_arrow_schema(StructType.fromDDL(schema))
     kind = dict(docs.dtypes)[key]
     return joined.mapInArrow(go, f"`{key}` {kind}, {schema}")
-
-

@@ -3,10 +3,11 @@
 Passages that may hold a repeated window (contexts of shared anchors, see passages.py) are laid out in
 columns, each anchor in the same one. Going from the last column to the first, every round puts one more
 symbol before each passage of the block: the symbols, in the order of what follows them, are the column's
-part of the transform; sorting them stably gives the order of the next column, and the common prefixes of
-neighbours follow from the least of those between two equal symbols. Each round reads the order, the prefixes
-and one column of symbols front to back and writes the next ones; these sequential files are held as arrays,
-since a block has a fixed size, and an executor's own disk is never used. Equal windows have their anchor at the
+segment of the transform; sorting the segment stably gives the order of the next column, and the common prefixes of
+neighbours follow from the least of those between two equal symbols. Each round reads the segment, the order and the
+prefixes front to back and writes the next ones; these sequential files are held as arrays,
+since a block has a fixed size, and an executor's own disk is never used. A passage that was found again stands in
+its block twice, so its repeat, too, shows in the transform and nowhere else. Equal windows have their anchor at the
 same offset, so comparing suffixes within a column loses nothing, and a round costs as much as there
 are passages. A window is repeated if its suffix shares `width` symbols with a neighbour's.
 
@@ -23,7 +24,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from loomgraph.llm import passages
 
@@ -42,7 +42,7 @@ def _bytes(text: str) -> bytes:
 
 
 def units(width: int, run: int) -> passages.Units:
-    return passages.Units(lambda t: _codes(_bytes(t)), width, run)
+    return passages.Units(lambda t: _codes(_bytes(t)), _cut, _codes, lambda s, a, b: s[a:b], width, run)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
@@ -51,24 +51,27 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 class ColumnTransform:
-    """The transform of texts laid out in columns, one symbol per text and round.
-
-    columns[c] holds the symbols of column c; text i fills columns begin[i] to end[i]. After step(), `order` has
-    the texts of the current column, sorted by their suffixes from there on, and `common` how many symbols
-    each shares with the one before. step() returns the column's part of the transform.
+    """The transform of a collection of texts laid out in columns, one symbol per text and round.
+
+    columns[c] holds the symbols of column c; text i fills columns begin[i] to end[i]. step() writes the transform's
+    segment of a column: the symbols before its suffixes, in their order. A segment says where each
+    suffix goes when its symbol is put before it (equal symbols keep their order), so the order of the next
+    column, and the common prefixes, follow from it. After step(), `order` has the texts of the current column, sorted by
+    their suffixes from there on, `common` how many symbols each shares with the one before, and `segments`
+    the whole transform so far.
     """
 
     def __init__(self, columns: np.ndarray, begin: np.ndarray, end: np.ndarray):
-        self.columns, self.begin, self.end = columns, begin, end
+        self.columns, self.begin = columns, begin
         self.column = len(columns)
         self.order, self.common = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.segments: list[np.ndarray] = []
         by_end = np.argsort(-end, kind="stable")
         cuts = np.searchsorted(-end[by_end], -np.arange(len(columns), 0, -1), side="left")
         self.entering = {int(c): by_end[a:b] for c, a, b in zip(range(len(columns) - 1, -1, -1), cuts, [*cuts[1:], len(by_end)], strict=True) if b > a}
 
-    def step(self) -> np.ndarray:
-        self.column -= 1
-        c = self.column
+    def _close(self, c: int) -> None:
+        """Takes out texts that begin right of column c, and lets in those that end there."""
         keep = np.flatnonzero(self.begin[self.order] <= c)
         if len(keep) < len(self.order):
             # what two neighbours share is the least over those that stood between them
@@ -82,34 +85,41 @@ class ColumnTransform:
         if new is not None:  # an empty suffix comes before all others
             self.order = np.concatenate([new, self.order])
             self.common = np.concatenate([np.zeros(len(new), np.int32), self.common])
-        symbols = self.columns[c][self.order]
-        n = len(symbols)
-        if n:
-            to = np.argsort(symbols, kind="stable")
+
+    def step(self) -> None:
+        self.column -= 1
+        self._close(self.column)
+        self.segments.append(self.columns[self.column][self.order])
+        segment = self.segments[-1]
+        if len(segment):
+            to = np.argsort(segment, kind="stable")
             least = np.minimum.reduceat(np.append(self.common[1:], _FAR), to)
-            equal = symbols[to[1:]] == symbols[to[:-1]]
+            equal = segment[to[1:]] == segment[to[:-1]]
             self.common = np.concatenate([np.zeros(1, np.int32), np.where(equal, least[:-1] + 1, 0).astype(np.int32)])
             self.order = self.order[to]
-        return symbols
 
 
-def repeated_windows(columns: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> np.ndarray:
-    """A mark for each column and text: a window starts there whose symbols another text has in the same columns."""
-    marks = np.zeros(columns.shape, bool)
+def repeated_windows(columns: np.ndarray, begin: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the first and last column where a window starts whose symbols another text has in the same columns; first > last if there is none."""
+    first, last = np.full(len(begin), len(columns)), np.full(len(begin), -1)
     transform = ColumnTransform(columns, begin, end)
     for _ in range(len(columns)):
         transform.step()
         long = transform.common >= width
         if long.any():
-            both = long | np.append(long[1:], False)
-            marks[transform.column, transform.order[both]] = True
-    return marks
+            both = transform.order[long | np.append(long[1:], False)]
+            first[both] = transform.column
+            last[both] = np.maximum(last[both], transform.column)
+    return first, last
 
 
 def _block(table: pa.Table, width: int, key: str) -> pa.Table:
-    """Spans of once-found passages that other passages of the block repeat."""
+    """The stretch of each passage of a block that others repeat; a passage that was found again stands in the block twice."""
     spans = table.column("span").to_pylist()
-    at = table.column("at").to_numpy()
+    again = np.flatnonzero(table.column("again").to_numpy(zero_copy_only=False))
+    row = np.concatenate([np.arange(len(spans)), again])
+    spans += [spans[i] for i in again]
+    at = table.column("at").to_numpy()[row]
     size = np.array([len(s) for s in spans])
     begin = at.max() - at
     end = begin + size
@@ -117,36 +127,16 @@ def _block(table: pa.Table, width: int, key: str) -> pa.Table:
     flat = np.frombuffer(b"".join(spans), np.uint8)
     text = np.repeat(np.arange(len(spans)), size)
     columns[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + begin[text], text] = flat
-    marks = repeated_windows(columns, begin, end, width)
-    marks[:, table.column("n").to_numpy() > 1] = False  # these are repeated as a whole
-    text, column = np.nonzero(marks.T)
-    if len(text):
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (column[1:] != column[:-1] + 1)])
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(text)]]) - 1
-    else:
-        first = last = np.empty(0, np.int64)
-    start = table.column("start").to_numpy()
-    t = text[first]
-    a = start[t] + column[first] - begin[t]
-    b = start[t] + column[last] - begin[t] + width
-    return pa.table([table.column(key).take(pa.array(t)), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], names=[key, "start", "end"])
+    first, last = (x[: table.num_rows] for x in repeated_windows(columns, begin, end, width))
+    hit = np.flatnonzero(first <= last)
+    cols = [table.column(c).take(pa.array(hit)) for c in ("level", "anchor", "context", key, "again")]
+    a, b = (pa.array((x[hit] - begin[hit] + more).astype(np.int32)) for x, more in ((first, 0), (last, width)))
+    return pa.table([*cols, a, b], names=["level", "anchor", "context", key, "copy", "first", "last"])
 
 
 def duplicate_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans (key, start, end) in bytes that start somewhere else, too."""
-    reading = units(width, run)
-    shared = passages.shared_occurrences(docs, reading, key, text, across=False)
-    each = passages.contexts(shared, key)
-    kind = dict(docs.dtypes)[key]
-    spans = passages.written(passages.with_spans(docs, passages.unlike(each), reading, _cut, key, text), "spans")
-    cold = passages.in_blocks(spans.where(F.col("kinds") <= passages.HOT), lambda t: _block(t, width, key), f"`{key}` {kind}, start int, end int")
-    one = passages.window_hashes(spans.where(F.col("kinds") > passages.HOT), _codes, width, key)
-    several = one.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", "h2")
-    hot = one.where("n = 1").join(several, ["h1", "h2"]).select(key, "start", (F.col("start") + width).alias("end"))
-    copied = each.where("n > 1").select("anchor", "context")
-    copies = shared.join(copied, ["anchor", "context"]).select(key, "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
-    return passages.written(copies.unionByName(cold).unionByName(hot), "duplicate-spans", discard=[shared, each, spans])
+    return passages.found_again(docs, units(width, run), lambda t: _block(t, width, key), key, text, across=False)
 
 
 def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:

@@ -1,15 +1,17 @@
 """Substring deduplication over words by relative Lempel-Ziv parsing.
 
 Reference blocks hold the passages (contexts of shared anchors, see passages.py) of all documents in
-the order of their ids; each block is indexed by the hashes of its windows. A document's passages are
-factored greedily against the part of the block that belongs to smaller ids: the longest match from the
+the order of their ids; each block is indexed by the hashes of its windows. A document is factored
+against every block that the index of anchors names for it; no other block holds a factor of `width` words. Its
+passages are factored greedily against the part of the block that belongs to smaller ids: the longest match from the
 current word becomes a factor. Parsing goes on within the last window of a factor, so that a window that
-crosses factor boundaries is checked on its own. Factors of `width` words or more are duplicate spans.
+crosses factor boundaries is checked on its own. Factors of `width` words or more are duplicate spans, and nothing
+else is: a passage that later documents repeat is factored for them, too, once for all.
 
 Defined results: a word is removed if a window of `width` words that covers it starts in a document
 with a smaller id, too; windows are judged on the input. Null texts have no words; texts shorter than a
 window stay whole; rows with a null id take no part and stay whole; repeated rows of one id do not count
-against each other; an empty table gives an empty one.
+against each other; an empty table gives an empty one. cleaned() passes other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ def _split(data: bytes) -> list[bytes]:
 
 
 def units(width: int, run: int) -> passages.Units:
-    return passages.Units(lambda t: _codes(_split(t.encode("utf-8", "surrogatepass"))), width, run)
+    return passages.Units(lambda t: _codes(_split(t.encode("utf-8", "surrogatepass"))), _cut, lambda s: _codes(_split(s)), lambda s, a, b: b" ".join(_split(s)[a:b]), width, run)
 
 
 def _cut(text: str, spans: list[tuple[int, int]]) -> list[bytes]:
@@ -83,37 +85,28 @@ def factors(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int
 
 
 def _block(table: pa.Table, width: int, key: str) -> pa.Table:
-    """Factors of the passages of a block, as spans of their documents."""
+    """The stretch that factors cover of each passage of a block, and of the copy of each passage that was found again."""
     table = table.sort_by([(key, "ascending"), ("anchor", "ascending"), ("start", "ascending"), ("context", "ascending")])
     words = [_codes(_split(s)) for s in table.column("span").to_pylist()]
-    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
     ids = table.column(key).to_pylist()
     rank = {v: i for i, v in enumerate(dict.fromkeys(ids))}
-    found = factors(np.concatenate(words), starts, np.array([rank[i] for i in ids]), width)
-    row = pa.array([t for t, _, _ in found], pa.int64())
-    from_, to = (pa.array([f[k] for f in found], pa.int32()) for k in (1, 2))
-    return pa.table([*(table.column(c).take(row) for c in ("anchor", "context", key)), from_, to], names=["anchor", "context", key, "first", "last"])
+    # copies belong to later documents than the passage itself: they come last, and are nobody's source
+    again = np.flatnonzero(table.column("again").to_numpy(zero_copy_only=False))
+    row = np.concatenate([np.arange(len(words)), again])
+    owner = np.concatenate([[rank[i] for i in ids], np.full(len(again), len(rank))])
+    starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in row])])
+    first, last = np.full(len(row), np.iinfo(np.int32).max, np.int32), np.zeros(len(row), np.int32)
+    for t, a, b in factors(np.concatenate([words[i] for i in row]), starts, owner, width):
+        first[t], last[t] = min(first[t], a), max(last[t], b)
+    hit = np.flatnonzero(last)
+    at = pa.array(row[hit])
+    cols = [table.column(c).take(at) for c in ("level", "anchor", "context", key)]
+    return pa.table([*cols, pa.array(hit >= len(words)), pa.array(first[hit]), pa.array(last[hit])], names=["level", "anchor", "context", key, "copy", "first", "last"])
 
 
 def duplicate_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Spans (key, start, end) in words that occur in a document with a smaller key."""
-    reading = units(width, run)
-    shared = passages.shared_occurrences(docs, reading, key, text, across=True)
-    each = passages.contexts(shared, key)
-    kind = dict(docs.dtypes)[key]
-    spans = passages.written(passages.with_spans(docs, passages.unlike(each), reading, _cut, key, text), "spans")
-    schema = f"anchor long, context long, `{key}` {kind}, first int, last int"
-    cold = passages.in_blocks(spans.where(F.col("kinds") <= passages.HOT), lambda t: _block(t, width, key), schema)
-    one = passages.window_hashes(spans.where(F.col("kinds") > passages.HOT), lambda s: _codes(_split(s)), width, key)
-    least = one.groupBy("h1", "h2").agg(F.min(key).alias("_least"))
-    begin = spans.where(F.col("kinds") > passages.HOT).select("anchor", "context", F.col("start").alias("_begin"))
-    hot = one.join(least, ["h1", "h2"]).where(F.col("_least") < F.col(key)).join(begin, ["anchor", "context"]).select("anchor", "context", key, (F.col("start") - F.col("_begin")).alias("first"))
-    found = cold.unionByName(hot.withColumn("last", F.col("first") + width))
-    # a context's other documents have it from its first one; there, what the factors cover goes, at each of its places
-    rest = shared.join(found, ["anchor", "context", key]).select(key, (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
-    least = each.where("n > 1").select("anchor", "context", F.col(f"rep.{key}").alias("_first"))
-    copies = shared.join(least, ["anchor", "context"]).where(F.col(key) > F.col("_first")).select(key, "start", (F.col("start") + F.col("windows") + (width - 1)).alias("end"))
-    return passages.written(copies.unionByName(rest), "duplicate-spans", discard=[shared, each, spans])
+    return passages.found_again(docs, units(width, run), lambda t: _block(t, width, key), key, text, across=True)
 
 
 def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, list[bytes]]:
@@ -143,8 +136,11 @@ def digests(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
 
 def cleaned(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with duplicate spans cut out of its text; what stays keeps its white space, and texts without a span stay as they are."""
-    spans = passages.per_document(duplicate_spans(docs, width, key=key, text=text), key)
-    joined = docs.join(spans.hint("shuffle_hash"), key, "left").select(*docs.columns, "_spans")
+    own = "_spans"
+    while own in docs.columns:
+        own = f"_{own}"
+    spans = passages.per_document(duplicate_spans(docs, width, key=key, text=text), key, own)
+    joined = docs.join(spans.hint("shuffle_hash"), key, "left").select(*docs.columns, own)
     at = docs.columns.index(text)
 
     def cut(t: str | None, cuts) -> str | None:

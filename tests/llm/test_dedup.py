@@ -47,21 +47,52 @@ def by_bytes(rows, width=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_words(make, corpus, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("split", [4000, 1])
+def test_words(make, corpus, monkeypatch, split):
+    monkeypatch.setattr(passages, "SPLIT", split)
     got = worddup.digests(make(corpus)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == by_words(corpus)
     assert sum(r["n_removed"] for r in got) > 1000
 
 
-@pytest.mark.parametrize("hot", [4000, 1])
-def test_bytes(make, corpus, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("split", [4000, 1])
+def test_bytes(make, corpus, monkeypatch, split):
+    monkeypatch.setattr(passages, "SPLIT", split)
     got = suffixdup.digests(make(corpus)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == by_bytes(corpus)
 
 
+@pytest.mark.parametrize("split", [4000, 1])
+@pytest.mark.parametrize("operator,across", [(worddup, True), (suffixdup, False)])
+def test_nothing_goes_but_by_the_method(make, corpus, monkeypatch, split, operator, across):
+    """What the blocks don't report stays: there is no other path to a removal."""
+    monkeypatch.setattr(passages, "SPLIT", split)
+    none = lambda t: operator._block(t, operator.WIDTH, "doc_id").slice(0, 0)
+    assert passages.found_again(make(corpus), operator.units(operator.WIDTH, operator.RUN), none, "doc_id", "text", across).isEmpty()
+
+
+def test_cleaned_passes_clashing_columns_on(spark, words):
+    text = " ".join(words[:60])
+    rows = spark.createDataFrame([(1, text, 7), (2, text, 8)], "doc_id long, text string, _spans int")
+    assert sorted(map(tuple, worddup.cleaned(rows).collect())) == [(1, text, 7), (2, "", 8)]
+
+
+def test_transform_reads_back():
+    """The segments alone, walked by where their symbols go, give the texts."""
+    rng = np.random.default_rng(8)
+    columns = rng.integers(97, 100, (30, 12)).astype(np.uint8)
+    t = suffixdup.ColumnTransform(columns, np.zeros(12, int), np.full(12, 30))
+    for _ in range(30):
+        t.step()
+    at, out = np.arange(12), []  # before the first round, texts stand in the order in which they entered
+    for segment in t.segments:
+        out.append(segment[at])
+        place = np.empty(12, int)
+        place[np.argsort(segment, kind="stable")] = np.arange(12)
+        at = place[at]
+    assert (np.array(out)[::-1] == columns).all()
+
+
 def test_long_text_in_parts(words):
     codes = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     whole = passages.occurrences(codes, np.array([5000]), 50, 16)
