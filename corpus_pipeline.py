@@ -29,7 +29,7 @@ LEAST_SCORE = 0.5
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.kept_only(quality.judged(docs.select(*COLUMNS), rules)).select(*COLUMNS)
+    return quality.judged(docs.select(*COLUMNS), rules).where("kept").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
