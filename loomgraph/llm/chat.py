@@ -11,8 +11,9 @@ is exact. The loss mask covers the text of each assistant turn.
 
 Defined results: null texts and roles are empty; rows of equal turn number are ordered by role and text;
 repeated rows are turns of their own; a null conversation id is a conversation; records of a layout that
-no mapping knows give one row with a null role and the fingerprint, never an error; fields that no
-layout uses are passed over, whatever their names.
+no mapping knows give one row with a null role and the fingerprint, never an error, and so do texts that are no JSON
+or are nested too deep to be read; halves of surrogate pairs become U+FFFD; texts of any length are kept whole;
+an empty table gives an empty one; fields that no layout uses are passed over, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ LAYOUTS = (
 
 def fingerprint(paths) -> str:
     """Hash of a set of nested field paths, whatever their order."""
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 VOCABULARY = frozenset(p for x in LAYOUTS for p in x.paths)
@@ -146,10 +147,14 @@ def canonical_turns(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(F.col(key).alias("conv_id"), F.posexplode(turns).alias("position", "_turn")).select("conv_id", F.col("position").cast("long").alias("position"), "_turn.role", "_turn.text")
 
 
+_LONE = regex.compile(r"[\ud800-\udfff]")
+
+
 def _text(value) -> str:
     if value is None:
         return ""
-    return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    return _LONE.sub("\ufffd", text)  # half a surrogate pair is no character
 
 
 def record_turns(record: dict, layout: Layout) -> Iterator[tuple[str, str]]:
@@ -174,12 +179,12 @@ def canonical_records(df: DataFrame, record: str, key: str) -> DataFrame:
             for i, x in enumerate(b.column(1).to_pylist()):
                 try:
                     value = json.loads(x or "")
-                except ValueError:
-                    value = None
-                mark, layout = layout_of(record_paths(value)) if isinstance(value, dict) else ("", None)
+                    mark, layout = layout_of(record_paths(value)) if isinstance(value, dict) else ("", None)
+                except (ValueError, RecursionError):  # no JSON, or nested deeper than any layout
+                    mark, layout = "", None
                 try:
                     turns = list(record_turns(value, layout)) if layout else [(None, None)]
-                except (AttributeError, TypeError):  # a list that mixes messages with other values
+                except (AttributeError, TypeError, RecursionError):  # a list that mixes messages with other values
                     turns, layout = [(None, None)], None
                 rows += [(i, k, r, t, mark, layout.name if layout else None) for k, (r, t) in enumerate(turns)]
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -228,7 +233,8 @@ def conversation_digests(parts: DataFrame) -> DataFrame:
     """Per conversation, read back from its segments: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     Segments of a conversation come in order to one task, which reads them as a stream and keeps only
-    running hashes, so a conversation may be longer than memory.
+    running hashes, so a conversation may be longer than memory. A digest of a whole conversation can't be
+    put together from parts, so one conversation is the work of one task, however long it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,8 +6,10 @@ text, hashed to DIMS places. Training takes a bounded sample (PER_LANGUAGE texts
 the smallest hashes of their ids); prediction reads every text whole.
 
 Defined results: texts that are null or hold no letter are `und` with score 0; rows without a language
-are not learned from; repeated rows get equal results; an empty training set makes every text `und`.
-Other columns, such as lang or source, are never inputs of a prediction.
+are not learned from; repeated rows get equal results; an empty training set makes every text `und`; texts of any
+length are read whole; an empty table gives an empty one. Other columns, such as lang or source, are never inputs of
+a prediction; one named as a result is an error. The driver trains a machine for each pair of families, and of
+languages within a family, so a corpus should hold languages by the hundred at most.
 """
 
 from __future__ import annotations
@@ -161,10 +163,10 @@ def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     usable = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     # a hash lets through about three times as many ids as are wanted, so few are ranked however many rows there are
     rate = usable.groupBy(lang).agg(F.least(F.lit(1.0), 3.0 * per_language / F.count(F.lit(1)) + 1e-9).alias("_rate"))
-    some = usable.select(key, lang).join(F.broadcast(rate), lang).where(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(1)), 11).cast("double") / float(1 << 53) <= F.col("_rate"))
-    # there are PER_LANGUAGE ids for each language, few enough for every task
+    some = usable.select(key, lang).join(rate, lang).where(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(1)), 11).cast("double") / float(1 << 53) <= F.col("_rate"))
+    # at most PER_LANGUAGE ids for each language: Spark measures them and sends them to every task if they are few
     ids = some.select(key, lang).withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_language).select(key).distinct()
-    chosen = usable.join(F.broadcast(ids), key, "left_semi").select(lang, text)
+    chosen = usable.join(ids, key, "left_semi").select(lang, text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -9,8 +9,9 @@ never on the number of documents. Patterns then go back to documents by rank: th
 length takes the r-th place that the patterns hold for this length.
 
 Documents longer than the capacity are cut into full sequences and a rest. Every document has at
-least its end id, so empty and null texts make one piece of length 1. Repeated rows and ids are
-packed one by one; other columns are not read.
+least its end id, so empty and null texts make one piece of length 1. Texts are never shortened, whatever their
+length. Repeated rows and ids are packed one by one, and pieces of equal length and id are interchangeable; other
+columns are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -38,8 +39,10 @@ CAPACITY = 4096
 END_ID = 2
 #: Remembered words per Python worker; results do not depend on it. Fewer take less memory and more time.
 REMEMBERED = 1_200_000
-#: Salts per length when pieces are ranked, so that a frequent length is ranked by many tasks.
-SALTS = 64
+#: Salts per length when pieces are ranked, so that a frequent length is ranked by many tasks: this many, and more where a salt would get more than RANKED pieces.
+SALTS, RANKED = 64, 200_000
+#: Places of patterns up to which they go to every task.
+FEW_PLACES = 200_000
 
 
 class WordTokenizer:
@@ -216,11 +219,11 @@ def pack(parts: DataFrame, order: list[str], length: str = "length", capacity: i
     rows = places(shortest_pack_first(histogram, capacity))
     schema = "_length long, _first long, _end long, _times long, _sequence long, _offset long"
     where = spark.createDataFrame(rows, schema)
-    if len(rows) <= 200_000:
+    if len(rows) <= FEW_PLACES:
         where = F.broadcast(where)
     r = F.col("rank") - F.col("_first")
     return (
-        ranked(parts, length, order)
+        ranked(parts, length, order, max(SALTS, -(-max(histogram.values(), default=0) // RANKED)))
         .join(where, (F.col(length) == F.col("_length")) & (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_end")))
         .withColumn("sequence_id", F.col("_sequence") + F.expr("(rank - _first) div _times"))
         .withColumn("offset", F.col("_offset") + F.col(length) * (r % F.col("_times")))

@@ -10,7 +10,9 @@ documents, and the verdicts, cover every row and whole texts.
 
 Defined results: a null text has no words and fails the base rules; an empty one likewise; without
 labelled rows the list is empty and every text is kept that passes the base rules; labels of unknown or
-null documents are ignored; of several labels for a document the lowest counts.
+null documents are ignored; of several labels for a document the lowest counts; repeated rows get equal verdicts; an
+empty table gives an empty one; texts of any length are read whole; other columns are passed on, and one that is
+named as a result is an error.
 """
 
 from __future__ import annotations
@@ -34,53 +36,73 @@ SYMBOLS = "#*$%&|<>"
 RATIOS = ("symbols_per_word", "chars_per_word", "repeated_share", "repeated_lines", "marks_per_word", "capital_share")
 
 
+#: What statistics() and judged() add.
+COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *RATIOS)
+VERDICT = ("rule", "kept")
+
+
 def _blank(c: Column) -> Column:
     return F.btrim(c, F.lit(WORD_BREAKS)) == ""
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once for each row, however often and in whatever filter they are used: they come from a generator, which the optimiser neither repeats nor moves."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the RATIOS.
 
     Repeated words: the three-word windows of a text are hashed and sorted with their positions; neighbours
     with equal hashes are windows that occur twice or more, and the union of their words is counted.
     """
+    clash = [c for c in (*COLUMNS, *VERDICT) if c in docs.columns]
+    if clash:
+        raise ValueError(f"columns {', '.join(clash)} exist; rename them first")
+    own = "_"
+    while any(c.startswith(own) for c in docs.columns):
+        own += "_"
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), "")
-    lines = F.filter(F.split(t, "\n"), lambda x: ~_blank(x))
 
     def without(chars: str) -> Column:
         return F.length(F.translate(t, chars, ""))
 
-    w, s = F.col("_words"), F.col("_windows")
-    df = docs.withColumns({"_words": words, "_lines": lines, "word_chars": without(WORD_BREAKS).cast("long"), "_length": F.length(t).cast("long")})
-    df = df.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "n_symbols": F.col("_length") - without(SYMBOLS),
-            "_marks": F.col("_length") - without("!?.,;:"),
-            "_capitals": F.col("word_chars") - F.length(F.translate(F.regexp_replace(t, r"\p{Lu}", ""), WORD_BREAKS, "")),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_n_lines": F.size("_lines"),
-            "_windows": F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))),
-        }
-    ).drop("_words", "_lines")
+    w, s, n_lines, length, w_chars = (F.col(own + x) for x in ("words", "windows", "lines", "length", "word_chars"))
+    df = _once(docs, **{own + "words": F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), ""), own + "lines": F.filter(F.split(t, "\n"), lambda x: ~_blank(x)), own + "word_chars": without(WORD_BREAKS).cast("long"), own + "length": F.length(t).cast("long")})
+    df = _once(
+        df,
+        **{
+            own + "n": F.size(w).cast("long"),
+            own + "symbols": length - without(SYMBOLS),
+            own + "marks": length - without("!?.,;:"),
+            own + "capitals": w_chars - F.length(F.translate(F.regexp_replace(t, r"\p{Lu}", ""), WORD_BREAKS, "")),
+            own + "dup_lines": (F.size(n_lines) - F.size(F.array_distinct(n_lines))).cast("long"),
+            own + "n_lines": F.size(n_lines),
+            own + "windows": F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))),
+        },
+    )
     twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (F.get(s, j)["h"] == F.get(s, j - 1)["h"]) | (F.get(s, j)["h"] == F.get(s, j + 1)["h"]))
     starts = F.sort_array(F.transform(twice, lambda j: F.get(s, j)["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(starts, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    df = df.withColumn("n_repeat_words", F.coalesce(F.when(F.size(s) > 1, covered), F.lit(0)).cast("long")).drop("_windows")
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    return df.withColumns(
-        {
-            "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-            "symbols_per_word": F.col("n_symbols") / n,
-            "chars_per_word": F.col("word_chars") / n,
-            "repeated_share": F.col("n_repeat_words") / n,
-            "repeated_lines": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-            "marks_per_word": F.col("_marks") / n,
-            "capital_share": F.col("_capitals") / F.greatest(F.col("word_chars"), F.lit(1)),
-        }
-    ).drop("_length", "_marks", "_capitals", "_n_lines")
+    df = _once(df, **{own + "repeat": F.coalesce(F.when(F.size(s) > 1, covered), F.lit(0)).cast("long")})
+    c = lambda x: F.col(own + x)
+    n = F.greatest(c("n"), F.lit(1))
+    return df.select(
+        *docs.columns,
+        c("n").alias("n_words"),
+        w_chars.alias("word_chars"),
+        c("symbols").alias("n_symbols"),
+        c("dup_lines").alias("n_dup_lines"),
+        c("repeat").alias("n_repeat_words"),
+        ((c("n") < 50) | (100 * c("repeat") > 50 * c("n"))).alias("base_failed"),
+        (c("symbols") / n).alias("symbols_per_word"),
+        (w_chars / n).alias("chars_per_word"),
+        (c("repeat") / n).alias("repeated_share"),
+        (c("dup_lines") / F.greatest(c("n_lines"), F.lit(1))).alias("repeated_lines"),
+        (c("marks") / n).alias("marks_per_word"),
+        (c("capitals") / F.greatest(w_chars, F.lit(1))).alias("capital_share"),
+    )
 
 
 @dataclass(frozen=True)
@@ -206,8 +228,3 @@ def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """docs with its statistics, `rule` (that rejects it) and `kept`."""
     df = statistics(docs, text).withColumn("rule", verdict(rules))
     return df.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
-
-
-def kept_only(df: DataFrame) -> DataFrame:
-    """The rows of judged() to keep. The random column holds the filter above the statistics: pushed below, it would repeat them."""
-    return df.withColumn("_here", F.rand()).where(F.col("kept") & (F.col("_here") >= 0)).drop("_here")

@@ -5,6 +5,7 @@ import json
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -79,7 +80,7 @@ def test_quality_rules_are_learned(spark, make, words):
     assert rules and all(isinstance(c, quality.Condition) for r in rules for c in r)
     kept = {r["doc_id"]: r["kept"] for r in quality.judged(make(rows), rules).collect()}
     assert sum(kept[i] == (i % 5 != 0) for i in range(300)) >= 297
-    assert quality.kept_only(quality.judged(make(rows), rules)).count() == sum(kept.values())
+    assert quality.judged(make(rows), rules).where("kept").count() == sum(kept.values())
     assert quality.fit(make(rows), lab.limit(0)) == []
     assert quality.fit(make([]), lab) == []
 
@@ -112,6 +113,183 @@ def test_pages_keep_content_beside_the_longest_section():
     assert htmltext.main_text(page).count("\n") == 39
 
 
+def _bare(page):
+    """The page with elements and classes that say nothing."""
+    for old, new in (("<nav>", '<div class="k1">'), ('<div class="ad">', '<div class="k2">'), ("<article>", '<div class="k3">'), ("<footer>", '<div class="k4">'), ("</nav>", "</div>"), ("</article>", "</div>"), ("</footer>", "</div>")):
+        page = page.replace(old, new)
+    return page
+
+
+def _by_hand(page):
+    """The blocks of the pages table's one template, by its tags: the truth."""
+    inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
+    blocks = re.split(r"</?(?:h1|p)>", inside.replace("<br>", " "))
+    joined = (" ".join(htmltext.entities.unescape(re.sub(r"</?b>", "", b)).split()) for b in blocks)
+    return "\n".join(b for b in joined if b)
+
+
+def test_ratios_decide(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    pages = [r[0] for r in rows]
+    truth = [_by_hand(p) for p in pages]
+    right = lambda pages: sum(htmltext.main_text(p) == t for p, t in zip(pages, truth, strict=True))
+    assert right(pages) == len(pages)
+    assert right([_bare(p) for p in pages]) > 0.9 * len(pages)  # nothing but the ratios to go by
+    # with the ratios out of work, every path is content
+    monkeypatch.setattr(htmltext, "path_ratios", lambda blocks: ({p: 1.0 for p, _, _ in blocks},) * 2)
+    assert right([_bare(p) for p in pages]) == 0
+    monkeypatch.setattr(htmltext, "_passing", lambda ratios, weight: set(ratios))
+    assert right(pages) == 0
+
+
+def test_ratios_of_paths_against_plain_sums():
+    rng = random.Random(4)
+    for _ in range(50):
+        blocks = [(rng.randrange(5), rng.randrange(900), rng.randrange(12)) for _ in range(rng.randint(1, 30))]
+        smooth, own = htmltext.path_ratios(blocks)
+        every = max(1, sum(n for _, n, _ in blocks))
+        for p in {b[0] for b in blocks}:
+            of = [b for b in blocks if b[0] == p]
+            total = sum(n for _, n, _ in of)
+            mean = min(total / len(of), 500), min(sum(m for _, _, m in of) / len(of), 8)
+            assert own[p] == pytest.approx(mean[0] * (1 + mean[1]) * (total / every) ** 0.5)
+        kernel = {d: np.exp(-(d**2) / 2) for d in range(-2, 3)}
+        means = {p: [min(np.mean([b[k] for b in blocks if b[0] == p]), top) for k, top in ((1, 500), (2, 8))] for p in own}
+        for p in own:
+            values = []
+            for i, b in enumerate(blocks):
+                if b[0] == p:
+                    near = [(kernel[j - i], means[blocks[j][0]]) for j in range(len(blocks)) if abs(j - i) <= 2]
+                    x, y = (sum(w * m[k] for w, m in near) / sum(w for w, _ in near) for k in (0, 1))
+                    values.append(x * (1 + y))
+            assert smooth[p] == pytest.approx(np.mean(values) * (sum(b[1] for b in blocks if b[0] == p) / every) ** 0.5)
+
+
+def test_generated_pages():
+    """Pages put together from parts whose place in or out of the article is known."""
+    rng = random.Random(6)
+    words = lambda n, end=".": " ".join("".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(2, 9))) for _ in range(n)) + end
+    for k in range(60):
+        para = lambda: words(rng.randint(20, 60)).replace(" ", ", ", 3)
+        body, want = [], []
+
+        def add(html, text=None, body=body, want=want):
+            body.append(html)
+            if text is not None:
+                want.append(text)
+
+        title = words(5, "")
+        add(f"<h1>{title}</h1>", title)
+        for _ in range(rng.randint(4, 9)):
+            x = para()
+            add(rng.choice(["<p>{}</p>", "<p class='lead'>{}</p>", "<p><span>{}</span>", "<p>{}"]).format(x), x)
+            if rng.random() < 0.3:
+                x = words(3, "")
+                add(f"<h2>{x}</h2>", x)
+            if rng.random() < 0.3:
+                items = [words(4) for _ in range(3)]
+                add("<ul>" + "".join(f"<li>{i}" for i in items) + "</ul>")
+                want.extend(items)
+            if rng.random() < 0.3:
+                add(f"<div class='{rng.choice(['ad', 'x9', 'promo'])}'>{words(4, '')}</div>")
+        links = "".join(f"<li><a href='#'>{words(2, '')}</a>" for _ in range(6))
+        box = rng.choice([("<article>", "</article>"), ("<div id='page'>", "</div>"), ("<main><section>", "</section></main>"), ("<td>", "</td>")])
+        comments = "".join(f"<div class='comment'><b>{words(1, '')}</b><p>{words(9)}</p></div>" for _ in range(3))
+        page = f"<html><head><title>t</title></head><body><div class='top'><ul>{links}</ul></div>{box[0]}{''.join(body)}{box[1]}<div class='comments'>{comments}</div><form><p>{words(5)}</p><input></form><div class='foot'>{words(4)}</div></body></html>"
+        assert htmltext.main_text(page) == "\n".join(want), k
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<b>x</b></i>", "<p><li>", "<!", "<i a='", "<b><div></b>"])
+def test_pages_take_time_in_proportion(unit):
+    began = time.process_time()
+    htmltext.main_text(unit * (1_000_000 // len(unit)) + "<p>end")
+    assert time.process_time() - began < 4
+
+
+def test_pages_of_odd_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert htmltext.extract(none).columns == ["page_id", "url", "text"] and htmltext.extract(none).isEmpty()
+    clash = spark.createDataFrame([(1, "a", "<p>b")], "page_id long, text string, html string")
+    with pytest.raises(ValueError, match="text exists"):
+        htmltext.extract(clash)
+    assert htmltext.extract(clash, out="main").collect()[0]["main"] == "b"
+
+
+def test_records_that_are_no_records(spark):
+    rows = ['{"prompt": "a\\ud800b", "completion": "c"}', "[" * 200_000, '{"a":' * 50_000, '{"\\ud800": 1}', "", None, "7"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, record string")
+    got = sorted(chat.canonical_records(df, "record", "id").collect(), key=lambda r: (r["conv_id"], r["position"]))
+    assert [(r["conv_id"], r["role"], r["text"]) for r in got[:2]] == [(0, "user", "a\ufffdb"), (0, "assistant", "c")]
+    assert [(r["conv_id"], r["role"], r["text"], r["layout"]) for r in got[2:]] == [(k, None, None, None) for k in range(1, 7)]
+
+
+def test_chat_of_odd_tables(spark):
+    kind = "conv_id long, turn long, role string, text string"
+    assert chat.conversation_digests(chat.segments(chat.canonical_turns(spark.createDataFrame([], kind)))).count() == 0
+    long = "### x\\" * 300_000
+    row = chat.conversation_digests(chat.segments(chat.canonical_turns(spark.createDataFrame([(1, 0, "assistant", long)], kind)))).first()
+    assert (row["loss_chars"], row["loss_sha256"]) == (len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
+def test_quality_can_be_filtered(make, corpus, spark):
+    judged = quality.judged(make(corpus), [])
+    want = Counter((r["doc_id"], r["n_words"]) for r in judged.collect() if r["n_words"] > 60 and not r["base_failed"])
+    some = judged.where("n_words > 60 and not base_failed").select("doc_id", "n_words")
+    assert Counter(map(tuple, some.collect())) == want
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2  # the words and the lines, once each
+    assert quality.judged(make([]), []).count() == 0
+    odd = make(corpus[:3]).withColumnsRenamed({"lang": "_length", "source": "_words"})
+    assert set(odd.columns) < set(quality.judged(odd, []).columns)
+    with pytest.raises(ValueError, match="n_words, rule exist"):
+        quality.judged(odd.withColumnsRenamed({"anchor": "rule", "sketch": "n_words"}), [])
+
+
+def test_languages_against_plain_votes(make):
+    """Decisions, votes and scores of identify() against a version that looks at one text and one machine at a time."""
+    rng = random.Random(12)
+    stock = {"en": "the of and with", "de": "der die und ein", "nl": "het een van dat", "fr": "le la que des", "es": "el los que una", "fi": "ja on ei se"}
+    rows = [(i, " ".join(rng.choice(stock[lang].split()) for _ in range(rng.randint(1, 30))), lang) for i, lang in enumerate(list(stock) * 40)]
+    docs = make([*rows, (9000, None), (9001, "..."), (9002, "é")])
+    model = language.fit(language.sample(docs, F.lit(True)))
+    for r in language.identify(docs, model).collect():
+        t = (r["text"] or "").translate({k: " " for k in range(9, 14)} | {k: "0" for k in range(48, 58)} | {k: chr(k + 32) for k in range(65, 91)})
+        if not any(c.isalpha() for c in t):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        b = t.encode().ljust(3)
+        grams = [((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 % 2**32) >> 19 for k in range(len(b) - 2)]
+        margin = [sum(float(model.weights[g, m]) for g in grams) / len(grams) + float(model.bias[m]) for m in range(len(model.machines))]
+
+        def winner(group, names, margin=margin):
+            if len(names) == 1:
+                return names[0], 1.0
+            points = {n: [0, 0.0, 0.0] for n in names}
+            for (g, i, j), m in zip(model.machines, margin, strict=True):
+                if g == group:
+                    p = 1 / (1 + np.exp(-3 * np.clip(m, -20, 20)))
+                    points[names[i if m >= 0 else j]][0] += 1
+                    for n, sign, chance in ((names[i], 1, p), (names[j], -1, 1 - p)):
+                        points[n][1] += sign * m
+                        points[n][2] += chance
+            best = max(names, key=lambda n: (points[n][0], points[n][1]))
+            return best, points[best][2] / (len(names) - 1)
+
+        family, p = winner("", model.families)
+        lang, q = winner(family, model.languages[family])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(p * q, abs=1e-5)
+    with pytest.raises(ValueError, match="lang_pred exists"):
+        language.identify(docs.withColumnRenamed("source", "lang_pred"), model)
+    assert language.identify(make([]), model).count() == 0
+
+
+def test_language_accuracy_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language.fit(language.sample(docs, ~held_out(F.col("doc_id"))))
+    seen = language.identify(docs.where(held_out(F.col("doc_id")) & F.col("lang").isNotNull()), model).where("lang_pred <> 'und'")
+    assert seen.where("lang = lang_pred").count() >= 0.97 * seen.count() > 0
+
+
 def test_languages(make):
     rng = random.Random(2)
     stock = {"en": "the of and with that ing tion er".split(), "de": "der die und ein heit keit ung sch".split(), "fr": "le la que des eau eux ment oi".split(), "es": "el los que ción mente ado ía ñ".split()}
