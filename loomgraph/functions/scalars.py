@@ -108,22 +108,29 @@ def _wrapping_product(x: Column, factor: int) -> Column:
     return F.shiftleft(hi.bitwiseAND(m), 32).bitwiseOR(lo.bitwiseAND(m))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once for each row, however often and in whatever filter they are used: they come from a generator, which the optimiser neither repeats nor moves."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def with_pair_uniform(df: DataFrame, i: str, j: str, out: str, seed: int = PAIR_SEED) -> DataFrame:
     """df with a uniform number in [0, 1] that depends on the pair of 0-based positions and the seed only."""
-    c = F.col
-    df = df.withColumn("_h", _wrapping_product(c(i).cast("bigint"), PAIR_FACTOR).bitwiseXOR(F.shiftleft(c(j).cast("bigint"), 1)).bitwiseXOR(F.lit(_signed(seed))))
-    for shift, factor in ((30, MIX_1), (27, MIX_2)):
-        df = df.withColumn("_h", c("_h").bitwiseXOR(F.shiftrightunsigned("_h", shift)))
-        df = df.withColumn("_h", _wrapping_product(c("_h"), factor))
-    df = df.withColumn("_h", c("_h").bitwiseXOR(F.shiftrightunsigned("_h", 31)))
-    value = (F.shiftrightunsigned("_h", 32).cast("double") * 4294967296.0 + c("_h").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")) / 18446744073709551616.0
-    return df.withColumn(out, value).drop("_h")
-
-
-def keyed_uniform(*cols: Column | str, seed: int = 0) -> Column:
-    """A uniform number in [0, 1) that depends on the given columns and the seed, not on partitioning."""
-    h = F.xxhash64(*cols, F.lit(seed))
-    return F.shiftrightunsigned(h, 11).cast("double") / float(1 << 53)
+    c, names = F.col, df.columns
+    df = once(df, _h0=_wrapping_product(c(i).cast("bigint"), PAIR_FACTOR).bitwiseXOR(F.shiftleft(c(j).cast("bigint"), 1)).bitwiseXOR(F.lit(_signed(seed))))
+    for k, (shift, factor) in enumerate(((30, MIX_1), (27, MIX_2))):
+        df = once(df, **{f"_g{k}": c(f"_h{k}").bitwiseXOR(F.shiftrightunsigned(f"_h{k}", shift))})
+        df = once(df, **{f"_h{k + 1}": _wrapping_product(c(f"_g{k}"), factor)})
+    df = once(df, _h3=c("_h2").bitwiseXOR(F.shiftrightunsigned("_h2", 31)))
+    value = (F.shiftrightunsigned("_h3", 32).cast("double") * 4294967296.0 + c("_h3").bitwiseAND(F.lit(0xFFFFFFFF)).cast("double")) / 18446744073709551616.0
+    return df.select(*names, value.alias(out))
+
+
+def counted(df: DataFrame, n: Column, out: str, chunk: int = 10_000) -> DataFrame:
+    """df with n rows for each row, numbered from 0; in two steps, so that no array is longer than the larger of chunk and n / chunk."""
+    df = df.withColumn("_of", n.cast("bigint")).where("_of > 0")
+    df = df.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_of - 1) div {chunk}"))))
+    last = F.least(F.col("_of"), (F.col("_chunk") + 1) * chunk) - 1
+    return df.withColumn(out, F.explode(F.sequence(F.col("_chunk") * chunk, last))).drop("_of", "_chunk")
 
 
 def unboxed(value: float, box: tuple[float, float]) -> float:

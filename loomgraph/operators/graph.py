@@ -1,41 +1,79 @@
 """Directed graphs: strongly connected components, condensation, and edges that make a graph irreducible.
 
-Labels and frontiers are DataFrames; every iteration is a few joins and ends in a written table. Component
-ids are smallest members. Only the condensation's sources and sinks, and the pairs built of them, are
-looked at one by one, in the order of their levels.
+Labels and frontiers are DataFrames; every iteration is a few joins and ends in a written table. What has at most
+LOCAL edges, counted first, is finished in one process: a deep graph needs a round per layer otherwise. Component
+ids are smallest members; nodes are whole numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scalars import ceil_count, f_eta, g_share, keyed_uniform
+from loomgraph.functions.scalars import ceil_count, counted, f_eta, g_share, with_pair_uniform
+from loomgraph.lineage import numbered as ranked
 from loomgraph.lineage import stored
+from loomgraph.operators import local
+
+
+#: Edges up to which a graph, or what is left of it, is finished in one process; measured before anything is collected.
+LOCAL = 1_000_000
+
+
+def _collected(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(node ids, sources, destinations as places among them) of a graph of at most LOCAL edges; else None."""
+    if edges.limit(LOCAL + 1).count() > LOCAL:
+        return None
+    t = edges.select("src", "dst").toArrow()
+    a, b = (t.column(k).to_numpy() for k in (0, 1))
+    ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return ids, place[: len(a)], place[len(a) :]
+
+
+def _table(spark: SparkSession, kind: str, **columns: np.ndarray) -> DataFrame:
+    return spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}), kind)
 
 
 def spread_minimum(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(node, label): the smallest label that reaches each node along edges (src, dst), its own included."""
+    """(node, label): the smallest label that reaches each node along edges (src, dst), its own included. Labels are nodes.
+
+    A round takes the least label before a node, then the label of that label, which reaches the node as well: paths shorten by half.
+    """
     while True:
         got = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("got"))
-        new = labels.join(got, labels["node"] == got["dst"], "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label"), (F.col("got") < F.col("label")).alias("moved"))
+        low = labels.join(got, labels["node"] == got["dst"], "left").select("node", "label", F.least("label", F.coalesce("got", "label")).alias("low"))
+        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
+        new = low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("label"), (F.least("low", F.coalesce("up", "low")) < F.col("label")).alias("moved"))
         new = stored(new)
         labels = new.drop("moved")
         if new.where("moved").isEmpty():
             return labels
 
 
-def reachable(edges: DataFrame, roots: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """(node) reached from roots (node) along edges (src, dst), roots included; only nodes of `within` if given."""
-    seen = front = stored(roots.select("node").distinct())
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) reached from roots (node) along edges (src, dst), roots included."""
+    graph = _collected(edges)
+    if graph is not None:
+        ids, src, dst = graph
+        inside = _table(roots.sparkSession, "node long", node=ids)
+        start = inside.join(roots.select("node"), "node", "left_semi").toArrow().column(0).to_numpy()
+        mark = local.reached(len(ids), src, dst, np.searchsorted(ids, start).tolist())
+        return roots.select("node").union(_table(roots.sparkSession, "node long", node=ids[mark])).distinct()
+    parts = [stored(roots.select("node").distinct())]
     while True:
-        step = edges.join(front, edges["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
-        if within is not None:
-            step = step.join(within, "node", "left_semi")
-        front = stored(step.join(seen, "node", "left_anti"))
+        step = edges.join(parts[-1], edges["src"] == parts[-1]["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        for old in parts:  # frontiers are only ever added to
+            step = step.join(old, "node", "left_anti")
+        front = stored(step)
         if front.isEmpty():
-            return seen
-        seen = stored(seen.unionByName(front))
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(front)
+        if len(parts) > 8:
+            parts = [stored(reduce(DataFrame.unionByName, parts[:-1]), discard=parts[:-1]), front]
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,35 +81,41 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Nodes without an edge in or out are components of their own and go first, repeatedly. The rest is coloured
     by the smallest node that reaches it; what reaches the colour's node within the colour is its component.
+    As soon as at most LOCAL edges are left, one process finishes them.
     """
     left, rest = stored(nodes.select("node").distinct()), stored(edges.where("src <> dst").select("src", "dst").distinct())
-    found = []
+    found = left.limit(0).select("node", F.col("node").alias("comp"))
+
+    def within(rest: DataFrame, left: DataFrame) -> DataFrame:
+        both = rest.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi")
+        return stored(both, discard=[rest])
+
     while True:
+        graph = _collected(rest)
+        if graph is not None:
+            ids, src, dst = graph
+            comp = _table(nodes.sparkSession, "node long, _comp long", node=ids, _comp=ids[local.strong_components(len(ids), src, dst)])
+            return found.unionByName(left.join(comp, "node", "left").select("node", F.coalesce("_comp", "node").alias("comp")))
         # trimming
-        while True:
-            both = rest.select(F.col("src").alias("node")).distinct().intersect(rest.select(F.col("dst").alias("node")).distinct())
-            inner = stored(left.join(both, "node", "left_semi"))
-            alone = left.join(inner, "node", "left_anti")
-            trimmed = stored(alone.select("node", F.col("node").alias("comp")))
-            if trimmed.isEmpty():
-                break
-            found.append(trimmed)
+        both = rest.select(F.col("src").alias("node")).distinct().intersect(rest.select(F.col("dst").alias("node")).distinct())
+        inner = stored(left.join(both, "node", "left_semi"))
+        alone = left.join(inner, "node", "left_anti")
+        trimmed = stored(alone.select("node", F.col("node").alias("comp")))
+        if not trimmed.isEmpty():
+            found = stored(found.unionByName(trimmed), discard=[trimmed])
             left = inner
-            rest = stored(rest.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
-        if left.isEmpty():
-            break
+            rest = within(rest, left)
+            continue
         colour = spread_minimum(rest, left.select("node", F.col("node").alias("label")))
         ends = rest.join(colour.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
         same = stored(ends.where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         back = reachable(same, colour.where("node = label"))
-        part = stored(colour.join(back, "node", "left_semi").select("node", F.col("label").alias("comp")))
-        found.append(part)
+        part = stored(colour.join(back, "node", "left_semi").select("node", F.col("label").alias("comp")), discard=[same])
+        found = stored(found.unionByName(part))
         left = stored(left.join(part, "node", "left_anti"))
-        rest = stored(rest.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
-    out = found[0] if found else left.select("node", F.col("node").alias("comp"))
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+        rest = within(rest, left)
+        if left.isEmpty():
+            return found
 
 
 def component_sizes(comp: DataFrame) -> DataFrame:
@@ -100,6 +144,11 @@ def ends_of(comp: DataFrame, dag: DataFrame) -> DataFrame:
 
 def levels(comps: DataFrame, dag: DataFrame) -> DataFrame:
     """(comp, level): the longest path of the acyclic graph that ends in the component."""
+    graph = _collected(dag)
+    if graph is not None:
+        ids, src, dst = graph
+        found = _table(comps.sparkSession, "comp long, _level long", comp=ids, _level=local.levels(len(ids), src, dst))
+        return comps.select("comp").distinct().join(found, "comp", "left").select("comp", F.coalesce("_level", F.lit(0)).cast("int").alias("level"))
     now = stored(comps.select("comp").distinct().withColumn("level", F.lit(0)))
     while True:
         step = dag.join(now, dag["src"] == now["comp"]).groupBy("dst").agg((F.max("level") + 1).alias("up"))
@@ -129,11 +178,11 @@ def sink_source_pairs(comp: DataFrame, dag: DataFrame) -> DataFrame:
         return empty
     at = ends.join(levels(ends, dag), "comp")
 
-    def numbered(flag: str, name: str) -> DataFrame:
-        # sources and sinks only; the order is global, as the pairing is
-        return stored(at.where(flag).select(F.col("comp").alias(name), (F.row_number().over(Window.orderBy("level", "comp")) - 1).cast("long").alias("_n")))
+    def ends_in_order(flag: str, name: str) -> DataFrame:
+        # the order is global, as the pairing is
+        return stored(ranked(at.where(flag).select("level", F.col("comp").alias(name)), ["level", name], "_n").drop("level"))
 
-    sinks, sources = numbered("is_sink", "a"), numbered("is_source", "b")
+    sinks, sources = ends_in_order("is_sink", "a"), ends_in_order("is_source", "b")
     nk, ns = sinks.count(), sources.count()
     rounds = comp.sparkSession.range(max(nk, ns)).select(F.col("id").alias("pair"))
     for shift in range(1, ns + 3):
@@ -152,46 +201,57 @@ def sink_source_pairs(comp: DataFrame, dag: DataFrame) -> DataFrame:
 
 
 def pair_quotas(pairs: DataFrame, comp: DataFrame, edges: DataFrame, theta: float = 0.05, eta: float = 0.001, gamma: float = 0.25, n0: float = 50.0, eta_g: float = 1.0) -> DataFrame:
-    """pairs with n_a, n_b, absent (pairs of members without an edge), n_keep and n_draw."""
+    """pairs with n_a, n_b, n_there (edges that exist), absent (pairs of members without one), n_keep and n_draw."""
     sizes = component_sizes(comp)
     p = pairs.join(sizes.select(F.col("comp").alias("a"), F.col("size").alias("n_a")), "a").join(sizes.select(F.col("comp").alias("b"), F.col("size").alias("n_b")), "b")
     c = comp.select(F.col("node").alias("src"), F.col("comp").alias("a"))
     d = comp.select(F.col("node").alias("dst"), F.col("comp").alias("b"))
     there = edges.join(c, "src").join(d, "dst").groupBy("a", "b").agg(F.count(F.lit(1)).alias("_there"))
     n = F.least("n_a", "n_b").cast("double")
-    p = p.join(there, ["a", "b"], "left").withColumn("absent", F.col("n_a") * F.col("n_b") - F.coalesce("_there", F.lit(0)))
+    p = p.join(there, ["a", "b"], "left").withColumn("n_there", F.coalesce("_there", F.lit(0))).withColumn("absent", F.col("n_a") * F.col("n_b") - F.col("n_there"))
     p = p.withColumn("_keep", F.greatest(F.lit(1), ceil_count(f_eta(n, theta, eta) * n)))
     p = p.withColumn("n_draw", F.least("absent", F.greatest("_keep", ceil_count(g_share(n, gamma, n0, eta_g) * n))))
-    return p.withColumn("n_keep", F.least("_keep", "n_draw")).select("pair", "a", "b", "n_a", "n_b", "absent", "n_keep", "n_draw")
+    return p.withColumn("n_keep", F.least("_keep", "n_draw")).select("pair", "a", "b", "n_a", "n_b", "n_there", "absent", "n_keep", "n_draw")
 
 
 def candidates(quotas: DataFrame, comp: DataFrame, edges: DataFrame, seed: int = 12345) -> DataFrame:
     """(pair, src, dst): n_draw absent pairs of members of each pair, drawn without replacement.
 
-    Numbers of member pairs are drawn by keyed hashes, as many as may be needed for distinct ones, and
-    looked up in the numbered member table; the product of the members is never made.
+    Numbers of member pairs are drawn by the keyed hash, and looked up in the numbered member table; the product
+    of the members is never made. Where many of them are wanted, all numbers are taken in hashed order; else
+    tries are added, four times as many each round, until every pair has its distinct absent ones.
     """
     members = stored(component_members(comp))
-    want = quotas.where("n_draw > 0").withColumn("_all", F.col("n_a") * F.col("n_b"))
-    # few of many: draw numbers and keep distinct ones; most of them: take every number, in a hashed order
-    dense = F.col("n_draw") * 4 >= F.col("_all")
-    tries = F.when(dense, F.col("_all")).otherwise(F.col("n_draw") * 8 + 64)
-    drawn = want.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)))
-    number = F.when(dense, F.col("_t")).otherwise(F.floor(keyed_uniform("pair", "_t", seed=seed) * F.col("_all")).cast("long"))
-    drawn = drawn.withColumn("_n", number).groupBy("pair", "a", "b", "n_b", "n_draw", "_n").agg(F.min("_t").alias("_t"))
-    drawn = drawn.withColumns({"_i": (F.col("_n") / F.col("n_b")).cast("long") + 1, "_j": F.col("_n") % F.col("n_b") + 1, "_h": F.xxhash64("pair", "_n", F.lit(seed))})
+    want = quotas.where("n_draw > 0").withColumn("_all", F.col("n_a") * F.col("n_b")).withColumn("_dense", F.col("n_draw") * 4 >= F.col("_all") - F.coalesce("n_there", F.lit(0)))
     src = members.select(F.col("comp").alias("a"), F.col("position").cast("long").alias("_i"), F.col("node").alias("src"))
     dst = members.select(F.col("comp").alias("b"), F.col("position").cast("long").alias("_j"), F.col("node").alias("dst"))
-    pairs = drawn.join(src, ["a", "_i"]).join(dst, ["b", "_j"]).where("src <> dst").join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
-    own = Window.partitionBy("pair").orderBy("_h", "_n")
-    return pairs.withColumn("_r", F.row_number().over(own)).where("_r <= n_draw").select("pair", "src", "dst")
+    own = Window.partitionBy("pair").orderBy("_t", "_n")
+    found, factor = None, 8
+    while True:
+        tries = F.when(F.col("_dense"), F.col("_all")).otherwise(F.col("n_draw") * factor + 64)
+        drawn = with_pair_uniform(counted(want, tries, "_t"), "pair", "_t", "_u", seed)
+        # all numbers, in the order of their draws; or drawn ones, the first try of each
+        drawn = drawn.withColumn("_n", F.when(F.col("_dense"), F.col("_t")).otherwise(F.least(F.floor(F.col("_u") * F.col("_all")).cast("long"), F.col("_all") - 1)))
+        drawn = drawn.groupBy("pair", "a", "b", "n_b", "n_draw", "_n").agg(F.min(F.when(F.col("_dense"), F.col("_u")).otherwise(F.col("_t").cast("double"))).alias("_t"))
+        drawn = drawn.withColumns({"_i": F.expr("_n div n_b") + 1, "_j": F.col("_n") % F.col("n_b") + 1})
+        pairs = drawn.join(src, ["a", "_i"]).join(dst, ["b", "_j"]).where("src <> dst").join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+        got = stored(pairs.withColumn("_r", F.row_number().over(own)).where("_r <= n_draw").select("pair", "src", "dst"))
+        found = got if found is None else stored(found.unionByName(got), discard=[found, got])
+        full = found.groupBy("pair").agg(F.count(F.lit(1)).alias("_got"))
+        short = stored(want.join(full, "pair", "left").where(F.coalesce("_got", F.lit(0)) < F.col("n_draw")).drop("_got"))
+        if short.isEmpty():
+            return found
+        if not short.where("_dense").isEmpty():
+            raise ValueError("a pair of components has fewer absent edges than are to be drawn")
+        found = stored(found.join(short.select("pair"), "pair", "left_anti"), discard=[found])
+        want, factor = short, 4 * factor
 
 
 def with_delta(cand: DataFrame, firms: DataFrame, incidence: DataFrame, q: str = "q") -> DataFrame:
     """Candidates with the seller's sector l and delta, the inflow that the edge would add to it."""
     b = firms.select(F.col("id").alias("src"), F.col(q).alias("_q"), F.col("sector").alias("k"))
     s = firms.select(F.col("id").alias("dst"), F.col("sector").alias("l"))
-    both = cand.join(b, "src").join(s, "dst").join(F.broadcast(incidence), ["k", "l"], "left")
+    both = cand.join(b, "src").join(s, "dst").join(incidence, ["k", "l"], "left")
     return both.select("pair", "src", "dst", "l", (F.col("_q") * F.coalesce("w", F.lit(0.0))).alias("delta"))
 
 

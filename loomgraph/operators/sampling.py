@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.scalars import custom_round, keyed_uniform
+from loomgraph.functions.scalars import counted, custom_round, with_pair_uniform
 from loomgraph.sources.bands import BANDS
 
 
@@ -58,8 +58,9 @@ def sample_counts(cell_table: DataFrame, target: int | str, seed: int = 0) -> Da
     top = F.max("_to").over(Window.partitionBy())
     running = running.withColumn("_last", F.col("_to") == top).withColumn("_from", F.col("_from") / top).withColumn("_to", F.col("_to") / top)
     deficit = parts.select("deficit").first()[0]
-    draws = spark.range(max(0, deficit)).select(keyed_uniform("id", seed=seed).alias("u"))
+    draws = with_pair_uniform(spark.range(max(0, deficit)).withColumn("_seed", F.lit(seed)), "id", "_seed", "u").select("u")
     hit = (F.col("u") >= F.col("_from")) & ((F.col("u") < F.col("_to")) | F.col("_last"))
+    # cells are sectors times bands, a bounded table: their ranges go to every task
     extra = draws.join(F.broadcast(running.select("cell", "_from", "_to", "_last")), hit).groupBy("cell").agg(F.count(F.lit(1)).alias("extra"))
     return parts.join(extra, "cell", "left").withColumn("draw", F.col("base") + F.coalesce("extra", F.lit(0))).drop("expected", "base", "remainder", "deficit", "extra")
 
@@ -70,7 +71,7 @@ def expanded(drawn: DataFrame, seed: int = 0) -> DataFrame:
     Numbers come from each cell's offset, so no global sort of firms is needed.
     """
     offset = F.sum("draw").over(Window.orderBy("cell")) - F.col("draw")
-    df = drawn.withColumn("_before", offset).where(F.col("draw") > 0)
-    df = df.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draw")))).withColumn("firm", F.col("_before") + F.col("_k"))
-    size = custom_round(F.col("low") + (F.col("high") - F.col("low")) * keyed_uniform("firm", seed=seed + 1))
+    df = counted(drawn.withColumn("_before", offset), F.col("draw"), "_k").withColumn("firm", F.col("_before") + F.col("_k") + 1)
+    df = with_pair_uniform(df.withColumn("_seed", F.lit(seed + 1)), "firm", "_seed", "_u")
+    size = custom_round(F.col("low") + (F.col("high") - F.col("low")) * F.col("_u"))
     return df.select("firm", F.concat(F.lit("Firm_"), F.col("firm").cast("string")).alias("firm_id"), "sic", "low", "high", size.alias("size"))

@@ -2,8 +2,9 @@
 
 minimise the sum over sectors of (y_l / s_l)**2, y_l = base_l + the deltas of chosen candidates, with exactly
 n_keep candidates of each pair. Frank-Wolfe steps on the relaxation: each takes, for every pair, the
-candidates of smallest gradient, which is itself a whole-number choice; the best choice met is the answer,
-and the relaxation's gap gives a lower bound. Steps are grouped sums and a ranking within pairs.
+candidates of smallest gradient, which is itself a whole-number choice; the best choice met is then improved by
+swaps of a chosen candidate for another of its pair, until none helps. The relaxation's gap gives a lower
+bound. Steps are grouped sums and a ranking within pairs.
 """
 
 from __future__ import annotations
@@ -23,14 +24,32 @@ def objective(inflows: DataFrame) -> float:
     return inflows.agg(F.sum(F.pow(F.col("y") / F.col("s_l"), 2))).first()[0] or 0.0
 
 
-def choose(cand: DataFrame, quotas: DataFrame, sectors: DataFrame, steps: int = 8) -> tuple[DataFrame, float, float]:
-    """(chosen candidates, their objective, lower bound). cand: (pair, src, dst, l, delta); quotas: (pair, n_keep); sectors: (l, s_l, base_l)."""
+def _swapped(rows: DataFrame, sectors: DataFrame) -> DataFrame | None:
+    """rows (with x, 1 for chosen candidates) after the swap that lowers the objective most; None if none does."""
+    y = F.broadcast(stored(_inflows(rows, sectors, "x")))  # a row per sector
+    now = rows.join(y.select("l", "y", "s_l"), "l")
+    sign = F.when(F.col("x") == 1, -1.0).otherwise(1.0)
+    now = now.withColumn("_change", (F.pow(F.col("y") + sign * F.col("delta"), 2) - F.pow("y", F.lit(2.0))) / F.pow("s_l", F.lit(2.0)))
+    pick = lambda x: F.min(F.when(F.col("x") == x, F.struct("_change", "src", "dst", "l", "delta", "y", "s_l")))
+    per = now.groupBy("pair").agg(pick(1.0).alias("e"), pick(0.0).alias("f")).where("e is not null and f is not null")
+    both = F.when(F.col("e.l") == F.col("f.l"), (F.pow(F.col("e.y") - F.col("e.delta") + F.col("f.delta"), 2) - F.pow("e.y", F.lit(2.0))) / F.pow("e.s_l", F.lit(2.0))).otherwise(F.col("e._change") + F.col("f._change"))
+    best = per.withColumn("gain", both).orderBy("gain", "pair").first()
+    if best is None or best["gain"] >= -1e-12:
+        return None
+    at = lambda z: (F.col("pair") == best["pair"]) & (F.col("src") == best[z]["src"]) & (F.col("dst") == best[z]["dst"])
+    return stored(rows.withColumn("x", F.when(at("e"), 0.0).when(at("f"), 1.0).otherwise(F.col("x"))), discard=[rows])
+
+
+def choose(cand: DataFrame, quotas: DataFrame, sectors: DataFrame, steps: int = 8, swaps: int = 20) -> tuple[DataFrame, float, float]:
+    """(chosen candidates, their objective, lower bound). It is an error if a pair has fewer candidates than it has to give. cand: (pair, src, dst, l, delta); quotas: (pair, n_keep); sectors: (l, s_l, base_l)."""
     if not sectors.where("s_l <= 0").isEmpty():
         raise ValueError("every sector needs a positive size")
     sectors = stored(sectors.select("l", "s_l", "base_l"))
     now = stored(cand.join(quotas.select("pair", "n_keep"), "pair").withColumn("x", F.lit(0.0)))
     if now.isEmpty():
         value = objective(sectors.withColumn("y", F.col("base_l")))
+        if not quotas.where("n_keep > 0").isEmpty():
+            raise ValueError("there are no candidates")
         return now.drop("x", "n_keep"), value, value
     best, best_value, bound = None, float("inf"), float("-inf")
     first = True
@@ -50,7 +69,18 @@ def choose(cand: DataFrame, quotas: DataFrame, sectors: DataFrame, steps: int =
                 break
         share = 1.0 if first else 2.0 / (step + 2)
         first = False
-        now = stored(g.withColumn("x", F.col("x") + share * (F.col("z") - F.col("x"))).drop("_g", "_cost", "z"))
+        now = stored(g.withColumn("x", F.col("x") + share * (F.col("z") - F.col("x"))).drop("_g", "_cost", "z"), discard=[now])
+    rows = stored(cand.select("pair", "src", "dst", "l", "delta").join(best.select("pair", "src", "dst", F.lit(1.0).alias("x")), ["pair", "src", "dst"], "left").fillna(0.0, ["x"]))
+    for _ in range(swaps):
+        new = _swapped(rows, sectors)
+        if new is None:
+            break
+        rows = new
+    best = rows.where("x = 1").drop("x")
+    best_value = objective(_inflows(rows, sectors, "x"))
+    wrong = picks_per_pair(best, quotas).where("picked <> n_keep")
+    if not wrong.isEmpty():
+        raise ValueError(f"pairs with another number of edges than asked for: {wrong.limit(5).collect()}")
     return best, best_value, min(bound, best_value)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import graph, gravity, sampling, sectors, selection, weights
+from loomgraph.plans import files
 from loomgraph.sources import fixtures, text
 from loomgraph.sources.bands import BANDS
 
@@ -68,7 +69,7 @@ def code_forms(spark, sf):  # PRJ-03 PRJ-09 PRJ-10 PRJ-08 PRJ-17
     return _rounded(f.withColumn("alpha", S.boxed(S.inverse_sigmoid(F.lit(0.25)), S.ALPHA_BOX)), "alpha")
 
 
-def size_band_cells(spark, sf):  # SRC-01 SRC-02 FLT-01 PRJ-01 AG-01 (total)
+def size_band_cells(spark, sf):  # SRC-02 FLT-01 PRJ-01 AG-01 (total)
     c = sampling.cells(fixtures.firm_counts(spark, sf))
     return c.crossJoin(F.broadcast(c.agg(F.sum("n").alias("total"))))
 
@@ -87,12 +88,7 @@ def sampled_firms(spark, sf):  # SMP-01 SMP-03 SMP-06 WIN-03
     return sampling.expanded(sampling.sample_counts(sampling.cells(fixtures.firm_counts(spark, sf)), TARGET, seed=7), seed=7)
 
 
-def sampled_total(spark, sf):  # SMP-01: the sum is the target, sizes are in their bands
-    s = sampled_firms(spark, sf)
-    return s.agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("size") < F.col("low") - 1) | (F.col("size") > F.col("high") + 1), 1)).alias("outside"))
-
-
-def flow_shares(spark, sf):  # AG-02 AG-03 SRC-04
+def flow_shares(spark, sf):  # AG-02 AG-03
     flows = fixtures.sector_flows(spark, sf)
     both = sectors.max_shares(sectors.column_shares(flows))
     return _rounded(both.select("k", "l", "share", "s"), "share", "s", digits=9)
@@ -103,7 +99,7 @@ def sector_blocks(spark, sf):  # FLT-03 JN-04
 
 
 def common_sector_firms(spark, sf):  # SET-01 FLT-02 JN-01 DST-03
-    flows = fixtures.sector_flows(spark, sf).where("k % 3 <> 0")
+    flows = fixtures.sector_flows(spark, sf)
     firms = fixtures.firms(spark, sf)
     found = sectors.common_sectors(firms, flows, sectors.max_shares(flows))
     kept = sectors.within_sectors(firms, found)
@@ -129,7 +125,7 @@ def distinct_edges(spark, sf):  # DST-01 FLT-04
     return fixtures.edges(spark, sf)
 
 
-def edge_text(spark, sf):  # SRC-06 SRC-07 SNK-02 SNK-03 PRJ-20 FLT-09
+def edge_text(spark, sf):  # SRC-07 SNK-02 SNK-03 PRJ-20 FLT-09
     lines = text.edge_lines(fixtures.line_pairs(spark, sf), flip=True)
     return text.edges_strict(lines.unionByName(spark.createDataFrame([("  ",)], "value string")), flip=True)
 
@@ -139,27 +135,27 @@ def supplier_lists(spark, sf):  # AG-12 SRT-01 SNK-04 SRC-12
     return text.supplier_rows(lines).select("buyer", F.array_join(F.transform("suppliers", lambda x: x.cast("string")), ",").alias("suppliers"))
 
 
-def sector_file(spark, sf):  # SNK-06 SRT-02 SNK-05 SRC-14
+def sector_file(spark, sf):  # SNK-06 SRT-02
     f = fixtures.firms(spark, sf).select("firm_id", F.when(F.col("id") % 9 != 0, F.col("sector").cast("string")).alias("sector"))
     return text.sector_lines(f)
 
 
 def firm_degrees(spark, sf):  # AG-14 GR-01 GR-02
-    return sectors.firm_degrees(fixtures.firms(spark, sf), fixtures.edges(spark, sf, "R"))
+    return sectors.firm_degrees(fixtures.firms(spark, sf), fixtures.edges(spark, sf))
 
 
 def sector_edges(spark, sf):  # AG-14 AG-15
-    e = fixtures.edges(spark, sf, "R")
+    e = fixtures.edges(spark, sf)
     return sectors.sector_edges(fixtures.firms(spark, sf), e).crossJoin(F.broadcast(sectors.node_count(e)))
 
 
 def reference_checks(spark, sf):  # JN-10 DST-04 OP-09
-    firms, e = fixtures.firms(spark, sf), fixtures.edges(spark, sf, "R")
+    firms, e = fixtures.firms(spark, sf), fixtures.edges(spark, sf)
     money = firms.select("id", F.when(F.col("id") % 50 == 0, F.lit(0.0)).otherwise(F.col("size")).alias("size"))
     return sectors.reference_checks(sectors.supplier_arrays(e), money, firms.where("id % 40 <> 0").select("id", "sector"), eps0=0.04)
 
 
-def firm_tolerances(spark, sf):  # JN-11 SRC-15 PRJ-21
+def firm_tolerances(spark, sf):  # JN-11 PRJ-21
     firms = fixtures.firms(spark, sf)
     deltas = firms.where("id % 4 = 0").select(F.col("id").alias("line"), "id", F.when(F.col("id") % 8 == 0, F.lit(-1.0)).otherwise(F.lit(0.25)).alias("delta"))
     return _rounded(sectors.with_tolerance(firms.select("id", "size"), deltas), "low", "high")
@@ -181,11 +177,16 @@ def expected_edges(spark, sf):  # AG-08
 
 def pair_uniforms(spark, sf):  # PRJ-12
     ids = fixtures.firms(spark, sf).select((F.col("id") - 1).alias("i"))
-    pairs = ids.withColumn("j", F.explode(F.array(*(((F.col("i") * m + 7) % 1000).alias("x") for m in (1, 3, 11)))))
+    n = F.broadcast(ids.agg(F.count(F.lit(1)).alias("n")))
+    pairs = ids.crossJoin(n).withColumn("j", F.explode(F.array(*(((F.col("i") * m + 7) % F.col("n")).alias("x") for m in (1, 3, 11))))).select("i", "j")
     return _rounded(S.with_pair_uniform(pairs, "i", "j", "u"), "u", digits=9)
 
 
-def drawn_edges(spark, sf):  # SMP-04 FLT-07
+def undirected_kernel(spark, sf):  # FLT-05
+    return _rounded(gravity.block_sums(_prices(spark, sf), _blocks(spark, sf), PARAMETERS, undirected=True), *gravity.SUMS, digits=5)
+
+
+def drawn_edges(spark, sf):  # SMP-04 FLT-07 SET-02
     return gravity.bernoulli_edges(_prices(spark, sf), _blocks(spark, sf), PARAMETERS)
 
 
@@ -230,13 +231,39 @@ def sink_source_pairs(spark, sf):  # GR-07 GR-08 JN-12 AG-16
     return _pairing(spark, sf)[3]
 
 
-def chosen_candidates(spark, sf):  # GR-09 SMP-05 JN-08 OP-06 AG-17
+def chosen_candidates(spark, sf):  # GR-09 JN-08 AG-17
     nodes, edges, comp, quotas = _pairing(spark, sf)
     firms = _turnover(spark, sf)
     inc = sectors.incidence(fixtures.sector_flows(spark, sf))
     cand = graph.stored(graph.with_delta(graph.candidates(quotas, comp, edges), firms, inc))
     balance = sectors.inflow_balance(firms, edges.select(F.col("src").alias("buyer"), F.col("dst").alias("seller")), inc)
-    return selection.choose(cand, quotas, balance)[0]
+    return _rounded(selection.choose(cand, quotas, balance)[0], "delta")
+
+
+def _sector_pairs(spark, sf):
+    """Sectors in the place of components: each is paired with the next, so that there are many members to draw from."""
+    firms = fixtures.firms(spark, sf)
+    comp = graph.stored(firms.select(F.col("id").alias("node"), F.col("sector").alias("comp")))
+    edges = graph.stored(fixtures.edges(spark, sf).select(F.col("buyer").alias("src"), F.col("seller").alias("dst")))
+    names = [r[0] for r in comp.select("comp").distinct().orderBy("comp").collect()]
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(names, [*names[1:], names[0]], strict=True))], "pair long, a long, b long")
+    return comp, edges, graph.stored(graph.pair_quotas(pairs, comp, edges))
+
+
+def drawn_candidates(spark, sf):  # GR-09 SMP-05 SMP-06 JN-08 AG-16
+    comp, edges, quotas = _sector_pairs(spark, sf)
+    return graph.candidates(quotas, comp, edges).join(quotas.select("pair", "n_there", "absent", "n_keep", "n_draw"), "pair")
+
+
+def sector_choice(spark, sf):  # OP-06 AG-17: each pair serves one sector, so SQL finds the optimum pair by pair
+    comp, edges, quotas = _sector_pairs(spark, sf)
+    firms, inc = _turnover(spark, sf), sectors.incidence(fixtures.sector_flows(spark, sf))
+    one = quotas.withColumn("n_keep", F.lit(1).cast("long"))
+    cand = graph.stored(graph.with_delta(graph.candidates(one, comp, edges), firms, inc))
+    # few edges so far: sectors want more inflow, and mostly not the largest candidate
+    few = edges.where("src % 13 = 0").select(F.col("src").alias("buyer"), F.col("dst").alias("seller"))
+    balance = sectors.inflow_balance(firms, few, inc).withColumn("base_l", F.lit(-0.5))
+    return _rounded(selection.choose(cand, one, balance, swaps=200)[0], "delta")
 
 
 def irreducible_graph(spark, sf):  # GR-10 GR-11 SET-03 PRJ-13
@@ -245,7 +272,7 @@ def irreducible_graph(spark, sf):  # GR-10 GR-11 SET-03 PRJ-13
     more = graph.stored(graph.augmented(nodes, edges, chosen))
     after = graph.strong_components(nodes, more)
     before = comp.agg(F.count_distinct("comp").alias("components_before"))
-    loops = more.agg(F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"))
+    loops = more.agg(F.count(F.lit(1)).alias("n_edges"), F.count(F.when(F.col("src") == F.col("dst"), 1)).alias("self_loops"))
     return before.crossJoin(after.agg(F.count_distinct("comp").alias("components_after"))).crossJoin(loops)
 
 
@@ -254,16 +281,39 @@ def fitted_scale(spark, sf):  # OP-01 AG-08
     try:
         par = gravity.Parameters()
         par.z = fit.solve_scale(par) or float("nan")
-        return spark.createDataFrame([(round(fit.target, 4), round(fit.links(par), 4))], "target double, links double")
+        return spark.createDataFrame([(round(fit.target, 4), round(fit.links(par), 4), round(par.z, 8))], "target double, links double, z double")
+    finally:
+        fit.close()
+
+
+def raked_factors(spark, sf):  # OP-02 OP-03
+    fit = gravity.Fit(_prices(spark, sf), _blocks(spark, sf))
+    try:
+        par = fit.rake(PARAMETERS, steps=2)
+        return spark.createDataFrame([(k, l, round(v, 8)) for (k, l), v in sorted(par.factors.items())], "k long, l long, factor double")
+    finally:
+        fit.close()
+
+
+def model_jacobian(spark, sf):  # OP-10 PRJ-08
+    fit = gravity.Fit(_prices(spark, sf), _blocks(spark, sf))
+    try:
+        names, r, d, blocks = fit.jacobian(PARAMETERS)
+        own = [sum(c for _, at, _, c in blocks if at == i) for i in range(len(r))]  # all factors of a sector together
+        rows = [(int(l), *(round(float(v), 7) + 0.0 for v in (r[i], *d[i], own[i]))) for i, l in enumerate([0, *names])]
+        return spark.createDataFrame(rows, "l long, gap double, by_z double, by_alpha double, by_kappa double, by_own_factor double")
     finally:
         fit.close()
 
 
-def fitted_model(spark, sf):  # OP-02 OP-03 OP-04 OP-05 OP-10
+def fitted_bands(spark, sf):  # OP-03 OP-04 OP-05 SNK-08: an optimum has objective 0 and every sector in its band
     fit = gravity.Fit(_prices(spark, sf), _blocks(spark, sf))
     try:
-        par, violated = fit.run()
-        return spark.createDataFrame([(par.z, par.alpha, par.kappa, fit.links(par), fit.target, violated, fit.evaluations)], "z double, alpha double, kappa double, links double, target double, violated int, evaluations int")
+        par, _ = fit.run()
+        sums = gravity.block_sums(fit.firms, fit.blocks, par)
+        links = sums.agg(F.round(F.sum("p"), 4).alias("links"))
+        out = _rounded(gravity.band_status(sums, sectors.sector_sizes(fit.firms)).select("l", "s_l", "status").crossJoin(links), "s_l")
+        return graph.stored(out)
     finally:
         fit.close()
 
@@ -274,46 +324,66 @@ def _network(spark, sf):
     return graph.stored(fixtures.edges(spark, sf).unionByName(loops)), firms
 
 
-def weight_feasibility(spark, sf):  # OP-09
-    edges, firms = _network(spark, sf)
-    return weights.feasibility(edges, firms, weights.Caps(sector=0.5, eps0=0.04))
+def weight_feasibility(spark, sf):  # OP-09: returned lines only, and firms without size, so that every check has something to find
+    size = F.when((F.col("id") % 50 == 0) | (F.col("sector") == 11), 0.0).otherwise(F.col("size"))
+    firms = fixtures.firms(spark, sf).withColumns({"size": size, "delta": F.when(F.col("id") % 2 == 0, 0.1).otherwise(1.0)})
+    edges = fixtures.edges(spark, sf, "R").join(firms.where("sector <> 12").select(F.col("id").alias("seller")), "seller", "left_semi")
+    return weights.feasibility(edges, firms, weights.Caps(eps0=0.2))
 
 
-def edge_weights(spark, sf):  # OP-07 OP-08 SNK-07
+def edge_weights(spark, sf):  # OP-07 OP-08
     edges, firms = _network(spark, sf)
-    return weights.solve_capped(edges, firms)
+    return _rounded(weights.solve_capped(edges, firms), "weight", digits=5)
 
 
 def edge_weight_residuals(spark, sf):  # AG-18 AG-19 FLT-10 SNK-08
     edges, firms = _network(spark, sf)
-    return weights.residuals(weights.solve_capped(edges, firms), firms)
+    out = weights.residuals(weights.solve_capped(edges, firms), firms)
+    return _rounded(out, "self_sum", "self_square", "energy", digits=5).select(*(F.round(c, 7).alias(c) for c in ("row_miss", "firm_miss", "sector_miss")), "self_sum", "self_square", "energy")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        firm_attributes, code_forms, size_band_cells, allocation_base, expanded_cells, sampled_firms, sampled_total, flow_shares, sector_blocks, common_sector_firms,
+        firm_attributes, code_forms, size_band_cells, allocation_base, expanded_cells, sampled_firms, flow_shares, sector_blocks, common_sector_firms,
         mapping_checks, sector_sizes, sector_inflow_balance, distinct_edges, edge_text, supplier_lists, sector_file, firm_degrees, sector_edges, reference_checks,
-        firm_tolerances, block_kernel, seller_inflow, expected_edges, pair_uniforms, drawn_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
-        condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, irreducible_graph, fitted_scale, fitted_model, weight_feasibility, edge_weights, edge_weight_residuals,
+        firm_tolerances, block_kernel, seller_inflow, expected_edges, undirected_kernel, pair_uniforms, drawn_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
+        condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, drawn_candidates, sector_choice, irreducible_graph, fitted_scale, raked_factors, model_jacobian,
+        fitted_bands, weight_feasibility, edge_weights, edge_weight_residuals,
     )
-}
+} | files.QUERIES
 
 _CELLS = (
     "cells as (select row_number() over (order by length(sic), sic, band) as cell, * from ("
     + " union all ".join(f"select cast(c_nationkey as varchar) as sic, {i} as band, cast({low} as double) as low, cast({high} as double) as high, count(*) as n from orders join customer on c_custkey = o_custkey where o_totalprice * 100 between {low} and {high} group by 1" for i, (_, low, high) in enumerate(BANDS))
     + "))"
 )
-_X = "0.02 * power(greatest(b.s, 1e-15), 0.6e0) * power(greatest(x.q, 1e-15), 0.5e0) * power(greatest(y.q, 1e-15), 0.5e0)"
-_KERNEL = f"""{PRICES}, {PAIRS}, {FLOWS}, {BLOCKS}, px as (select b.k, b.l, x.id as i, y.id as j, x.q as qi, b.i_share, ln(greatest(b.s, 1e-15)) as ls, ln(x.q) + ln(y.q) as lq, {_X} as v
-    from pq x join blocks b on b.k = x.sector join pq y on y.sector = b.l where x.id <> y.id), pr as (select *, case when v > 1e6 then 1.0 else v / (1 + v) end as p from px), pw as (select *, case when v > 1e6 then 0.0 else p * (1 - p) end as w from pr),
-    sums as (select k, l, sum(p) as p, sum(w) as p_z, sum(w * lq) as p_a, sum(w * ls) as p_k, sum(w) as p_l, sum(i_share * qi * p) as e, sum(i_share * qi * w) as e_z, sum(i_share * qi * w * lq) as e_a, sum(i_share * qi * w * ls) as e_k, sum(i_share * qi * w) as e_l from pw group by k, l)"""
+_X = "power(greatest(b.s, 1e-15), 0.6e0) * power(greatest(x.q, 1e-15), 0.5e0) * power(greatest(y.q, 1e-15), 0.5e0)"
+_SETTING = f"{PRICES}, {PAIRS}, {FLOWS}, {BLOCKS}, sizes as (select sector as l, sum(q) as s_l from pq group by 1)"
+
+
+def _sums_of(tag: str = "", factors: str = "", pair: str = "x.id <> y.id", z: float = 0.02) -> str:
+    """CTEs of the kernel at z, 0.5 and 0.6: px, pr and pw by pair, sums by block. factors: a table (k, l, factor)."""
+    times, more = (" * f.factor", f" join {factors} f on f.k = b.k and f.l = b.l") if factors else ("", "")
+    return f"""px{tag} as (select b.k, b.l, x.id as i, y.id as j, x.q as qi, b.i_share, ln(greatest(b.s, 1e-15)) as ls, ln(x.q) + ln(y.q) as lq, {z}{times} * {_X} as v
+    from pq x join blocks b on b.k = x.sector{more} join pq y on y.sector = b.l where {pair}), pr{tag} as (select *, case when v > 1e6 then 1.0 else v / (1 + v) end as p from px{tag}), pw{tag} as (select *, case when v > 1e6 then 0.0 else p * (1 - p) end as w from pr{tag}),
+    sums{tag} as (select k, l, sum(p) as p, sum(w) as p_z, sum(w * lq) as p_a, sum(w * ls) as p_k, sum(w) as p_l, sum(i_share * qi * p) as e, sum(i_share * qi * w) as e_z, sum(i_share * qi * w * lq) as e_a, sum(i_share * qi * w * ls) as e_k, sum(i_share * qi * w) as e_l from pw{tag} group by k, l)"""
+
+
+def _raked(tag: str, sums: str, before: str = "") -> str:
+    """CTE of the factors after one raking step over block sums."""
+    old = f"join {before} b using (k, l)" if before else "cross join (select 1.0e0 as factor) b"
+    return f"""{tag} as (select k, l, greatest(b.factor * exp(0.5 * least(greatest(ln(s_l / sum(e) over w), -3), 3) * greatest(e_l, 0) / sum(greatest(e_l, 0)) over w), 1e-15) as factor
+    from {sums} join sizes using (l) {old} window w as (partition by l))"""
+
+
+_KERNEL = f"{_SETTING}, {_sums_of()}"
 _M = "18446744073709551616::uhugeint"
 
 
-def _uniform(i: str, j: str) -> str:
+def _uniform(i: str, j: str, seed: int = S.PAIR_SEED) -> str:
     """SQL of the pair's uniform number, in unsigned 128-bit arithmetic."""
-    x = f"xor(xor((({i})::uhugeint * {S.PAIR_FACTOR}::uhugeint) % {_M}, (({j})::uhugeint * 2::uhugeint) % {_M}), {S.PAIR_SEED}::uhugeint)"
+    x = f"xor(xor((({i})::uhugeint * {S.PAIR_FACTOR}::uhugeint) % {_M}, (({j})::uhugeint * 2::uhugeint) % {_M}), {seed}::uhugeint)"
     return x
 
 
@@ -326,16 +396,80 @@ def _mixing(source: str, carry: str) -> str:
     )
 
 
+#: Shifts of the pairing are tried in turn: (shift, pair, a, b) of four shifts, and the first that makes the condensation strongly connected.
+_PAIRING = f"""{DAG}, lv(comp, level) as (select distinct comp, 0 from comp union select dst, level + 1 from lv join dag on src = comp), levels as (select comp, max(level) as level from lv group by 1),
+    sink as (select comp, row_number() over (order by level, comp) - 1 as n, count(*) over () as c from levels where comp not in (select src from dag)),
+    source as (select comp, row_number() over (order by level, comp) - 1 as n, count(*) over () as c from levels where comp not in (select dst from dag)),
+    tries as (select shift, r as pair, a.comp as a, case when b0.comp <> a.comp then b0.comp when b1.comp <> a.comp then b1.comp else b2.comp end as b
+        from range(1, 5) t(shift), range((select greatest((select max(c) from sink), (select max(c) from source)))) u(r)
+        join sink a on a.n = r % a.c join source b0 on b0.n = (r + shift) % b0.c join source b1 on b1.n = (r + shift + 1) % b1.c join source b2 on b2.n = (r + shift + 2) % b2.c),
+    net as (select shift, src, dst from dag, range(1, 5) t(shift) union select shift, a, b from tries),
+    fwd(shift, node) as (select shift, (select min(comp) from levels) from range(1, 5) t(shift) union select n.shift, n.dst from fwd f join net n on n.shift = f.shift and n.src = f.node),
+    bwd(shift, node) as (select shift, (select min(comp) from levels) from range(1, 5) t(shift) union select n.shift, n.src from bwd f join net n on n.shift = f.shift and n.dst = f.node),
+    good as (select min(shift) as shift from range(1, 5) t(shift) where (select count(*) from fwd where fwd.shift = t.shift) = (select count(*) from levels) and (select count(*) from bwd where bwd.shift = t.shift) = (select count(*) from levels) and not exists (select 1 from tries where tries.shift = t.shift and a = b)),
+    pairing as (select pair, a, b from tries join good using (shift)), size as (select comp, count(*) as n from comp group by 1)"""
+
+
+def _quotas(pairs: str, comp: str, sizes: str, edges: str, theta: str, eta: str) -> str:
+    """CTE quotas over pairs (pair, a, b)."""
+    return f"""there as (select a.comp as a, b.comp as b, count(*) as n_there from {edges} join {comp} a on a.node = buyer join {comp} b on b.node = seller group by 1, 2),
+    q0 as (select pair, p.a, p.b, x.n as n_a, y.n as n_b, coalesce(n_there, 0) as n_there, x.n * y.n - coalesce(n_there, 0) as absent, least(x.n, y.n)::double as n
+        from {pairs} p join {sizes} x on x.comp = p.a join {sizes} y on y.comp = p.b left join there t on t.a = p.a and t.b = p.b),
+    q1 as (select *, greatest(1, ceil({theta} * (1 - exp(-{eta} * n)) * n)::bigint) as k from q0), q2 as (select *, least(absent, greatest(k, ceil(0.25 * (n / (50.0 + n)) * n)::bigint)) as n_draw from q1),
+    quotas as (select pair, a, b, n_a, n_b, n_there, absent, least(k, n_draw) as n_keep, n_draw from q2)"""
+
+
+_BY_SECTOR = f"""{FIRMS}, {PAIRS}, members as (select sector as comp, id as node, row_number() over (partition by sector order by id) as position from firms), size as (select comp, count(*) as n from members group by 1),
+    named as (select comp, row_number() over (order by comp) - 1 as pair from size), ring as (select x.pair, x.comp as a, y.comp as b from named x join named y on y.pair = (x.pair + 1) % (select count(*) from named)),
+    {_quotas("ring", "members", "size", "edges", "0.05", "0.001")}, tr as (select pair, a, b, n_a * n_b as every, n_b, n_draw, unnest(range(n_draw * 8 + 64)) as t from quotas),
+    h0 as (select pair, a, b, every, n_b, n_draw, t, {_uniform("pair", "t", 12345)} as h from tr), {_mixing("h0", "pair, a, b, every, n_b, n_draw, t")},
+    num as (select pair, a, b, n_b, n_draw, least(floor(u * every)::bigint, every - 1) as n, min(t) as t from h3 group by 1, 2, 3, 4, 5, 6),
+    got as (select pair, x.node as src, y.node as dst, n_draw, row_number() over (partition by pair order by t, n) as r from num join members x on x.comp = a and x.position = n // n_b + 1 join members y on y.comp = b and y.position = n % n_b + 1
+        where x.node <> y.node and not exists (select 1 from edges where buyer = x.node and seller = y.node)), drawn as (select pair, src, dst from got where r <= n_draw)"""
+
+#: Dykstra's cycles over rows, firm bands, sector bands, the sum of self weights and the box, until no constraint is missed by 1e-4.
+_WEIGHTS = f"""{FIRMS}, {PAIRS}, net as (select buyer, seller from edges union all select id, id from firms), m as (select id, price as m, sector from firms),
+    ed as (select buyer, seller, a.m as m, b.m as mj, b.sector as sector, (buyer = seller)::int as own, count(*) over (partition by buyer) as row_v, sum(a.m * a.m) over (partition by seller) as firm_v, sum(a.m * a.m) over (partition by b.sector) as sector_v, (select sum(m.m) from m where m.sector = b.sector) as ms,
+        (select count(*) from m) * 0.1e0 as cap, sum((buyer = seller)::int) over () as n_own from net join m a on a.id = buyer join m b on b.id = seller),
+    it as (select 0 as cycle, *, 0.0e0 as x, 0.0e0 as box, 0.0e0 as fp, 0.0e0 as sp, 0.0e0 as op, 1.0e0 as miss from ed union all
+        select cycle + 1, buyer, seller, m, mj, sector, own, row_v, firm_v, sector_v, ms, cap, n_own, xn, y - xn, fn, sn, onew, greatest(max(fm) over (), max(sm) over (), max(abs(sum_x - 1)) over ()) from (
+        select *, sum(xn) over (partition by buyer) as sum_x from (select *, greatest(0.0e0, least(1.0e0, y)) as xn from (
+        select *, x3 + case when own = 1 then onew - op else 0 end + box as y from (select *, least(0.0e0, (cap - (own_s - op * n_own)) / n_own) as onew from (select *, sum(x3 * own) over () as own_s from (
+        select *, x2 + (sn - sp) * m as x3 from (select *, case when sfree < 0.9 * ms then 0.9 * ms - sfree when sfree > 1.1 * ms then 1.1 * ms - sfree else 0 end / sector_v as sn, case when ss < 0.9 * ms then 0.9 * ms - ss when ss > 1.1 * ms then ss - 1.1 * ms else 0 end / ms as sm from (select *, ss - sp * sector_v as sfree from (
+        select *, sum(m * x2) over (partition by sector) as ss from (
+        select *, x1 + (fn - fp) * m as x2 from (select *, case when ffree < 0.9 * mj then 0.9 * mj - ffree when ffree > 1.1 * mj then 1.1 * mj - ffree else 0 end / firm_v as fn, case when fs < 0.9 * mj then 0.9 * mj - fs when fs > 1.1 * mj then fs - 1.1 * mj else 0 end / mj as fm from (select *, fs - fp * firm_v as ffree from (
+        select *, sum(m * x1) over (partition by seller) as fs from (
+        select *, x + (1 - sum(x) over (partition by buyer)) / row_v as x1 from it where miss > 1e-4 and cycle < 60))))))))))))))),
+    solved as (select buyer, seller, m, mj, sector, ms, own, x from it where cycle = (select max(cycle) from it))"""
+
+_OPTIONS = (
+    ("sampling", "--target-firms", "ALL"), ("sampling", "--seed", "42"), ("fit", "--mean-degree", "25.0"), ("fit", "--band", "0.1"), ("fit", "--resolution", "0.0"),
+    ("irreducible", "--flip-input", "False"), ("irreducible", "--flip-output", "False"), ("irreducible", "--theta", "0.05"), ("irreducible", "--eta", "0.001"), ("irreducible", "--gamma", "0.25"),
+    ("irreducible", "--n0", "50.0"), ("irreducible", "--eta-g", "1.0"), ("irreducible", "--seed", "12345"), ("irreducible", "--normalize-q", "False"), ("irreducible", "--zeta", "None"),
+    ("weights", "--firm-rel", "0.1"), ("weights", "--firm-rel-file", "None"), ("weights", "--sector-rel", "0.1"), ("weights", "--eta1", "0.1"), ("weights", "--eta2", "0.1"), ("weights", "--eps0", "0.0"), ("weights", "--cycles", "60"),
+)
+
+
+def _values(rows, names: str) -> str:
+    return f"select * from (values {', '.join('(' + ', '.join(repr(str(v)) for v in r) + ')' for r in rows)}) t({names})"
+
+
+_ROUNDED = "case when floor(({0} - floor({0})) * 10) = 0 then round_even({0}, 0) else round_even({0}, 1) end"
+_SAMPLED = f"""{_CELLS}, e as (select *, n * ({TARGET}.0::double / (select sum(n) from cells)) as x from cells), p as (select *, floor(x)::bigint as base, x - floor(x) as rem from e),
+    w as (select *, case when (select sum(rem) from p) > 0 then rem else 1.0 end as w from p), c as (select *, sum(w) over (order by cell) as hi from w), t as (select *, (hi - w) / (select max(hi) from c) as lo_u, hi / (select max(hi) from c) as hi_u, hi = (select max(hi) from c) as top from c),
+    d0 as (select i, {_uniform("i", "7")} as h from range((select {TARGET} - sum(base) from p)::bigint) r(i)), {_mixing("d0", "i").replace("h1", "d1").replace("h2", "d2").replace("h3", "d3")},
+    x as (select cell, count(*) as more from d3 join t on u >= lo_u and (u < hi_u or top) group by 1), k as (select cell, sic, low, high, base + coalesce(more, 0) as draw from t left join x using (cell)),
+    f as (select row_number() over (order by cell, j) as firm, sic, low, high from (select *, unnest(range(draw)) as j from k)), g0 as (select firm, sic, low, high, {_uniform("firm", "8")} as h from f),
+    {_mixing("g0", "firm, sic, low, high").replace("h1", "g1").replace("h2", "g2").replace("h3", "g3")}, sampled as (select firm, 'Firm_' || firm as firm_id, sic, low, high, low + (high - low) * u as raw from g3)"""
+
 ORACLE_SQL = {
     "firm_attributes": f"with {TURNOVER} select id, id as number, sector, round(q, 9) as q, round(ln(least(greatest(q, 1e-15), 1.0)), 9) as log_q, id - 1 as position from tq",
     "code_forms": f"with {FIRMS} select id, cast(sector as varchar) as code, sector || '.50' as kept_code, case when floor((price / 8 - floor(price / 8)) * 10) = 0 then round_even(price / 8, 0) else round_even(price / 8, 1) end as rounded, case when id % 3 = 2 then cast(id as double) else 0.0 end as number, round(0.30 + 0.65 * 0.25, 6)::double as alpha from firms",
     "size_band_cells": f"with {_CELLS} select cell, sic, band, low, high, n, (select sum(n)::bigint from cells) as total from cells",
     "allocation_base": f"with {_CELLS}, e as (select cell, n, n * ({TARGET}.0::double / (select sum(n) from cells)) as x from cells) select cell, n, floor(x)::bigint as base, round(x - floor(x), 6) as remainder, {TARGET} - sum(floor(x)::bigint) over ()::bigint as deficit from e",
     "expanded_cells": f"with {_CELLS}, r as (select cell, sic, low, high, unnest(range(n)) as k from cells), f as (select row_number() over (order by cell, k) as firm, * from r) select firm, 'Firm_' || firm as firm_id, sic, low, high from f",
-    "sampled_total": f"select {TARGET}::bigint as n, 0::bigint as outside",
     "flow_shares": f"with {FIRMS}, {PAIRS}, {FLOWS} select k, l, round(flow / sum(flow) over (partition by l), 9) as share, round(flow / max(flow) over (), 9) as s from flows",
     "sector_blocks": f"with {FIRMS}, {PAIRS}, {FLOWS}, {BLOCKS} select k, l, round(s, 9) as s, round(i_share, 9) as i_share from blocks",
-    "common_sector_firms": f"with {FIRMS}, {PAIRS}, {FLOWS} select id, firm_id, sector from firms where sector in (select k from flows where k % 3 <> 0) and sector in (select l from flows where k % 3 <> 0)",
     "mapping_checks": f"with {FIRMS} select count(*) as n_strength, count(*) filter (id % 10 <> 0) as n_mapping, count(*) filter (id % 10 = 0) as unmapped, 0::bigint as unsized, count(*) filter (id % 10 <> 0) as total, count(*) filter (id % 10 <> 0 and id % 7 <> 0) as kept, count(*) filter (id % 10 <> 0 and id % 7 = 0) as dropped from firms",
     "sector_sizes": f"with {TURNOVER} select sector as l, round(sum(q), 6) as s_l from tq group by 1",
     "sector_inflow_balance": f"with {TURNOVER}, {PAIRS}, {FLOWS}, s as (select sector as l, sum(q) as s_l from tq group by 1), b as (select y.sector as l, sum(x.q * case when flow > 0 then 1.0 else 0.0 end) as b_l from edges join tq x on x.id = buyer join tq y on y.id = seller join flows f on f.k = x.sector and f.l = y.sector group by 1) select s.l, round(s_l, 6) as s_l, round(coalesce(b_l, 0), 6) as b_l, round(coalesce(b_l, 0) - s_l, 6) as base_l from s left join b using (l)",
@@ -343,17 +477,10 @@ ORACLE_SQL = {
     "edge_text": f"with {PAIRS} select buyer, seller from edges",
     "supplier_lists": f"with {PAIRS} select buyer, string_agg(cast(seller as varchar), ',' order by seller) as suppliers from edges group by 1",
     "sector_file": f"with {FIRMS} select id || ',' || sector as value from firms where id % 9 <> 0",
-    "firm_degrees": f"with {FIRMS}, {PAIRS_R} select id, coalesce(o, 0)::bigint as out_degree, coalesce(i, 0)::bigint as in_degree from firms left join (select buyer as id, count(*) as o from edges group by 1) using (id) left join (select seller as id, count(*) as i from edges group by 1) using (id)",
-    "sector_edges": f"with {FIRMS}, {PAIRS_R} select sector as l, count(*) as n_edges, (select count(distinct id) from (select buyer as id from edges union all select seller from edges)) as n_nodes from edges join firms on id = seller group by 1",
-    "reference_checks": f"""with {FIRMS}, {PAIRS_R}, nodes as (select buyer as id from edges union select seller from edges) select * from (values
-        ('duplicate_buyer', 0::bigint), ('no_supplier', 0::bigint), ('node_without_row', (select count(*) from nodes where id not in (select buyer from edges))),
-        ('buyer_without_sector', (select count(distinct buyer) from edges where buyer % 40 = 0)), ('size_not_positive', (select count(*) from nodes where id % 50 = 0)),
-        ('id_above_network', (select count(*) from firms where id > (select max(id) from nodes))), ('weights_above_one', (select count(*) from (select buyer from edges group by 1 having count(*) * 0.04e0 > 1)))) t("check", violations)""",
     "firm_tolerances": f"with {FIRMS}, d as (select id, price as size, case when id % 8 = 4 then 0.25 else 0.1 end::double as delta from firms) select id, size, delta, round((1 - delta) * size, 6) as low, round((1 + delta) * size, 6) as high from d",
     "block_kernel": f"with {_KERNEL} select k, l, {', '.join(f'round({s}, 5) + 0.0 as {s}' for s in gravity.SUMS)} from sums",
     "seller_inflow": f"with {_KERNEL}, e as (select l, sum(e) as e from sums group by 1), s as (select sector as l, sum(q) as s_l from pq group by 1) select l, round(e, 5) as e, round(s_l, 5) as s_l, round((e - s_l) / s_l, 5) as error, case when abs((e - s_l) / s_l) <= 0.5 + 1e-12 then 'OK' else 'VIOLATED' end as status from e join s using (l)",
     "expected_edges": f"with {_KERNEL} select round(sum(p), 4) as expected from sums",
-    "pair_uniforms": f"with ij as (select p_partkey as i, unnest([(p_partkey + 7) % 1000, (p_partkey * 3 + 7) % 1000, (p_partkey * 11 + 7) % 1000]) as j from part), h0 as (select i, j, {_uniform('i', 'j')} as h from ij), {_mixing('h0', 'i, j')} select i, j, round(u, 9) as u from h3",
     "drawn_edges": f"with {_KERNEL}, h0 as (select i, j, p, {_uniform('i - 1', 'j - 1')} as h from pr where p > 0), {_mixing('h0', 'i, j, p')} select i as buyer, j as seller from h3 where p >= u",
     "pair_quota_grid": "with g as (select (p_partkey + 1)::double as n from part), k as (select n, greatest(1, ceil(0.05 * (1 - exp(-0.001 * n)) * n))::bigint as n_keep from g) select n::bigint as n, n_keep, greatest(n_keep, ceil(0.25 * power(n / (50.0 + n), 1.0) * n)::bigint) as n_draw from k",
     "scc_labels": f"with recursive {SCC} select node, comp from comp",
@@ -361,7 +488,52 @@ ORACLE_SQL = {
     "condensation_edges": f"with recursive {DAG} select src, dst from dag",
     "condensation_ends": f"with recursive {DAG}, z as (select comp, count(*) as size from comp group by 1), o as (select src as comp, count(*) as o from dag group by 1), i as (select dst as comp, count(*) as i from dag group by 1) select comp, size, coalesce(o, 0)::bigint as out_degree, coalesce(i, 0)::bigint as in_degree, i is null as is_source, o is null as is_sink from z left join o using (comp) left join i using (comp)",
     "topological_levels": f"with recursive {DAG}, p(comp, level) as (select distinct comp, 0 from comp union select dst, level + 1 from p join dag on src = comp) select comp, max(level) as level from p group by 1",
-    "irreducible_graph": f"with recursive {SCC} select count(distinct comp) as components_before, 1::bigint as components_after, (select count(*) from part) as self_loops from comp",
-    "fitted_scale": "select count(*) * 25.0::double as target, count(*) * 25.0::double as links from part",
-    "weight_feasibility": f"with {FIRMS}, {PAIRS}, net as (select buyer, seller from edges union all select id, id from firms) select * from (values ('degree_times_floor', (select count(*) from (select buyer from net group by 1 having count(*) * 0.04e0 > 1))), ('no_inflow', 0::bigint), ('sector_without_edges', 0::bigint), ('sector_size_not_positive', 0::bigint)) t(\"check\", violations)",
+    "common_sector_firms": f"with {FIRMS}, {PAIRS}, {FLOWS} select id, firm_id, sector from firms where sector in (select k from flows) and sector in (select l from flows)",
+    "firm_degrees": f"with {FIRMS}, {PAIRS} select id, coalesce(o, 0)::bigint as out_degree, coalesce(i, 0)::bigint as in_degree from firms left join (select buyer as id, count(*) as o from edges group by 1) using (id) left join (select seller as id, count(*) as i from edges group by 1) using (id)",
+    "sector_edges": f"with {FIRMS}, {PAIRS} select sector as l, count(*) as n_edges, (select count(distinct id) from (select buyer as id from edges union all select seller from edges)) as n_nodes from edges join firms on id = seller group by 1",
+    "reference_checks": f"""with {FIRMS}, {PAIRS}, nodes as (select buyer as id from edges union select seller from edges) select * from (values
+        ('duplicate_buyer', 0::bigint), ('no_supplier', 0::bigint), ('node_without_row', (select count(*) from nodes where id not in (select buyer from edges))),
+        ('buyer_without_sector', (select count(distinct buyer) from edges where buyer % 40 = 0)), ('size_not_positive', (select count(*) from nodes where id % 50 = 0)),
+        ('id_above_network', (select count(*) from firms where id > (select max(id) from nodes))), ('weights_above_one', (select count(*) from (select buyer from edges group by 1 having count(*) * 0.04e0 > 1)))) t("check", violations)""",
+    "pair_uniforms": f"with ij as (select p_partkey as i, unnest([(p_partkey + 7) % n, (p_partkey * 3 + 7) % n, (p_partkey * 11 + 7) % n]) as j from part, (select count(*) as n from part)), h0 as (select i, j, {_uniform('i', 'j')} as h from ij), {_mixing('h0', 'i, j')} select i, j, round(u, 9) as u from h3",
+    "undirected_kernel": f"with {_SETTING}, {_sums_of(pair='y.id > x.id')} select k, l, {', '.join(f'round({s}, 5) + 0.0 as {s}' for s in gravity.SUMS)} from sums",
+    "sampled_firms": f"with {_SAMPLED} select firm, firm_id, sic, low, high, {_ROUNDED.format('raw')} as size from sampled",
+    "sampling_stage": f"with {_SAMPLED} select firm_id, sic, {_ROUNDED.format('raw')} as size from sampled",
+    "firm_count_file": f"with {_CELLS} select cell, sic, band, low, high, n from cells",
+    "firm_sheet": f"with {FIRMS} select firm_id, cast(sector as varchar) as sic, price as size from firms",
+    "sheet_matrix": f"with {FIRMS}, {PAIRS}, {FLOWS}, s as (select distinct sector from firms) select cast(a.sector as varchar) as k, cast(b.sector as varchar) as l, coalesce(round(flow, 2), 0.0) as value from s a cross join s b left join flows on k = a.sector and l = b.sector",
+    "text_matrix": f"with {FIRMS}, {PAIRS}, {FLOWS}, s as (select distinct sector from firms where sector < (select max(sector) from firms)) select 'S;' || a.sector as k, 'S;' || b.sector as l, case when a.sector = b.sector then 0.0 else coalesce(round(flow, 2), 0.0) end as value from s a cross join s b left join flows on k = a.sector and l = b.sector",
+    "edge_file": f"with {PAIRS} select buyer, seller from pairs",
+    "strength_file": f"with {FIRMS} select firm_id, case when id % 5 = 0 or id % 7 = 0 then 0.0 else price end as size from firms",
+    "mapping_file": f"with {FIRMS} select firm_id, cast(sector as varchar) as sic from firms",
+    "money_file": f"with {FIRMS} select id, case when id % 6 = 0 then 0.0 when id % 3 = 0 then 7.25 else price end as size from firms where id <= (select max(id) - 50 from firms)",
+    "sector_codes": f"with {FIRMS} select id, case when id % 3 = 0 then sector + 100 else sector end as sector, (select count(distinct sector) from (select sector from firms union all select sector + 100 from firms where id % 3 = 0)) as n_sectors from firms",
+    "tolerance_file": f"with {FIRMS} select id, case when id % 8 = 4 then 0.25 else 0.1 end::double as delta, 0.1::double as without_file from firms",
+    "weights_file": f"with {PAIRS} select buyer, seller, 1.0::double / count(*) over (partition by buyer) as weight from edges",
+    "missing_files": _values((("error", "failed"), ("skip", "skipped")), "policy, outcome"),
+    "stage_options": _values(_OPTIONS, "stage, option, value"),
+    "refused_options": _values(((*r, "refused") for r in files.REFUSED), "stage, option, value, outcome"),
+    "sink_source_pairs": f"with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')} select * from quotas",
+    "chosen_candidates": f"""with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')}, {TURNOVER}, {_pairs().replace("pairs as", "all_pairs as").replace("edges as", "all_edges as").replace("from pairs", "from all_pairs")}, {FLOWS.replace("from pairs", "from all_pairs")}
+        select pair, x.node as src, y.node as dst, t.sector as l, round(case when flow > 0 then s.q else 0 end, 6) as delta from quotas join comp x on x.comp = a join comp y on y.comp = b join tq s on s.id = x.node join tq t on t.id = y.node left join flows on k = s.sector and l = t.sector where n_draw = n_keep and n_draw = n_a * n_b""",
+    "drawn_candidates": f"with {_BY_SECTOR} select pair, src, dst, n_there, absent, n_keep, n_draw from drawn join quotas using (pair)",
+    "sector_choice": f"""with {_BY_SECTOR}, {TURNOVER.replace(FIRMS + ", ", "")}, {FLOWS}, d as (select pair, src, dst, t.sector as l, case when flow > 0 then s.q else 0.0 end as delta from drawn join tq s on s.id = src join tq t on t.id = dst left join flows on k = s.sector and l = t.sector)
+        select pair, src, dst, l, round(delta, 6) as delta from d qualify row_number() over (partition by pair order by power(delta - 0.5, 2), src, dst) = 1""",
+    "irreducible_graph": f"""with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')}, reached as (select count(*) as n from (select node from fwd join good using (shift)))
+        select (select count(*) from size) as components_before, case when (select n from reached) = (select count(*) from size) then 1 end::bigint as components_after, ((select count(*) from edges) + (select sum(n_keep) from quotas) + (select count(*) from part))::bigint as n_edges, (select count(*) from part) as self_loops""",
+    "fitted_scale": f"""with recursive {_SETTING}, {_sums_of(z=1.0)}, v as materialized (select v, count(*) as n from px group by 1), step(k, z, f, slope) as (select 0, 1.0e0, sum(n * v / (1 + v)) - (select count(*) * 25 from part), sum(n * v / power(1 + v, 2)) from v union all
+        select k + 1, nz, sum(n * nz * v / (1 + nz * v)) - (select count(*) * 25 from part), sum(n * nz * v / power(1 + nz * v, 2)) from (select k, z * exp(greatest(-3.0, least(3.0, -f / slope))) as nz from step where k < 14 and abs(f) > 1e-6), v group by k, nz)
+        select (select count(*) * 25.0::double from part) as target, round(f + (select count(*) * 25.0::double from part), 4) as links, round(z, 8) as z from step order by k desc limit 1""",
+    "raked_factors": f"with {_KERNEL}, {_raked('f1', 'sums')}, {_sums_of('2', 'f1')}, {_raked('f2', 'sums2', 'f1')} select k, l, round(factor, 8) as factor from f2",
+    "model_jacobian": f"""with {_KERNEL}, box as (select (0.5e0 - 0.3) * (0.95 - 0.5e0) / 0.65 as a, (0.6e0 - 0.3) * (0.9 - 0.6e0) / 0.6 as k), n as (select count(*) * 25.0e0 as t from part)
+        select 0::bigint as l, round(sum(p) / t - 1, 7) as gap, round(sum(p_z) / t, 7) as by_z, round(sum(p_a) / t * any_value(box.a), 7) as by_alpha, round(sum(p_k) / t * any_value(box.k), 7) as by_kappa, 0.0::double as by_own_factor from sums, box, n group by t
+        union all select l, round(sum(e) / s_l - 1, 7), round(sum(e_z) / s_l, 7), round(sum(e_a) / s_l * any_value(box.a), 7), round(sum(e_k) / s_l * any_value(box.k), 7), round(sum(e_l) / s_l, 7) from sums join sizes using (l), box group by l, s_l""",
+    "fitted_bands": f"with {_SETTING} select l, round(s_l, 6) as s_l, 'OK' as status, (select count(*) * 25.0::double from part) as links from sizes",
+    "weight_feasibility": f"""with {FIRMS}, {PAIRS_R}, f as (select id, sector, case when id % 50 = 0 or sector = 11 then 0.0 else price end as size, case when id % 2 = 0 then 0.1 else 1.0 end as delta from firms), net as (select buyer, seller from edges join f on id = seller where sector <> 12)
+        select * from (values ('degree_times_floor', (select count(*) from (select buyer from net group by 1 having count(*) * 0.2e0 > 1))), ('no_inflow', (select count(*) from f where delta < 1 and id not in (select seller from net))),
+        ('sector_without_edges', (select count(distinct sector) from f where sector not in (select sector from net join f on id = seller))), ('sector_size_not_positive', (select count(*) from (select sector from f group by 1 having sum(size) <= 0)))) t("check", violations)""",
+    "edge_weights": f"with recursive {_WEIGHTS} select buyer, seller, round(x, 5) + 0.0 as weight from solved",
+    "edge_weight_residuals": f"""with recursive {_WEIGHTS}, fr as (select seller, sum(m * x) as s, any_value(mj) as b from solved group by 1), sr as (select sector, sum(m * x) as s, any_value(ms) as b from solved group by 1)
+        select round((select max(abs(d)) from (select sum(x) - 1 as d from solved group by buyer)), 7) as row_miss, round((select max(greatest(0.9 * b - s, s - 1.1 * b, 0) / b) from fr), 7) as firm_miss, round((select max(greatest(0.9 * b - s, s - 1.1 * b, 0) / b) from sr), 7) as sector_miss,
+        round(sum(x * own), 5) as self_sum, round(sum(x * x * own), 5) as self_square, round(sum(x * x), 5) as energy from solved""",
 }

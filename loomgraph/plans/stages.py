@@ -6,7 +6,7 @@ command line (python -m loomgraph STAGE --help) passes them on.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
@@ -49,6 +49,8 @@ def sample(spark: SparkSession, input_file: str, mapping_out: str, strength_out:
     """Draws firms from a count table and writes mapping and strength; the number of firms."""
     counts = _table(spark, input_file)
     target = "ALL" if str(target_firms).upper() == "ALL" else int(target_firms)
+    if target != "ALL" and target <= 0:
+        raise ValueError("the number of firms must be positive, or ALL")
     firms = stored(sampling.expanded(sampling.sample_counts(sampling.cells(counts), target, seed), seed))
     ordered = firms.orderBy("firm")
     _save(ordered.select(F.col("firm_id").alias("Firm_ID"), F.col("sic").alias("SIC")), mapping_out)
@@ -56,8 +58,10 @@ def sample(spark: SparkSession, input_file: str, mapping_out: str, strength_out:
     return firms.count()
 
 
-def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, edges_out: str, mean_degree: float = gravity.MEAN_DEGREE) -> tuple[gravity.Parameters, int]:
-    """Fits the gravity model, draws edges and writes them; the parameters and the number of sectors out of their band."""
+def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, edges_out: str, mean_degree: float = gravity.MEAN_DEGREE, band: float = gravity.BAND, resolution: float = 0.0) -> tuple[gravity.Parameters, int]:
+    """Fits the gravity model, draws edges and writes them; the parameters and the number of sectors out of their band. A resolution above 0 puts sizes together in steps of log size."""
+    if mean_degree <= 0 or band <= 0 or resolution < 0:
+        raise ValueError("degree and band must be positive, the resolution not negative")
     flows = _matrix(spark, iot).withColumnRenamed("value", "flow")
     shares = _matrix(spark, sij).withColumnRenamed("value", "s")
     found = _mapping(spark, mapping)
@@ -68,7 +72,7 @@ def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, ed
     firms = stored(S.max_normalised(firms, "size", "q"))
     within = lambda t: t.join(common.select(F.col("sector").alias("k")), "k", "left_semi").join(common.select(F.col("sector").alias("l")), "l", "left_semi")
     blocks = stored(sectors.blocks(within(flows), within(shares)))
-    model = gravity.Fit(firms, blocks, degree=mean_degree)
+    model = gravity.Fit(firms, blocks, degree=mean_degree, band=band, resolution=resolution or None)
     try:
         par, violated = model.run()
     finally:
@@ -79,11 +83,15 @@ def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, ed
 
 def make_irreducible(
     spark: SparkSession, edges: str, strength: str, mapping: str, iot: str, edges_out: str, flip_input: bool = False, flip_output: bool = False,
-    theta: float = 0.05, eta: float = 0.001, gamma: float = 0.25, n0: float = 50.0, eta_g: float = 1.0, seed: int = 12345, normalize_q: bool = False,
+    theta: float = 0.05, eta: float = 0.001, gamma: float = 0.25, n0: float = 50.0, eta_g: float = 1.0, seed: int = 12345, normalize_q: bool = False, zeta: float | None = None,
 ) -> tuple[int, int]:
     """Adds edges between components and self-loops, and writes the graph; components before and after."""
-    if min(theta, eta, gamma, n0, eta_g) < 0:
-        raise ValueError("parameters must not be negative")
+    if not 0 < theta < 1:
+        raise ValueError("theta must lie between 0 and 1")
+    if min(eta, gamma, n0, eta_g) <= 0:
+        raise ValueError("eta, gamma, n0 and eta_g must be positive")
+    if zeta is not None:
+        print("zeta is no longer used; eta_g takes its place")
     s, m = _strength(spark, strength), _mapping(spark, mapping)
     odd = sectors.aligned(s, m).first()
     if odd["unmapped"] or odd["unsized"]:
@@ -138,5 +146,5 @@ def solve_weights(
     firms = stored(firms.select("id", "size", "sector", "delta"))
     edges = stored(rows.select("buyer", F.explode("suppliers").alias("seller")))
     w = stored(weights.solve_capped(edges, firms, caps, cycles))
-    text.write_weights(w.withColumn("_n", F.row_number().over(Window.partitionBy("buyer").orderBy("seller"))), weights_out)
+    text.write_weights(w, weights_out)
     return weights.residuals(w, firms, caps).first().asDict()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import csv
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import code, digits, lenient_number
+from loomgraph.lineage import numbered
 
 #: Column names that stand for the same thing, in order of preference.
 FIRM_ALIASES = ("firm_id", "firm id", "firmid", "id")
@@ -78,7 +81,7 @@ def read_edges(spark: SparkSession, path: str, strict: bool = False, n: int | No
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A delimited table with a header as strings: the delimiter is the header's, names are trimmed, quotes doubled in quotes."""
-    head = spark.read.text(path).first()
+    head = spark.read.text(path).where(F.trim("value") != "").first()
     sep = delimiter(head[0] if head else "")
     df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     return df.toDF(*(c.strip().lstrip("﻿").strip() for c in df.columns))
@@ -99,34 +102,35 @@ def read_mapping(spark: SparkSession, path: str) -> DataFrame:
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(k, l, value) of a labelled square matrix: blank lines skipped, a first line `sep=x` honoured, byte order mark dropped.
 
-    Rows are taken in the order of the header's columns; a matrix that isn't square is an error. The
-    header has one name per sector, so it is read by the driver; cells are split by Spark.
+    Rows are taken in the order of the header's columns, their own labels are passed over. With fewer rows than columns
+    the matrix is cut to the sectors that have a row, with a warning; rows beyond the columns are passed over; a row with
+    fewer cells than the header is an error. The header has one name per sector, so the driver reads it; cells are split by Spark.
     """
-    lines = _lines(spark, path).withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.trim("value") != "")
+    lines = _lines(spark, path).withColumn("value", F.regexp_replace("value", "^\ufeff", "")).where(F.trim("value") != "")
     first = lines.orderBy("line").limit(2).collect()
     if not first:
         raise ValueError(f"{path} is empty")
     sep = None
     if first[0]["value"].lower().startswith("sep="):
         sep, first = first[0]["value"][4:5], first[1:]
+    if not first:
+        raise ValueError(f"{path} has no header")
     header = first[0]["value"]
     sep = sep or delimiter(header)
-    schema = ", ".join(f"c{i} string" for i in range(header.count(sep) + 1))
-
-    def cells(df: DataFrame) -> DataFrame:
-        return df.withColumn("_c", F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}))
-
-    names = cells(lines.where(F.col("line") == first[0]["line"])).select("_c.*").first()
-    labels = [c for c in (names or [])][1:]
-    labels = [r[0] for r in spark.createDataFrame([(i, x or "") for i, x in enumerate(labels)], "i int, x string").orderBy("i").select(code(F.col("x"))).collect()]
-    body = cells(lines.where(F.col("line") > first[0]["line"]))
-    n = body.count()
-    if n != len(labels):
-        raise ValueError(f"{path}: {n} rows for {len(labels)} columns")
-    rows = body.withColumn("r", F.row_number().over(Window.orderBy("line")) - 1)  # one row per sector
+    names = next(csv.reader([header], delimiter=sep, skipinitialspace=True))[1:]
+    labels = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(names)], "i int, x string").orderBy("i").select(code(F.col("x"))).collect()]
+    width = len(labels) + 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    body = lines.where(F.col("line") > first[0]["line"]).withColumn("_c", F.from_csv("value", schema, {"sep": sep, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "mode": "PERMISSIVE"}))
+    n = min(body.count(), len(labels))
+    if n < len(labels):
+        print(f"{path}: {n} rows for {len(labels)} columns; cut to {n}")
+    rows = numbered(body, ["line"], "r").where(F.col("r") < n)
+    short = F.raise_error(F.concat(F.lit("fewer cells than columns: "), F.col("value"))).cast("double")
     names_of = F.array(*(F.lit(x) for x in labels))
-    values = F.array(*(lenient_number(F.col(f"_c.c{i + 1}")) for i in range(len(labels))))
-    return rows.select(F.get(names_of, F.col("r")).alias("k"), F.posexplode(values).alias("p", "value")).select("k", F.get(names_of, F.col("p")).alias("l"), "value")
+    # a missing cell is null, an empty one is a zero like any other that is no number
+    values = F.array(*(F.when(F.col(f"_c.c{width - 1}").isNull() & ~F.col("value").endswith(sep), short).otherwise(lenient_number(F.coalesce(F.col(f"_c.c{i + 1}"), F.lit("")))) for i in range(n)))
+    return rows.select(F.get(names_of, F.col("r").cast("int")).alias("k"), F.posexplode(values).alias("p", "value")).select("k", F.get(names_of, F.col("p")).alias("l"), "value")
 
 
 def supplier_rows(lines: DataFrame) -> DataFrame:
