@@ -2,57 +2,16 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
-WORD_BREAKS = " \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Where that setting is missing (tests in local mode) a temporary folder takes its place.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get()
+from loomgraph.lineage import dropped, shared_dir, written
 
+__all__ = ["dropped", "extended", "held_out", "partitions", "shared_dir", "table", "written"]
 
-def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once nothing reads them any more."""
-    for old in tables:
-        spark = old.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-            if "/loomgraph/" in folder:
-                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def written(df: DataFrame, name: str, discard: list[DataFrame] | tuple = ()) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and a lost executor loses nothing.
-
-    Tables in `discard`, which this one replaces, are deleted, and shuffle files of finished jobs are let go.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    del df
-    dropped(*discard)
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+#: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
+WORD_BREAKS = " \t\n\x0b\x0c\r"
 
 
 def partitions(spark: SparkSession) -> int:

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scalars import once
 from loomgraph.llm.common import WORD_BREAKS
 
 #: Bound of the training sample: labelled rows.
@@ -45,11 +46,6 @@ def _blank(c: Column) -> Column:
     return F.btrim(c, F.lit(WORD_BREAKS)) == ""
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are worked out once for each row, however often and in whatever filter they are used: they come from a generator, which the optimiser neither repeats nor moves."""
-    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
-
-
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and the RATIOS.
 
@@ -68,8 +64,8 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.length(F.translate(t, chars, ""))
 
     w, s, n_lines, length, w_chars = (F.col(own + x) for x in ("words", "windows", "lines", "length", "word_chars"))
-    df = _once(docs, **{own + "words": F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), ""), own + "lines": F.filter(F.split(t, "\n"), lambda x: ~_blank(x)), own + "word_chars": without(WORD_BREAKS).cast("long"), own + "length": F.length(t).cast("long")})
-    df = _once(
+    df = once(docs, **{own + "words": F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), ""), own + "lines": F.filter(F.split(t, "\n"), lambda x: ~_blank(x)), own + "word_chars": without(WORD_BREAKS).cast("long"), own + "length": F.length(t).cast("long")})
+    df = once(
         df,
         **{
             own + "n": F.size(w).cast("long"),
@@ -85,7 +81,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = F.sort_array(F.transform(twice, lambda j: F.get(s, j)["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(starts, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    df = _once(df, **{own + "repeat": F.coalesce(F.when(F.size(s) > 1, covered), F.lit(0)).cast("long")})
+    df = once(df, **{own + "repeat": F.coalesce(F.when(F.size(s) > 1, covered), F.lit(0)).cast("long")})
     c = lambda x: F.col(own + x)
     n = F.greatest(c("n"), F.lit(1))
     return df.select(
