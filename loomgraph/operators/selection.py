@@ -25,19 +25,28 @@ def objective(inflows: DataFrame) -> float:
 
 
 def _swapped(rows: DataFrame, sectors: DataFrame) -> DataFrame | None:
-    """rows (with x, 1 for chosen candidates) after the swap that lowers the objective most; None if none does."""
-    y = F.broadcast(stored(_inflows(rows, sectors, "x")))  # a row per sector
+    """rows (with x, 1 for chosen candidates) after swaps that lower the objective; None if none does.
+
+    Of each pair the chosen candidate goes whose loss helps most, and the one comes that fits best without it. Swaps that touch no
+    sector in common are made together, the best ones first; at most one for each sector is looked at by the driver.
+    """
+    y = stored(_inflows(rows, sectors, "x"))
     now = rows.join(y.select("l", "y", "s_l"), "l")
-    sign = F.when(F.col("x") == 1, -1.0).otherwise(1.0)
-    now = now.withColumn("_change", (F.pow(F.col("y") + sign * F.col("delta"), 2) - F.pow("y", F.lit(2.0))) / F.pow("s_l", F.lit(2.0)))
-    pick = lambda x: F.min(F.when(F.col("x") == x, F.struct("_change", "src", "dst", "l", "delta", "y", "s_l")))
-    per = now.groupBy("pair").agg(pick(1.0).alias("e"), pick(0.0).alias("f")).where("e is not null and f is not null")
-    both = F.when(F.col("e.l") == F.col("f.l"), (F.pow(F.col("e.y") - F.col("e.delta") + F.col("f.delta"), 2) - F.pow("e.y", F.lit(2.0))) / F.pow("e.s_l", F.lit(2.0))).otherwise(F.col("e._change") + F.col("f._change"))
-    best = per.withColumn("gain", both).orderBy("gain", "pair").first()
-    if best is None or best["gain"] >= -1e-12:
+    square = lambda d, s: (F.pow(F.col("y") + d, 2) - F.pow("y", F.lit(2.0))) / F.pow(s, F.lit(2.0))
+    gone = now.where("x = 1").withColumn("_c", square(-F.col("delta"), "s_l")).groupBy("pair").agg(F.min(F.struct("_c", "src", "dst", "l", "delta")).alias("e"))
+    left = now.where("x = 0").join(gone, "pair").withColumn("y", F.col("y") - F.when(F.col("l") == F.col("e.l"), F.col("e.delta")).otherwise(0.0))
+    come = left.withColumn("gain", F.col("e._c") + square(F.col("delta"), "s_l")).groupBy("pair").agg(F.min(F.struct("gain", "src", "dst", "l", "e")).alias("f"))
+    best = come.where(F.col("f.gain") < -1e-12).groupBy("f.l").agg(F.min(F.struct("f.gain", "pair", "f")).alias("s")).select("s.*").orderBy("gain", "pair").collect()
+    used, made = set(), []
+    for r in best:
+        if used.isdisjoint((r["f"]["l"], r["f"]["e"]["l"])):
+            used |= {r["f"]["l"], r["f"]["e"]["l"]}
+            made += [(r["pair"], z["src"], z["dst"], x) for z, x in ((r["f"]["e"], 0.0), (r["f"], 1.0))]
+    if not made:
         return None
-    at = lambda z: (F.col("pair") == best["pair"]) & (F.col("src") == best[z]["src"]) & (F.col("dst") == best[z]["dst"])
-    return stored(rows.withColumn("x", F.when(at("e"), 0.0).when(at("f"), 1.0).otherwise(F.col("x"))), discard=[rows])
+    kinds = dict(rows.dtypes)
+    change = rows.sparkSession.createDataFrame(made, f"pair {kinds['pair']}, src {kinds['src']}, dst {kinds['dst']}, _x double")
+    return stored(rows.join(change, ["pair", "src", "dst"], "left").withColumn("x", F.coalesce("_x", "x")).drop("_x").select(rows.columns), discard=[rows])
 
 
 def choose(cand: DataFrame, quotas: DataFrame, sectors: DataFrame, steps: int = 8, swaps: int = 20) -> tuple[DataFrame, float, float]:

@@ -1,12 +1,18 @@
 """Operators of the production-network domain on small hand-made cases."""
 
 import math
+import random
+import time
+from itertools import product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.lineage import numbered
 from loomgraph.operators import graph, gravity, sampling, sectors, selection, weights
+from loomgraph.sources import fixtures
 from loomgraph.sources.bands import BANDS
 
 
@@ -94,6 +100,61 @@ def test_components(spark, n, edges, want):
     assert {r["node"]: r["comp"] for r in components(spark, n, edges)[2].collect()} == want
 
 
+def test_components_by_tables(spark, monkeypatch):
+    """The rounds that larger graphs go through give the same components, levels and reach as one process."""
+    rng = random.Random(3)
+    edges = [(rng.randint(1, 30), rng.randint(1, 30)) for _ in range(36)]
+    nodes, e, comp = components(spark, 30, edges)
+    want = sorted(map(tuple, comp.collect()))
+    dag = graph.stored(graph.condensation(comp, e))
+    levels = sorted(map(tuple, graph.levels(graph.component_sizes(comp), dag).collect()))
+    reach = sorted(graph.reachable(e, nodes.where("node = 1")).collect())
+    monkeypatch.setattr(graph, "LOCAL", 3)
+    assert sorted(map(tuple, components(spark, 30, edges)[2].collect())) == want
+    assert sorted(map(tuple, graph.levels(graph.component_sizes(comp), dag).collect())) == levels
+    assert sorted(graph.reachable(e, nodes.where("node = 1")).collect()) == reach
+
+
+def test_deep_graphs(spark):
+    n = 10_000
+    nodes = spark.range(1, n + 1).select(F.col("id").alias("node"))
+    path = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    began = time.time()
+    comp = graph.stored(graph.strong_components(nodes, path))
+    assert comp.where("node = comp").count() == n
+    level = graph.levels(comp.select("comp"), path)
+    assert level.agg(F.max("level")).first()[0] == n - 1
+    assert graph.sink_source_pairs(comp, path).count() == 1
+    assert time.time() - began < 60
+
+
+def test_numbers_follow_a_global_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"), F.lit("a").alias("y"))
+    got = [(r["x"], r["n"]) for r in numbered(df.repartition(7), ["x"], "n").collect()]
+    assert sorted(got) == [(x, i) for i, x in enumerate(sorted(x for x, _ in got))]
+
+
+def test_too_few_absent_edges_are_an_error(spark):
+    nodes, edges, comp = components(spark, 4, [(1, 2), (2, 1), (3, 4), (4, 3), (1, 3)])
+    quotas = spark.createDataFrame([(0, 1, 3, 2, 2, 1, 3, 1, 4)], "pair long, a long, b long, n_a long, n_b long, n_there long, absent long, n_keep long, n_draw long")
+    assert graph.candidates(quotas.withColumn("n_draw", F.lit(3)), comp, edges).count() == 3
+    with pytest.raises(ValueError, match="fewer absent"):
+        graph.candidates(quotas, comp, edges)
+
+
+def test_draws_go_on_until_there_are_enough(spark):
+    """Nearly all pairs of two components are edges already, so first tries miss."""
+    n = 60
+    comp = spark.range(2 * n).select(F.col("id").alias("node"), (F.col("id") >= n).cast("long").alias("comp"))
+    every = comp.where("comp = 0").select(F.col("node").alias("src")).crossJoin(comp.where("comp = 1").select(F.col("node").alias("dst")))
+    edges = graph.stored(every.where("(src * 31 + dst * 17) % 97 <> 0"))
+    free = n * n - edges.count()
+    quotas = spark.createDataFrame([(0, 0, 1, n, n, n * n - free, free, 1, free // 5)], "pair long, a long, b long, n_a long, n_b long, n_there long, absent long, n_keep long, n_draw long")
+    got = graph.candidates(quotas, comp, edges)
+    assert got.count() == got.distinct().count() == free // 5 > 0
+    assert got.join(edges, ["src", "dst"]).isEmpty()
+
+
 def test_graph_becomes_irreducible(spark):
     nodes, edges, comp = components(spark, 6, [(1, 2), (2, 3), (4, 5), (5, 4)])
     dag = graph.stored(graph.condensation(comp, edges))
@@ -148,7 +209,7 @@ def test_fit_and_draw(spark):
     firms, blocks = firms_and_blocks(spark)
     fit = gravity.Fit(firms, blocks, degree=5.0)
     try:
-        par, violated = fit.run(more=3)
+        par, violated = fit.run(rounds=1, more=1, steps=6)
         assert abs(fit.links(par) - 200) <= 1e-5
         drawn = gravity.bernoulli_edges(firms, blocks, par)
         n = drawn.count()
@@ -158,6 +219,79 @@ def test_fit_and_draw(spark):
         fit.close()
 
 
+def test_sizes_in_steps_keep_the_error_bound(spark):
+    firms, blocks = firms_and_blocks(spark, n=120)
+    firms = firms.withColumn("q", F.col("q") * (1 + F.col("id") / 500))
+    par = gravity.Parameters(0.3)
+    exact = {(r["k"], r["l"]): r["p"] for r in gravity.block_sums(firms, blocks, par).collect()}
+    near = gravity.block_sums(firms, blocks, par, resolution=0.05).collect()
+    assert gravity.size_groups(firms, "q", 0.05).count() < gravity.size_groups(firms).count()
+    assert all(abs(r["p"] / exact[(r["k"], r["l"])] - 1) <= gravity.error_bound(par.alpha, 0.05) for r in near)
+    one = gravity.block_sums(firms, blocks, par, slices=1).collect()
+    assert all(r["p"] == pytest.approx(exact[(r["k"], r["l"])]) for r in one)
+
+
+def test_fit_moves_exponents_and_factors(spark):
+    """Bands that no scale, and no factor for whole sectors, can meet at the first exponents."""
+    firms = fixtures.firms(spark, "/root/testdata/sf0.001")
+    firms = S.max_normalised(firms, "size", "q")
+    flows = fixtures.sector_flows(spark, "/root/testdata/sf0.001")
+    blocks = sectors.blocks(flows, sectors.max_shares(flows))
+    fit = gravity.Fit(firms, blocks)
+    try:
+        start = gravity.Parameters()
+        start.z = fit.solve_scale(start)
+        assert fit.violations(start) > 0
+        par, violated = fit.run()
+        assert violated == 0 and (par.alpha, par.kappa) != (0.5, 0.6)
+        assert S.ALPHA_BOX[0] < par.alpha < S.ALPHA_BOX[1] and S.KAPPA_BOX[0] < par.kappa < S.KAPPA_BOX[1]
+        # the same sums by hand
+        f = [(r["id"], r["sector"], r["q"]) for r in firms.collect()]
+        by = {(r["k"], r["l"]): (r["s"], r["i_share"]) for r in blocks.collect()}
+        links, inflow, size = 0.0, {}, {}
+        for i, k, q in f:
+            size[k] = size.get(k, 0.0) + q
+            for j, l, p in f:
+                if i != j and (k, l) in by:
+                    x = par.z * par.factors.get((k, l), 1.0) * by[(k, l)][0] ** par.kappa * (q * p) ** par.alpha
+                    links += x / (1 + x)
+                    inflow[l] = inflow.get(l, 0.0) + by[(k, l)][1] * q * x / (1 + x)
+        assert links == pytest.approx(25 * len(f), abs=1e-4)
+        assert all(abs(inflow[l] / size[l] - 1) <= 0.1 + 1e-9 for l in size)
+    finally:
+        fit.close()
+
+
+def test_weights_meet_the_conditions_of_the_optimum(spark):
+    """Within the tolerance, every weight is the sum of its constraints' prices: no other weights have less energy."""
+    rng = random.Random(5)
+    edges = sorted({(b, s) for b in range(30) for s in [b, *rng.sample(range(30), 9)]})
+    size = [rng.uniform(1, 1.6) for _ in range(30)]
+    e = spark.createDataFrame(edges, "buyer long, seller long")
+    firms = spark.createDataFrame([(i, size[i], i % 3, 0.15) for i in range(30)], "id long, size double, sector long, delta double")
+    got = {(r["buyer"], r["seller"]): r["weight"] for r in weights.solve(e, firms, cycles=200, tolerance=1e-7).collect()}
+    b, s = (np.array(x) for x in zip(*edges, strict=True))
+    x, m = np.array([got[k] for k in edges]), np.array(size)
+    rows = np.zeros((30, len(b)))
+    rows[b, np.arange(len(b))] = 1
+    firm = np.zeros((30, len(b)))
+    firm[s, np.arange(len(b))] = m[b]
+    sector = np.array([firm[np.arange(30) % 3 == k].sum(0) for k in range(3)])
+    total = np.array([m[np.arange(30) % 3 == k].sum() for k in range(3)])
+    assert np.abs(rows @ x - 1).max() < 1e-5
+    a, low, high = np.vstack([firm, sector]), np.concatenate([0.85 * m, 0.9 * total]), np.concatenate([1.15 * m, 1.1 * total])
+    flow = a @ x
+    assert (flow >= low - 1e-4).all() and (flow <= high + 1e-4).all()
+    at_low, at_high = flow < low + 1e-4, flow > high - 1e-4
+    inside = x > 1e-6
+    own = (b == s).astype(float)
+    assert own @ x <= 3 + 1e-4
+    base = np.vstack([rows, a[at_low | at_high], *([own] if own @ x > 3 - 1e-4 else [])])
+    price = np.linalg.lstsq(base[:, inside].T, x[inside], rcond=None)[0]
+    assert np.abs(base[:, inside].T @ price - x[inside]).max() < 1e-3
+    assert (base[:, ~inside].T @ price <= 1e-3).all()
+
+
 def test_weights(spark):
     edges = [(b, s) for b in range(1, 7) for s in range(1, 7) if (b * s) % 4 != 3] + [(7, 1)]
     e = spark.createDataFrame(edges, "buyer long, seller long")
@@ -195,6 +329,30 @@ def test_selection(spark):
     assert all(r["n_keep"] == r["picked"] for r in selection.picks_per_pair(chosen, quotas).collect())
     with pytest.raises(ValueError):
         selection.choose(cand, quotas, sizes.withColumn("s_l", F.lit(0.0)))
+    with pytest.raises(ValueError, match="another number"):
+        selection.choose(cand, quotas.withColumn("n_keep", F.lit(3).cast("long")), sizes)
+    with pytest.raises(ValueError, match="no candidates"):
+        selection.choose(cand.limit(0), quotas, sizes)
+
+
+def test_selection_against_all_choices(spark):
+    rng = random.Random(2)
+    cand = [(p, p * 10 + k, 100 + k, rng.randrange(3), round(rng.uniform(0, 2), 3)) for p in range(5) for k in range(4)]
+    base, size = [-2.0, 0.5, -1.0], [1.0, 2.0, 1.5]
+
+    def cost(picked):
+        y = list(base)
+        for _, _, _, l, d in picked:
+            y[l] += d
+        return sum((v / s) ** 2 for v, s in zip(y, size, strict=True))
+
+    best = min(cost(x) for x in product(*([c for c in cand if c[0] == p] for p in range(5))))
+    df = spark.createDataFrame(cand, "pair long, src long, dst long, l long, delta double")
+    quotas = spark.createDataFrame([(p, 1) for p in range(5)], "pair long, n_keep long")
+    sizes = spark.createDataFrame([(l, size[l], base[l]) for l in range(3)], "l long, s_l double, base_l double")
+    chosen, value, bound = selection.choose(df, quotas, sizes)
+    assert bound <= best + 1e-9 <= value + 2e-9 and value <= best * 1.25 + 1e-3
+    assert value == pytest.approx(cost([tuple(r) for r in chosen.select("pair", "src", "dst", "l", "delta").collect()]))
 
 
 def test_tolerance_last_wins(spark):

@@ -42,8 +42,15 @@ def test_matrix(spark, tmp_path):
     p = write(tmp_path, "iot.csv", '﻿sep=;\n\nx;"1.0";2\n1;0,5;-3\n2;4;\n')
     got = {(r["k"], r["l"]): r["value"] for r in text.read_matrix(spark, p).collect()}
     assert got == {("1", "1"): 0.0, ("1", "2"): 0.0, ("2", "1"): 4.0, ("2", "2"): 0.0}
+    # fewer rows than columns: cut to the sectors that have one
+    assert [tuple(r) for r in text.read_matrix(spark, write(tmp_path, "r.csv", "x,1,2\n1,4,1\n")).collect()] == [("1", "1", 4.0)]
+    # quoted names may hold the delimiter, and quotes
+    p = write(tmp_path, "q.csv", 'x, "Agri, forestry","B ""b""" \n"1, a",1,2\n2, 3 ,"4"\n')
+    assert {(r["k"], r["l"]): r["value"] for r in text.read_matrix(spark, p).collect()} == {("Agri, forestry", "Agri, forestry"): 1.0, ("Agri, forestry", 'B "b"'): 2.0, ('B "b"', "Agri, forestry"): 3.0, ('B "b"', 'B "b"'): 4.0}
+    with pytest.raises(PySparkException, match="fewer cells"):
+        text.read_matrix(spark, write(tmp_path, "s.csv", "x,1,2\n1,4,1\n2,1\n")).collect()
     with pytest.raises(ValueError):
-        text.read_matrix(spark, write(tmp_path, "r.csv", "x,1,2\n1,0,1\n"))
+        text.read_matrix(spark, write(tmp_path, "e.csv", "\n"))
 
 
 def test_network_money_sectors(spark, tmp_path):
