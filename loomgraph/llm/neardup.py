@@ -30,15 +30,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import dropped, written
+from loomgraph.llm.common import dropped, partitions, written
 
 BANDS, ROWS = 32, 4
 #: One-permutation samples, and bits of the parity bitmap.
 BINS, BITS = 512, 1024
-#: Comparisons with one member of each band before the rest is compared in full.
+#: Comparisons with one member of each band before the rest is compared in full; the last are left out where few links are left to find.
 STARS = 3
-#: Members on each side of a tile.
-BLOCK = 4096
+#: Members on each side of a tile, and their shingles: full sets of at most so many come to one task.
+BLOCK, WEIGHT = 2048, 4_000_000
 #: Standard deviations by which the sketches may be off.
 MARGIN = 4.5
 #: Partners of one member in a tile that leave it as pairs; more are confirmed within the tile.
@@ -167,13 +167,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label around a node, then the label of that label, so paths shorten by half.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", clean=False)
+    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels", clean=False)
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
-        new = written(low.join(up, "low").select("node", F.col("label").alias("_was"), F.least("low", "up").alias("label")), "labels", discard=[labels])
+        new = written(low.join(up, "low").select("node", F.col("label").alias("_was"), F.least("low", "up").alias("label")), "labels", discard=[labels], clean=False)
         moved = new.where(F.col("label") != F.col("_was")).limit(1).count()
         labels = new.drop("_was")
         if not moved:
@@ -246,16 +246,17 @@ def _settled(table: pa.Table, percent: int) -> pa.Table:
 
 
 def _tiles(now: DataFrame) -> DataFrame:
-    """Members (band, id, label) of bands with several components, once for each tile: left, right, side, inner.
+    """Members (band, id, label, n_shingles) of bands with several components, once for each tile: left, right, side, inner.
 
     Members outside of the band's largest component are minor. They are cut into m chunks, the others into b
-    blocks: tile (i, r) has chunk i on the left and, on the right, block r if r < b, else chunk r - b. Chunks meet
+    blocks, so many that neither the members of one nor their shingles are too much for a task: tile (i, r) has chunk i on the left and, on the right, block r if r < b, else chunk r - b. Chunks meet
     themselves and each later one; with one chunk that happens in tile (0, 0).
     """
-    count = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    per = count.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    size = lambda n: F.ceil(n / BLOCK).cast("int")
-    per = written(per.select("band", F.col("top.label").alias("major"), size(F.col("top.n")).alias("b"), size(F.col("all") - F.col("top.n")).alias("m")), "open-bands")
+    count = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+    per = count.groupBy("band").agg(F.max(F.struct("n", "label", "weight")).alias("top"), F.sum("n").alias("all"), F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    size = lambda n, weight: F.ceil(F.greatest(n / BLOCK, weight / WEIGHT)).cast("int")
+    per = per.select("band", F.col("top.label").alias("major"), size(F.col("top.n"), F.col("top.weight")).alias("b"), size(F.col("all") - F.col("top.n"), F.col("weight") - F.col("top.weight")).alias("m"))
+    per = written(per, "open-bands", clean=False)
     one = now.join(per, "band").withColumn("minor", F.col("label") != F.col("major")).withColumn("_c", F.pmod(F.xxhash64("id"), F.when(F.col("minor"), F.col("m")).otherwise(F.col("b"))).cast("int"))
     c, b, m = F.col("_c"), F.col("b"), F.col("m")
 
@@ -280,12 +281,12 @@ def _relabelled(labels: DataFrame, links: DataFrame, old: DataFrame) -> DataFram
     """labels (id, label) after links (a, b) between ids."""
     a = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
     b = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-    edges = written(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), "label-edges")
+    edges = written(links.join(a, "a").join(b, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct(), "label-edges", clean=False)
     if edges.isEmpty():
         return labels
     to = components(edges)
     new = labels.join(to, labels["label"] == to["node"], "left").select("id", F.coalesce(to["label"], labels["label"]).alias("label"))
-    return written(new, "labels", discard=[old, to, edges])
+    return written(new, "labels", discard=[old, to, edges], clean=False)
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,10 +296,11 @@ def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "
     same = ["n_shingles", "set1", "set2"]
     first = written(some.groupBy(*same).agg(F.min(key).alias("id")), "classes")
     reps = written(some.join(first.select("id"), some[key] == F.col("id"), "left_semi").select(F.col(key).alias("id"), "n_shingles", "bands", "sketch", "samples").dropDuplicates(["id"]), "representatives")
-    in_bands = reps.select("id", F.explode("bands").alias("band"))
+    in_bands = reps.select("id", "n_shingles", F.explode("bands").alias("band"))
     shared = in_bands.groupBy("band").agg((F.min("id") < F.max("id")).alias("_several")).where("_several").select("band")
     members = written(in_bands.join(shared, "band"), "members")
-    labels = written(members.select("id", F.col("id").alias("label")).distinct(), "labels")
+    labels = written(members.select("id", F.col("id").alias("label")).distinct(), "labels", clean=False)
+    several = labels.count()
     sets = written(set_rows(docs, labels.select("id"), size, key, text), "sets")
     light = reps.select("id", "n_shingles", "sketch", "samples")
 
@@ -310,20 +312,25 @@ def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "
         centre = now.groupBy("band").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "label")).alias("c"), (F.min("label") < F.max("label")).alias("open")).where("open").select("band", F.col("c.id").alias("a"), F.col("c.label").alias("la"))
         pairs = now.join(centre, "band").where(F.col("label") != F.col("la")).select("a", F.col("id").alias("b")).distinct()
         pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(may_link(percent)).select("a", "b")
-        links = written(confirmed(pairs, sets, percent), "links")
-        if links.isEmpty():
+        links = written(confirmed(pairs, sets, percent), "links", clean=False)
+        found = links.count()
+        if found:
+            labels = _relabelled(labels, links, labels)
+        dropped(links)
+        if found * 50 < several:
             break
-        labels = _relabelled(labels, links, labels)
     full = reps.select("id", "n_shingles", "bands", "sketch", "samples")
     tiles = written(_tiles(members.join(labels, "id")), "tiles")
-    pairs = tiles.join(full, "id").groupBy(*TILE).applyInArrow(lambda t: _candidates(t, percent), f"a long, b long, {TILE_SCHEMA}")
+    # as many tasks as the session has partitions: tiles are small tables with much to compare, and not to be put together by size
+    spread = partitions(docs.sparkSession)
+    pairs = tiles.join(full, "id").repartition(spread, *TILE).groupBy(*TILE).applyInArrow(lambda t: _candidates(t, percent), f"a long, b long, {TILE_SCHEMA}")
     pairs = written(pairs, "pairs")
     links = confirmed(pairs.where("a <> b").select("a", "b").distinct(), sets, percent)
     # members with many partners: their tiles once more, with full sets
     many = pairs.where("a = b").select(*TILE, F.col("a").alias("id"), F.lit(True).alias("many"))
     again = tiles.join(many.select(*TILE).distinct(), list(TILE)).join(many, [*TILE, "id"], "left").withColumn("many", F.coalesce("many", F.lit(False)))
-    again = again.join(full, "id").join(sets, "id").groupBy(*TILE).applyInArrow(lambda t: _settled(t, percent), "a long, b long")
-    links = written(links.unionByName(again), "links")
+    again = again.join(full, "id").join(sets, "id").repartition(spread, *TILE).groupBy(*TILE).applyInArrow(lambda t: _settled(t, percent), "a long, b long")
+    links = written(links.unionByName(again), "links", clean=False)
     if not links.isEmpty():
         labels = _relabelled(labels, links, labels)
     to = first.join(labels, "id", "left").select(*same, F.coalesce("label", "id").alias("_to"))
