@@ -22,17 +22,19 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Shingle size and similarity (per cent) of near duplicates.
 SHINGLE, PERCENT = 5, 80
 #: Words that packing remembers: workers keep them while other stages need the memory.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Language predictions that are less sure than this are rejected.
 LEAST_SCORE = 0.5
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and no learned rule rejects. Null and empty texts fail the base rules; without labels nothing is learned."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.judged(docs.select(*COLUMNS), rules).where("kept").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with some certainty. Texts without a letter go; where no language is known at all, every document does."""
     docs = docs.select(*COLUMNS)
     model = language.fit(language.sample(docs, ~held_out(F.col("doc_id"))))
     known = language.identify(docs, model)
@@ -40,17 +42,20 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates. Rows of one id stand or fall together; null ids stay."""
     docs = docs.select(*COLUMNS)
     gone = neardup.classes(docs, size=SHINGLE, percent=PERCENT).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a document with a smaller id has, too, and n_chars to match. Null texts stay null, and so does their n_chars."""
     kind = docs.schema["n_chars"].dataType
     return worddup.cleaned(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast(kind)).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places; null and empty texts are one piece of their end id."""
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
