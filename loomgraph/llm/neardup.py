@@ -317,7 +317,7 @@ def classes(docs: DataFrame, size: int = 5, percent: int = PERCENT, key: str = "
         if found:
             labels = _relabelled(labels, links, labels)
         dropped(links)
-        if found * 50 < several:
+        if found * 10 < several:
             break
     full = reps.select("id", "n_shingles", "bands", "sketch", "samples")
     tiles = written(_tiles(members.join(labels, "id")), "tiles")

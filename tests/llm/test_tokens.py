@@ -114,6 +114,20 @@ def test_shortest_pack_first_places_everything():
         packing.shortest_pack_first({5000: 1})
 
 
+def test_ranks_and_places_on_any_plan(make, corpus, monkeypatch):
+    """Few or many salts, places broadcast or joined: pieces fill the same sequences without a gap."""
+    keep = lambda: sorted((r["doc_id"] or -1, r["start"], r["length"], r["ids_crc32"]) for r in packing.packed(make(corpus), WORDS).collect())
+    want = keep()
+    monkeypatch.setattr(packing, "SALTS", 1)
+    monkeypatch.setattr(packing, "RANKED", 2)
+    monkeypatch.setattr(packing, "FEW_PLACES", 0)
+    assert keep() == want
+    packs = defaultdict(list)
+    for r in packing.packed(make(corpus), WORDS).collect():
+        packs[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(packing.gaps(spans) == [] for spans in packs.values())
+
+
 def test_empty(make):
     assert packing.packed(make([]), WORDS).count() == 0
     assert bpe.digests(make([]), RANKS, P.PATTERN).count() == 0
