@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import extended
+from loomgraph.llm.common import dropped, extended, written
 
 DIMS = 1 << 13
 #: Bound of the training sample: texts per language.
@@ -163,9 +163,11 @@ def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
     usable = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     # a hash lets through about three times as many ids as are wanted, so few are ranked however many rows there are
     rate = usable.groupBy(lang).agg(F.least(F.lit(1.0), 3.0 * per_language / F.count(F.lit(1)) + 1e-9).alias("_rate"))
+    # both tables are written, so Spark knows their sizes and sends them to every task only if they are small
+    rate = written(rate, "rates", clean=False)
     some = usable.select(key, lang).join(rate, lang).where(F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string"), F.lit(1)), 11).cast("double") / float(1 << 53) <= F.col("_rate"))
-    # at most PER_LANGUAGE ids for each language: Spark measures them and sends them to every task if they are few
     ids = some.select(key, lang).withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= per_language).select(key).distinct()
+    ids = written(ids, "sample-ids", clean=False)
     chosen = usable.join(ids, key, "left_semi").select(lang, text)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,6 +184,7 @@ def sample(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "places", "values"])
 
     rows = chosen.mapInArrow(features, "lang string, places array<int>, values array<float>").toArrow()
+    dropped(rate, ids)
     return [(name, at.values.to_numpy(), v.values.to_numpy()) for name, at, v in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2), strict=True)]
 
 

@@ -63,41 +63,43 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     def without(chars: str) -> Column:
         return F.length(F.translate(t, chars, ""))
 
-    w, s, n_lines, length, w_chars = (F.col(own + x) for x in ("words", "windows", "lines", "length", "word_chars"))
-    df = once(docs, **{own + "words": F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), ""), own + "lines": F.filter(F.split(t, "\n"), lambda x: ~_blank(x)), own + "word_chars": without(WORD_BREAKS).cast("long"), own + "length": F.length(t).cast("long")})
-    df = once(
+    c = lambda x: F.col(own + x)
+    w, s = c("words"), c("windows")
+
+    def added(df: DataFrame, **columns: Column) -> DataFrame:
+        return df.withColumns({own + name: x for name, x in columns.items()})
+
+    df = added(docs, words=F.array_remove(F.split(t, r"[ \t\n\x0B\f\r]+"), ""), lines=F.filter(F.split(t, "\n"), lambda x: ~_blank(x)), word_chars=without(WORD_BREAKS).cast("long"), length=F.length(t).cast("long"))
+    df = added(
         df,
-        **{
-            own + "n": F.size(w).cast("long"),
-            own + "symbols": length - without(SYMBOLS),
-            own + "marks": length - without("!?.,;:"),
-            own + "capitals": w_chars - F.length(F.translate(F.regexp_replace(t, r"\p{Lu}", ""), WORD_BREAKS, "")),
-            own + "dup_lines": (F.size(n_lines) - F.size(F.array_distinct(n_lines))).cast("long"),
-            own + "n_lines": F.size(n_lines),
-            own + "windows": F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))),
-        },
+        n=F.size(w).cast("long"),
+        symbols=c("length") - without(SYMBOLS),
+        marks=c("length") - without("!?.,;:"),
+        capitals=c("word_chars") - F.length(F.translate(F.regexp_replace(t, r"\p{Lu}", ""), WORD_BREAKS, "")),
+        dup_lines=(F.size(c("lines")) - F.size(F.array_distinct(c("lines")))).cast("long"),
+        n_lines=F.size(c("lines")),
+        windows=F.when(F.size(w) >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))),
     )
     twice = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda j: (F.get(s, j)["h"] == F.get(s, j - 1)["h"]) | (F.get(s, j)["h"] == F.get(s, j + 1)["h"]))
     starts = F.sort_array(F.transform(twice, lambda j: F.get(s, j)["i"]))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(starts, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")), lambda a: a["n"])
-    df = once(df, **{own + "repeat": F.coalesce(F.when(F.size(s) > 1, covered), F.lit(0)).cast("long")})
-    c = lambda x: F.col(own + x)
-    n = F.greatest(c("n"), F.lit(1))
+    df = added(df, repeat=F.coalesce(F.when(F.size(s) > 1, covered), F.lit(0)).cast("long"))
+    # the numbers come from a generator, so that no later filter or column works the arrays out again
+    numbers = {"word_chars": "word_chars", "n_words": "n", "n_symbols": "symbols", "n_dup_lines": "dup_lines", "n_repeat_words": "repeat"}
+    df = once(df, **{name: c(x) for name, x in numbers.items()}, **{own + "number_of_" + x: c(x) for x in ("marks", "capitals", "n_lines")})
+    marks, capitals, n_lines = (c("number_of_" + x) for x in ("marks", "capitals", "n_lines"))
+    n = F.greatest(F.col("n_words"), F.lit(1))
     return df.select(
         *docs.columns,
-        c("n").alias("n_words"),
-        w_chars.alias("word_chars"),
-        c("symbols").alias("n_symbols"),
-        c("dup_lines").alias("n_dup_lines"),
-        c("repeat").alias("n_repeat_words"),
-        ((c("n") < 50) | (100 * c("repeat") > 50 * c("n"))).alias("base_failed"),
-        (c("symbols") / n).alias("symbols_per_word"),
-        (w_chars / n).alias("chars_per_word"),
-        (c("repeat") / n).alias("repeated_share"),
-        (c("dup_lines") / F.greatest(c("n_lines"), F.lit(1))).alias("repeated_lines"),
-        (c("marks") / n).alias("marks_per_word"),
-        (c("capitals") / F.greatest(w_chars, F.lit(1))).alias("capital_share"),
+        *COLUMNS[:5],
+        ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
+        (F.col("n_symbols") / n).alias("symbols_per_word"),
+        (F.col("word_chars") / n).alias("chars_per_word"),
+        (F.col("n_repeat_words") / n).alias("repeated_share"),
+        (F.col("n_dup_lines") / F.greatest(n_lines, F.lit(1))).alias("repeated_lines"),
+        (marks / n).alias("marks_per_word"),
+        (capitals / F.greatest(F.col("word_chars"), F.lit(1))).alias("capital_share"),
     )
 
 
