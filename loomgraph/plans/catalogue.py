@@ -19,14 +19,15 @@ TURNOVER = f"{FIRMS}, turn as (select f.id, f.sector, coalesce(t.v, 0.0) as size
 PRICES = f"{FIRMS}, pq as (select id, sector, price / greatest(max(price) over (), 1.0) as q from firms)"
 
 
-def _pairs(where: str = "") -> str:
-    return f"pairs as (select * from (select l_partkey + 1 as buyer, lead(l_partkey + 1) over (partition by l_orderkey order by l_linenumber, l_partkey, l_extendedprice) as seller, l_extendedprice as amount from lineitem {where}) where seller is not null), edges as (select distinct buyer, seller from pairs where buyer <> seller)"
+def _pairs(firm: str = "l_partkey + 1", layer: str = "0") -> str:
+    return f"pairs as (select * from (select firm as buyer, lead(firm) over (partition by l_orderkey, layer order by l_linenumber, l_partkey, l_extendedprice) as seller, l_extendedprice as amount from (select *, {layer} as layer, {firm} as firm from lineitem)) where seller is not null), edges as (select distinct buyer, seller from pairs where buyer <> seller)"
 
 
-PAIRS, PAIRS_R = _pairs(), _pairs("where l_returnflag = 'R'")
+PAIRS = _pairs()
+LAYERED_PAIRS = _pairs("(l_partkey + 1) * 3 + layer", "case l_returnflag when 'A' then 0 when 'R' then 2 else 1 end")
 FLOWS = "flows as (select a.sector as k, b.sector as l, sum(amount) as flow from pairs join firms a on a.id = buyer join firms b on b.id = seller group by 1, 2)"
 BLOCKS = "sij as (select k, l, flow, flow / max(flow) over () as s from flows), blocks as (select k, l, s, flow / sum(flow) over (partition by l) as i_share from sij where s > 1e-15 and flow > 1e-15)"
-SCC = f"{PAIRS_R}, reach(a, z) as (select p_partkey + 1, p_partkey + 1 from part union select r.a, e.seller from reach r join edges e on r.z = e.buyer), comp as (select x.a as node, min(x.z) as comp from reach x join reach y on x.a = y.z and x.z = y.a group by 1)"
+SCC = f"{LAYERED_PAIRS}, reach(a, z) as (select (p_partkey + 1) * 3 + r, (p_partkey + 1) * 3 + r from part, range(3) t(r) union select r.a, e.seller from reach r join edges e on r.z = e.buyer), comp as (select x.a as node, min(x.z) as comp from reach x join reach y on x.a = y.z and x.z = y.a group by 1)"
 DAG = f"{SCC}, dag as (select distinct a.comp as src, b.comp as dst from edges join comp a on a.node = buyer join comp b on b.node = seller where a.comp <> b.comp)"
 TARGET = 1000
 PARAMETERS = gravity.Parameters(z=0.02)
@@ -46,9 +47,9 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges over returned lines, and component labels."""
-    nodes = fixtures.firms(spark, sf).select(F.col("id").alias("node"))
-    edges = graph.stored(fixtures.edges(spark, sf, "R").select(F.col("buyer").alias("src"), F.col("seller").alias("dst")))
+    """Nodes and edges of the three layers of line items, and component labels."""
+    nodes = fixtures.layered_firms(fixtures.firms(spark, sf)).select(F.col("id").alias("node"))
+    edges = graph.stored(fixtures.edges(spark, sf, layered=True).select(F.col("buyer").alias("src"), F.col("seller").alias("dst")))
     return nodes, edges, graph.stored(graph.strong_components(nodes, edges))
 
 
@@ -233,7 +234,7 @@ def sink_source_pairs(spark, sf):  # GR-07 GR-08 JN-12 AG-16
 
 def chosen_candidates(spark, sf):  # GR-09 JN-08 AG-17
     nodes, edges, comp, quotas = _pairing(spark, sf)
-    firms = _turnover(spark, sf)
+    firms = fixtures.layered_firms(_turnover(spark, sf))
     inc = sectors.incidence(fixtures.sector_flows(spark, sf))
     cand = graph.stored(graph.with_delta(graph.candidates(quotas, comp, edges), firms, inc))
     balance = sectors.inflow_balance(firms, edges.select(F.col("src").alias("buyer"), F.col("dst").alias("seller")), inc)
@@ -260,9 +261,8 @@ def sector_choice(spark, sf):  # OP-06 AG-17: each pair serves one sector, so SQ
     firms, inc = _turnover(spark, sf), sectors.incidence(fixtures.sector_flows(spark, sf))
     one = quotas.withColumn("n_keep", F.lit(1).cast("long"))
     cand = graph.stored(graph.with_delta(graph.candidates(one, comp, edges), firms, inc))
-    # few edges so far: sectors want more inflow, and mostly not the largest candidate
-    few = edges.where("src % 13 = 0").select(F.col("src").alias("buyer"), F.col("dst").alias("seller"))
-    balance = sectors.inflow_balance(firms, few, inc).withColumn("base_l", F.lit(-0.5))
+    # sectors want half a unit more inflow, and so mostly not the largest candidate
+    balance = sectors.inflow_balance(firms, edges.select(F.col("src").alias("buyer"), F.col("dst").alias("seller")), inc).withColumn("base_l", F.lit(-0.5))
     return _rounded(selection.choose(cand, one, balance, swaps=200)[0], "delta")
 
 
@@ -324,10 +324,10 @@ def _network(spark, sf):
     return graph.stored(fixtures.edges(spark, sf).unionByName(loops)), firms
 
 
-def weight_feasibility(spark, sf):  # OP-09: returned lines only, and firms without size, so that every check has something to find
+def weight_feasibility(spark, sf):  # OP-09: a firm in each layer, some without size, so that every check has something to find
     size = F.when((F.col("id") % 50 == 0) | (F.col("sector") == 11), 0.0).otherwise(F.col("size"))
-    firms = fixtures.firms(spark, sf).withColumns({"size": size, "delta": F.when(F.col("id") % 2 == 0, 0.1).otherwise(1.0)})
-    edges = fixtures.edges(spark, sf, "R").join(firms.where("sector <> 12").select(F.col("id").alias("seller")), "seller", "left_semi")
+    firms = fixtures.layered_firms(fixtures.firms(spark, sf)).withColumns({"size": size, "delta": F.when(F.col("id") % 2 == 0, 0.1).otherwise(1.0)})
+    edges = fixtures.edges(spark, sf, layered=True).join(firms.where("sector <> 12").select(F.col("id").alias("seller")), "seller", "left_semi")
     return weights.feasibility(edges, firms, weights.Caps(eps0=0.2))
 
 
@@ -515,12 +515,12 @@ ORACLE_SQL = {
     "refused_options": _values(((*r, "refused") for r in files.REFUSED), "stage, option, value, outcome"),
     "sink_source_pairs": f"with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')} select * from quotas",
     "chosen_candidates": f"""with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')}, {TURNOVER}, {_pairs().replace("pairs as", "all_pairs as").replace("edges as", "all_edges as").replace("from pairs", "from all_pairs")}, {FLOWS.replace("from pairs", "from all_pairs")}
-        select pair, x.node as src, y.node as dst, t.sector as l, round(case when flow > 0 then s.q else 0 end, 6) as delta from quotas join comp x on x.comp = a join comp y on y.comp = b join tq s on s.id = x.node join tq t on t.id = y.node left join flows on k = s.sector and l = t.sector where n_draw = n_keep and n_draw = n_a * n_b""",
+        select pair, x.node as src, y.node as dst, t.sector as l, round(case when flow > 0 then s.q else 0 end, 6) as delta from quotas join comp x on x.comp = a join comp y on y.comp = b join tq s on s.id = x.node // 3 join tq t on t.id = y.node // 3 left join flows on k = s.sector and l = t.sector where n_draw = n_keep and n_draw = n_a * n_b""",
     "drawn_candidates": f"with {_BY_SECTOR} select pair, src, dst, n_there, absent, n_keep, n_draw from drawn join quotas using (pair)",
     "sector_choice": f"""with {_BY_SECTOR}, {TURNOVER.replace(FIRMS + ", ", "")}, {FLOWS}, d as (select pair, src, dst, t.sector as l, case when flow > 0 then s.q else 0.0 end as delta from drawn join tq s on s.id = src join tq t on t.id = dst left join flows on k = s.sector and l = t.sector)
         select pair, src, dst, l, round(delta, 6) as delta from d qualify row_number() over (partition by pair order by power(delta - 0.5, 2), src, dst) = 1""",
     "irreducible_graph": f"""with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')}, reached as (select count(*) as n from (select node from fwd join good using (shift)))
-        select (select count(*) from size) as components_before, case when (select n from reached) = (select count(*) from size) then 1 end::bigint as components_after, ((select count(*) from edges) + (select sum(n_keep) from quotas) + (select count(*) from part))::bigint as n_edges, (select count(*) from part) as self_loops""",
+        select (select count(*) from size) as components_before, case when (select n from reached) = (select count(*) from size) then 1 end::bigint as components_after, ((select count(*) from edges) + (select sum(n_keep) from quotas) + 3 * (select count(*) from part))::bigint as n_edges, 3 * (select count(*) from part) as self_loops""",
     "fitted_scale": f"""with recursive {_SETTING}, {_sums_of(z=1.0)}, v as materialized (select v, count(*) as n from px group by 1), step(k, z, f, slope) as (select 0, 1.0e0, sum(n * v / (1 + v)) - (select count(*) * 25 from part), sum(n * v / power(1 + v, 2)) from v union all
         select k + 1, nz, sum(n * nz * v / (1 + nz * v)) - (select count(*) * 25 from part), sum(n * nz * v / power(1 + nz * v, 2)) from (select k, z * exp(greatest(-3.0, least(3.0, -f / slope))) as nz from step where k < 14 and abs(f) > 1e-6), v group by k, nz)
         select (select count(*) * 25.0::double from part) as target, round(f + (select count(*) * 25.0::double from part), 4) as links, round(z, 8) as z from step order by k desc limit 1""",
@@ -529,7 +529,7 @@ ORACLE_SQL = {
         select 0::bigint as l, round(sum(p) / t - 1, 7) as gap, round(sum(p_z) / t, 7) as by_z, round(sum(p_a) / t * any_value(box.a), 7) as by_alpha, round(sum(p_k) / t * any_value(box.k), 7) as by_kappa, 0.0::double as by_own_factor from sums, box, n group by t
         union all select l, round(sum(e) / s_l - 1, 7), round(sum(e_z) / s_l, 7), round(sum(e_a) / s_l * any_value(box.a), 7), round(sum(e_k) / s_l * any_value(box.k), 7), round(sum(e_l) / s_l, 7) from sums join sizes using (l), box group by l, s_l""",
     "fitted_bands": f"with {_SETTING} select l, round(s_l, 6) as s_l, 'OK' as status, (select count(*) * 25.0::double from part) as links from sizes",
-    "weight_feasibility": f"""with {FIRMS}, {PAIRS_R}, f as (select id, sector, case when id % 50 = 0 or sector = 11 then 0.0 else price end as size, case when id % 2 = 0 then 0.1 else 1.0 end as delta from firms), net as (select buyer, seller from edges join f on id = seller where sector <> 12)
+    "weight_feasibility": f"""with {FIRMS}, {LAYERED_PAIRS}, f as (select id, sector, case when id % 50 = 0 or sector = 11 then 0.0 else price end as size, case when id % 2 = 0 then 0.1 else 1.0 end as delta from (select id * 3 + r as id, sector, price from firms, range(3) t(r))), net as (select buyer, seller from edges join f on id = seller where sector <> 12)
         select * from (values ('degree_times_floor', (select count(*) from (select buyer from net group by 1 having count(*) * 0.2e0 > 1))), ('no_inflow', (select count(*) from f where delta < 1 and id not in (select seller from net))),
         ('sector_without_edges', (select count(distinct sector) from f where sector not in (select sector from net join f on id = seller))), ('sector_size_not_positive', (select count(*) from (select sector from f group by 1 having sum(size) <= 0)))) t("check", violations)""",
     "edge_weights": f"with recursive {_WEIGHTS} select buyer, seller, round(x, 5) + 0.0 as weight from solved",

@@ -9,6 +9,10 @@ from loomgraph.functions.scalars import digits
 from loomgraph.sources.bands import BANDS
 
 
+#: Layers of the line items, by return flag: A is 0, R is 2, all others are 1.
+LAYERS = 3
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,19 +26,29 @@ def firms(spark: SparkSession, sf_dir: str, size: str = "price") -> DataFrame:
     return part.select("id", F.concat(F.lit("Firm_"), F.col("id").cast("string")).alias("firm_id"), "sector", F.col(size).alias("size"))
 
 
-def line_pairs(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
-    """Consecutive lines of an order as (buyer, seller, amount); self pairs and repeated pairs are still there."""
-    line = read(spark, sf_dir, "lineitem")
-    if flag:
-        line = line.where(F.col("l_returnflag") == flag)
-    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
-    pairs = line.select((F.col("l_partkey") + 1).alias("buyer"), F.lead(F.col("l_partkey") + 1).over(own).alias("seller"), F.col("l_extendedprice").alias("amount"))
+def layered_firms(firms: DataFrame) -> DataFrame:
+    """Each firm once in every layer, as the firm LAYERS * id + layer."""
+    layers = F.explode(F.array(*(F.lit(n) for n in range(LAYERS))))
+    return firms.withColumn("_layer", layers).withColumn("id", F.col("id") * LAYERS + F.col("_layer")).drop("_layer")
+
+
+def line_pairs(spark: SparkSession, sf_dir: str, layered: bool = False) -> DataFrame:
+    """Consecutive lines of an order as (buyer, seller, amount); self pairs and repeated pairs are still there.
+
+    If layered, consecutive among the order's lines of one layer, between the layer's firms.
+    """
+    line = read(spark, sf_dir, "lineitem").withColumns({"firm": F.col("l_partkey") + 1, "layer": F.lit(0)})
+    if layered:
+        line = line.withColumn("layer", F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "R", 2).otherwise(1))
+        line = line.withColumn("firm", F.col("firm") * LAYERS + F.col("layer"))
+    own = Window.partitionBy("l_orderkey", *(["layer"] if layered else [])).orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    pairs = line.select(F.col("firm").alias("buyer"), F.lead("firm").over(own).alias("seller"), F.col("l_extendedprice").alias("amount"))
     return pairs.where(F.col("seller").isNotNull())
 
 
-def edges(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str, layered: bool = False) -> DataFrame:
     """Distinct directed edges (buyer, seller) without self-loops."""
-    return line_pairs(spark, sf_dir, flag).where("buyer <> seller").select("buyer", "seller").distinct()
+    return line_pairs(spark, sf_dir, layered).where("buyer <> seller").select("buyer", "seller").distinct()
 
 
 def sector_flows(spark: SparkSession, sf_dir: str) -> DataFrame:

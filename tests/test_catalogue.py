@@ -66,3 +66,13 @@ def test_registered_weights_keep_the_default_bands(spark):
 
 def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.ORACLE_SQL)
+
+
+def test_layers_hold_every_line(spark):
+    lines = fixtures.read(spark, SF, "lineitem")
+    groups = lines.select("l_orderkey", F.when(F.col("l_returnflag").isin("A", "R"), F.col("l_returnflag")).alias("flag")).distinct().count()
+    pairs = fixtures.line_pairs(spark, SF, layered=True)
+    assert pairs.count() == lines.count() - groups  # each line but the last of its order and layer begins a pair
+    assert pairs.where("buyer % 3 <> seller % 3").isEmpty()
+    firms = fixtures.firms(spark, SF)
+    assert fixtures.layered_firms(firms).select("id").distinct().count() == 3 * firms.count()
