@@ -419,13 +419,18 @@ def _quotas(pairs: str, comp: str, sizes: str, edges: str, theta: str, eta: str)
     quotas as (select pair, a, b, n_a, n_b, n_there, absent, least(k, n_draw) as n_keep, n_draw from q2)"""
 
 
+def _drawn(members: str) -> str:
+    """CTEs up to drawn (pair, src, dst), over quotas and members (comp, position, node): numbers of member pairs, in hashed order where many are wanted, else by tries."""
+    return f"""tr as (select *, unnest(range(case when dense then every else n_draw * 8 + 64 end)) as t from (select pair, a, b, n_a * n_b as every, n_b, n_draw, n_draw * 4 >= n_a * n_b - n_there as dense from quotas where n_draw > 0)),
+    h0 as (select pair, a, b, every, n_b, n_draw, dense, t, {_uniform("pair", "t", 12345)} as h from tr), {_mixing("h0", "pair, a, b, every, n_b, n_draw, dense, t")},
+    num as (select pair, a, b, n_b, n_draw, case when dense then t else least(floor(u * every)::bigint, every - 1) end as n, min(case when dense then u else t end) as t from h3 group by 1, 2, 3, 4, 5, 6),
+    got as (select pair, x.node as src, y.node as dst, n_draw, row_number() over (partition by pair order by t, n) as r from num join {members} x on x.comp = a and x.position = n // n_b + 1 join {members} y on y.comp = b and y.position = n % n_b + 1
+        where x.node <> y.node and not exists (select 1 from edges where buyer = x.node and seller = y.node)), drawn as (select pair, src, dst from got where r <= n_draw)"""
+
+
 _BY_SECTOR = f"""{FIRMS}, {PAIRS}, members as (select sector as comp, id as node, row_number() over (partition by sector order by id) as position from firms), size as (select comp, count(*) as n from members group by 1),
     named as (select comp, row_number() over (order by comp) - 1 as pair from size), ring as (select x.pair, x.comp as a, y.comp as b from named x join named y on y.pair = (x.pair + 1) % (select count(*) from named)),
-    {_quotas("ring", "members", "size", "edges", "0.05", "0.001")}, tr as (select pair, a, b, n_a * n_b as every, n_b, n_draw, unnest(range(n_draw * 8 + 64)) as t from quotas),
-    h0 as (select pair, a, b, every, n_b, n_draw, t, {_uniform("pair", "t", 12345)} as h from tr), {_mixing("h0", "pair, a, b, every, n_b, n_draw, t")},
-    num as (select pair, a, b, n_b, n_draw, least(floor(u * every)::bigint, every - 1) as n, min(t) as t from h3 group by 1, 2, 3, 4, 5, 6),
-    got as (select pair, x.node as src, y.node as dst, n_draw, row_number() over (partition by pair order by t, n) as r from num join members x on x.comp = a and x.position = n // n_b + 1 join members y on y.comp = b and y.position = n % n_b + 1
-        where x.node <> y.node and not exists (select 1 from edges where buyer = x.node and seller = y.node)), drawn as (select pair, src, dst from got where r <= n_draw)"""
+    {_quotas("ring", "members", "size", "edges", "0.05", "0.001")}, {_drawn("members")}"""
 
 #: Dykstra's cycles over rows, firm bands, sector bands, the sum of self weights and the box, until no constraint is missed by 1e-4.
 _WEIGHTS = f"""{FIRMS}, {PAIRS}, net as (select buyer, seller from edges union all select id, id from firms), m as (select id, price as m, sector from firms),
@@ -514,8 +519,9 @@ ORACLE_SQL = {
     "stage_options": _values(_OPTIONS, "stage, option, value"),
     "refused_options": _values(((*r, "refused") for r in files.REFUSED), "stage, option, value, outcome"),
     "sink_source_pairs": f"with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')} select * from quotas",
-    "chosen_candidates": f"""with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')}, {TURNOVER}, {_pairs().replace("pairs as", "all_pairs as").replace("edges as", "all_edges as").replace("from pairs", "from all_pairs")}, {FLOWS.replace("from pairs", "from all_pairs")}
-        select pair, x.node as src, y.node as dst, t.sector as l, round(case when flow > 0 then s.q else 0 end, 6) as delta from quotas join comp x on x.comp = a join comp y on y.comp = b join tq s on s.id = x.node // 3 join tq t on t.id = y.node // 3 left join flows on k = s.sector and l = t.sector where n_draw = n_keep and n_draw = n_a * n_b""",
+    "chosen_candidates": f"""with recursive {_PAIRING}, {_quotas('pairing', 'comp', 'size', 'edges', '0.5', '0.1')}, members as (select comp, node, row_number() over (partition by comp order by node) as position from comp), {_drawn('members')},
+        {TURNOVER}, {_pairs().replace("pairs as", "all_pairs as").replace("edges as", "all_edges as").replace("from pairs", "from all_pairs")}, {FLOWS.replace("from pairs", "from all_pairs")}
+        select pair, src, dst, t.sector as l, round(case when flow > 0 then s.q else 0 end, 6) as delta from drawn join quotas using (pair) join tq s on s.id = src // 3 join tq t on t.id = dst // 3 left join flows on k = s.sector and l = t.sector where n_draw = n_keep""",
     "drawn_candidates": f"with {_BY_SECTOR} select pair, src, dst, n_there, absent, n_keep, n_draw from drawn join quotas using (pair)",
     "sector_choice": f"""with {_BY_SECTOR}, {TURNOVER.replace(FIRMS + ", ", "")}, {FLOWS}, d as (select pair, src, dst, t.sector as l, case when flow > 0 then s.q else 0.0 end as delta from drawn join tq s on s.id = src join tq t on t.id = dst left join flows on k = s.sector and l = t.sector)
         select pair, src, dst, l, round(delta, 6) as delta from d qualify row_number() over (partition by pair order by power(delta - 0.5, 2), src, dst) = 1""",
