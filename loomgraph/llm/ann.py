@@ -95,9 +95,10 @@ def _by_dim(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.nda
         yield rows, _unit([vectors[i] for i in rows])
 
 
-def indexed(entries: DataFrame, vectors: bool = True) -> DataFrame:
-    """Each entry (rep, v) once for every table: dim, table, bucket, rep, and v if vectors."""
+def indexed(entries: DataFrame, vectors: str | None = None) -> DataFrame:
+    """Each entry (rep, v) once for every table: dim, table, bucket, rep, and v with elements of the type `vectors`, if given. float is exact for what was read as float."""
     n_columns = 5 if vectors else 4
+    sent = pa.list_(pa.float32() if vectors == "float" else pa.float64())
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,10 +108,10 @@ def indexed(entries: DataFrame, vectors: bool = True) -> DataFrame:
                     bucket = bucket_ids(np.floor((x @ a[t].T + offset[t]) / WIDTH))
                     part = b.take(pa.array(rows))
                     n = len(rows)
-                    cols = [pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(bucket), part.column(0), part.column(1)]
+                    cols = [pa.array(np.full(n, x.shape[1], np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(bucket), part.column(0), part.column(1).cast(sent)]
                     yield pa.RecordBatch.from_arrays(cols[:n_columns], names=["dim", "table", "bucket", "rep", "v"][:n_columns])
 
-    return entries.select("rep", "v").mapInArrow(go, f"dim int, table int, bucket long, rep {dict(entries.dtypes)['rep']}" + ", v array<double>" * vectors)
+    return entries.select("rep", "v").mapInArrow(go, f"dim int, table int, bucket long, rep {dict(entries.dtypes)['rep']}" + (f", v array<{vectors}>" if vectors else ""))
 
 
 def probed(queries: DataFrame, groups: int) -> DataFrame:
@@ -153,7 +154,7 @@ def _ranked(entries: pa.Table, probes: pa.Table, k: int) -> pa.Table:
     entries = entries.sort_by([("bucket", "ascending"), ("rep", "ascending")])
     bucket = entries.column("bucket").to_numpy()
     vectors = entries.column("v").combine_chunks()
-    x = vectors.values.to_numpy().reshape(len(bucket), -1)
+    x = vectors.values.to_numpy().astype(np.float64, copy=False).reshape(len(bucket), -1)
     norm = np.sqrt((x * x).sum(1))
     order = np.arange(len(bucket))
     reps = entries.column("rep").to_numpy()
@@ -209,8 +210,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     asked = written(asked.join(entries.select("v", "rep"), "v").select("query_id", "rep"), "queries")
     groups = max(1, -(-entries.count() // GROUP))
     # bucket sizes come without the vectors, which go once through the shuffle to their groups and are not written for each table
-    most = indexed(entries, vectors=False).groupBy("dim", "table", "bucket").count().agg(F.max("count")).first()[0] or 0
-    index = indexed(entries).withColumn("group", F.expr(f"cast(pmod(bucket, {groups}) as int)"))
+    most = indexed(entries).groupBy("dim", "table", "bucket").count().agg(F.max("count")).first()[0] or 0
+    # sent once for each table, so in the type that they were read in
+    single = dict(rows.dtypes)[vector] == "array<float>"
+    index = indexed(entries, "float" if single else "double").withColumn("group", F.expr(f"cast(pmod(bucket, {groups}) as int)"))
     shards = max(1, -(-most // GROUP))
     index = index.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     to = asked.select("rep").distinct().join(entries, "rep").select("rep", "v")
