@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, worddup
+from loomgraph.llm import ann, bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, tokencount, worddup
 from loomgraph.llm.common import held_out, table
 
 
@@ -63,6 +63,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_word_dedup": op2_word_dedup,
@@ -72,7 +76,10 @@ QUERIES = {
     "op7_html_text": op7_html_text,
     "op8_minhash": op8_minhash,
     "op9_language": op9_language,
-    "op6_packing": op6_packing, "op10_byte_bpe": op10_byte_bpe}
+    "op6_packing": op6_packing,
+    "op10_byte_bpe": op10_byte_bpe,
+    "op11_token_counts": op11_token_counts,
+}
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
