@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, tokencount, worddup
+from loomgraph.llm import ann, bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, tokencount, trie, worddup
 from loomgraph.llm.common import held_out, table
 
 
@@ -67,6 +67,10 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counted(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_word_dedup": op2_word_dedup,
@@ -79,6 +83,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_counts": op11_token_counts,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -115,4 +120,23 @@ ORACLE_SQL: dict[str, str] = {
         r(x, y) as (select doc_id, doc_id from documents union select r.x, e.y from r join e on r.y = e.x),
         c as (select x as doc_id, min(y) as component_id from r group by 1)
         select doc_id, coalesce(z.n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from documents join c using (doc_id) left join z using (doc_id)""",
+    # h is worked out bit by bit, as there is no crc32: -1 stands for a shift
+    "op12_prefix_trie": r"""
+        with t as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+                          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p from conversations where conv_id is not null),
+        k as (select c, count(*) as n, c - c % 20 as b,
+                     xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295) % 4 as h from t group by 1),
+        r as (select c, p as d, role, text from k join (select c as b, p, role, text from t) using (b) where p <= h
+              union all select c, p - h + least(h, coalesce(o.n, 0)), role, text from t join k using (c) left join (select c as b, n from k) o using (b) where p > h),
+        f as (select c, d, len(regexp_extract_all(text, '[^ 	-
+]+')) as w, list({'r': role, 't': text}) over (partition by c order by d) as path from r
+              union all select c, 0, 0, [] from k),
+        m as (select *, d = max(d) over (partition by c) as last from f),
+        v as (select d, path, min(c) as conv, count(*) as n, max(w) as w, coalesce(string_agg(c, ',' order by c) filter (last), '') as ends from m group by 1, 2),
+        u as (select a.*, b.conv as parent from v a left join v b on b.d = a.d - 1 and b.path = a.path[1:a.d - 1]),
+        q as (select d - 1 as d, path[1:d - 1] as path, count(*) as n_children from v where d > 0 group by 1, 2),
+        s as (select *, coalesce(n_children, 0) as kids from u left join q using (d, path)),
+        x as (select e as d, path[1:e] as path, count(*) filter (kids = 0) as n_leaves, sum((n - 1) * w)::bigint as saved from (select *, unnest(range(0, d + 1)) as e from s) group by 1, 2)
+        select conv as conv_id, d::bigint as depth, parent as parent_conv_id, n as n_convs, kids as n_children, n_leaves, saved as saved_tokens, sha256(ends) as ends_sha256
+        from s join x using (d, path)""",
 }
