@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ann, bpe, chat, htmltext, language, neardup, packing, quality, suffixdup, tokencount, trie, worddup
+from loomgraph.llm import ann, bpe, chat, codes, htmltext, language, neardup, packing, quality, suffixdup, tokencount, trie, worddup
 from loomgraph.llm.common import held_out, table
 
 
@@ -71,6 +71,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_word_dedup": op2_word_dedup,
@@ -84,7 +88,29 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_token_counts": op11_token_counts,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_vector_codes": op13_vector_codes,
 }
+
+
+def _code_sql(rounds: int = 4) -> str:
+    """Every assignment and every update of codebooks as tables of their own: a0, c1, a1, ..., by plain comparison with all entries."""
+    near = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select vec_id, label, j, v, m % 256 as i, m // 256 as d2 from (select vec_id, label, j, v, min(({near})::bigint * 256 + i) as m from p join c{r} using (j) group by vec_id, label, j, v))")
+        if r < rounds:
+            mean = f"select j, i, list(((s - ((s % n) + n) % n) // n)::double order by pos) as c from (select j, i, pos, sum(x::bigint) as s, count(*) as n from (select j, i, unnest(v) as x, unnest(range(len(v))) as pos from a{r}) group by 1, 2, 3) group by 1, 2"
+            steps.append(f"c{r + 1} as materialized (select j, i, coalesce(u.c, c{r}.c) as c from c{r} left join ({mean}) u using (j, i))")
+    return f"""
+        with k as materialized (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        p as materialized (select vec_id, label, j, v[(j * len(v)) // 4 + 1 : ((j + 1) * len(v)) // 4] as v from k, range(4) t(j)),
+        c0 as materialized (select j, row_number() over (partition by j order by vec_id) - 1 as i, v as c from p qualify i < 256),
+        {", ".join(steps)},
+        e as (select vec_id, label, string_agg(lpad(lower(to_hex(i)), 2, '0'), '' order by j) as code, sum(d2)::bigint as error from a{rounds} group by 1, 2),
+        h as (select sha256(string_agg(x::bigint::varchar, ',' order by j, i, pos)) as codebooks_sha256 from (select j, i, unnest(c) as x, unnest(range(len(c))) as pos from c{rounds}))
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from e, h"""
+
+
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -139,4 +165,5 @@ ORACLE_SQL: dict[str, str] = {
         x as (select e as d, path[1:e] as path, count(*) filter (kids = 0) as n_leaves, sum((n - 1) * w)::bigint as saved from (select *, unnest(range(0, d + 1)) as e from s) group by 1, 2)
         select conv as conv_id, d::bigint as depth, parent as parent_conv_id, n as n_convs, kids as n_children, n_leaves, saved as saved_tokens, sha256(ends) as ends_sha256
         from s join x using (d, path)""",
+    "op13_vector_codes": _code_sql(),
 }
