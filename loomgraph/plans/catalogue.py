@@ -5,11 +5,11 @@ Names are followed, in comments, by the inventory ids that a query covers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import graph, gravity, sampling, sectors, selection, weights
+from loomgraph.operators import constrained, graph, gravity, sampling, sectors, selection, weights
 from loomgraph.plans import files
 from loomgraph.sources import fixtures, text
 from loomgraph.sources.bands import BANDS
@@ -318,6 +318,25 @@ def fitted_bands(spark, sf):  # OP-03 OP-04 OP-05 SNK-08: an optimum has objecti
         fit.close()
 
 
+def step_kernel(spark, sf):  # JN-05 AG-06: sizes that don't repeat, put together in steps of log size; bound is what that can cost a link
+    blocks = _blocks(spark, sf)
+    strengths = blocks.select("k", "l", F.log(PARAMETERS.z * F.pow(F.greatest("s", F.lit(S.SUPPORT_FLOOR)), F.lit(PARAMETERS.kappa))).alias("t"))
+    pairs = constrained.pair_histograms(_turnover(spark, sf), blocks)
+    sums = constrained.kernel(pairs, strengths, PARAMETERS.alpha, constrained.RESOLUTION).join(blocks.select("k", "l", "i_share"), ["k", "l"])
+    inflow = [(F.col("i_share") * F.col(n)).alias(n) for n in constrained.KERNEL[6:]]
+    bound = F.lit(gravity.error_bound(PARAMETERS.alpha, constrained.RESOLUTION)).alias("bound")
+    return _rounded(sums.select("k", "l", *constrained.KERNEL[:6], *inflow, bound), *constrained.KERNEL, "bound", digits=5)
+
+
+def constrained_fit(spark, sf):  # OP-04 OP-05: each sector buys what it needs from one other, so no factor can bring the links to their target
+    flows = fixtures.sector_flows(spark, sf)
+    first = flows.withColumn("_r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("flow"), "k"))).where("_r = 1").drop("_r")
+    found = constrained.ConstrainedFit(_turnover(spark, sf), sectors.blocks(first, sectors.max_shares(first))).solve(tolerance=1e-10)
+    par = found.parameters
+    rows = [(l, k, round(c, 6), round(found.gaps[l], 5), round(found.multipliers[l], 5) + 0.0, round(found.links, 2), found.target, round(found.objective, 6), round(par.alpha, 5), round(par.kappa, 4), round(par.z, 4), int(found.converged)) for (k, l), c in found.strengths.items()]
+    return spark.createDataFrame(rows, "l long, k long, strength double, gap double, multiplier double, links double, target double, objective double, alpha double, kappa double, z double, converged int")
+
+
 def _network(spark, sf):
     firms = fixtures.firms(spark, sf).withColumn("delta", F.lit(weights.Caps().firm))
     loops = firms.select(F.col("id").alias("buyer"), F.col("id").alias("seller"))
@@ -349,7 +368,7 @@ QUERIES = {
         mapping_checks, sector_sizes, sector_inflow_balance, distinct_edges, edge_text, supplier_lists, sector_file, firm_degrees, sector_edges, reference_checks,
         firm_tolerances, block_kernel, seller_inflow, expected_edges, undirected_kernel, pair_uniforms, drawn_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
         condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, drawn_candidates, sector_choice, irreducible_graph, fitted_scale, raked_factors, model_jacobian,
-        fitted_bands, weight_feasibility, edge_weights, edge_weight_residuals,
+        fitted_bands, step_kernel, constrained_fit, weight_feasibility, edge_weights, edge_weight_residuals,
     )
 } | files.QUERIES
 
@@ -370,6 +389,15 @@ def _sums_of(tag: str = "", factors: str = "", pair: str = "x.id <> y.id", z: fl
     sums{tag} as (select k, l, sum(p) as p, sum(w) as p_z, sum(w * lq) as p_a, sum(w * ls) as p_k, sum(w) as p_l, sum(i_share * qi * p) as e, sum(i_share * qi * w) as e_z, sum(i_share * qi * w * lq) as e_a, sum(i_share * qi * w * ls) as e_k, sum(i_share * qi * w) as e_l from pw{tag} group by k, l)"""
 
 
+_STEPS = "h as (select sector, round(ln(greatest(q, 1e-15)) / 0.01)::int as bin, count(*)::double as n, sum(greatest(q, 1e-15)) as size from tq group by 1, 2)"
+
+
+def _step_pairs(blocks: str) -> str:
+    """CTE of pairs of firms by block and sum of their steps, a firm with itself taken off."""
+    return f"""{_STEPS}, hp as (select k, l, step, sum(n) as n, sum(v) as v from (select b.k, b.l, x.bin + y.bin as step, x.n * y.n as n, x.size * y.n as v from {blocks} b join h x on x.sector = b.k join h y on y.sector = b.l
+        union all select k, l, 2 * bin, -n, -size from {blocks} join h on sector = k where k = l) group by 1, 2, 3 having round(sum(n)) <> 0)"""
+
+
 def _raked(tag: str, sums: str, before: str = "") -> str:
     """CTE of the factors after one raking step over block sums."""
     old = f"join {before} b using (k, l)" if before else "cross join (select 1.0e0 as factor) b"
@@ -542,4 +570,13 @@ ORACLE_SQL = {
     "edge_weight_residuals": f"""with recursive {_WEIGHTS}, fr as (select seller, sum(m * x) as s, any_value(mj) as b from solved group by 1), sr as (select sector, sum(m * x) as s, any_value(ms) as b from solved group by 1)
         select round((select max(abs(d)) from (select sum(x) - 1 as d from solved group by buyer)), 7) as row_miss, round((select max(greatest(0.9 * b - s, s - 1.1 * b, 0) / b) from fr), 7) as firm_miss, round((select max(greatest(0.9 * b - s, s - 1.1 * b, 0) / b) from sr), 7) as sector_miss,
         round(sum(x * own), 5) as self_sum, round(sum(x * x * own), 5) as self_square, round(sum(x * x), 5) as energy from solved""",
+    "step_kernel": f"""with {TURNOVER}, {PAIRS}, {FLOWS}, {BLOCKS}, {_step_pairs("blocks")}, px as (select *, 0.02e0 * power(greatest(s, 1e-15), 0.6e0) * exp(0.5e0 * step * 0.01e0) as x, step * 0.01e0 as g from hp join blocks using (k, l)), pw as (select *, x / (1 + x) as p, x / power(1 + x, 2) as w, x / power(1 + x, 2) * (1 - x) / (1 + x) as w2 from px)
+        select k, l, {", ".join(f"round(sum({of} * {t}), 5) + 0.0 as {name}" for of, names in (("n", "p w wl w2 w2l w2ll"), ("i_share * v", "e f fl f2 f2l f2ll")) for t, name in zip(("p", "w", "w * g", "w2", "w2 * g", "w2 * g * g"), names.split(), strict=True))}, round(exp(0.005e0) - 1, 5) as bound from pw group by k, l""",
+    # the optimum: links fall short, so every inflow stands at the upper end of its band and alpha at the lower end of its box; strengths follow by halving
+    "constrained_fit": f"""with recursive {TURNOVER}, {PAIRS}, {FLOWS}, one as (select k, l, flow, flow / max(flow) over () as s from (select * from flows qualify row_number() over (partition by l order by flow desc, k) = 1)), {_step_pairs("one")}, size_of as (select sector as l, sum(greatest(q, 1e-15)) as s_l from tq group by 1),
+        b(i, l, low, high) as (select 0, l, -60.0e0, 60.0e0 from one union all select i + 1, l, case when e < 1.1e0 * s_l then (low + high) / 2 else low end, case when e < 1.1e0 * s_l then high else (low + high) / 2 end
+            from (select i, b.l, low, high, sum(v / (1 + exp(-((low + high) / 2 + 0.3e0 * 0.01e0 * step)))) as e from b join hp on hp.l = b.l where i < 60 group by i, b.l, low, high) join size_of using (l)),
+        t as (select l, (low + high) / 2 as t from b where i = 60), x as (select hp.*, t, exp(t + 0.3e0 * 0.01e0 * step) as x from hp join t using (l)), r as (select k, l, any_value(t) as t, sum(n * x / (1 + x)) as p, sum(n * x / power(1 + x, 2)) as w, sum(v * x / power(1 + x, 2)) as f from x group by 1, 2),
+        g as (select sum(p) as links, (select count(*) * 25.0e0 from part) as target from r), sp as (select l, ln(greatest(s, 1e-15)) as ls from one), q as (select greatest(0.3e0, least(0.9e0, regr_slope(t, ls))) as kappa from r join sp using (l)), zz as (select exp(avg(t - kappa * ls)) as z from r join sp using (l), q)
+        select l, k, round(exp(t), 6) as strength, 0.1::double as gap, round(-2 * (links / target - 1) / target * w / (f / s_l), 5) as multiplier, round(links, 2) as links, target, round(power(links / target - 1, 2), 6) as objective, 0.3::double as alpha, round(kappa, 4) as kappa, round(z, 4) as z, 1 as converged from r join size_of using (l), g, q, zz""",
 }

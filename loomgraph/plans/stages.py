@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.lineage import stored
-from loomgraph.operators import graph, gravity, sampling, sectors, selection, weights
+from loomgraph.operators import constrained, graph, gravity, sampling, sectors, selection, weights
 from loomgraph.sources import text, xlsx
 
 
@@ -58,8 +58,12 @@ def sample(spark: SparkSession, input_file: str, mapping_out: str, strength_out:
     return firms.count()
 
 
-def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, edges_out: str, mean_degree: float = gravity.MEAN_DEGREE, band: float = gravity.BAND, resolution: float = 0.0) -> tuple[gravity.Parameters, int]:
-    """Fits the gravity model, draws edges and writes them; the parameters and the number of sectors out of their band. A resolution above 0 puts sizes together in steps of log size."""
+def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, edges_out: str, mean_degree: float = gravity.MEAN_DEGREE, band: float = gravity.BAND, resolution: float = 0.0, report_out: str = "") -> tuple[gravity.Parameters, int]:
+    """Fits the gravity model, draws edges and writes them; the parameters and the number of sectors out of their band. A resolution above 0 puts sizes together in steps of log size.
+
+    Where the target can't be met within the bands, the bands hold and the links come as near to it as they can. report_out takes a table
+    (name, value) of the parameters, the links and objective, the condition of the optimum, and each sector's relative gap, multiplier and status.
+    """
     if mean_degree <= 0 or band <= 0 or resolution < 0:
         raise ValueError("degree and band must be positive, the resolution not negative")
     flows = _matrix(spark, iot).withColumnRenamed("value", "flow")
@@ -75,12 +79,29 @@ def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, ed
     model = gravity.Fit(firms, blocks, degree=mean_degree, band=band, resolution=resolution or None)
     try:
         par, violated = model.run()
+        best = None
+        if violated:
+            best = constrained.ConstrainedFit(firms, blocks, degree=mean_degree, band=band, resolution=resolution or constrained.RESOLUTION).solve()
+            par, violated = best.parameters, model.violations(best.parameters)
+        if report_out:
+            _report(spark, model, par, best, report_out)
     finally:
         model.close()
     text.write_lines(text.edge_lines(gravity.bernoulli_edges(firms, blocks, par)), edges_out)
     return par, violated
 
 
+def _report(spark: SparkSession, model: gravity.Fit, par: gravity.Parameters, best: constrained.Report | None, path: str) -> None:
+    links, factors = model.links(par), list(par.factors.values()) or [1.0]
+    rows = [("z", par.z), ("alpha", par.alpha), ("kappa", par.kappa), ("factor_min", min(factors)), ("factor_max", max(factors)), ("links", links), ("target", model.target), ("gap", links - model.target), ("objective", model.objective(par))]
+    # where the links meet their target within the bands, the objective is 0 and so are gradient and multipliers
+    rows += [("kkt", best.kkt), ("iterations", best.iterations), ("evaluations", best.evaluations)] if best else [("kkt", abs(2 * (links / model.target - 1))), ("evaluations", model.evaluations)]
+    out = [(k, repr(float(v))) for k, v in rows]
+    for l, g in sorted(model.gaps(par).items()):
+        out += [(f"sector {l} gap", repr(float(g))), (f"sector {l} multiplier", repr(float(best.multipliers.get(l, 0.0) if best else 0.0))), (f"sector {l} status", "OK" if abs(g) <= model.band + 1e-12 else "VIOLATED")]
+    text.write_table(spark.createDataFrame(out, "name string, value string").coalesce(1), path)
+
+
 def make_irreducible(
     spark: SparkSession, edges: str, strength: str, mapping: str, iot: str, edges_out: str, flip_input: bool = False, flip_output: bool = False,
     theta: float = 0.05, eta: float = 0.001, gamma: float = 0.25, n0: float = 50.0, eta_g: float = 1.0, seed: int = 12345, normalize_q: bool = False, zeta: float | None = None,
