@@ -139,7 +139,8 @@ class ConstrainedFit:
 
     def sums(self, t: np.ndarray, alpha: float) -> dict[str, np.ndarray]:
         kind = f"k {self.kinds['k']}, l {self.kinds['l']}, t double"
-        strengths = self.spark.createDataFrame([(*b, float(v)) for b, v in zip(self.keys, t, strict=True)], kind)
+        k, l = zip(*self.keys, strict=True)
+        strengths = self.spark.createDataFrame(pa.table({"k": pa.array(k), "l": pa.array(l), "t": pa.array(t)}), kind)
         out = {name: np.zeros(len(self.keys)) for name in KERNEL}
         for r in kernel(self.pairs, F.broadcast(strengths), alpha, self.resolution).collect():
             i = self.place[(r["k"], r["l"])]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import constrained, graph, gravity, sampling, sectors, selection, weights
+from loomgraph.operators import constrained, graph, gravity, joint, sampling, sectors, selection, weights
 from loomgraph.plans import files
 from loomgraph.sources import fixtures, text
 from loomgraph.sources.bands import BANDS
@@ -266,6 +266,22 @@ def sector_choice(spark, sf):  # OP-06 AG-17: each pair serves one sector, so SQ
     return _rounded(selection.choose(cand, one, balance, swaps=200)[0], "delta")
 
 
+def joint_choice(spark, sf):  # OP-06 AG-17: every sector is served by two pairs, whose choices only count together
+    firms, edges = _turnover(spark, sf), fixtures.edges(spark, sf).select(F.col("buyer").alias("src"), F.col("seller").alias("dst"))
+    names = firms.select("sector").distinct().withColumn("_i", F.row_number().over(Window.orderBy("sector")) - 1)  # one row per sector
+    n = names.count()
+    pairs = names.select(F.col("sector").alias("b"), F.explode(F.array(F.lit(1), F.lit(2))).alias("_back"), F.col("_i")).withColumn("_i", (F.col("_i") - F.col("_back") + n) % n)
+    pairs = graph.stored(pairs.join(names.withColumnRenamed("sector", "a"), "_i").select((F.col("b") * 2 + F.col("_back") - 1).alias("pair"), "a", "b"))
+    first = firms.groupBy(F.col("sector").alias("b")).agg(F.min("id").alias("dst"))
+    # the sector's first firm may be bought from by any firm of the pair that does not yet
+    cand = pairs.join(first, "b").join(firms.select(F.col("sector").alias("a"), F.col("id").alias("src")), "a").where("src <> dst").join(edges, ["src", "dst"], "left_anti").select("pair", "src", "dst")
+    cand = graph.stored(graph.with_delta(cand, firms, sectors.incidence(fixtures.sector_flows(spark, sf))))
+    wanted = sectors.sector_sizes(firms).withColumn("base_l", F.lit(-1.1))
+    found = joint.choose(cand, pairs.select("pair", F.lit(1).alias("n_keep")), wanted)
+    y = selection._inflows(found.chosen.withColumn("x", F.lit(1.0)), wanted, "x")
+    return _rounded(y.select("l", F.abs("y").alias("miss"), F.lit(found.value * 1e3).alias("value"), F.lit(found.bound * 1e3).alias("bound"), F.lit(found.gap * 1e3).alias("gap")), "miss", "value", "bound", "gap")
+
+
 def irreducible_graph(spark, sf):  # GR-10 GR-11 SET-03 PRJ-13
     nodes, edges, comp, quotas = _pairing(spark, sf)
     chosen = graph.candidates(quotas.withColumn("n_draw", F.col("n_keep")), comp, edges)
@@ -367,7 +383,7 @@ QUERIES = {
         firm_attributes, code_forms, size_band_cells, allocation_base, expanded_cells, sampled_firms, flow_shares, sector_blocks, common_sector_firms,
         mapping_checks, sector_sizes, sector_inflow_balance, distinct_edges, edge_text, supplier_lists, sector_file, firm_degrees, sector_edges, reference_checks,
         firm_tolerances, block_kernel, seller_inflow, expected_edges, undirected_kernel, pair_uniforms, drawn_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
-        condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, drawn_candidates, sector_choice, irreducible_graph, fitted_scale, raked_factors, model_jacobian,
+        condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, drawn_candidates, sector_choice, joint_choice, irreducible_graph, fitted_scale, raked_factors, model_jacobian,
         fitted_bands, step_kernel, constrained_fit, weight_feasibility, edge_weights, edge_weight_residuals,
     )
 } | files.QUERIES
@@ -579,4 +595,10 @@ ORACLE_SQL = {
         t as (select l, (low + high) / 2 as t from b where i = 60), x as (select hp.*, t, exp(t + 0.3e0 * 0.01e0 * step) as x from hp join t using (l)), r as (select k, l, any_value(t) as t, sum(n * x / (1 + x)) as p, sum(n * x / power(1 + x, 2)) as w, sum(v * x / power(1 + x, 2)) as f from x group by 1, 2),
         g as (select sum(p) as links, (select count(*) * 25.0e0 from part) as target from r), sp as (select l, ln(greatest(s, 1e-15)) as ls from one), q as (select greatest(0.3e0, least(0.9e0, regr_slope(t, ls))) as kappa from r join sp using (l)), zz as (select exp(avg(t - kappa * ls)) as z from r join sp using (l), q)
         select l, k, round(exp(t), 6) as strength, 0.1::double as gap, round(-2 * (links / target - 1) / target * w / (f / s_l), 5) as multiplier, round(links, 2) as links, target, round(power(links / target - 1, 2), 6) as objective, 0.3::double as alpha, round(kappa, 4) as kappa, round(z, 4) as z, 1 as converged from r join size_of using (l), g, q, zz""",
+    # all choices of the two pairs of a sector are tried; the relaxation can give it any inflow between the least and the largest
+    "joint_choice": f"""with {TURNOVER}, {PAIRS}, {FLOWS}, nm as (select sector, row_number() over (order by sector) - 1 as i, count(*) over () as n from (select distinct sector from tq)), pr as (select b.sector * 2 + back - 1 as pair, a.sector as a, b.sector as b from nm b, (values (1), (2)) t(back) join nm a on a.i = (b.i - back + b.n) % b.n),
+        c as (select pair, b as l, case when flow > 0 then f.q else 0.0 end as delta from pr join (select sector, min(id) as dst from tq group by 1) d on d.sector = b join tq f on f.sector = a and f.id <> dst left join flows on k = a and flows.l = b where not exists (select 1 from edges where buyer = f.id and seller = dst)),
+        s as (select sector as l, sum(greatest(q, 0)) as s_l from tq group by 1), m as (select x.l, min(abs(x.delta + y.delta - 1.1e0)) as miss, min(x.delta + y.delta) as low, max(x.delta + y.delta) as high from c x join c y on x.l = y.l and x.pair < y.pair group by 1),
+        v as (select sum(power(miss / s_l, 2)) * 1e3 as value, sum(power(greatest(low - 1.1e0, 1.1e0 - high, 0) / s_l, 2)) * 1e3 as bound from m join s using (l))
+        select l, round(miss, 6) + 0.0 as miss, round(value, 6) + 0.0 as value, round(bound, 6) + 0.0 as bound, round(value - bound, 6) + 0.0 as gap from m, v""",
 }

@@ -78,7 +78,7 @@ def fit(spark: SparkSession, mapping: str, strength: str, iot: str, sij: str, ed
     blocks = stored(sectors.blocks(within(flows), within(shares)))
     model = gravity.Fit(firms, blocks, degree=mean_degree, band=band, resolution=resolution or None)
     try:
-        par, violated = model.run()
+        par, violated = model.run(steps=0)  # what factors alone don't reach is left to the constrained fit
         best = None
         if violated:
             best = constrained.ConstrainedFit(firms, blocks, degree=mean_degree, band=band, resolution=resolution or constrained.RESOLUTION).solve()
