@@ -1,12 +1,14 @@
 """Directed graphs: strongly connected components, condensation, and edges that make a graph irreducible.
 
-Labels and frontiers are DataFrames; every iteration is a few joins and ends in a written table. What has at most
-LOCAL edges, counted first, is finished in one process: a deep graph needs a round per layer otherwise. Component
-ids are smallest members; nodes are whole numbers.
+Labels and frontiers are DataFrames; every iteration is a few joins and ends in a written table. Chains, runs of nodes with one
+edge in and one out, are contracted first by pointers that double their reach, so that rounds follow the logarithm of a chain's
+length; what is left takes a round per layer. At most LOCAL edges, counted first, are finished in one process. Component ids are
+smallest members; nodes are whole numbers.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -21,7 +23,7 @@ from loomgraph.operators import local
 
 
 #: Edges up to which a graph, or what is left of it, is finished in one process; measured before anything is collected.
-LOCAL = 1_000_000
+LOCAL = 10_000
 
 
 def _collected(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -38,6 +40,40 @@ def _table(spark: SparkSession, kind: str, **columns: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({k: pa.array(v) for k, v in columns.items()}), kind)
 
 
+def chains(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges without chains, chain nodes, ring nodes); None if there is no chain. edges: (src, dst), distinct.
+
+    The first has (src, dst, length), a chain standing as one edge from the node before it to the one behind it. The second has (node, first,
+    place, head, tail): a chain is named by its first node, place counts from 0. A ring is a cycle none of whose nodes has another
+    edge; its nodes come as (node, low), low the smallest of them. A pointer leads to the node before, then two, four ... before,
+    and stops at the first; those that never stop, after as many rounds as the logarithm of their number, are on rings.
+    """
+    e = edges.select("src", "dst")
+    into, out = e.groupBy("dst").agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("prev")), e.groupBy("src").agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("next"))
+    inner = stored(into.where("i = 1").join(out.where("o = 1"), into["dst"] == out["src"]).select(into["dst"].alias("node"), "prev", "next"))
+    n = inner.count()
+    if n == 0:
+        return None
+    known = inner.select(F.col("node").alias("prev"), F.lit(True).alias("inside"))
+    now = stored(inner.join(known, "prev", "left").select("node", F.when(F.col("inside"), F.col("prev")).otherwise(F.col("node")).alias("to"), F.when(F.col("inside"), 1).otherwise(0).cast("long").alias("place"), F.least("node", F.when(F.col("inside"), F.col("prev")).otherwise(F.col("node"))).alias("low"), (~F.coalesce("inside", F.lit(False))).alias("ended")))
+    for _ in range(math.ceil(math.log2(n)) + 1):
+        if now.where(~F.col("ended")).isEmpty():
+            break
+        on = now.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("place").alias("_place"), F.col("low").alias("_low"), F.col("ended").alias("_ended"))
+        moved = now.where(~F.col("ended")).join(on, "to").select("node", F.col("_to").alias("to"), (F.col("place") + F.col("_place")).alias("place"), F.least("low", "_low").alias("low"), F.col("_ended").alias("ended"))
+        now = stored(now.where("ended").unionByName(moved), discard=[now])
+    line = now.where("ended").select("node", F.col("to").alias("first"), "place")
+    before = inner.select(F.col("node").alias("first"), F.col("prev").alias("head"))
+    last = line.join(inner.select("node", "next"), "node").join(inner.select(F.col("node").alias("next")), "next", "left_anti").select("first", F.col("next").alias("tail"), (F.col("place") + 2).alias("length"))
+    ends = stored(before.join(last, "first"))
+    inside = stored(line.join(ends, "first").select("node", "first", "place", "head", "tail"))
+    rings = now.where(~F.col("ended")).select("node", "low")
+    all_inner = now.select("node")
+    plain = e.join(all_inner.withColumnRenamed("node", "src"), "src", "left_anti").join(all_inner.withColumnRenamed("node", "dst"), "dst", "left_anti").withColumn("length", F.lit(1).cast("long"))
+    core = stored(plain.unionByName(ends.select(F.col("head").alias("src"), F.col("tail").alias("dst"), "length")))
+    return core, inside, rings
+
+
 def spread_minimum(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the smallest label that reaches each node along edges (src, dst), its own included. Labels are nodes.
 
@@ -63,6 +99,22 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         start = inside.join(roots.select("node"), "node", "left_semi").toArrow().column(0).to_numpy()
         mark = local.reached(len(ids), src, dst, np.searchsorted(ids, start).tolist())
         return roots.select("node").union(_table(roots.sparkSession, "node long", node=ids[mark])).distinct()
+    found = chains(edges.select("src", "dst").distinct())
+    if found is None:
+        return _spread(edges, roots)
+    core, inside, rings = found
+    # a root within a chain reaches what is behind it, and the chain's end
+    own = inside.join(roots.select("node").distinct(), "node", "left_semi").groupBy("first", "tail").agg(F.min("place").alias("from"))
+    start = roots.select("node").join(inside.select("node"), "node", "left_anti").unionByName(own.select(F.col("tail").alias("node")))
+    got = stored(_spread(core.select("src", "dst"), start))
+    through = inside.join(got.withColumnRenamed("node", "head"), "head", "left_semi").select("node")
+    behind = inside.join(own.select("first", "from"), "first").where(F.col("place") >= F.col("from")).select("node")
+    ring = rings.join(rings.join(roots.select("node"), "node", "left_semi").select("low").distinct(), "low", "left_semi").select("node")
+    return got.unionByName(through).unionByName(behind).unionByName(ring).distinct()
+
+
+def _spread(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node) reached from roots, layer by layer."""
     parts = [stored(roots.select("node").distinct())]
     while True:
         step = edges.join(parts[-1], edges["src"] == parts[-1]["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
@@ -84,6 +136,22 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     As soon as at most LOCAL edges are left, one process finishes them.
     """
     left, rest = stored(nodes.select("node").distinct()), stored(edges.where("src <> dst").select("src", "dst").distinct())
+    found = chains(rest) if _collected(rest) is None else None
+    if found is None:
+        return _coloured(left, rest)
+    core, inside, rings = found
+    outer = left.join(inside.select("node").unionByName(rings.select("node")), "node", "left_anti")
+    comp = stored(_coloured(stored(outer), stored(core.where("src <> dst").select("src", "dst").distinct())))
+    # a chain belongs to the component that holds both of its ends, else its nodes stand alone
+    ends = inside.join(comp.select(F.col("node").alias("head"), F.col("comp").alias("_a")), "head").join(comp.select(F.col("node").alias("tail"), F.col("comp").alias("_b")), "tail")
+    more = ends.select("node", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("node")).alias("comp"))
+    every = stored(comp.unionByName(more).unionByName(rings.select("node", F.col("low").alias("comp"))))
+    least = every.groupBy("comp").agg(F.min("node").alias("_least"))
+    return every.join(least, "comp").select("node", F.col("_least").alias("comp"))
+
+
+def _coloured(left: DataFrame, rest: DataFrame) -> DataFrame:
+    """Components of a graph whose edges are distinct and no loops, by trimming and colouring."""
     found = left.limit(0).select("node", F.col("node").alias("comp"))
 
     def within(rest: DataFrame, left: DataFrame) -> DataFrame:
@@ -94,7 +162,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         graph = _collected(rest)
         if graph is not None:
             ids, src, dst = graph
-            comp = _table(nodes.sparkSession, "node long, _comp long", node=ids, _comp=ids[local.strong_components(len(ids), src, dst)])
+            comp = _table(left.sparkSession, "node long, _comp long", node=ids, _comp=ids[local.strong_components(len(ids), src, dst)])
             return found.unionByName(left.join(comp, "node", "left").select("node", F.coalesce("_comp", "node").alias("comp")))
         # trimming
         both = rest.select(F.col("src").alias("node")).distinct().intersect(rest.select(F.col("dst").alias("node")).distinct())
@@ -149,9 +217,26 @@ def levels(comps: DataFrame, dag: DataFrame) -> DataFrame:
         ids, src, dst = graph
         found = _table(comps.sparkSession, "comp long, _level long", comp=ids, _level=local.levels(len(ids), src, dst))
         return comps.select("comp").distinct().join(found, "comp", "left").select("comp", F.coalesce("_level", F.lit(0)).cast("int").alias("level"))
+    found = chains(dag.select("src", "dst").distinct())
+    if found is None:
+        return _lengthened(comps, dag.select("src", "dst", F.lit(1).cast("long").alias("length")))
+    core, inside, rings = found
+    if not rings.isEmpty():
+        raise ValueError("the graph has a cycle")
+    outer = comps.select("comp").join(inside.select(F.col("node").alias("comp")), "comp", "left_anti")
+    level = stored(_lengthened(outer, core))
+    within = inside.join(level.select(F.col("comp").alias("head"), "level"), "head").select(F.col("node").alias("comp"), (F.col("level") + F.col("place") + 1).cast("int").alias("level"))
+    return level.unionByName(within)
+
+
+def _lengthened(comps: DataFrame, dag: DataFrame) -> DataFrame:
+    """(comp, level) of a graph whose edges have lengths: levels grow until none does; a level that no path can have is a cycle's."""
     now = stored(comps.select("comp").distinct().withColumn("level", F.lit(0)))
+    most = (dag.agg(F.sum("length")).first()[0] or 0) + 1
     while True:
-        step = dag.join(now, dag["src"] == now["comp"]).groupBy("dst").agg((F.max("level") + 1).alias("up"))
+        if (now.agg(F.max("level")).first()[0] or 0) >= most:
+            raise ValueError("the graph has a cycle")
+        step = dag.join(now, dag["src"] == now["comp"]).groupBy("dst").agg(F.max(F.col("level") + F.col("length")).cast("int").alias("up"))
         new = stored(now.join(step, now["comp"] == step["dst"], "left").select("comp", F.greatest("level", F.coalesce("up", "level")).alias("level"), (F.coalesce("up", "level") > F.col("level")).alias("moved")))
         now = new.drop("moved")
         if new.where("moved").isEmpty():

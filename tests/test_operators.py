@@ -128,6 +128,35 @@ def test_deep_graphs(spark):
     assert time.time() - began < 60
 
 
+def test_chains_and_rings_by_tables(spark, monkeypatch):
+    """Chains, rings, a cycle closed by a chain, and roots within chains, by the rounds of larger graphs."""
+    edges = [(i, i + 1) for i in range(1, 9)] + [(20, 21), (21, 22), (22, 20)] + [(30, 31), (31, 32), (32, 33), (33, 30), (30, 33)] + [(9, 40), (9, 41), (40, 42), (41, 43), (43, 42), (3, 50)]
+    want = {n: n for n in range(1, 60)} | {n: 20 for n in (21, 22)} | {n: 30 for n in (31, 32, 33)}
+    nodes, e, comp = components(spark, 59, edges)
+    assert {r["node"]: r["comp"] for r in comp.collect()} == want
+    starts = spark.createDataFrame([(5,), (21,), (31,), (57,)], "node long")
+    reach = sorted(graph.reachable(e, starts).collect())
+    dag = graph.stored(graph.condensation(comp, e))
+    levels = sorted(map(tuple, graph.levels(graph.component_sizes(comp), dag).collect()))
+    monkeypatch.setattr(graph, "LOCAL", 1)
+    assert {r["node"]: r["comp"] for r in components(spark, 59, edges)[2].collect()} == want
+    assert sorted(graph.reachable(e, starts).collect()) == reach
+    assert sorted(map(tuple, graph.levels(graph.component_sizes(comp), dag).collect())) == levels
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "src long, dst long")
+    with pytest.raises(ValueError):
+        graph.levels(spark.range(1, 4).select(F.col("id").alias("comp")), ring)
+
+
+def test_rounds_follow_the_logarithm_of_a_chain(spark, monkeypatch):
+    n, made, keep = 100_000, [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, discard=(): (made.append(1), keep(df, discard))[1])
+    monkeypatch.setattr(graph, "LOCAL", 1_000)
+    path = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    comp = graph.strong_components(spark.range(1, n + 1).select(F.col("id").alias("node")), path)
+    assert comp.where("node = comp").count() == n
+    assert len(made) <= 40
+
+
 def test_numbers_follow_a_global_order(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("x"), F.lit("a").alias("y"))
     got = [(r["x"], r["n"]) for r in numbered(df.repartition(7), ["x"], "n").collect()]
