@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import argparse
 import inspect
+import sys
 
 from loomgraph.plans import stages
 
+#: Stages that warn of options they do not know and go on; the others end.
+LENIENT = {"irreducible"}
 STAGES = {"sampling": stages.sample, "fit": stages.fit, "irreducible": stages.make_irreducible, "inputs": stages.weight_inputs, "weights": stages.solve_weights}
 
 
@@ -26,10 +29,21 @@ def parser() -> argparse.ArgumentParser:
     return out
 
 
+def options(args: list[str] | None = None) -> dict:
+    """The stage and its parameters; unknown options are an error, or a warning where the stage is lenient."""
+    p = parser()
+    given, unknown = p.parse_known_args(args)
+    if unknown and given.stage not in LENIENT:
+        p.error(f"unknown options: {' '.join(unknown)}")
+    for u in unknown:
+        print(f"warning: unknown option {u} is left out", file=sys.stderr)
+    return vars(given)
+
+
 def main(args: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
-    given = vars(parser().parse_args(args))
+    given = options(args)
     spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     print(STAGES[given.pop("stage")](spark, **given))
 

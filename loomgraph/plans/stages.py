@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.lineage import stored
-from loomgraph.operators import constrained, graph, gravity, sampling, sectors, selection, weights
+from loomgraph.operators import constrained, graph, gravity, joint, sampling, sectors, weights
 from loomgraph.sources import text, xlsx
 
 
@@ -104,9 +104,12 @@ def _report(spark: SparkSession, model: gravity.Fit, par: gravity.Parameters, be
 
 def make_irreducible(
     spark: SparkSession, edges: str, strength: str, mapping: str, iot: str, edges_out: str, flip_input: bool = False, flip_output: bool = False,
-    theta: float = 0.05, eta: float = 0.001, gamma: float = 0.25, n0: float = 50.0, eta_g: float = 1.0, seed: int = 12345, normalize_q: bool = False, zeta: float | None = None,
+    theta: float = 0.05, eta: float = 0.001, gamma: float = 0.25, n0: float = 50.0, eta_g: float = 1.0, seed: int = 12345, normalize_q: bool = False, zeta: float | None = None, report_out: str = "",
 ) -> tuple[int, int]:
-    """Adds edges between components and self-loops, and writes the graph; components before and after."""
+    """Adds edges between components and self-loops, and writes the graph; components before and after.
+
+    report_out takes a table (name, value): components, edges, pairs, quotas, and the choice's value and lower bound.
+    """
     if not 0 < theta < 1:
         raise ValueError("theta must lie between 0 and 1")
     if min(eta, gamma, n0, eta_g) <= 0:
@@ -123,17 +126,26 @@ def make_irreducible(
     nodes = firms.select(F.col("id").alias("node"))
     comp = stored(graph.strong_components(nodes, e))
     before = comp.select("comp").distinct().count()
-    chosen = e.limit(0)
+    chosen, found, counts = e.limit(0), None, {"pairs": 0, "candidates": 0, "to_keep": 0}
     if before > 1:
         inc = _matrix(spark, iot).select("k", "l", (F.col("value") > 0).cast("double").alias("w"))
         pairs = graph.sink_source_pairs(comp, stored(graph.condensation(comp, e)))
         quotas = stored(graph.pair_quotas(pairs, comp, e, theta, eta, gamma, n0, eta_g))
         cand = stored(graph.with_delta(graph.candidates(quotas, comp, e, seed), firms, inc))
         balance = sectors.inflow_balance(firms, e.select(F.col("src").alias("buyer"), F.col("dst").alias("seller")), inc)
-        chosen = selection.choose(cand, quotas, balance)[0]
+        found = joint.choose(cand, quotas, balance)
+        chosen = stored(found.chosen)
+        row = quotas.agg(F.count(F.lit(1)).alias("pairs"), F.sum("n_draw").alias("candidates"), F.sum("n_keep").alias("to_keep")).first()
+        counts = row.asDict()
     more = stored(graph.augmented(nodes, e, chosen))
     text.write_lines(text.edge_lines(more.select(F.col("src").alias("buyer"), F.col("dst").alias("seller")), flip_output), edges_out)
-    return before, graph.strong_components(nodes, more).select("comp").distinct().count()
+    after = graph.strong_components(nodes, more).select("comp").distinct().count()
+    if report_out:
+        rows = {"components_before": before, "components_after": after, "edges_before": e.count(), "edges_added": chosen.count(), "self_loops": n, **counts}
+        if found:
+            rows |= {"objective": found.value, "lower_bound": found.bound, "gap": found.gap, "rankings": found.rankings, "exchanges": found.exchanges, "search_ended": int(found.ended)}
+        text.write_table(spark.createDataFrame([(k, repr(v)) for k, v in rows.items()], "name string, value string").coalesce(1), report_out)
+    return before, after
 
 
 def weight_inputs(spark: SparkSession, edges: str, strength: str, mapping: str, network_out: str, money_out: str, sector_out: str) -> list[str]:

@@ -23,8 +23,11 @@ def test_end_to_end(spark, tmp_path):
     assert par.z > 0 and violated >= 0
     n = spark.read.text(p("edges")).count()
     assert 260 < n < 460
-    before, after = stages.make_irreducible(spark, p("edges"), p("STRENGTH.xlsx"), p("MAPPING.xlsx"), p("IOT.csv"), p("more"))
+    before, after = stages.make_irreducible(spark, p("edges"), p("STRENGTH.xlsx"), p("MAPPING.xlsx"), p("IOT.csv"), p("more"), report_out=p("report"))
     assert before >= 1 and after == 1
+    report = {r["name"]: r["value"] for r in spark.read.csv(p("report"), header=True).collect()}
+    assert report["components_before"] == str(before) and report["self_loops"] == "60"
+    assert before == 1 or (float(report["lower_bound"]) <= float(report["objective"]) and report["edges_added"] == report["to_keep"])
     done = stages.weight_inputs(spark, p("more"), p("STRENGTH.xlsx"), p("MAPPING.xlsx"), p("network"), p("money"), p("sector"))
     assert len(done) == 3 and len(stages.weight_inputs(spark, p("none"), p("none"), p("none"), p("a"), p("b"), p("c"))) == 0
     left = stages.solve_weights(spark, p("network"), p("money"), p("sector"), p("weights"), firm_rel=0.95, sector_rel=0.8, cycles=12)
@@ -39,3 +42,11 @@ def test_command_line():
     assert a["flip_input"] and a["theta"] == 0.1 and not a["normalize_q"] and a["seed"] == 12345
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["weights"])
+
+
+def test_unknown_options(capsys):
+    given = "--edges e --strength s --mapping m --iot i --edges-out o --colour blue".split()
+    assert cli.options(["irreducible", *given])["edges"] == "e"
+    assert "--colour" in capsys.readouterr().err
+    with pytest.raises(SystemExit):
+        cli.options("inputs --edges e --strength s --mapping m --network-out n --money-out o --sector-out p --colour blue".split())
