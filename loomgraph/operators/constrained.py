@@ -74,13 +74,14 @@ def pair_histograms(firms: DataFrame, blocks: DataFrame, resolution: float = RES
 KERNEL = ("p", "w", "wl", "w2", "w2l", "w2ll", "e", "f", "fl", "f2", "f2l", "f2ll")
 
 
-def kernel(pairs: DataFrame, strengths: DataFrame, alpha: float, resolution: float) -> DataFrame:
+def kernel(pairs: DataFrame, strengths: DataFrame, resolution: float) -> DataFrame:
     """(k, l, KERNEL): links p of a block, their first and second derivatives by log strength (w, w2), by alpha (wl, w2ll) and by both (w2l); the same of inflow, from e on.
 
-    strengths: (k, l, t), t the log of a block's strength, one row for each pair of sectors that trade.
+    strengths: (k, l, t, alpha), t the log of a block's strength, one row for each pair of sectors that trade. alpha is a column,
+    so that the code made for the sums is the same in every iteration.
     """
     size = F.col("step") * F.lit(resolution)
-    x = F.exp(F.col("t") + F.lit(alpha) * size)
+    x = F.exp(F.col("t") + F.col("alpha") * size)
     rows = pairs.join(strengths, ["k", "l"]).select("k", "l", "n", "v", size.alias("_s"), x.alias("_x"))
     p = F.when(F.col("_x") > SATURATED, F.lit(1.0)).otherwise(F.col("_x") / (1 + F.col("_x")))
     w = F.when(F.col("_x") > SATURATED, F.lit(0.0)).otherwise(p * (1 - p))
@@ -138,11 +139,11 @@ class ConstrainedFit:
         self.evaluations = 0
 
     def sums(self, t: np.ndarray, alpha: float) -> dict[str, np.ndarray]:
-        kind = f"k {self.kinds['k']}, l {self.kinds['l']}, t double"
+        kind = f"k {self.kinds['k']}, l {self.kinds['l']}, t double, alpha double"
         k, l = zip(*self.keys, strict=True)
-        strengths = self.spark.createDataFrame(pa.table({"k": pa.array(k), "l": pa.array(l), "t": pa.array(t)}), kind)
+        strengths = self.spark.createDataFrame(pa.table({"k": pa.array(k), "l": pa.array(l), "t": pa.array(t), "alpha": pa.array([float(alpha)] * len(t))}), kind)
         out = {name: np.zeros(len(self.keys)) for name in KERNEL}
-        for r in kernel(self.pairs, F.broadcast(strengths), alpha, self.resolution).collect():
+        for r in kernel(self.pairs, F.broadcast(strengths), self.resolution).collect():
             i = self.place[(r["k"], r["l"])]
             for name in KERNEL:
                 out[name][i] = r[name] * (self.share[i] if name in KERNEL[6:] else 1.0)

@@ -336,9 +336,9 @@ def fitted_bands(spark, sf):  # OP-03 OP-04 OP-05 SNK-08: an optimum has objecti
 
 def step_kernel(spark, sf):  # JN-05 AG-06: sizes that don't repeat, put together in steps of log size; bound is what that can cost a link
     blocks = _blocks(spark, sf)
-    strengths = blocks.select("k", "l", F.log(PARAMETERS.z * F.pow(F.greatest("s", F.lit(S.SUPPORT_FLOOR)), F.lit(PARAMETERS.kappa))).alias("t"))
+    strengths = blocks.select("k", "l", F.log(PARAMETERS.z * F.pow(F.greatest("s", F.lit(S.SUPPORT_FLOOR)), F.lit(PARAMETERS.kappa))).alias("t"), F.lit(PARAMETERS.alpha).alias("alpha"))
     pairs = constrained.pair_histograms(_turnover(spark, sf), blocks)
-    sums = constrained.kernel(pairs, strengths, PARAMETERS.alpha, constrained.RESOLUTION).join(blocks.select("k", "l", "i_share"), ["k", "l"])
+    sums = constrained.kernel(pairs, strengths, constrained.RESOLUTION).join(blocks.select("k", "l", "i_share"), ["k", "l"])
     inflow = [(F.col("i_share") * F.col(n)).alias(n) for n in constrained.KERNEL[6:]]
     bound = F.lit(gravity.error_bound(PARAMETERS.alpha, constrained.RESOLUTION)).alias("bound")
     return _rounded(sums.select("k", "l", *constrained.KERNEL[:6], *inflow, bound), *constrained.KERNEL, "bound", digits=5)

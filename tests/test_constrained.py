@@ -103,9 +103,9 @@ def test_the_grid_keeps_its_bound(spark):
     blocks = spark.createDataFrame([(k, l, 0.5, 0.5) for k in range(2) for l in range(2)], "k long, l long, s double, i_share double")
     par = gravity.Parameters(0.8)
     exact = {(r["k"], r["l"]): r["p"] for r in gravity.block_sums(firms, blocks, par).collect()}
-    strengths = spark.createDataFrame([(k, l, math.log(0.8 * 0.5**0.6)) for k in range(2) for l in range(2)], "k long, l long, t double")
+    strengths = spark.createDataFrame([(k, l, math.log(0.8 * 0.5**0.6)) for k in range(2) for l in range(2)], "k long, l long, t double").selectExpr("*", "0.5D as alpha")
     for resolution in (0.3, 0.05, 0.001):
-        got = constrained.kernel(constrained.pair_histograms(firms, blocks, resolution), strengths, par.alpha, resolution).collect()
+        got = constrained.kernel(constrained.pair_histograms(firms, blocks, resolution), strengths, resolution).collect()
         assert len(got) == 4
         for r in got:
             assert abs(r["p"] / exact[(r["k"], r["l"])] - 1) <= gravity.error_bound(par.alpha, resolution)
