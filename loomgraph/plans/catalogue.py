@@ -347,7 +347,8 @@ def step_kernel(spark, sf):  # JN-05 AG-06: sizes that don't repeat, put togethe
 def constrained_fit(spark, sf):  # OP-04 OP-05: each sector buys what it needs from one other, so no factor can bring the links to their target
     flows = fixtures.sector_flows(spark, sf)
     first = flows.withColumn("_r", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("flow"), "k"))).where("_r = 1").drop("_r")
-    found = constrained.ConstrainedFit(_turnover(spark, sf), sectors.blocks(first, sectors.max_shares(first))).solve(tolerance=1e-10)
+    firms, blocks = graph.stored(_turnover(spark, sf)), graph.stored(sectors.blocks(first, sectors.max_shares(first)))
+    found = constrained.ConstrainedFit(firms, blocks).solve(tolerance=1e-10)
     par = found.parameters
     rows = [(l, k, round(c, 6), round(found.gaps[l], 5), round(found.multipliers[l], 5) + 0.0, round(found.links, 2), found.target, round(found.objective, 6), round(par.alpha, 5), round(par.kappa, 4), round(par.z, 4), int(found.converged)) for (k, l), c in found.strengths.items()]
     return spark.createDataFrame(rows, "l long, k long, strength double, gap double, multiplier double, links double, target double, objective double, alpha double, kappa double, z double, converged int")
