@@ -3,17 +3,23 @@
 A window of `width` units (words or bytes) is named by its smallest-hashed run of `run` units, its
 anchor; ties go to the leftmost. The choice depends on the window's content alone, so equal windows have
 equal anchors at equal offsets. Consecutive windows with one anchor form an occurrence, whose span
-is hashed as its context. Only anchors that occur twice can hold repeated windows, so anchors are the index
-that says in which blocks a passage can find another: all occurrences of a context form one passage, with a mark
-if it was found again, and each passage is compared by the operator's own method with those of its
-block, a marked one also with its copy. What no block finds is not removed.
+is hashed as its context. Hashes only say which passages have to meet: the operator's own method compares units in
+blocks, and what no block finds is not removed.
 
-Blocks have a bounded size. The passages of an anchor are in one block, unless the anchor has more than SPLIT
-of them. Then it is split by a deeper anchor, the whole window: its passages are spread over blocks by their contexts,
-where copies meet, and each of their windows that was found again becomes a passage of its own, with the
-window's 128-bit hash as anchor and context, and so meets its copy in a block.
+A passage is an anchor and context within one document, with that document's own units (of its first place). The
+passages of the first document that has a context stand for the context: they meet those of the other contexts of
+their anchor, in the anchor's block. Every other document's passage of the context meets that first one: in the same block,
+or, where an anchor has more than SPLIT passages, in blocks of at most about COPIES of them, each with the first
+one. A document that holds a context several times follows its passage at all those places; where no other document holds the context, its
+last place is a passage, too.
+
+Blocks have a bounded size. An anchor with more than SPLIT contexts has no block; it is split by a deeper anchor, the
+whole window: windows that several of its first passages hold become passages of their own, named by the window's 128-bit
+hash, and meet in the same way, each document with its own units.
 
 All windows of a passage hold its anchor, so those found again cover one stretch of it.
+
+A document is a key and the hash of its text, so rows that repeat a key with other texts keep their spans apart.
 """
 
 from __future__ import annotations
@@ -30,10 +36,13 @@ from loomgraph.llm.common import written
 
 #: Units handled at once; a longer document is cut into parts that overlap by a window.
 BATCH = 1 << 20
-#: Passages per block of the comparison, and the most of one anchor that a block takes.
-BLOCK, SPLIT = 24_000, 4_000
-#: A passage: level 0 has the contexts of anchors, level 1 single windows of split anchors.
-PASSAGE = "level int, anchor long, context long, again boolean, start int, windows int, at int, span binary"
+#: Passages per block of the comparison, the most of one anchor in a block, and those of one context in a further block.
+BLOCK, SPLIT, COPIES = 24_000, 4_000, 4_000
+#: What blocks are made of: level 0 has passages of anchors, level 1 single windows of split anchors.
+PASSAGE = "level int, anchor long, context long, split boolean, rep boolean, blocks array<int>, start int, at int, span binary"
+_NAMES = [x.split(" ")[0] for x in PASSAGE.split(", ")] + ["_key", "_row"]
+#: What names a passage in the results of a block.
+FOUND = ["level", "anchor", "context", "_key", "_row"]
 
 _U = np.uint64
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -113,12 +122,22 @@ class Units:
     run: int
 
 
-def anchor_rows(docs: DataFrame, units: Units, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Every occurrence: anchor, context, key, start, windows, at."""
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(_key, _row, _text) of the rows that have a key; _row is the hash of the text."""
+    return docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(text).alias("_row"), F.col(text).alias("_text"))
+
+
+def owner(across: bool) -> list[str]:
+    """What tells documents apart: if across, rows of one key are one document."""
+    return ["_key"] if across else ["_key", "_row"]
+
+
+def anchor_rows(docs: DataFrame, units: Units) -> DataFrame:
+    """Every occurrence in keyed() documents: anchor, context, _key, _row, start, windows, at."""
     width, run, encode = units.width, units.run, units.encode
 
     def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-        for i, t in enumerate(batch.column(1)):
+        for i, t in enumerate(batch.column(2)):
             t = t.as_py()
             if t:
                 codes = encode(t)
@@ -129,8 +148,9 @@ def anchor_rows(docs: DataFrame, units: Units, key: str = "doc_id", text: str =
         ends = np.cumsum([len(c) for _, _, c in held])
         anchor, context, t, start, n, at = occurrences(np.concatenate([c for _, _, c in held]), ends, width, run)
         row, first = np.array([i for i, _, _ in held]), np.array([s for _, s, _ in held])
-        cols = [pa.array(anchor), pa.array(context), batch.column(0).take(pa.array(row[t])), pa.array((start + first[t]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))]
-        return pa.RecordBatch.from_arrays(cols, names=["anchor", "context", key, "start", "windows", "at"])
+        of = pa.array(row[t])
+        cols = [pa.array(anchor), pa.array(context), batch.column(0).take(of), batch.column(1).take(of), *(pa.array(x.astype(np.int32)) for x in (start + first[t], n, at))]
+        return pa.RecordBatch.from_arrays(cols, names=["anchor", "context", "_key", "_row", "start", "windows", "at"])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -144,144 +164,166 @@ def anchor_rows(docs: DataFrame, units: Units, key: str = "doc_id", text: str =
             if held:
                 yield rows(held, b)
 
-    kind = dict(docs.dtypes)[key]
-    return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(go, f"anchor long, context long, `{key}` {kind}, start int, windows int, at int")
+    return docs.mapInArrow(go, f"anchor long, context long, _key {dict(docs.dtypes)['_key']}, _row long, start int, windows int, at int")
 
 
-def shared_occurrences(docs: DataFrame, units: Units, key: str, text: str, across: bool) -> DataFrame:
+def shared_occurrences(docs: DataFrame, units: Units, across: bool) -> DataFrame:
     """Occurrences whose anchor occurs at least twice; if across, in at least two documents. A written table."""
-    found = written(anchor_rows(docs, units, key, text), "anchors")
-    several = F.min(key) < F.max(key) if across else F.count(F.lit(1)) > 1
+    found = written(anchor_rows(docs, units), "anchors")
+    several = F.min("_key") < F.max("_key") if across else F.count(F.lit(1)) > 1
     # written, so that the join has plain exchanges on both sides and Spark can split a frequent anchor's rows
     shared = written(found.groupBy("anchor").agg(several.alias("_several")).where("_several").select("anchor"), "anchor-names")
     return written(found.join(shared, "anchor"), "shared-anchors", discard=[found, shared])
 
 
-def contexts(shared: DataFrame, key: str, across: bool) -> DataFrame:
-    """One row per anchor and context: rep (its first occurrence: key, start, windows, at), again (there is another; if across, in a document with a larger key), split (its anchor has too many contexts for a block)."""
-    again = F.min(key) < F.max(key) if across else F.count(F.lit(1)) > 1
-    each = written(shared.groupBy("anchor", "context").agg(again.alias("again"), F.min(F.struct(key, "start", "windows", "at")).alias("rep")), "contexts")
-    many = written(each.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT).select("anchor", F.lit(True).alias("split")), "split-anchors")
-    # written, so that the join has plain sides: few split anchors go to every task, rows of a frequent one can be split
-    return written(each.join(many, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False))), "contexts", discard=[each, many])
+def _wanted(rows: DataFrame, names: list[str], place: list[str], across: bool, deep: bool) -> DataFrame:
+    """The passages that enter blocks: names, _key, place, rep (it stands for its context), split, and the blocks of its anchor or context that it enters.
 
-
-def with_spans(docs: DataFrame, each: DataFrame, units: Units, key: str, text: str) -> DataFrame:
-    """Passages of level 0, with key and split: the units of each context's first occurrence, as bytes."""
-    names = ["anchor", "context", "again", "split", "start", "windows", "at"]
-    lists = each.select(F.col(f"rep.{key}").alias(key), F.struct("anchor", "context", "again", "split", "rep.start", "rep.windows", "rep.at").alias("_w")).groupBy(key).agg(F.collect_list("_w").alias("_wanted"))
-    joined = docs.select(key, text).join(lists.hint("shuffle_hash"), key)
+    rows: every place of a passage, called by names (anchor and context, or a window's two hashes if deep); place tells
+    where it is. If deep, only what several documents hold is wanted, and there is no block of the anchor.
+    """
+    own = owner(across)
+    per = written(rows.groupBy(*names, *own).agg(F.min(F.struct(*place)).alias("lo"), F.max(F.struct(*place)).alias("hi"), F.count(F.lit(1)).alias("_n")), "passages")
+    again = F.min("_key") < F.max("_key") if across else F.sum("_n") > 1
+    each = per.groupBy(*names).agg(again.alias("again"), F.min(F.struct(*own)).alias("first"), F.count(F.lit(1)).alias("docs"))
+    old = [per]
+    if deep:
+        each = each.where("again").select("*", F.lit(True).alias("split"), F.lit(True).alias("wide"))
+    else:
+        each = written(each, "contexts")
+        crowd = each.groupBy(names[0]).agg((F.count(F.lit(1)) > SPLIT).alias("split"), (F.sum("docs") > SPLIT).alias("wide"))
+        crowd = written(crowd.where("split or wide"), "crowded-anchors")
+        old += [each, crowd]
+        # written, so that the join has plain sides: few crowded anchors go to every task, rows of a frequent one can be split
+        each = each.join(crowd, names[0], "left").select(*each.columns, *(F.coalesce(c, F.lit(False)).alias(c) for c in ("split", "wide")))
+    each = written(each, "contexts", discard=old[1:])
+    none, chunks = F.array().cast("array<int>"), F.greatest(F.lit(1), F.ceil(F.col("docs") / COPIES).cast("int"))
+    chunk = F.array(F.when(F.col("wide"), F.pmod(F.xxhash64(*own), chunks).cast("int") + 1).otherwise(0))
+    everywhere = F.concat(F.when(F.col("split"), none).otherwise(F.array(F.lit(0))), F.when(F.col("again") & F.col("wide"), F.sequence(F.lit(1), chunks)).otherwise(none))
+    rep = F.struct(*own) == F.col("first")
+    lo = F.struct("lo.*", rep.alias("rep"), F.when(rep, everywhere).otherwise(chunk).alias("blocks"))
+    hi = F.struct("hi.*", F.lit(False).alias("rep"), chunk.alias("blocks"))
+    alone = F.lit(not across) & rep & F.col("again") & (F.col("docs") == 1) & (F.col("hi") != F.col("lo"))
+    joined = per.join(each, names).where(rep | F.col("again"))
+    joined = joined.select(*names, "_key", "split", F.explode(F.when(alone, F.array(lo, hi)).otherwise(F.array(lo))).alias("_w"))
+    return written(joined.select(*names, "_key", "split", "_w.*"), "wanted", discard=[per, each])
+
+
+def with_spans(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
+    """Passages of level 0 with their units, as bytes, each cut from its own document."""
+    fields = ["anchor", "context", "split", "rep", "blocks", "start", "at"]
+    lists = wanted.groupBy("_key", "_row").agg(F.collect_list(F.struct(*fields, "windows")).alias("_wanted"))
+    joined = docs.join(lists.hint("shuffle_hash"), ["_key", "_row"]).select("_key", "_row", "_text", "_wanted")
     width, cut = units.width, units.cut
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wants, row, spans = b.column(2), [], []
-            for i, t in enumerate(b.column(1)):
-                w = wants[i].values
+            for i, t in enumerate(b.column(2)):
+                w = b.column(3)[i].values
                 start = w.field("start").to_pylist()
-                n = w.field("windows").to_pylist()
-                spans += cut(t.as_py(), [(s, s + k + width - 1) for s, k in zip(start, n, strict=True)])
-                row += [i] * len(start)
-            flat = wants.flatten()
-            level = pa.array(np.zeros(len(row), np.int32))
-            cols = {"level": level, **{x: flat.field(x) for x in names}, "span": pa.array(spans, pa.binary()), key: b.column(0).take(pa.array(row, pa.int64()))}
-            yield pa.RecordBatch.from_arrays([cols[x] for x in out], names=out)
+                spans = cut(t.as_py(), [(s, s + k + width - 1) for s, k in zip(start, w.field("windows").to_pylist(), strict=True)])
+                at = pa.array(np.full(len(spans), i))
+                cols = {x: w.field(x) for x in fields} | {"level": pa.array(np.zeros(len(spans), np.int32)), "span": pa.array(spans, pa.binary())}
+                yield pa.RecordBatch.from_arrays([*(cols[x] for x in _NAMES[:-2]), b.column(0).take(at), b.column(1).take(at)], names=_NAMES)
 
-    kind = dict(docs.dtypes)[key]
-    out = ["level", "anchor", "context", "again", "start", "windows", "at", "span", key, "split"]
-    return joined.mapInArrow(go, f"{PASSAGE}, `{key}` {kind}, split boolean")
+    return joined.mapInArrow(go, f"{PASSAGE}, _key {dict(docs.dtypes)['_key']}, _row long")
 
 
-def split_windows(spans: DataFrame, units: Units, key: str) -> DataFrame:
-    """(key, anchor, context, first, h1, h2) of each window of each passage of split anchors; first counts from the passage's beginning."""
+def split_windows(spans: DataFrame, units: Units) -> DataFrame:
+    """(_key, _row, anchor, context, at, h1, h2) of each window of the first passages of split anchors; at counts from the passage's beginning."""
     codes, width = units.codes, units.width
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in range(0, b.num_rows, 1000):
                 some = b.slice(part, 1000)
-                rows, first, h1, h2 = [], [], [], []
-                for i, s in enumerate(some.column(3)):
+                rows, at, h1, h2 = [], [], [], []
+                for i, s in enumerate(some.column(4)):
                     c = codes(s.as_py())
                     h1.append(RollingHash(c).windows(width))
                     h2.append(RollingHash(c, 1).windows(width))
-                    first.append(np.arange(len(h1[-1]), dtype=np.int32))
+                    at.append(np.arange(len(h1[-1]), dtype=np.int32))
                     rows.append(np.full(len(h1[-1]), i))
-                at = pa.array(np.concatenate(rows))
-                cols = [*(some.column(k).take(at) for k in range(3)), pa.array(np.concatenate(first)), *(pa.array(np.concatenate(h).view(np.int64)) for h in (h1, h2))]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, "anchor", "context", "first", "h1", "h2"])
+                of = pa.array(np.concatenate(rows))
+                cols = [*(some.column(k).take(of) for k in range(4)), pa.array(np.concatenate(at)), *(pa.array(np.concatenate(h).view(np.int64)) for h in (h1, h2))]
+                yield pa.RecordBatch.from_arrays(cols, names=["_key", "_row", "anchor", "context", "at", "h1", "h2"])
 
-    kind = dict(spans.dtypes)[key]
-    return spans.where("split").select(key, "anchor", "context", "span").mapInArrow(go, f"`{key}` {kind}, anchor long, context long, first int, h1 long, h2 long")
+    first = spans.where("split and rep").select("_key", "_row", "anchor", "context", "span")
+    return first.mapInArrow(go, f"_key {dict(spans.dtypes)['_key']}, _row long, anchor long, context long, at int, h1 long, h2 long")
 
 
-def window_passages(spans: DataFrame, windows: DataFrame, units: Units, key: str, across: bool) -> DataFrame:
-    """Passages of level 1: the windows that were found again, each once, with the first key that has it."""
-    again = F.min(key) < F.max(key) if across else F.count(F.lit(1)) > 1
-    least = windows.groupBy("h1", "h2").agg(again.alias("_again"), F.min(F.struct(key, "anchor", "context", "first")).alias("w")).where("_again")
-    wanted = written(least.select("h1", "h2", F.col(f"w.{key}").alias(key), "w.anchor", "w.context", "w.first"), "window-names")
-    joined = wanted.join(spans.where("split").select("anchor", "context", "span"), ["anchor", "context"])
+def window_passages(spans: DataFrame, windows: DataFrame, units: Units, across: bool) -> DataFrame:
+    """Passages of level 1: windows that several first passages of split anchors hold, each document's with its own units."""
+    wanted = _wanted(windows, ["h1", "h2"], ["_row", "anchor", "context", "at"], across, deep=True)
+    passage = ["_key", "_row", "anchor", "context"]
+    lists = wanted.groupBy(*passage).agg(F.collect_list(F.struct("h1", "h2", "rep", "blocks", "at")).alias("_w"))  # at most a passage's windows
+    joined = lists.join(spans.where("split and rep").select(*passage, "span"), passage).select("_key", "_row", "span", "_w")
     width, cut = units.width, units.cut_bytes
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_rows
-            span = [cut(s.as_py(), f, f + width) for s, f in zip(b.column(4), b.column(3).to_pylist(), strict=True)]
-            yes, no = pa.array(np.ones(n, bool)), pa.array(np.zeros(n, bool))
-            level, zero = pa.array(np.ones(n, np.int32)), pa.array(np.zeros(n, np.int32))
-            yield pa.RecordBatch.from_arrays([level, b.column(0), b.column(1), yes, zero, level, zero, pa.array(span, pa.binary()), b.column(2), no], names=out)
+            w, counts = b.column(3).flatten(), b.column(3).value_lengths().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), counts)
+            held = b.column(2).to_pylist()
+            span = [cut(held[i], f, f + width) for i, f in zip(row.tolist(), w.field("at").to_pylist(), strict=True)]
+            n, of = len(row), pa.array(row)
+            zero, yes = pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool))
+            cols = [pa.array(np.ones(n, np.int32)), w.field("h1"), w.field("h2"), yes, w.field("rep"), w.field("blocks"), zero, zero, pa.array(span, pa.binary()), b.column(0).take(of), b.column(1).take(of)]
+            yield pa.RecordBatch.from_arrays(cols, names=_NAMES)
 
-    kind = dict(spans.dtypes)[key]
-    out = ["level", "anchor", "context", "again", "start", "windows", "at", "span", key, "split"]
-    return joined.select("h1", "h2", key, "first", "span").mapInArrow(go, f"{PASSAGE}, `{key}` {kind}, split boolean")
+    return written(joined.mapInArrow(go, f"{PASSAGE}, _key {dict(spans.dtypes)['_key']}, _row long"), "window-passages", discard=[wanted])
 
 
 def in_blocks(passages: DataFrame, compare: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """compare() over blocks of passages, a block at a time."""
-    n = max(1, -(-passages.count() // BLOCK))
-    name = F.xxhash64("level", "anchor", F.when(F.col("split"), F.col("context")))
-    return passages.where("again or not split").groupBy(F.pmod(name, F.lit(n)).alias("block")).applyInArrow(lambda t: compare(t), schema)
+    rows = passages.agg(F.sum(F.size("blocks"))).first()[0] or 0
+    n = max(1, -(-rows // BLOCK))
+    dealt = passages.select(*(c for c in passages.columns if c not in ("blocks", "split", "rep")), F.explode("blocks").alias("_chunk"))
+    name = F.xxhash64("level", "anchor", F.when(F.col("_chunk") > 0, F.col("context")), "_chunk")
+    return dealt.groupBy(F.pmod(name, F.lit(n)).alias("block")).applyInArrow(lambda t: compare(t), schema)
 
 
 def found_again(docs: DataFrame, units: Units, compare: Callable[[pa.Table], pa.Table], key: str, text: str, across: bool) -> DataFrame:
-    """Spans (key, start, end) of the stretches that compare() finds in blocks, at every place of their passages.
+    """Spans (_key, _row, start, end) of the stretches that compare() finds in blocks, at every place of their passages.
 
-    compare() gives (level, anchor, context, key, copy, first, last) for passages: copy tells whether the stretch is
-    the copies' (if across, of all documents but the first one) or the first occurrence's.
+    compare() gives (level, anchor, context, _key, _row, first, last) for the passages of a block that it finds again.
     """
-    width, kind = units.width, dict(docs.dtypes)[key]
-    shared = shared_occurrences(docs, units, key, text, across)
-    each = contexts(shared, key, across)
-    spans = written(with_spans(docs, each, units, key, text), "spans", discard=[each])
+    docs, own = keyed(docs, key, text), owner(across)
+    shared = shared_occurrences(docs, units, across)
+    wanted = _wanted(shared, ["anchor", "context"], ["_row", "start", "windows", "at"], across, deep=False)
+    spans = written(with_spans(docs, wanted, units), "spans", discard=[wanted])
     old, every, windows = [shared, spans], spans, None
     if not spans.where("split").isEmpty():
-        windows = written(split_windows(spans, units, key), "split-windows")
-        deeper = written(window_passages(spans, windows, units, key, across), "window-passages")
+        windows = written(split_windows(spans, units), "split-windows")
+        deeper = window_passages(spans, windows, units, across)
         old += [windows, deeper]
         every = spans.unionByName(deeper)
-    found = written(in_blocks(every, compare, f"level int, anchor long, context long, `{key}` {kind}, copy boolean, first int, last int"), "found")
+    found = written(in_blocks(every, compare, f"level int, anchor long, context long, _key {dict(docs.dtypes)['_key']}, _row long, first int, last int"), "found")
     old.append(found)
-    per = found.where("level = 0").drop("level")
+    per = found.where("level = 0").select("anchor", "context", *own, "first", "last")
     if windows is not None:
-        # a window found again is so for every passage that has it but the first document's, or for all
-        one = found.where("level = 1").select(F.col("anchor").alias("h1"), F.col("context").alias("h2"), F.col(key).alias("_first"), "last")
-        hit = windows.join(one, ["h1", "h2"])
-        hit = hit.where(F.col(key) > F.col("_first")) if across else hit
-        deep = hit.groupBy("anchor", "context", key).agg(F.lit(False).alias("copy"), F.min("first").alias("first"), F.max(F.col("first") + F.col("last")).alias("last"))
-        both = per.unionByName(deep).groupBy("anchor", "context", key, "copy").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        per = written(both, "found-in-passages")
-        old.append(per)
-    per = per.withColumnRenamed(key, "_first")
-    at = shared.join(per, ["anchor", "context"])
-    if across:
-        at = at.where(F.when(F.col("copy"), F.col(key) > F.col("_first")).otherwise(F.col(key) == F.col("_first")))
-    at = at.select(key, (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
-    return written(at, "duplicate-spans", discard=old)
-
-
-def per_document(spans: DataFrame, key: str, out: str = "_spans") -> DataFrame:
-    """Spans (key, start, end) gathered per document. A document has at most one for each of its own positions."""
-    return spans.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(out))
+        one = found.where("level = 1").groupBy(F.col("anchor").alias("h1"), F.col("context").alias("h2"), *own).agg(F.max("last").alias("last"))
+        deep = windows.join(one, ["h1", "h2", *own]).select("anchor", "context", *own, F.col("at").alias("first"), (F.col("at") + F.col("last")).alias("last"))
+        per = per.unionByName(deep)
+    per = written(per.groupBy("anchor", "context", *own).agg(F.min("first").alias("first"), F.max("last").alias("last")), "found-in-passages")
+    at = shared.join(per, ["anchor", "context", *own])
+    at = at.select("_key", "_row", (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last")).alias("end"))
+    return written(at, "duplicate-spans", discard=[*old, per])
+
+
+def beside(docs: DataFrame, spans: DataFrame, key: str, text: str) -> DataFrame:
+    """docs and, as their last column, the spans of each: a sorted array, null if there are none. A document has at most one for each of its own positions."""
+    k, row, out = (_free(docs, c) for c in ("_key", "_row", "_spans"))
+    per = spans.groupBy(F.col("_key").alias(k), F.col("_row").alias(row)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(out))
+    joined = docs.withColumns({k: F.col(key), row: F.xxhash64(text)}).join(per.hint("shuffle_hash"), [k, row], "left")
+    return joined.select(*docs.columns, out)
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    """name, with underscores before it until docs has no such column."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -297,7 +339,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def with_removals(docs: DataFrame, spans: DataFrame, key: str, text: str, schema: str, names: list[str], row: Callable[[str | None, list[tuple[int, int]]], tuple]) -> DataFrame:
     """docs' keys and row(text, merged spans) of every document."""
-    joined = docs.select(key, text).join(per_document(spans, key).hint("shuffle_hash"), key, "left")
+    joined = beside(docs.select(key, text), spans, key, text)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,15 +6,15 @@ symbol before each passage of the block: the symbols, in the order of what follo
 segment of the transform; sorting the segment stably gives the order of the next column, and the common prefixes of
 neighbours follow from the least of those between two equal symbols. Each round reads the segment, the order and the
 prefixes front to back and writes the next ones; these sequential files are held as arrays,
-since a block has a fixed size, and an executor's own disk is never used. A passage that was found again stands in
-its block twice, so its repeat, too, shows in the transform and nowhere else. Equal windows have their anchor at the
+since a block has a fixed size, and an executor's own disk is never used. Passages stand in blocks with their documents'
+own bytes, so a repeat shows in the transform and nowhere else. Equal windows have their anchor at the
 same offset, so comparing suffixes within a column loses nothing, and a round costs as much as there
 are passages. A window is repeated if its suffix shares `width` symbols with a neighbour's.
 
 Defined results: a byte is removed if a `width`-byte string that covers it starts anywhere else too, in the
 same document or another; strings are judged on the input and never cross documents. Null texts have no bytes;
-rows with a null id take no part and stay whole; repeated rows are documents of their own; an empty
-table gives an empty one.
+texts of any length are read in parts that overlap by a window; rows with a null id take no part and stay whole; repeated
+rows are documents of their own, whether their texts are equal or not; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -113,13 +113,10 @@ def repeated_windows(columns: np.ndarray, begin: np.ndarray, end: np.ndarray, wi
     return first, last
 
 
-def _block(table: pa.Table, width: int, key: str) -> pa.Table:
-    """The stretch of each passage of a block that others repeat; a passage that was found again stands in the block twice."""
+def _block(table: pa.Table, width: int) -> pa.Table:
+    """The stretch of each passage of a block that others repeat."""
     spans = table.column("span").to_pylist()
-    again = np.flatnonzero(table.column("again").to_numpy(zero_copy_only=False))
-    row = np.concatenate([np.arange(len(spans)), again])
-    spans += [spans[i] for i in again]
-    at = table.column("at").to_numpy()[row]
+    at = table.column("at").to_numpy()
     size = np.array([len(s) for s in spans])
     begin = at.max() - at
     end = begin + size
@@ -127,16 +124,16 @@ def _block(table: pa.Table, width: int, key: str) -> pa.Table:
     flat = np.frombuffer(b"".join(spans), np.uint8)
     text = np.repeat(np.arange(len(spans)), size)
     columns[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + begin[text], text] = flat
-    first, last = (x[: table.num_rows] for x in repeated_windows(columns, begin, end, width))
+    first, last = repeated_windows(columns, begin, end, width)
     hit = np.flatnonzero(first <= last)
-    cols = [table.column(c).take(pa.array(hit)) for c in ("level", "anchor", "context", key, "again")]
+    cols = [table.column(c).take(pa.array(hit)) for c in passages.FOUND]
     a, b = (pa.array((x[hit] - begin[hit] + more).astype(np.int32)) for x, more in ((first, 0), (last, width)))
-    return pa.table([*cols, a, b], names=["level", "anchor", "context", key, "copy", "first", "last"])
+    return pa.table([*cols, a, b], names=[*passages.FOUND, "first", "last"])
 
 
 def duplicate_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans (key, start, end) in bytes that start somewhere else, too."""
-    return passages.found_again(docs, units(width, run), lambda t: _block(t, width, key), key, text, across=False)
+    """Spans (_key, _row, start, end) in bytes that start somewhere else, too; _row is the hash of the row's text."""
+    return passages.found_again(docs, units(width, run), lambda t: _block(t, width), key, text, across=False)
 
 
 def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, int, bytes]:

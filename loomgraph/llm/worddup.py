@@ -6,12 +6,13 @@ against every block that the index of anchors names for it; no other block holds
 passages are factored greedily against the part of the block that belongs to smaller ids: the longest match from the
 current word becomes a factor. Parsing goes on within the last window of a factor, so that a window that
 crosses factor boundaries is checked on its own. Factors of `width` words or more are duplicate spans, and nothing
-else is: a passage that later documents repeat is factored for them, too, once for all.
+else is. Every document is factored by its own words.
 
 Defined results: a word is removed if a window of `width` words that covers it starts in a document
 with a smaller id, too; windows are judged on the input. Null texts have no words; texts shorter than a
-window stay whole; rows with a null id take no part and stay whole; repeated rows of one id do not count
-against each other; an empty table gives an empty one. cleaned() passes other columns on, whatever their names.
+window stay whole; texts of any length are read in parts that overlap by a window; rows with a null id take no part and stay
+whole; rows of one id, with one text or several, do not count against each other, and each is cut by its own words; an
+empty table gives an empty one. cleaned() passes other columns on, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,29 +85,24 @@ def factors(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int
     return out
 
 
-def _block(table: pa.Table, width: int, key: str) -> pa.Table:
-    """The stretch that factors cover of each passage of a block, and of the copy of each passage that was found again."""
-    table = table.sort_by([(key, "ascending"), ("anchor", "ascending"), ("start", "ascending"), ("context", "ascending")])
+def _block(table: pa.Table, width: int) -> pa.Table:
+    """The stretch that factors cover of each passage of a block."""
+    table = table.sort_by([("_key", "ascending"), ("anchor", "ascending"), ("start", "ascending"), ("context", "ascending")])
     words = [_codes(_split(s)) for s in table.column("span").to_pylist()]
-    ids = table.column(key).to_pylist()
+    ids = table.column("_key").to_pylist()
     rank = {v: i for i, v in enumerate(dict.fromkeys(ids))}
-    # copies belong to later documents than the passage itself: they come last, and are nobody's source
-    again = np.flatnonzero(table.column("again").to_numpy(zero_copy_only=False))
-    row = np.concatenate([np.arange(len(words)), again])
-    owner = np.concatenate([[rank[i] for i in ids], np.full(len(again), len(rank))])
-    starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in row])])
-    first, last = np.full(len(row), np.iinfo(np.int32).max, np.int32), np.zeros(len(row), np.int32)
-    for t, a, b in factors(np.concatenate([words[i] for i in row]), starts, owner, width):
+    starts = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+    first, last = np.full(len(words), np.iinfo(np.int32).max, np.int32), np.zeros(len(words), np.int32)
+    for t, a, b in factors(np.concatenate(words), starts, np.array([rank[i] for i in ids]), width):
         first[t], last[t] = min(first[t], a), max(last[t], b)
     hit = np.flatnonzero(last)
-    at = pa.array(row[hit])
-    cols = [table.column(c).take(at) for c in ("level", "anchor", "context", key)]
-    return pa.table([*cols, pa.array(hit >= len(words)), pa.array(first[hit]), pa.array(last[hit])], names=["level", "anchor", "context", key, "copy", "first", "last"])
+    cols = [table.column(c).take(pa.array(hit)) for c in passages.FOUND]
+    return pa.table([*cols, pa.array(first[hit]), pa.array(last[hit])], names=[*passages.FOUND, "first", "last"])
 
 
 def duplicate_spans(docs: DataFrame, width: int = WIDTH, run: int = RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Spans (key, start, end) in words that occur in a document with a smaller key."""
-    return passages.found_again(docs, units(width, run), lambda t: _block(t, width, key), key, text, across=True)
+    """Spans (_key, _row, start, end) in words that occur in a document with a smaller key; _row is the hash of the row's text."""
+    return passages.found_again(docs, units(width, run), lambda t: _block(t, width), key, text, across=True)
 
 
 def _kept(text: str | None, spans: list[tuple[int, int]]) -> tuple[int, int, list[bytes]]:
@@ -136,11 +132,7 @@ def digests(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str
 
 def cleaned(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with duplicate spans cut out of its text; what stays keeps its white space, and texts without a span stay as they are."""
-    own = "_spans"
-    while own in docs.columns:
-        own = f"_{own}"
-    spans = passages.per_document(duplicate_spans(docs, width, key=key, text=text), key, own)
-    joined = docs.join(spans.hint("shuffle_hash"), key, "left").select(*docs.columns, own)
+    joined = passages.beside(docs, duplicate_spans(docs, width, key=key, text=text), key, text)
     at = docs.columns.index(text)
 
     def cut(t: str | None, cuts) -> str | None:

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from loomgraph.llm import neardup, passages, suffixdup, worddup
@@ -47,17 +48,19 @@ def by_bytes(rows, width=200):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("split", [4000, 1])
-def test_words(make, corpus, monkeypatch, split):
+@pytest.mark.parametrize("split,copies", [(4000, 4000), (1, 2), (20, 1)])
+def test_words(make, corpus, monkeypatch, split, copies):
     monkeypatch.setattr(passages, "SPLIT", split)
+    monkeypatch.setattr(passages, "COPIES", copies)
     got = worddup.digests(make(corpus)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == by_words(corpus)
     assert sum(r["n_removed"] for r in got) > 1000
 
 
-@pytest.mark.parametrize("split", [4000, 1])
-def test_bytes(make, corpus, monkeypatch, split):
+@pytest.mark.parametrize("split,copies", [(4000, 4000), (1, 2), (20, 1)])
+def test_bytes(make, corpus, monkeypatch, split, copies):
     monkeypatch.setattr(passages, "SPLIT", split)
+    monkeypatch.setattr(passages, "COPIES", copies)
     got = suffixdup.digests(make(corpus)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == by_bytes(corpus)
 
@@ -67,14 +70,46 @@ def test_bytes(make, corpus, monkeypatch, split):
 def test_nothing_goes_but_by_the_method(make, corpus, monkeypatch, split, operator, across):
     """What the blocks don't report stays: there is no other path to a removal."""
     monkeypatch.setattr(passages, "SPLIT", split)
-    none = lambda t: operator._block(t, operator.WIDTH, "doc_id").slice(0, 0)
+    none = lambda t: operator._block(t, operator.WIDTH).slice(0, 0)
     assert passages.found_again(make(corpus), operator.units(operator.WIDTH, operator.RUN), none, "doc_id", "text", across).isEmpty()
 
 
+@pytest.mark.parametrize("split,copies", [(4000, 4000), (1, 1)])
+@pytest.mark.parametrize("operator", [worddup, suffixdup])
+def test_hashes_do_not_decide(make, words, monkeypatch, split, copies, operator):
+    """A copy whose units are changed on the way to its block stays, though anchors and contexts are equal; the others go."""
+    monkeypatch.setattr(passages, "SPLIT", split)
+    monkeypatch.setattr(passages, "COPIES", copies)
+    text = " ".join(words[:90])
+
+    def other(t):
+        at = t.column_names.index("span")
+        spans = [s.swapcase()[::-1] if k == 3 else s for k, s in zip(t.column("_key").to_pylist(), t.column("span").to_pylist(), strict=True)]
+        return operator._block(t.set_column(at, "span", pa.array(spans, pa.binary())), operator.WIDTH)
+
+    found = passages.found_again(make([(i, text) for i in range(6)]), operator.units(operator.WIDTH, operator.RUN), other, "doc_id", "text", operator is worddup)
+    assert {r["_key"] for r in found.collect()} == {0, 1, 2, 4, 5} - ({0} if operator is worddup else set())
+
+
+@pytest.mark.parametrize("split", [4000, 1])
+def test_ids_repeated_with_other_texts(make, words, monkeypatch, split):
+    """Each row is cut by its own words; rows of one id do not count against each other for words, but do for bytes."""
+    monkeypatch.setattr(passages, "SPLIT", split)
+    a, b = " ".join(words[:70]), " ".join(words[100:160])
+    rows = [(0, a), (1, b + " " + a), (1, "a b c"), (1, b), (2, b + " x " + a), (2, None), (2, a + " y " + a), (2, a + " y " + a)]
+    got = worddup.digests(make(rows)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == by_words(rows)
+    assert all(r["n_removed"] <= r["n_words"] for r in got)
+    got = suffixdup.digests(make(rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == by_bytes(rows)
+    kept = sorted((r["doc_id"], r["text"] or "") for r in worddup.cleaned(make(rows)).collect())
+    assert kept == [(0, a), (1, "a b c"), (1, b), (1, b), (2, ""), (2, "x"), (2, "y"), (2, "y")]
+
+
 def test_cleaned_passes_clashing_columns_on(spark, words):
     text = " ".join(words[:60])
-    rows = spark.createDataFrame([(1, text, 7), (2, text, 8)], "doc_id long, text string, _spans int")
-    assert sorted(map(tuple, worddup.cleaned(rows).collect())) == [(1, text, 7), (2, "", 8)]
+    rows = spark.createDataFrame([(1, text, 7, "r"), (2, text, 8, "r")], "doc_id long, text string, _spans int, _row string")
+    assert sorted(map(tuple, worddup.cleaned(rows).collect())) == [(1, text, 7, "r"), (2, "", 8, "r")]
 
 
 def test_transform_reads_back():
