@@ -28,12 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables that written() made, once nothing reads them any more."""
+    """Deletes tables that written() made, once nothing reads them any more; tables from elsewhere stay."""
     for old in tables:
         spark = old.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        own = path(f"{shared_dir(spark)}/loomgraph").toUri().getPath()
         for folder in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
-            if "/loomgraph/" in folder:
-                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            at = path(folder)
+            if at.getParent().toUri().getPath() == own:
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 

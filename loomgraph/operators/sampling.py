@@ -43,7 +43,8 @@ def allocation(cell_table: DataFrame, target: int) -> DataFrame:
 def sample_counts(cell_table: DataFrame, target: int | str, seed: int = 0) -> DataFrame:
     """cells with `draw`: how many firms to take. "ALL" takes the counts.
 
-    Units left over after the whole parts are drawn with replacement, each by the remainders' shares. The
+    Units left over after the whole parts are drawn with replacement, each by the remainders' shares. Where rounding has
+    put the whole parts above the target, units are taken back, one each from cells drawn among those that have any. The
     sum is always the target; a cell may exceed its count, as in any draw with replacement.
     """
     if target == "ALL":
@@ -52,13 +53,19 @@ def sample_counts(cell_table: DataFrame, target: int | str, seed: int = 0) -> Da
         raise ValueError("the counts sum to zero")
     spark = cell_table.sparkSession
     parts = allocation(cell_table, int(target))
+    deficit = parts.select("deficit").first()[0]
+    if deficit < 0:
+        if parts.where("base > 0").count() < -deficit:
+            raise ValueError("more units are to be taken back than cells have any")
+        drawn = with_pair_uniform(parts.withColumn("_seed", F.lit(seed)), "cell", "_seed", "_u")
+        place = F.row_number().over(Window.orderBy(F.col("base") <= 0, "_u", "cell"))  # bounded: sectors times bands
+        return drawn.withColumn("draw", F.col("base") - F.when(place <= -deficit, 1).otherwise(0)).drop("expected", "base", "remainder", "deficit", "_seed", "_u")
     w = Window.orderBy("cell")
     weight = F.when(F.sum("remainder").over(Window.partitionBy()) > 0, F.col("remainder")).otherwise(F.lit(1.0))
     running = parts.withColumn("_w", weight).withColumn("_to", F.sum("_w").over(w)).withColumn("_from", F.col("_to") - F.col("_w"))
     top = F.max("_to").over(Window.partitionBy())
     running = running.withColumn("_last", F.col("_to") == top).withColumn("_from", F.col("_from") / top).withColumn("_to", F.col("_to") / top)
-    deficit = parts.select("deficit").first()[0]
-    draws = with_pair_uniform(spark.range(max(0, deficit)).withColumn("_seed", F.lit(seed)), "id", "_seed", "u").select("u")
+    draws = with_pair_uniform(spark.range(deficit).withColumn("_seed", F.lit(seed)), "id", "_seed", "u").select("u")
     hit = (F.col("u") >= F.col("_from")) & ((F.col("u") < F.col("_to")) | F.col("_last"))
     # cells are sectors times bands, a bounded table: their ranges go to every task
     extra = draws.join(F.broadcast(running.select("cell", "_from", "_to", "_last")), hit).groupBy("cell").agg(F.count(F.lit(1)).alias("extra"))

@@ -4,13 +4,14 @@ import math
 import random
 import time
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.lineage import numbered
+from loomgraph.lineage import dropped, numbered, shared_dir, written
 from loomgraph.operators import graph, gravity, sampling, sectors, selection, weights
 from loomgraph.sources import fixtures
 from loomgraph.sources.bands import BANDS
@@ -63,6 +64,30 @@ def counts(spark, values):
     return spark.createDataFrame([(s, *v, *[None] * (len(names) - len(v))) for s, v in values], ", ".join(["`SIC ` string", *(f"`{n}` double" for n in names)]))
 
 
+def test_units_are_taken_back(spark, monkeypatch):
+    """Whole parts above the target, as rounding may leave them: cells that have any give one unit each."""
+    parts = spark.createDataFrame([(k, "1", 0, 5, 1.0, b, 0.0, -2) for k, b in enumerate([3, 0, 2, 4], 1)], "cell long, sic string, band int, n long, expected double, base long, remainder double, deficit long")
+    monkeypatch.setattr(sampling, "allocation", lambda *_: parts)
+    drawn = sampling.sample_counts(parts.select("cell", "sic", "band", "n"), 7, seed=3)
+    assert drawn.columns == ["cell", "sic", "band", "n", "draw"]
+    given = {r["cell"]: r["draw"] for r in drawn.collect()}
+    taken = [b - given[k] for k, b in enumerate([3, 0, 2, 4], 1)]
+    assert sum(taken) == 2 and set(taken) == {0, 1} and given[2] == 0
+    monkeypatch.setattr(sampling, "allocation", lambda *_: parts.withColumn("deficit", F.lit(-4)))
+    with pytest.raises(ValueError, match="taken back"):
+        sampling.sample_counts(parts.select("cell", "sic", "band", "n"), 5)
+
+
+def test_only_own_tables_are_dropped(spark, tmp_path):
+    theirs = tmp_path / "loomgraph" / "firms"
+    spark.range(3).write.parquet(str(theirs))
+    ours = written(spark.range(3), "step")
+    at = ours.inputFiles()[0].rsplit("/", 1)[0].split(":", 1)[1]
+    assert f"/{shared_dir(spark).split(':', 1)[-1].strip('/')}/loomgraph/" in f"/{at.lstrip('/')}"
+    dropped(ours, spark.read.parquet(str(theirs)))
+    assert theirs.exists() and not Path(at).exists()
+
+
 def test_cells_and_sampling(spark):
     c = sampling.cells(counts(spark, [("1", [1.0, 0.9, 1.0]), ("20", [None, 1.0, -3.0])]))
     assert [(r["cell"], r["sic"], r["band"], r["n"]) for r in c.orderBy("cell").collect()] == [(1, "1", 0, 1), (2, "1", 2, 1), (3, "20", 1, 1)]
