@@ -31,6 +31,8 @@ SCC = f"{LAYERED_PAIRS}, reach(a, z) as (select (p_partkey + 1) * 3 + r, (p_part
 DAG = f"{SCC}, dag as (select distinct a.comp as src, b.comp as dst from edges join comp a on a.node = buyer join comp b on b.node = seller where a.comp <> b.comp)"
 TARGET = 1000
 PARAMETERS = gravity.Parameters(z=0.02)
+#: Bounds of self weights of which only the one on their squares binds.
+CAPPED = weights.Caps(eta1=1.0, eta2=0.0005)
 
 
 def _prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,6 +193,10 @@ def drawn_edges(spark, sf):  # SMP-04 FLT-07 SET-02
     return gravity.bernoulli_edges(_prices(spark, sf), _blocks(spark, sf), PARAMETERS)
 
 
+def thinned_edges(spark, sf):  # SMP-04 FLT-07 without walking all pairs, on sizes that don't repeat
+    return gravity.thinned_edges(_turnover(spark, sf), _blocks(spark, sf), PARAMETERS)
+
+
 def pair_quota_grid(spark, sf):  # PRJ-14 PRJ-15 PRJ-16
     n = fixtures.firms(spark, sf).select(F.col("id").cast("double").alias("n"))
     k = F.greatest(F.lit(1), S.ceil_count(S.f_eta(F.col("n"), 0.05, 0.001) * F.col("n")))
@@ -372,6 +378,13 @@ def edge_weights(spark, sf):  # OP-07 OP-08
     return _rounded(weights.solve_capped(edges, firms), "weight", digits=5)
 
 
+def capped_weights(spark, sf):  # OP-08 with a cap that binds, OP-07 with the bound on the energy
+    edges, firms = _network(spark, sf)
+    found = weights.solved_capped(edges, firms, CAPPED)
+    rows = found.weights.withColumns({"energy": F.lit(found.energy), "bound": F.lit(found.bound), "gap": F.lit(found.gap), "square_price": F.lit(found.square_price)})
+    return _rounded(_rounded(rows, "weight", "energy", "bound", "square_price", digits=5), "gap")
+
+
 def edge_weight_residuals(spark, sf):  # AG-18 AG-19 FLT-10 SNK-08
     edges, firms = _network(spark, sf)
     out = weights.residuals(weights.solve_capped(edges, firms), firms)
@@ -383,9 +396,9 @@ QUERIES = {
     for f in (
         firm_attributes, code_forms, size_band_cells, allocation_base, expanded_cells, sampled_firms, flow_shares, sector_blocks, common_sector_firms,
         mapping_checks, sector_sizes, sector_inflow_balance, distinct_edges, edge_text, supplier_lists, sector_file, firm_degrees, sector_edges, reference_checks,
-        firm_tolerances, block_kernel, seller_inflow, expected_edges, undirected_kernel, pair_uniforms, drawn_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
+        firm_tolerances, block_kernel, seller_inflow, expected_edges, undirected_kernel, pair_uniforms, drawn_edges, thinned_edges, pair_quota_grid, scc_labels, scc_members, condensation_edges,
         condensation_ends, topological_levels, sink_source_pairs, chosen_candidates, drawn_candidates, sector_choice, joint_choice, irreducible_graph, fitted_scale, raked_factors, model_jacobian,
-        fitted_bands, step_kernel, constrained_fit, weight_feasibility, edge_weights, edge_weight_residuals,
+        fitted_bands, step_kernel, constrained_fit, weight_feasibility, edge_weights, capped_weights, edge_weight_residuals,
     )
 } | files.QUERIES
 
@@ -478,19 +491,27 @@ _BY_SECTOR = f"""{FIRMS}, {PAIRS}, members as (select sector as comp, id as node
     {_quotas("ring", "members", "size", "edges", "0.05", "0.001")}, {_drawn("members")}"""
 
 #: Dykstra's cycles over rows, firm bands, sector bands, the sum of self weights and the box, until no constraint is missed by 1e-4.
-_WEIGHTS = f"""{FIRMS}, {PAIRS}, net as (select buyer, seller from edges union all select id, id from firms), m as (select id, price as m, sector from firms),
+
+
+def _weights(cap: float = 0.1, radius: str = "1e300") -> str:
+    """CTEs of the projections in turn, up to `solved`; radius: the bound of the squared self weights of all firms."""
+    return f"""{FIRMS}, {PAIRS}, net as (select buyer, seller from edges union all select id, id from firms), m as (select id, price as m, sector from firms),
     ed as (select buyer, seller, a.m as m, b.m as mj, b.sector as sector, (buyer = seller)::int as own, count(*) over (partition by buyer) as row_v, sum(a.m * a.m) over (partition by seller) as firm_v, sum(a.m * a.m) over (partition by b.sector) as sector_v, (select sum(m.m) from m where m.sector = b.sector) as ms,
-        (select count(*) from m) * 0.1e0 as cap, sum((buyer = seller)::int) over () as n_own from net join m a on a.id = buyer join m b on b.id = seller),
-    it as (select 0 as cycle, *, 0.0e0 as x, 0.0e0 as box, 0.0e0 as fp, 0.0e0 as sp, 0.0e0 as op, 1.0e0 as miss from ed union all
-        select cycle + 1, buyer, seller, m, mj, sector, own, row_v, firm_v, sector_v, ms, cap, n_own, xn, y - xn, fn, sn, onew, greatest(max(fm) over (), max(sm) over (), max(abs(sum_x - 1)) over ()) from (
+        (select count(*) from m) * {cap}e0 as cap, {radius} as radius, sum((buyer = seller)::int) over () as n_own from net join m a on a.id = buyer join m b on b.id = seller),
+    it as (select 0 as cycle, *, 0.0e0 as x, 0.0e0 as box, 0.0e0 as fp, 0.0e0 as sp, 0.0e0 as op, 0.0e0 as ball, 0.0e0 as rho, 1.0e0 as miss from ed union all
+        select cycle + 1, buyer, seller, m, mj, sector, own, row_v, firm_v, sector_v, ms, cap, radius, n_own, xn, y - xn, fn, sn, onew, balln, rhon, greatest(max(fm) over (), max(sm) over (), max(abs(sum_x - 1)) over ()) from (
         select *, sum(xn) over (partition by buyer) as sum_x from (select *, greatest(0.0e0, least(1.0e0, y)) as xn from (
-        select *, x3 + case when own = 1 then onew - op else 0 end + box as y from (select *, least(0.0e0, (cap - (own_s - op * n_own)) / n_own) as onew from (select *, sum(x3 * own) over () as own_s from (
+        select *, yb - balln + box as y from (select *, yb * own * rhon / (1 + rhon) as balln from (select *, case when norm > radius then sqrt(norm / radius) - 1 else 0 end as rhon from (select *, sum(yb * yb * own) over () as norm from (
+        select *, x3 + case when own = 1 then onew - op + ball else 0 end as yb from (select *, least(0.0e0, (cap - (own_s - op * n_own)) / n_own) as onew from (select *, sum(x3 * own) over () as own_s from (
         select *, x2 + (sn - sp) * m as x3 from (select *, case when sfree < 0.9 * ms then 0.9 * ms - sfree when sfree > 1.1 * ms then 1.1 * ms - sfree else 0 end / sector_v as sn, case when ss < 0.9 * ms then 0.9 * ms - ss when ss > 1.1 * ms then ss - 1.1 * ms else 0 end / ms as sm from (select *, ss - sp * sector_v as sfree from (
         select *, sum(m * x2) over (partition by sector) as ss from (
         select *, x1 + (fn - fp) * m as x2 from (select *, case when ffree < 0.9 * mj then 0.9 * mj - ffree when ffree > 1.1 * mj then 1.1 * mj - ffree else 0 end / firm_v as fn, case when fs < 0.9 * mj then 0.9 * mj - fs when fs > 1.1 * mj then fs - 1.1 * mj else 0 end / mj as fm from (select *, fs - fp * firm_v as ffree from (
         select *, sum(m * x1) over (partition by seller) as fs from (
-        select *, x + (1 - sum(x) over (partition by buyer)) / row_v as x1 from it where miss > 1e-4 and cycle < 60))))))))))))))),
-    solved as (select buyer, seller, m, mj, sector, ms, own, x from it where cycle = (select max(cycle) from it))"""
+        select *, x + (1 - sum(x) over (partition by buyer)) / row_v as x1 from it where miss > 1e-4 and cycle < 60))))))))))))))))))),
+    solved as (select * from it where cycle = (select max(cycle) from it))"""
+
+
+_WEIGHTS = _weights()
 
 _OPTIONS = (
     ("sampling", "--target-firms", "ALL"), ("sampling", "--seed", "42"), ("fit", "--mean-degree", "25.0"), ("fit", "--band", "0.1"), ("fit", "--resolution", "0.0"),
@@ -532,6 +553,14 @@ ORACLE_SQL = {
     "seller_inflow": f"with {_KERNEL}, e as (select l, sum(e) as e from sums group by 1), s as (select sector as l, sum(q) as s_l from pq group by 1) select l, round(e, 5) as e, round(s_l, 5) as s_l, round((e - s_l) / s_l, 5) as error, case when abs((e - s_l) / s_l) <= 0.5 + 1e-12 then 'OK' else 'VIOLATED' end as status from e join s using (l)",
     "expected_edges": f"with {_KERNEL} select round(sum(p), 4) as expected from sums",
     "drawn_edges": f"with {_KERNEL}, h0 as (select i, j, p, {_uniform('i - 1', 'j - 1')} as h from pr where p > 0), {_mixing('h0', 'i, j, p')} select i as buyer, j as seller from h3 where p >= u",
+    # log1p is ln(1 - p) with its rounding taken back; skips go 10 deviations beyond their mean, which no run exceeds
+    "thinned_edges": f"""with {TURNOVER}, {PAIRS}, {FLOWS}, {BLOCKS}, fa as (select *, floor(ln(a) / 0.35e0)::int as band from (select id, sector, power(greatest(q, 1e-15), 0.5e0) as a from tq)), nf as (select *, row_number() over (order by sector, band, id) - 1 as number from fa),
+        cells as (select sector, band, min(number) as first, count(*) as n, max(a) as top from nf group by 1, 2), cp as (select 0.02e0 * power(greatest(s, 1e-15), 0.6e0) as c, x.top as xt, y.top as yt, x.first as xf, y.first as yf, y.n as yn, x.n * y.n as pairs, x.first * (select count(*) from nf) + y.first as cells from blocks join cells x on x.sector = k join cells y on y.sector = l),
+        ct as (select *, case when c * xt * yt > 1e6 then 1.0 else c * xt * yt / (1 + c * xt * yt) end as top from cp), cl as (select *, ceil(least(pairs::double, 64.0e0 / top))::bigint as long from ct where top > 0), rn as (select *, unnest(range((pairs + long - 1) // long)) as run from cl),
+        dr as (select *, unnest(range(least(long, ceil(long * top + 10 * sqrt(long * top) + 10)::bigint))) as t from rn), h0 as (select *, {_uniform("cells", "run * long + t", gravity.SKIP_SEED)} as h from dr), {_mixing("h0", "c, top, xf, yf, yn, pairs, cells, long, run, t")},
+        sk as (select *, sum(case when top >= 1 then 1 else least(floor(ln(greatest(1 - u, 1e-17)) / (case when 1 - top = 1 then -top else ln(1 - top) * top / (1 - (1 - top)) end)), long::double)::bigint + 1 end) over (partition by cells, run order by t) as upto from h3),
+        hit as (select c, top, xf + g // yn as i, yf + g % yn as j from (select *, run * long + upto::bigint - 1 as g from sk where upto <= long) where g < pairs), ab as (select c, top, x.id as buyer, y.id as seller, x.a as xa, y.a as ya from hit join nf x on x.number = i join nf y on y.number = j where x.id <> y.id),
+        w0 as (select buyer, seller, case when c * xa * ya > 1e6 then 1.0 else c * xa * ya / (1 + c * xa * ya) end / top as share, {_uniform("buyer - 1", "seller - 1")} as h from ab), {_mixing("w0", "buyer, seller, share").replace("h1", "w1").replace("h2", "w2").replace("h3", "w3")} select buyer, seller from w3 where share > 0 and share >= u""",
     "pair_quota_grid": "with g as (select (p_partkey + 1)::double as n from part), k as (select n, greatest(1, ceil(0.05 * (1 - exp(-0.001 * n)) * n))::bigint as n_keep from g) select n::bigint as n, n_keep, greatest(n_keep, ceil(0.25 * power(n / (50.0 + n), 1.0) * n)::bigint) as n_draw from k",
     "scc_labels": f"with recursive {SCC} select node, comp from comp",
     "scc_members": f"with recursive {SCC} select comp, row_number() over (partition by comp order by node)::int as position, node from comp",
@@ -584,6 +613,11 @@ ORACLE_SQL = {
         select * from (values ('degree_times_floor', (select count(*) from (select buyer from net group by 1 having count(*) * 0.2e0 > 1))), ('no_inflow', (select count(*) from f where delta < 1 and id not in (select seller from net))),
         ('sector_without_edges', (select count(distinct sector) from f where sector not in (select sector from net join f on id = seller))), ('sector_size_not_positive', (select count(*) from (select sector from f group by 1 having sum(size) <= 0)))) t("check", violations)""",
     "edge_weights": f"with recursive {_WEIGHTS} select buyer, seller, round(x, 5) + 0.0 as weight from solved",
+    # the bound: the energy's least value under the multipliers, worked out from what the sets have pulled
+    "capped_weights": f"""with recursive {_weights(1.0, "(select count(*) from m) * 0.0005e0")}, pulls as (select *, x + ball + box as pull, x + ball + box - (fp + sp) * m - op * own as rp, 1 + rho * own as cost from solved), least_of as (select *, greatest(0, least(1, pull / cost)) as best from pulls),
+        priced(v) as (select sum(cost * best * best / 2 - pull * best + rp / row_v) from least_of union all select sum(fp * mj * case when fp > 0 then 0.9e0 else 1.1e0 end) from (select distinct seller, fp, mj from solved)
+        union all select sum(sp * ms * case when sp > 0 then 0.9e0 else 1.1e0 end) from (select distinct sector, sp, ms from solved) union all select any_value(op * cap - rho * radius / 2) from solved), en as (select sum(x * x / 2) as energy, (select sum(v) from priced) as bound, any_value(rho) as rho from solved)
+        select buyer, seller, round(x, 5) + 0.0 as weight, round(energy, 5) as energy, round(bound, 5) as bound, round(abs(energy - bound) / energy, 6) as gap, round(en.rho, 5) as square_price from solved, en""",
     "edge_weight_residuals": f"""with recursive {_WEIGHTS}, fr as (select seller, sum(m * x) as s, any_value(mj) as b from solved group by 1), sr as (select sector, sum(m * x) as s, any_value(ms) as b from solved group by 1)
         select round((select max(abs(d)) from (select sum(x) - 1 as d from solved group by buyer)), 7) as row_miss, round((select max(greatest(0.9 * b - s, s - 1.1 * b, 0) / b) from fr), 7) as firm_miss, round((select max(greatest(0.9 * b - s, s - 1.1 * b, 0) / b) from sr), 7) as sector_miss,
         round(sum(x * own), 5) as self_sum, round(sum(x * x * own), 5) as self_square, round(sum(x * x), 5) as energy from solved""",
