@@ -273,6 +273,46 @@ def test_fit_and_draw(spark):
         fit.close()
 
 
+def test_thinned_draws_follow_the_probabilities(spark):
+    """Links of each block over many seeds lie within five deviations of their sum of probabilities, and so do those of single pairs."""
+    firms, blocks = firms_and_blocks(spark, n=60)
+    firms = graph.stored(firms.withColumn("q", F.col("q") / (1 + F.col("id") % 17)))
+    blocks, par, seeds = graph.stored(blocks), gravity.Parameters(0.6), 6
+    p = {(r["buyer"], r["seller"]): r["p"] for r in gravity.pair_probabilities(firms, blocks, par).collect()}
+    sector = {r["id"]: r["sector"] for r in firms.collect()}
+    drawn = []
+    for seed in range(seeds):
+        got = [tuple(r) for r in gravity.thinned_edges(firms, blocks, par, seed=7919 * seed + 1).collect()]
+        assert len(got) == len(set(got)) and set(got) <= set(p)
+        drawn += got
+    for block in {(sector[i], sector[j]) for i, j in p}:
+        of = [v for (i, j), v in p.items() if (sector[i], sector[j]) == block]
+        mean, deviation = seeds * sum(of), math.sqrt(seeds * sum(v * (1 - v) for v in of))
+        assert abs(sum((sector[i], sector[j]) == block for i, j in drawn) - mean) <= 5 * deviation + 1
+    # pairs in four classes of probability: thinning leaves none of them too often
+    order = sorted(p, key=p.get)
+    for c in range(4):
+        part = set(order[c * len(order) // 4 : (c + 1) * len(order) // 4])
+        mean, deviation = seeds * sum(p[e] for e in part), math.sqrt(seeds * sum(p[e] * (1 - p[e]) for e in part))
+        assert abs(sum(e in part for e in drawn) - mean) <= 5 * deviation + 1
+
+
+def test_runs_that_need_more_skips_go_on(spark):
+    firms, blocks = firms_and_blocks(spark, n=60)
+    whole = {tuple(r) for r in gravity.thinned_edges(firms, blocks, gravity.Parameters(0.6)).collect()}
+    # a negative spread leaves each run a few skips a pass
+    passes = {tuple(r) for r in gravity.thinned_edges(firms, blocks, gravity.Parameters(0.6), spread=-2.0).collect()}
+    assert whole and passes == whole
+    half = {tuple(r) for r in gravity.thinned_edges(firms, blocks, gravity.Parameters(0.6), undirected=True).collect()}
+    assert half == {e for e in whole if e[0] < e[1]}
+    # saturated strengths link all pairs; without firms there is none
+    every = gravity.thinned_edges(firms, blocks, gravity.Parameters(1e40))
+    assert every.count() == gravity.pair_probabilities(firms, blocks, gravity.Parameters(1e40)).count()
+    assert gravity.thinned_edges(firms.where("id < 0"), blocks, gravity.Parameters(0.6)).isEmpty()
+    odd = firms.unionByName(spark.createDataFrame([(900, None, 0.5), (901, 0, None)], "id long, sector long, q double"))
+    assert gravity.thinned_edges(odd, blocks, gravity.Parameters(0.6)).where("buyer >= 900 or seller >= 900").isEmpty()
+
+
 def test_sizes_in_steps_keep_the_error_bound(spark):
     firms, blocks = firms_and_blocks(spark, n=120)
     firms = firms.withColumn("q", F.col("q") * (1 + F.col("id") / 500))
@@ -369,8 +409,33 @@ def test_squared_self_weights_are_capped(spark):
     r = weights.residuals(weights.solve_capped(e, firms, caps), firms, caps).first()
     assert 0.38 < r["self_square"] <= 0.4 + 1e-9
     assert max(r["row_miss"], r["firm_miss"], r["sector_miss"]) <= 1e-3
+    # firms that buy from themselves only can't keep to it
     with pytest.raises(ValueError):
-        weights.solve_capped(e, firms, caps, searches=1)
+        weights.solve_capped(e.where("buyer = seller"), firms, caps, cycles=3)
+
+
+def test_energy_and_bound_close_in_on_each_other(spark):
+    """Against the optimum by hand: three firms that buy from themselves and the next, self weights capped by their squares."""
+    e = spark.createDataFrame([(i, j) for i in range(3) for j in (i, (i + 1) % 3)], "buyer long, seller long")
+    firms = spark.createDataFrame([(i, 1.0, 0, 0.5) for i in range(3)], "id long, size double, sector long, delta double")
+    found = weights.solved_capped(e, firms, weights.Caps(eta1=1.0, eta2=0.09), cycles=80, tolerance=1e-7, gap=1e-6)
+    w = found.weights.collect()
+    assert all(r["weight"] == pytest.approx(0.3 if r["buyer"] == r["seller"] else 0.7, abs=1e-5) for r in w)
+    assert found.energy == pytest.approx(3 * (0.09 + 0.49) / 2, abs=1e-5) and found.gap <= 1e-6
+    # stationary: 0.3 (1 + price) = 0.7, both being their row's multiplier
+    assert found.square_price == pytest.approx(4 / 3, abs=1e-4)
+    # any multipliers give a bound: after two cycles it is below the optimum
+    early = weights.solved(e, firms, weights.Caps(eta1=1.0, eta2=0.09), cycles=2, squared=True)
+    assert early.cycles == 2 and early.bound <= found.energy + 1e-6
+    free = weights.solved_capped(e, firms, weights.Caps(eta1=1.0, eta2=1.0), tolerance=1e-6, gap=1e-6)
+    assert free.energy == pytest.approx(0.75, abs=1e-5) and free.square_price == 0.0
+
+
+def test_weights_without_edges(spark):
+    e = spark.createDataFrame([], "buyer long, seller long")
+    firms = spark.createDataFrame([(1, 1.0, 0, 1.0)], "id long, size double, sector long, delta double")
+    found = weights.solved(e, firms, cycles=2)
+    assert found.weights.count() == 0 and found.energy == 0.0
 
 
 def test_selection(spark):
