@@ -478,3 +478,41 @@ def test_tolerance_last_wins(spark):
     firms = spark.createDataFrame([(1, 10.0), (2, 10.0)], "id long, size double")
     deltas = spark.createDataFrame([(1, 1, 0.2), (2, 1, 0.5), (3, 2, -1.0)], "line long, id long, delta double")
     assert {r["id"]: r["delta"] for r in sectors.with_tolerance(firms, deltas).collect()} == {1: 0.5, 2: 0.1}
+
+
+def test_block_sums_by_nodes_equal_those_over_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    ids, sector, q = np.arange(900) // 2 * 3, rng.integers(0, 2, 900), np.exp(rng.uniform(-1.7, 0.0, 900))  # two firms an id
+    firms = graph.stored(spark.createDataFrame([(int(i), int(s), float(x)) for i, s, x in zip(ids, sector, q)], "id long, sector long, q double"))
+    blocks = graph.stored(spark.createDataFrame([(0, 0, 0.5, 1.0), (0, 1, 1.0, 0.6), (1, 1, 0.2, 0.4)], "k long, l long, s double, i_share double"))
+    groups = graph.stored(gravity.size_groups(firms))
+    assert gravity.condensed(groups).count() <= 2 * 4 * gravity.NODES < groups.count()
+    for alpha in (0.3, 0.95):
+        par = gravity.Parameters(40.0, alpha, 0.6)
+        for undirected in (False, True):
+            got = {(r["k"], r["l"]): r for r in gravity.block_sums(firms, blocks, par, undirected=undirected).collect()}
+            assert len(got) == 3
+            for k, l, s, share in ((0, 0, 0.5, 1.0), (0, 1, 1.0, 0.6), (1, 1, 0.2, 0.4)):
+                a, b = sector == k, sector == l
+                x = 40.0 * s**0.6 * np.outer(q[a], q[b]) ** alpha
+                p = x / (1 + x)
+                keep = ids[a][:, None] < ids[b] if undirected else np.flatnonzero(a)[:, None] != np.flatnonzero(b)
+                w, logs = p * (1 - p), np.log(np.outer(q[a], q[b]))
+                assert got[k, l]["p"] == pytest.approx((p * keep).sum(), rel=1e-12)
+                assert got[k, l]["p_a"] == pytest.approx((w * logs * keep).sum(), rel=1e-11)
+                assert got[k, l]["e_z"] == pytest.approx((share * q[a][:, None] * w * keep).sum(), rel=1e-12)
+
+
+def test_a_fit_reads_nodes_unless_a_pair_may_be_saturated(spark):
+    firms = graph.stored(spark.range(300).select("id", F.lit(1).cast("long").alias("sector"), (0.2 + F.col("id") / 400).alias("q")))
+    blocks = spark.createDataFrame([(1, 1, 1.0, 1.0)], "k long, l long, s double, i_share double")
+    fit = gravity.Fit(firms, blocks, degree=5.0)
+    try:
+        assert fit._nodes.count() < fit._groups.count() == 300
+        q = 0.2 + np.arange(300) / 400
+        for z in (0.1, 2.1234567e6):  # beyond 1e6 probabilities jump to 1
+            x = z * np.sqrt(np.outer(q, q))
+            p = np.where(x > 1e6, 1.0, x / (1 + x))
+            assert fit.links(gravity.Parameters(z)) == pytest.approx(p.sum() - np.trace(p), rel=1e-12)
+    finally:
+        fit.close()
