@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(flag, action=argparse.BooleanOptionalAction, default=default)
             elif default is inspect.Parameter.empty:
                 p.add_argument(flag, required=True)
+            elif default == "":  # a file that is only written where it is named: there is no default
+                p.add_argument(flag, default=argparse.SUPPRESS)
             else:
                 p.add_argument(flag, default=default, type=type(default) if default is not None else str)
     return out

@@ -50,3 +50,11 @@ def test_unknown_options(capsys):
     assert "--colour" in capsys.readouterr().err
     with pytest.raises(SystemExit):
         cli.options("inputs --edges e --strength s --mapping m --network-out n --money-out o --sector-out p --colour blue".split())
+
+
+def test_a_report_has_no_default():
+    from loomgraph import __main__ as command
+
+    files = [x for n in ("mapping", "strength", "iot", "sij", "edges-out") for x in (f"--{n}", "x")]
+    assert "report_out" not in command.options(["fit", *files])
+    assert command.options(["fit", *files, "--report-out", "r"])["report_out"] == "r"
