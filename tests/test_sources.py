@@ -86,3 +86,14 @@ def test_xlsx_round_trip(spark, tmp_path):
     xlsx.write_table(m, str(tmp_path / "m.xlsx"))
     got = {(r["k"], r["l"]): r["value"] for r in xlsx.read_matrix(spark, str(tmp_path / "m.xlsx")).collect()}
     assert got == {("10", "10"): 1.0, ("10", "20"): 2.0, ("20", "10"): 3.0, ("20", "20"): 0.0}
+
+
+def test_a_sheet_of_many_rows_is_a_folder(spark, tmp_path):
+    df = spark.range(2500, numPartitions=3).selectExpr("id", "concat('F<', id, '>') as name", "if(id % 3 = 0, null, id / 8) as size")
+    path = str(tmp_path / "many.xlsx")
+    xlsx.write_table(df, path, rows=300)
+    assert len(list((tmp_path / "many.xlsx").glob("part-*.xlsx"))) >= 9
+    back = xlsx.read_table(spark, path).selectExpr("cast(id as long) id", "name", "cast(size as double) size")
+    assert sorted(back.collect()) == sorted(df.collect())
+    xlsx.write_table(df.limit(3), path, rows=300)  # in the folder's place
+    assert xlsx.read_table(spark, path).count() == 3
