@@ -516,3 +516,37 @@ def test_a_fit_reads_nodes_unless_a_pair_may_be_saturated(spark):
             assert fit.links(gravity.Parameters(z)) == pytest.approx(p.sum() - np.trace(p), rel=1e-12)
     finally:
         fit.close()
+
+
+def test_weights_in_blocks_follow_dykstras_cycles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, caps = 14, weights.Caps(firm=0.1, sector=0.05, eta1=0.05, eta2=0.002, eps0=0.001)
+    size, sector = rng.uniform(1, 3, n), np.arange(n) % 3
+    i, j = (np.concatenate([x, np.arange(n)]) for x in zip(*[(a, b) for a in range(n) for b in range(n) if a != b and rng.random() < 0.4]))
+    m, own, x, ball, box, fp, sp, op = size[i], i == j, np.zeros(len(i)), np.zeros(len(i)), np.zeros(len(i)), np.zeros(n), np.zeros(3), 0.0
+    total = np.bincount(sector, size)
+    away = lambda s, whole, part: np.clip(s, (1 - part) * whole, (1 + part) * whole) - s
+    for _ in range(3):
+        x = x + ((1 - np.bincount(i, x)) / np.bincount(i))[i]
+        v = np.bincount(j, m * m)
+        new = away(np.bincount(j, m * x) - fp * v, size, caps.firm) / v
+        x, fp = x + (new - fp)[j] * m, new
+        v = np.bincount(sector[j], m * m)
+        new = away(np.bincount(sector[j], m * x) - sp * v, total, caps.sector) / v
+        x, sp = x + (new - sp)[sector[j]] * m, new
+        new = min(0.0, (n * caps.eta1 - (x[own].sum() - op * n)) / n)
+        y, op = np.where(own, x + ball + new - op, x), new
+        scale = min(1.0, math.sqrt(n * caps.eta2 / (y[own] ** 2).sum()))
+        ball = np.where(own, y * (1 - scale), 0.0)
+        y = y - ball + box
+        x = np.clip(y, caps.eps0, 1.0)
+        box = y - x
+    firms = spark.createDataFrame([(a * 5, float(size[a]), int(sector[a]), 0.1) for a in range(n)], "id long, size double, sector long, delta double")
+    edges = spark.createDataFrame([(int(a) * 5, int(b) * 5) for a, b in zip(i, j)], "buyer long, seller long")
+    monkeypatch.setattr(weights, "SMALL", 5)
+    monkeypatch.setattr(weights, "BLOCK", 5)
+    found = weights.solved(edges, firms, caps, cycles=3, squared=True)
+    got = {(r["buyer"] // 5, r["seller"] // 5): r["weight"] for r in found.weights.collect()}
+    assert found.cycles == 3 and len(got) == len(i)
+    assert all(got[a, b] == pytest.approx(w, abs=1e-12) for a, b, w in zip(i.tolist(), j.tolist(), x))
+    assert found.energy == pytest.approx((x * x).sum() / 2, rel=1e-12)
