@@ -550,3 +550,13 @@ def test_weights_in_blocks_follow_dykstras_cycles(spark, monkeypatch):
     assert found.cycles == 3 and len(got) == len(i)
     assert all(got[a, b] == pytest.approx(w, abs=1e-12) for a, b, w in zip(i.tolist(), j.tolist(), x))
     assert found.energy == pytest.approx((x * x).sum() / 2, rel=1e-12)
+
+
+def test_large_graph_tables_do_not_pass_through_the_driver(spark):
+    n = graph.SPREAD + 1
+    labels = graph.stored(spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("comp")))
+    edges = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    plan = lambda comp: graph.condensation(comp, edges)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan(labels) and "Broadcast" not in plan(labels)
+    assert "Broadcast" in plan(graph.stored(labels.limit(100)))
+    dropped(labels)
