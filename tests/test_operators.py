@@ -273,6 +273,21 @@ def test_fit_and_draw(spark):
         fit.close()
 
 
+@pytest.mark.parametrize("undirected", [False, True])
+def test_draws_by_arrays_equal_those_pair_by_pair(spark, monkeypatch, undirected):
+    """Several pieces a sector, sizes that are null, no number, zero or saturated, ids that repeat: the same edges as by columns."""
+    firms, blocks = firms_and_blocks(spark, n=150)
+    firms = graph.stored(firms.withColumn("q", F.when(F.col("id") == 3, None).when(F.col("id") == 5, float("nan")).when(F.col("id") == 7, 0.0).when(F.col("id") == 9, 1e30).otherwise(F.col("q"))).unionByName(firms.where("id in (11, 12)").select(firms.columns)))
+    blocks, par = graph.stored(blocks), gravity.Parameters(0.6)
+    pairs = gravity.pair_probabilities(firms, blocks, par, undirected=undirected).where("p > 0").selectExpr("*", "buyer - 1 as i", "seller - 1 as j")
+    want = sorted(map(tuple, S.with_pair_uniform(pairs, "i", "j", "u").where("p >= u").select("buyer", "seller").collect()))
+    monkeypatch.setattr(gravity, "PIECE", 16)
+    monkeypatch.setattr(gravity, "AT_ONCE", 64)
+    got = gravity.bernoulli_edges(firms, blocks, par, undirected=undirected)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()  # pairs of firms are no rows
+    assert len(want) > 100 and sorted(map(tuple, got.collect())) == want
+
+
 def test_thinned_draws_follow_the_probabilities(spark):
     """Links of each block over many seeds lie within five deviations of their sum of probabilities, and so do those of single pairs."""
     firms, blocks = firms_and_blocks(spark, n=60)
