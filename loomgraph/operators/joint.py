@@ -129,9 +129,10 @@ def _paired(rows: DataFrame, sectors: DataFrame, bit: int) -> DataFrame | None:
     # side 0 stands at what it would want from side 1, in one order with what that has
     move = F.struct("pair", "out", "come", "shift")
     at = moves.select("l", "y", "_side", F.when(F.col("_side") == 0, -F.col("y") - F.col("shift")).otherwise(F.col("shift")).alias("_at"), move.alias("move"))
-    line = Window.partitionBy("l").orderBy("_at", "_side", "move.pair")
+    # what follows is looked for in the reverse order: frames that reach to the end are worked out anew for each row
+    line, back = Window.partitionBy("l").orderBy("_at", "_side", "move"), Window.partitionBy("l").orderBy(*(F.desc(c) for c in ("_at", "_side", "move")))
     there = F.when(F.col("_side") == 1, F.col("move"))
-    at = at.withColumns({"_low": F.last(there, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0)), "_high": F.first(there, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))})
+    at = at.withColumns({name: F.last(there, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for name, w in (("_low", line), ("_high", back))})
     both = at.where("_side = 0").select("l", "y", "move", F.explode(F.array("_low", "_high")).alias("other")).where("other is not null")
     miss = F.abs(F.col("y") + F.col("move.shift") + F.col("other.shift"))
     best = both.withColumn("_miss", miss).groupBy("l", "y").agg(F.min(F.struct("_miss", "move", "other")).alias("b")).where(F.col("b._miss") < F.abs("y") - 1e-12)

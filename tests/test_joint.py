@@ -1,11 +1,13 @@
 """The joint choice against all choices."""
 
 import random
+import time
 from itertools import combinations, product
 
 import numpy as np
 import pytest
 
+from loomgraph.lineage import stored
 from loomgraph.operators import joint
 
 
@@ -44,6 +46,21 @@ def test_two_exchanges_where_one_does_not_help(spark):
     assert sorted(r["src"] for r in new.where("x = 1").collect()) == [2, 4]
 
 
+def test_paired_exchanges_of_many_candidates(spark):
+    """40,000 candidates of one sector: the best partner on either side is found by order, in time that does not follow the square of their number."""
+    rng = random.Random(5)
+    cand = [(p, 100_000 * p + i, 9, 1, rng.random(), 1.0 if i == 0 else 0.0) for p in (1, 2) for i in range(20_000)]
+    rows = stored(spark.createDataFrame(cand, "pair long, src long, dst long, l long, delta double, x double"))
+    began = time.time()
+    new = joint._paired(rows, spark.createDataFrame([(1, 1.0, -1.1)], "l long, s_l double, base_l double"), 0)
+    took = time.time() - began
+    a, b = (np.sort([r[4] for r in cand if r[0] == p]) for p in (1, 2))
+    at = np.clip(np.searchsorted(b, 1.1 - a), 1, len(b) - 1)
+    best = min(np.abs(a + b[at] - 1.1).min(), np.abs(a + b[at - 1] - 1.1).min())
+    assert abs(sum(r["delta"] for r in new.where("x = 1").collect()) - 1.1) == pytest.approx(best, abs=1e-12)
+    assert took < 60
+
+
 def test_least_norm():
     rng = np.random.default_rng(3)
     for _ in range(20):
