@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.lineage import stored
+from loomgraph.operators.graph import stored
 
 
 def _inflows(chosen: DataFrame, sectors: DataFrame, weight: str) -> DataFrame:
@@ -31,7 +31,7 @@ def _swapped(rows: DataFrame, sectors: DataFrame) -> DataFrame | None:
     sector in common are made together, the best ones first; at most one for each sector is looked at by the driver.
     """
     y = stored(_inflows(rows, sectors, "x"))
-    now = rows.join(y.select("l", "y", "s_l"), "l")
+    now = rows.join(F.broadcast(y.select("l", "y", "s_l")), "l")
     square = lambda d, s: (F.pow(F.col("y") + d, 2) - F.pow("y", F.lit(2.0))) / F.pow(s, F.lit(2.0))
     gone = now.where("x = 1").withColumn("_c", square(-F.col("delta"), "s_l")).groupBy("pair").agg(F.min(F.struct("_c", "src", "dst", "l", "delta")).alias("e"))
     left = now.where("x = 0").join(gone, "pair").withColumn("y", F.col("y") - F.when(F.col("l") == F.col("e.l"), F.col("e.delta")).otherwise(0.0))
@@ -46,7 +46,7 @@ def _swapped(rows: DataFrame, sectors: DataFrame) -> DataFrame | None:
         return None
     kinds = dict(rows.dtypes)
     change = rows.sparkSession.createDataFrame(made, f"pair {kinds['pair']}, src {kinds['src']}, dst {kinds['dst']}, _x double")
-    return stored(rows.join(change, ["pair", "src", "dst"], "left").withColumn("x", F.coalesce("_x", "x")).drop("_x").select(rows.columns), discard=[rows])
+    return stored(rows.join(F.broadcast(change), ["pair", "src", "dst"], "left").withColumn("x", F.coalesce("_x", "x")).drop("_x").select(rows.columns), discard=[rows])
 
 
 def choose(cand: DataFrame, quotas: DataFrame, sectors: DataFrame, steps: int = 8, swaps: int = 20) -> tuple[DataFrame, float, float]:

@@ -273,6 +273,20 @@ def test_fit_and_draw(spark):
         fit.close()
 
 
+def test_trimming_sends_no_table_to_all_tasks(spark, monkeypatch):
+    """Nodes that only one side of the edges has are trimmed by merging; large labels would pass through the driver otherwise."""
+    monkeypatch.setattr(graph, "SPREAD", -1)
+    monkeypatch.setattr(graph, "LOCAL", 3)
+    kept, plans = graph._stored, []
+    monkeypatch.setattr(graph, "_stored", lambda df, discard=(): plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, discard))
+    nodes = spark.range(1, 9).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (1, 3), (3, 4), (3, 5), (2, 4), (6, 1), (6, 2)], "src long, dst long")
+    got = {tuple(r) for r in graph.strong_components(nodes, edges).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 6), (7, 7), (8, 8)}
+    trimmed = [p for p in plans if p.count("LeftSemi") >= 2 and "node" in p]
+    assert trimmed and not any("Broadcast" in p for p in trimmed)
+
+
 @pytest.mark.parametrize("undirected", [False, True])
 def test_draws_by_arrays_equal_those_pair_by_pair(spark, monkeypatch, undirected):
     """Several pieces a sector, sizes that are null, no number, zero or saturated, ids that repeat: the same edges as by columns."""
