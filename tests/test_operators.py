@@ -326,6 +326,45 @@ def test_thinned_draws_follow_the_probabilities(spark):
         assert abs(sum(e in part for e in drawn) - mean) <= 5 * deviation + 1
 
 
+@pytest.mark.parametrize("undirected", [False, True])
+def test_thinned_draws_are_the_same_by_any_lots(spark, monkeypatch, undirected):
+    """Links leave their task by arrays and are neither stored nor joined; lots and parts of them deal the same as whole cells."""
+    firms, blocks = firms_and_blocks(spark, n=60)
+    firms = graph.stored(firms.withColumn("q", F.col("q") / (1 + F.col("id") % 17)).unionByName(firms.limit(1).withColumn("id", F.lit(None).cast("bigint"))))
+    blocks, par, rows = graph.stored(blocks), gravity.Parameters(0.6), []
+
+    def stored(df):
+        out = graph.stored(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(gravity, "stored", stored)
+    whole = gravity.thinned_edges(firms, blocks, par, undirected=undirected)
+    assert "MapInArrow" in whole._jdf.queryExecution().toString()  # links are no rows before they are drawn
+    monkeypatch.setattr(gravity, "LOT", 3)
+    monkeypatch.setattr(gravity, "DEALT", 2)
+    parts = gravity.thinned_edges(firms, blocks, par, undirected=undirected)
+    want = sorted(map(tuple, whole.collect()))
+    assert len(want) > 40 and sorted(map(tuple, parts.collect())) == want
+    # equal sizes, all pairs linked: what is stored follows firms and cells
+    rows.clear()
+    every = gravity.thinned_edges(firms.where("id is not null").withColumn("q", F.lit(0.5)), blocks, gravity.Parameters(1e40)).count()
+    assert every > 1000 and max(rows) <= 60
+
+
+def test_skips_are_dealt_the_same_in_any_portions(monkeypatch):
+    top, long = 0.03, 2134
+    rate, n = math.log1p(-top), 50 * long - 7
+    dealt = lambda begin, end, spread=0.5: np.sort(np.concatenate([*gravity._dealt(77, top, rate, long, begin, end, spread, 5)])).tolist()
+    whole = dealt(0, n)
+    assert len(set(whole)) == len(whole) and abs(len(whole) - n * top) < 5 * math.sqrt(n * top) and 0 <= whole[0] and whole[-1] < n
+    assert dealt(0, 5000) + dealt(5000, 5001) + dealt(5001, n) == whole
+    assert dealt(0, n, spread=-2.0) == dealt(0, n, spread=6.0) == whole
+    monkeypatch.setattr(gravity, "RUNS", 3)
+    monkeypatch.setattr(gravity, "SKIPS", 16)
+    assert dealt(0, n) == whole
+
+
 def test_runs_that_need_more_skips_go_on(spark):
     firms, blocks = firms_and_blocks(spark, n=60)
     whole = {tuple(r) for r in gravity.thinned_edges(firms, blocks, gravity.Parameters(0.6)).collect()}
