@@ -222,7 +222,8 @@ def _candidates(table: pa.Table, percent: int) -> pa.Table:
 def _settled(table: pa.Table, percent: int) -> pa.Table:
     """Links of a tile's members with many partners, confirmed here on full sets: one for each component that a member is linked with."""
     tile = Tile(table, percent)
-    sets = [s.values.to_numpy() for s in table.column("set")]
+    # sets are sorted as numbers without a sign
+    sets = [s.values.to_numpy().view(np.uint64) for s in table.column("set")]
     out = []
     for i in np.flatnonzero(table.column("many").to_numpy(zero_copy_only=False)):
         j = tile.partners(i)

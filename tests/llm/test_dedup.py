@@ -208,6 +208,25 @@ def test_near_duplicates(make, corpus, monkeypatch, size, few, block, stars):
         assert r["kept"] == (r["doc_id"] is None or r["doc_id"] == r["component_id"])
 
 
+def test_members_with_many_partners_are_linked_at_the_threshold():
+    """Sets are sorted without a sign; what a search for the common part finds must not depend on it."""
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 2**64, 360, dtype=np.uint64))
+    near = [np.unique(np.concatenate([a[:324], rng.integers(0, 2**64, 40, dtype=np.uint64)])) for _ in range(neardup.FEW + 8)]
+    sets = [a, *near]
+    assert all(100 * 324 >= 80 * (len(a) + len(s) - 324) for s in near)
+    _, sketch, samples = neardup.signatures(sets)
+    n = len(sets)
+    band = np.tile(np.arange(neardup.BANDS), (n, 1)) * 1000 + np.arange(n)[:, None]  # they share the first band only
+    band[:, 0] = 7
+    ids = np.arange(n)
+    lists = lambda rows: pa.array([r.view(np.int64) for r in rows], pa.list_(pa.int64()))
+    t = pa.table({"band": np.full(n, 7), "left": np.zeros(n, np.int32), "right": np.zeros(n, np.int32), "id": ids, "label": (ids > 0) * 1, "side": (ids > 0) * 1, "inner": np.zeros(n, bool), "n_shingles": [len(s) for s in sets], "samples": samples, "bands": lists(band), "sketch": lists(sketch), "set": lists(sets), "many": ids == 0})
+    assert neardup._candidates(t, 80).select(["a", "b"]).to_pylist() == [{"a": 0, "b": 0}]
+    (link,) = neardup._settled(t, 80).to_pylist()
+    assert link["a"] == 0 and link["b"] > 0
+
+
 def test_odd_sketch_tells_similarity():
     rng = np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 2000, dtype=np.uint64) * np.uint64(2))
