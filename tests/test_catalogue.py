@@ -76,3 +76,19 @@ def test_layers_hold_every_line(spark):
     assert pairs.where("buyer % 3 <> seller % 3").isEmpty()
     firms = fixtures.firms(spark, SF)
     assert fixtures.layered_firms(firms).select("id").distinct().count() == 3 * firms.count()
+
+
+def test_candidates_leave_a_choice(spark, tmp_path):
+    """Layers whose firms buy in a ring are components of 160: of 31 candidates a pair gives 2, which SQL finds as well."""
+    firms = pd.DataFrame({"p_partkey": range(160), "p_brand": [f"Brand#{11 + i % 7}" for i in range(160)], "p_retailprice": 900.0})
+    ring = [*range(160), 0]
+    lines = pd.concat([pd.DataFrame({"l_orderkey": k, "l_linenumber": range(1, 162), "l_partkey": [(i * (2 * k + 1)) % 160 if k < 2 else i for i in ring], "l_extendedprice": [float(1 + (37 * i * (k + 1)) % 101) for i in ring], "l_returnflag": flag}) for k, flag in enumerate("ANR")])
+    con = duckdb.connect()
+    for name, df in (("part", firms), ("lineitem", lines)):
+        df.to_parquet(tmp_path / f"{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    quotas = catalogue._pairing(spark, str(tmp_path))[3].select("n_keep", "n_draw").collect()
+    assert [tuple(q) for q in quotas] == [(2, 31)] * 3
+    got = catalogue.chosen_candidates(spark, str(tmp_path)).toPandas()
+    assert len(got) == 6
+    assert rows(got) == rows(con.execute(catalogue.ORACLE_SQL["chosen_candidates"]).df())
