@@ -620,6 +620,22 @@ def test_weights_in_blocks_follow_dykstras_cycles(spark, monkeypatch):
     assert found.energy == pytest.approx((x * x).sum() / 2, rel=1e-12)
 
 
+def test_edges_of_near_firms_are_spread_over_blocks(spark, monkeypatch):
+    """Firms that buy within groups of near numbers, as in copies of a network, don't fill the blocks of a group with themselves."""
+    monkeypatch.setattr(weights, "SMALL", 5)
+    monkeypatch.setattr(weights, "EDGES", 100, raising=False)
+    firms = spark.range(400).select("id", F.lit(1.0).alias("size"), (F.col("id") % 3).alias("sector"), F.lit(0.1).alias("delta"))
+    near = [(a, a // 50 * 50 + (a * 7 + k * k) % 50) for a in range(400) for k in range(1, 10)]
+    edges = spark.createDataFrame([e for e in near if e[0] != e[1]], "buyer long, seller long").distinct()
+    net = weights._Network(edges, firms)
+    try:
+        sizes = [len(r[0]) // 4 for r in net.edges.select("i").collect()]
+        assert sum(sizes) == edges.count()
+        assert max(sizes) <= 200
+    finally:
+        net.close()
+
+
 def test_large_graph_tables_do_not_pass_through_the_driver(spark):
     n = graph.SPREAD + 1
     labels = graph.stored(spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("comp")))
