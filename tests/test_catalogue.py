@@ -92,3 +92,18 @@ def test_candidates_leave_a_choice(spark, tmp_path):
     got = catalogue.chosen_candidates(spark, str(tmp_path)).toPandas()
     assert len(got) == 6
     assert rows(got) == rows(con.execute(catalogue.ORACLE_SQL["chosen_candidates"]).df())
+
+
+def test_components_after_follow_from_those_before(spark, duck, monkeypatch):
+    """The augmented graph's components are found over the components that the chosen edges join, not over all firms and edges again."""
+    calls, found = [], catalogue.graph.strong_components
+
+    def counted(nodes, edges):
+        calls.append((nodes.distinct().count(), edges.count()))
+        return found(nodes, edges)
+
+    monkeypatch.setattr(catalogue.graph, "strong_components", counted)
+    (got,) = catalogue.irreducible_graph(spark, SF).collect()
+    assert calls[0][0] == 3 * duck.execute("select count(*) from part").fetchone()[0]
+    assert calls[1][0] == got["components_before"] and calls[1][1] < calls[0][1]
+    assert got["components_after"] == 1
